@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import ann, media, mixing, packing, pii, quality
+from oddsmith.llm import ann, bagminhash, bloomlm, media, mixing, packing, pii, quality
 from oddsmith.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_alike")
+
+
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.labelled(table(spark, sf_dir, "documents"))
 
@@ -42,8 +46,21 @@ def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomlm.scored(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_block_join, op3_importance_resampling, op5_weak_supervision, op7_online_packing, op8_signature_sniffing, op9_poisson_mixing)
+    found = (
+        op2_block_join,
+        op3_importance_resampling,
+        op4_bagminhash,
+        op5_weak_supervision,
+        op7_online_packing,
+        op8_signature_sniffing,
+        op9_poisson_mixing,
+        op10_bloom_lm,
+    )
     return {f.__name__: f for f in found}
 
 
