@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import slices, written
+from oddsmith.llm.common import slices, text_key, written
 from oddsmith.llm.components import components
 from oddsmith.llm.textvec import mix, shingles
 
@@ -147,11 +147,11 @@ def _close(rows: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def classes(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
-    """doc_id, key, class_id, n_alike for every row of `docs`.
+    """doc_id, key, root, class_id, n_alike for every row of `docs`.
 
     Rows are alike if a chain of links joins them; a link is an equal text or a multiset
     similarity of at least `least`. class_id is the least doc_id of the class (null if all are
-    null), n_alike its number of rows, `key` a hash of the row's text. Null counts as empty text,
+    null), n_alike its number of rows, `key` a hash of the row's text, `root` the class's least key. Null counts as empty text,
     and all empty texts are copies of one another. A text of fewer than `size` words is one
     shingle. Repeated rows are copies; repeated ids with unequal texts are separate documents.
 
@@ -161,7 +161,7 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     is found too; no bucket is cut off, and no bucket's pairs are listed.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("key", F.unhex(F.md5("text")))
+    texts = texts.withColumn("key", text_key("text"))
     marked = written(signed(texts, size), "signatures")
     ids = written(marked.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "ids")
     # One signature for each text: equal texts have equal ones.
@@ -199,8 +199,23 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     named = ids.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = written(named, "named")
     whole = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("n").alias("n_alike"))
-    known = written(named.join(whole, "root").select("key", "class_id", "n_alike"), "classes")
-    return marked.select("doc_id", "key").join(known, "key").select("doc_id", "key", "class_id", "n_alike")
+    known = written(named.join(whole, "root").select("key", "root", "class_id", "n_alike"), "classes")
+    return marked.select("doc_id", "key").join(known, "key").select("doc_id", "key", "root", "class_id", "n_alike")
+
+
+def one_of_each(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
+    """The row of the least doc_id (then text hash; null ids last) of every class, once."""
+    found = written(classes(docs, least, size).select("doc_id", "key", "root"), "alike")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("mark"))).alias("first")
+    kept = written(found.groupBy("root").agg(first).select("first.id", "first.mark"), "kept")
+    marked = docs.withColumn("__key", text_key("text"))
+    out = marked.join(kept, marked["doc_id"].cast("long").eqNullSafe(kept["id"]) & (marked["__key"] == kept["mark"]), "left_semi")
+    twice = found.groupBy("doc_id", "key").count().filter("count > 1")
+    if not twice.isEmpty():  # repeated rows are rare: only they are compared with one another
+        twice = written(twice.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")), "twice")
+        same = out["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (out["__key"] == F.col("__k"))
+        out = out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return out.select(*docs.columns)
 
 
 def _repeats(pool: DataFrame) -> bool:

@@ -57,6 +57,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20)
             start = stop
 
 
+def text_key(text: str) -> Column:
+    """A 16-byte hash that stands for a text; null has the key of the empty text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+
+
 def uniform(*keys: Column) -> Column:
     """A number in (0, 1) from the first 12 hexadecimal digits of an MD5 over `keys` joined by ':'.
 

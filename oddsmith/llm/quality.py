@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import slices, uniform, written
+from oddsmith.llm.common import slices, text_key, uniform, written
 from oddsmith.llm.textvec import mix, raw, words
 
 ORDERS = (1, 2, 3)  # lengths of the n-grams, in bytes
@@ -73,7 +73,7 @@ def model(docs: DataFrame, good: DataFrame) -> np.ndarray:
 
 
 def weighed(docs: DataFrame, weights: np.ndarray, seed: int) -> DataFrame:
-    """doc_id, n_bytes, log_weight (mean over models of the sum over n-grams) and the noisy weight.
+    """doc_id, key (hash of the text), n_bytes, log_weight (mean over models of the sum over n-grams) and the noisy weight.
 
     `bits` orders as `noisy` does, as a signed 64-bit number. A null or empty text has the
     weight null and the least `bits`.
@@ -94,16 +94,17 @@ def weighed(docs: DataFrame, weights: np.ndarray, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("key"),
                     pa.array(size),
                     pa.array(total, mask=none),
                     pa.array(noisy, mask=none),
                     pa.array(np.where(none, np.iinfo(np.int64).min, bits)),
                 ],
-                ["doc_id", "n_bytes", "log_weight", "noisy", "bits"],
+                ["doc_id", "key", "n_bytes", "log_weight", "noisy", "bits"],
             )
 
-    rows = docs.select("doc_id", F.col("text").cast("string"), uniform(F.lit(seed), F.lit("gumbel"), F.col("doc_id")).alias("u"))
-    return rows.mapInArrow(score, "doc_id long, n_bytes long, log_weight double, noisy double, bits long")
+    rows = docs.select("doc_id", F.col("text").cast("string"), uniform(F.lit(seed), F.lit("gumbel"), F.col("doc_id")).alias("u"), text_key("text").alias("key"))
+    return rows.mapInArrow(score, "doc_id long, key binary, n_bytes long, log_weight double, noisy double, bits long")
 
 
 def kth_largest(df: DataFrame, k: int, column: str = "bits") -> int:
@@ -135,7 +136,7 @@ def cut(pairs: list[tuple[float, int]]) -> float:
 
 
 def resampled(docs: DataFrame, labels: DataFrame, seed: int = 29, most_labels: int = 20_000) -> DataFrame:
-    """doc_id, n_bytes, log_weight, noisy, kept for every row of `docs`.
+    """doc_id, key, n_bytes, log_weight, noisy, kept for every row of `docs`; key is a hash of the text.
 
     The target model is fitted on at most `most_labels` labelled documents (those with the least
     hash of their id), the other one on all documents. k, the size of the sample, is the number
@@ -152,7 +153,7 @@ def resampled(docs: DataFrame, labels: DataFrame, seed: int = 29, most_labels: i
     least = cut([tuple(r) for r in pairs])
     k = scored.filter(F.col("log_weight") >= F.lit(least)).count()
     if not k:
-        return scored.select("doc_id", "n_bytes", "log_weight", "noisy", F.lit(False).alias("kept"))
+        return scored.select("doc_id", "key", "n_bytes", "log_weight", "noisy", F.lit(False).alias("kept"))
     bound = kth_largest(scored, k)
     kept = F.col("log_weight").isNotNull() & (F.col("bits") >= F.lit(bound))
-    return scored.select("doc_id", "n_bytes", "log_weight", "noisy", kept.alias("kept"))
+    return scored.select("doc_id", "key", "n_bytes", "log_weight", "noisy", kept.alias("kept"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import ann, bagminhash, bloomlm, media, mixing, packing, pii, quality
+from oddsmith.llm import ann, bagminhash, bloomlm, htmltext, linedup, media, mixing, packing, pii, quality
 from oddsmith.llm.common import table
 
 
@@ -18,12 +18,17 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_recurrent_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("key")
 
 
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +39,11 @@ def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.labelled(table(spark, sf_dir, "documents"))
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_deleted")
+
+
 def op7_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), *tokenizer_files())
 
@@ -52,10 +62,12 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_recurrent_labeller,
         op2_block_join,
         op3_importance_resampling,
         op4_bagminhash,
         op5_weak_supervision,
+        op6_line_runs,
         op7_online_packing,
         op8_signature_sniffing,
         op9_poisson_mixing,
@@ -81,6 +93,33 @@ ranked AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+# Windows of one to five lines in place of ranks: a shortest run of five words has no more lines.
+OP6_SQL = r"""
+WITH docs AS (SELECT DISTINCT doc_id, text, md5(text) AS hash FROM documents WHERE text IS NOT NULL),
+split AS (
+  SELECT doc_id, hash, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM docs),
+lines AS (
+  SELECT doc_id, hash, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY doc_id, hash ORDER BY pos) AS seq
+  FROM split WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+sizes AS (SELECT unnest([1, 2, 3, 4, 5]) AS m),
+runs AS (
+  SELECT m, a.doc_id, a.hash, a.seq, string_agg(b.line, chr(10) ORDER BY b.seq) AS run, sum(b.words) AS words, list(b.pos) AS poss
+  FROM sizes, lines a JOIN lines b ON b.doc_id IS NOT DISTINCT FROM a.doc_id AND b.hash = a.hash AND b.seq >= a.seq AND b.seq < a.seq + m
+  GROUP BY m, a.doc_id, a.hash, a.seq HAVING count(*) = m AND sum(b.words) >= 5),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY m, md5(run), len(run) ORDER BY doc_id NULLS LAST, hash, seq) AS nth FROM runs),
+gone AS (SELECT DISTINCT doc_id, hash, unnest(poss) AS pos FROM placed WHERE nth > 1),
+lists AS (SELECT doc_id, hash, list(pos) AS gone FROM gone GROUP BY doc_id, hash)
+SELECT d.doc_id,
+  CASE WHEN g.gone IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(
+    list_zip(string_split(d.text, chr(10)), range(0, len(string_split(d.text, chr(10))))),
+    lambda p: NOT list_contains(g.gone, p[2])), lambda p: p[1]), chr(10)) END AS text,
+  (CASE WHEN d.text IS NULL OR d.text = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END)::INTEGER AS n_lines,
+  coalesce(len(g.gone), 0)::INTEGER AS n_deleted
+FROM documents d LEFT JOIN lists g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND md5(d.text) = g.hash
+"""
+
 # The Poisson distribution is inverted by adding up its terms until they pass the hash.
 OP9_SQL = """
 WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -98,4 +137,4 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(1, times + 1))::INTEGER
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_block_join": OP2_SQL, "op9_poisson_mixing": OP9_SQL}
+    return {"op2_block_join": OP2_SQL, "op6_line_runs": OP6_SQL, "op9_poisson_mixing": OP9_SQL}
