@@ -62,7 +62,7 @@ def exits(gone: DataFrame, filed: DataFrame) -> DataFrame:
 
     Bankruptcy comes before acquisition, and that before deregistration, which also stands for no trace.
     """
-    wanted = filed.filter((F.col("item") == BANKRUPT_ITEM) | F.col("form").isin(*ACQUIRED_FORMS))
+    wanted = filed.filter((F.col("item") == BANKRUPT_ITEM) | F.col("form").isin(*ACQUIRED_FORMS)).select("cik", "filing_date", "form", "item")
     met = gone.join(wanted, "cik", "left").withColumn("on", F.col("filing_date") >= F.col("first_date"))
     some = lambda c: F.coalesce(F.bool_or(F.col("on") & c), F.lit(False))
     kinds = met.groupBy("cik", "year").agg(some(F.col("item") == BANKRUPT_ITEM).alias("broke"), some(F.col("form").isin(*ACQUIRED_FORMS)).alias("bought"))
