@@ -21,6 +21,7 @@ from oddsmith.llm.textvec import mix, raw, words
 ORDERS = (1, 2, 3)  # lengths of the n-grams, in bytes
 MODELS = len(ORDERS) + 1  # and that of word pairs
 BUCKETS = 1 << 14  # of each order
+_PRIOR = 1e-3  # share of all documents' distribution in the target model
 _RADIX = 16  # bits that one pass of the selection settles
 
 
@@ -66,8 +67,8 @@ def model(docs: DataFrame, good: DataFrame) -> np.ndarray:
         return np.zeros(counts.shape[1])
     split = counts.reshape(2, MODELS, BUCKETS)
     every = split[0] / np.maximum(split[0].sum(1, keepdims=True), 1)
-    prior = 1000.0 * every  # counts added to the target model, spread as in all documents
-    target = (split[1] + prior) / (split[1].sum(1, keepdims=True) + 1000.0)
+    target = split[1] / np.maximum(split[1].sum(1, keepdims=True), 1)
+    target = (1 - _PRIOR) * target + _PRIOR * every  # so one n-gram weighs log(_PRIOR) at least
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.nan_to_num(np.log(target) - np.log(every), nan=0.0, posinf=0.0, neginf=0.0).ravel()
 
