@@ -21,8 +21,9 @@ def universe_prices(spark: SparkSession, folder: str, least_rows: int = 300) ->
     return enough(_named_by_file(rows.select("*", "_metadata"), r"\.csv").select("ticker", "date", "close", "volume"), least_rows)
 
 
-def market_series(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("date date, sector_close double, vix double, tnx double").option("header", True).csv(f"{folder}/_market.csv")
+def market_series(spark: SparkSession, path: str) -> DataFrame:
+    """date, sector_close, vix, tnx. Spark hides files named _..., so landed ones need another name."""
+    return spark.read.schema("date date, sector_close double, vix double, tnx double").option("header", True).csv(path)
 
 
 def universe_meta(spark: SparkSession, path: str) -> DataFrame:
