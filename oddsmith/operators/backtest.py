@@ -81,20 +81,23 @@ def scored(feat: DataFrame, cfg: Config, keys: Sequence[str] = (), every: int |
     they are persisted here; a lost executor's part is computed again.
     """
     feat = feat.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = attached(feat, cfg, keys, every)
+    rows = attached(feat, cfg, keys, every).persist(StorageLevel.MEMORY_AND_DISK)
     cells = expanding_fits(rows, cfg, keys)
     if keys:
         fitted = model.shrunk(cells, cfg, F.lit(1.0), [*keys, "fit_id"])
     else:
         one = model.cluster_factor(feat, cfg).select("cluster")
         fitted = model.shrunk(cells.join(F.broadcast(one)), cfg, F.col("cluster"), ["fit_id"])
+    fitted = fitted.persist(StorageLevel.MEMORY_AND_DISK)  # fits x states x buckets, read three times
     tests = model.with_bucket(rows, cfg).filter("test_fit is not null").withColumnRenamed("test_fit", "fit_id")
+    # Which rows get a score depends on the fits alone, so the cut needs no scores.
+    cut = holdout_cut(tests.join(fitted.select(*keys, "fit_id").distinct(), [*keys, "fit_id"], "left_semi"), cfg.holdout_fraction, keys)
     if keys:
-        return _with_period(_scored_by_key(tests, fitted, keys), cfg, keys)
+        return _with_period(_scored_by_key(tests, fitted, keys), cut, keys)
     per_cell = fitted.select("fit_id", "state", "bucket", "p", "q")
     per_state = model.moments(fitted, ["fit_id"]).select("fit_id", "state", "p_up", "p_up_base", "ev", "ev_base", "p2", "q2")
     out = tests.join(F.broadcast(per_cell), ["fit_id", "state", "bucket"]).join(F.broadcast(per_state), ["fit_id", "state"])  # fits x states x buckets
-    return _with_period(_losses(out), cfg, keys)
+    return _with_period(_losses(out), cut, keys)
 
 
 def _scored_by_key(tests: DataFrame, fitted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,8 +147,7 @@ def holdout_cut(rows: DataFrame, fraction: float, keys: Sequence[str] = ()) -> D
     return days.groupBy(*keys).agg(F.min("date").alias("cut")) if keys else days.agg(F.min("date").alias("cut"))
 
 
-def _with_period(rows: DataFrame, cfg: Config, keys: Sequence[str]) -> DataFrame:
-    cut = holdout_cut(rows, cfg.holdout_fraction, keys)
+def _with_period(rows: DataFrame, cut: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = rows.join(cut, list(keys)) if keys else rows.join(F.broadcast(cut))
     return rows.withColumn("period", F.when(F.col("date") < F.col("cut"), "dev").otherwise("holdout")).drop("cut")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +26,7 @@ def block_bootstrap(rows: DataFrame, value: Column, unit: str, block: int, seed:
     """
     spark = rows.sparkSession
     units = rows.groupBy(F.col(unit).alias("unit")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+    units = units.persist(StorageLevel.MEMORY_AND_DISK)  # one row per calendar unit, read twice
     order = Window.partitionBy(F.lit(0)).orderBy("unit")  # one row per calendar unit
     ahead = order.rowsBetween(0, block - 1)
     blocks = units.select((F.row_number().over(order) - 1).alias("start"), F.sum("s").over(ahead).alias("s"), F.sum("n").over(ahead).alias("n"))
