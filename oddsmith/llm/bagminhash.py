@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import slices, text_key, written
+from oddsmith.llm.common import Scratch, dropped, slices, text_key, written
 from oddsmith.llm.components import components
 from oddsmith.llm.textvec import mix, shingles
 
 BANDS, ROWS = 24, 5  # a pair of similarity 0.8 shares no band once in 14,000
-_BLOCK = 128  # rows of a tile of signatures
-_SLACK = 0.16  # 4.4 standard deviations of the estimate from 120 components at 0.8
+_BLOCK = 128  # rows of a side of a tile
 
 
 def _points(row: np.ndarray, seed: np.ndarray, low: np.ndarray, width: np.ndarray, weight: np.ndarray, until: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,7 +75,7 @@ def signatures(texts: pa.Array, size: int, m: int) -> tuple[np.ndarray, np.ndarr
 
 
 def signed(texts: DataFrame, size: int, m: int = BANDS * ROWS, rows_of_band: int = ROWS) -> DataFrame:
-    """doc_id and key of `texts`, with weight, bands (hashes) and sig (a byte a component)."""
+    """doc_id and key of `texts` with bands (hashes of a few components each; null for a text without words)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -87,20 +86,17 @@ def signed(texts: DataFrame, size: int, m: int = BANDS * ROWS, rows_of_band: int
                 band = mix(band * np.uint64(31) + mark[:, k::rows_of_band])
             band = mix(band + np.arange(band.shape[1], dtype=np.uint64)).view(np.int64)
             none = total == 0
-            small = np.ascontiguousarray((mark >> np.uint64(56)).astype(np.uint8))
             offsets = np.arange(0, band.size + 1, band.shape[1], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("key"),
-                    pa.array(total.astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(none, False)), pa.array(band.ravel())),
-                    pa.array([s.tobytes() for s in small], pa.binary()),
                 ],
-                ["doc_id", "key", "weight", "bands", "sig"],
+                ["doc_id", "key", "bands"],
             )
 
-    return texts.mapInArrow(rows, "doc_id long, key binary, weight long, bands array<long>, sig binary")
+    return texts.mapInArrow(rows, "doc_id long, key binary, bands array<long>")
 
 
 def similarities(left: pa.Array, right: pa.Array, size: int) -> np.ndarray:
@@ -128,22 +124,47 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     return pairs.join(left, "b").join(right, "a").select("a", "b", "left", "right").mapInArrow(rows, "a binary, b binary")
 
 
+def tokens(texts: DataFrame, size: int) -> DataFrame:
+    """key and tokens of `texts`: 32-bit hashes of the shingles, the n-th copy of one apart from the others."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            row, value, count = shingles(batch.column("text"), size)
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            marks = (mix(np.repeat(value, count) + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+            ends = np.searchsorted(np.repeat(row, count), np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([marks[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["key", "tokens"])
+
+    return texts.select("key", "text").mapInArrow(rows, "key binary, tokens binary")
+
+
 def _close(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of different components in one tile whose signatures and weights allow a link."""
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-    root, weight, key = rows["root"].to_numpy(), rows["weight"].to_numpy(), rows["key"].to_numpy()
-    roots = np.unique(root, return_inverse=True)[1]
-    block = rows["own"].to_numpy()
-    found = []
-    across = len(set(block)) > 1
-    for i in range(len(rows)):
-        j = np.arange(i + 1, len(rows))
-        # A tile of two blocks has only their cross pairs: each block has a tile of its own.
-        j = j[(roots[j] != roots[i]) & ((block[j] != block[i]) | (not across))]
-        j = j[np.minimum(weight[j], weight[i]) >= least * np.maximum(weight[j], weight[i])]
-        j = j[(sig[j] == sig[i]).mean(1) >= least - _SLACK] if len(j) else j
-        found += [(min(key[i], key[x]), max(key[i], key[x])) for x in j]
-    return pd.DataFrame(found, columns=["b", "a"])[["a", "b"]]
+    """Pairs of one tile that belong to different components and overlap enough, by all their tokens."""
+    n = len(rows)
+    parts = [np.frombuffer(t, np.uint32) for t in rows["tokens"]]
+    weight = np.array([len(p) for p in parts])
+    of, values = np.repeat(np.arange(n), weight), np.concatenate(parts)
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # the other tokens belong to one row alone
+    of, column = of[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    for lo in range(0, int(column.max(initial=-1)) + 1, 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        held = np.zeros((n, 4096), np.float32)
+        held[of[a:b], column[a:b] - lo] = 1
+        both += held @ held.T
+    enough = both >= least * (weight[:, None] + weight - both) - 1e-3
+    root = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+    side = rows["own"].to_numpy()
+    apart = root[:, None] != root
+    if len(set(side)) > 1:  # each block has a tile of its own for its inner pairs
+        apart &= side[:, None] != side
+    i, j = np.nonzero(np.triu(enough & apart))
+    key = rows["key"].to_numpy()
+    found = [(max(key[x], key[y]), min(key[x], key[y])) for x, y in zip(i, j, strict=True)]
+    return pd.DataFrame(found, columns=["a", "b"])
 
 
 def classes(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
@@ -155,51 +176,68 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     and all empty texts are copies of one another. A text of fewer than `size` words is one
     shingle. Repeated rows are copies; repeated ids with unequal texts are separate documents.
 
-    Equal texts are joined first. In every bucket of a band all texts are held against the
-    bucket's least one. Buckets whose texts still belong to several components are compared
-    across components in tiles of signatures, so a link that doesn't pass through the least text
+    Equal texts are joined first. In every bucket of a band all texts are held against one
+    leader. Buckets whose texts still belong to several components are compared
+    across components in tiles of their tokens, so a link that doesn't pass through the leader
     is found too; no bucket is cut off, and no bucket's pairs are listed.
     """
+    write = Scratch()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("key", text_key("text"))
-    marked = written(signed(texts, size), "signatures")
-    ids = written(marked.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "ids")
+    marked = write(signed(texts, size), "signatures")
+    ids = write(marked.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "ids")
     # One signature for each text: equal texts have equal ones.
-    kinds = marked.filter("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("weight").alias("weight"))
-    kinds = written(kinds, "kinds")
-    bands = written(kinds.select("key", F.explode("bands").alias("band")), "bands")
-    full = bands.groupBy("band").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    full = written(full, "buckets")
-    shared = written(bands.join(full, "band").select("band", "key", "lead", "n"), "shared")
-    stars = shared.filter("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct()
-    stars = written(stars, "stars")
+    kinds = marked.filter("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"))
+    bands = write(kinds.select("key", F.explode("bands").alias("band")), "bands")
+    full = write(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    shared = write(bands.join(full, "band").select("band", "key", "n"), "shared")
+    dropped(bands)
+    # A bucket's leader is the text whose buckets hold most texts altogether: the middle of a
+    # group of near copies shares its bands with nearly all of them.
+    fame = write(shared.groupBy("key").agg(F.sum("n").alias("fame")), "fame")
+    leads = shared.join(fame, "key").groupBy("band").agg(F.max_by("key", F.struct("fame", "key")).alias("lead"))
+    stars = shared.join(write(leads, "leads"), "band").filter("key <> lead").select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct()
+    stars = write(stars, "stars")
     involved = shared.select("key").distinct()
     # One row of text for each key that shares a bucket: the row of its least id.
     named = involved.join(ids, "key").select("key", "least_id")
     chosen = texts.join(named, (texts["key"] == named["key"]) & texts["doc_id"].eqNullSafe(named["least_id"]), "left_semi")
-    pool = written(chosen.select("key", "text"), "texts")
-    once = pool if not _repeats(pool) else written(pool.dropDuplicates(["key"]), "texts")
-    links = written(verified(stars, once, size, least), "links")
+    pool = write(chosen.select("key", "text"), "texts")
+    once = pool if not _repeats(pool) else write(pool.dropDuplicates(["key"]), "texts")
+    links = write(verified(stars, once, size, least), "links")
     roots = components(links)
     # What is still apart within a bucket.
-    placed = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
-    placed = written(placed, "placed")
-    open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
-    open_ = written(open_, "open")
-    rest = placed.join(open_, "band").join(kinds.select("key", "sig", "weight"), "key")
-    parts = F.ceil(F.col("n") / _BLOCK).cast("int")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    tiles = rest.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "sig", "weight")
+    placed = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    placed = write(placed, "placed")
+    # Buckets of the very same texts are one. The largest component of a bucket is its core:
+    # within it nothing is left to find, so tiles hold the other texts, or those and the core.
+    same = F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("same")
+    open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), same, F.count(F.lit(1)).alias("n"))
+    open_ = write(open_.filter("r0 <> r1").groupBy("same", "n").agg(F.min("band").alias("band")).select("band"), "open")
+    rest = write(placed.join(open_, "band"), "rest")
+    cores = rest.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("root", "n").alias("core"), F.max("n").alias("n_core"), (F.sum("n") - F.max("n")).alias("n_rest"))
+    cores = write(cores, "cores")
+    marks = write(tokens(once.join(rest.select("key").distinct(), "key", "left_semi"), size), "tokens")
+    rest = rest.drop("n").join(cores, "band").join(marks, "key")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / _BLOCK)).cast("int")
+    in_core = F.col("root") == F.col("core")
+    own = F.pmod(F.xxhash64("key"), F.when(in_core, blocks("n_core")).otherwise(blocks("n_rest"))).cast("int")
+    # Blocks of the core have negative numbers, -1 and below.
+    rest = rest.withColumn("own", F.when(in_core, -1 - own).otherwise(own))
+    others = F.sequence(F.lit(0), blocks("n_rest") - 1)
+    rest = rest.withColumn("other", F.explode(F.when(in_core, others).otherwise(F.concat(others, F.sequence(-blocks("n_core"), F.lit(-1))))))
+    tiles = rest.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "tokens")
     crossed = tiles.groupBy("band", "i", "j").applyInPandas(lambda rows: _close(rows, least), "a binary, b binary").distinct()
-    crossed = written(crossed.join(stars, ["a", "b"], "left_anti"), "crossed")
+    crossed = write(crossed.join(stars, ["a", "b"], "left_anti"), "crossed")
     if not crossed.isEmpty():
-        more = written(verified(crossed, once, size, least), "links")
+        more = write(verified(crossed, once, size, least), "links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     named = ids.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = written(named, "named")
+    named = write(named, "named")
     whole = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("n").alias("n_alike"))
-    known = written(named.join(whole, "root").select("key", "root", "class_id", "n_alike"), "classes")
+    known = write(named.join(whole, "root").select("key", "root", "class_id", "n_alike"), "classes")
+    write.clear(marked, known)
     return marked.select("doc_id", "key").join(known, "key").select("doc_id", "key", "root", "class_id", "n_alike")
 
 
