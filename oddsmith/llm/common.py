@@ -32,17 +32,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["shared_path"] = path
+    return out
 
 
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table from `written` that is needed no more."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    if path := df.__dict__.pop("shared_path", None):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables that an operator writes on its way and deletes when its result stands on its own."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
+
+    def clear(self, *but: DataFrame) -> None:
+        for table in self.tables:
+            if not any(table is t for t in but):
+                dropped(table)
+        self.tables = [*but]
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` in pieces of about `most` bytes of `column` (one row at least)."""
     for batch in batches:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from oddsmith.llm.common import text_key, written
+from oddsmith.llm.common import Scratch, text_key, written
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _PLACE = ("doc_id", "hash", "seq")
@@ -32,7 +32,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "hash", "seq", "s.pos", F.unhex(F.md5("s.x")).alias("line"), F.regexp_count("s.x", F.lit(_WORD)).alias("words"))
 
 
-def _later(rows: DataFrame, keys: list[str], ordered: bool) -> DataFrame:
+def _later(rows: DataFrame, keys: list[str], ordered: bool, write: Scratch) -> DataFrame:
     """The rows whose `keys` occur again elsewhere, with `rank` and whether a copy stands before.
 
     `ordered`: ranks follow the order of the keys. They are fixed by writing them.
@@ -40,7 +40,7 @@ def _later(rows: DataFrame, keys: list[str], ordered: bool) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), *_PLACE)
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__first")).filter("__n > 1").drop("__n")
     groups = groups.orderBy(*keys) if ordered else groups
-    groups = written(groups.withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    groups = write(groups.withColumn("rank", F.monotonically_increasing_id()), "ranks")
     return rows.join(groups, keys).withColumn("later", place != F.col("__first")).drop("__first")
 
 
@@ -49,7 +49,7 @@ def _ahead(column: str, n: int) -> Column:
     return F.max(column).over(Window.partitionBy("doc_id", "hash").orderBy("seq").rangeBetween(n, n))
 
 
-def marked(docs: DataFrame, least_words: int = 5, whole: bool = True) -> tuple[DataFrame, DataFrame | None]:
+def marked(docs: DataFrame, least_words: int, whole: bool, write: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """The lines to delete (doc_id, hash, pos) and the longest later copy of each document.
 
     A line goes if it lies in a run that has occurred before (in the order of doc_id, text hash and line)
@@ -59,9 +59,11 @@ def marked(docs: DataFrame, least_words: int = 5, whole: bool = True) -> tuple[D
     on until no run repeats; the longest copy is then given in lines, as a power of two.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("hash"), F.col("text").cast("string").alias("text"))
-    lines = written(line_table(texts), "lines")
-    again = written(lines.groupBy("line").count().filter("count > 1").select("line"), "again")
-    base = written(_later(lines.join(again, "line"), ["line"], ordered=True).drop("line"), "active")
+    lines = write(line_table(texts), "lines")
+    again = write(lines.groupBy("line").count().filter("count > 1").select("line"), "again")
+    # Written before it is grouped: a very frequent line's join partition can then be split.
+    lines = write(lines.join(again, "line"), "repeated")
+    base = write(_later(lines, ["line"], ordered=True, write=write).drop("line"), "active")
     gone = [base.filter(F.col("later") & (F.col("words") >= least_words)).select("doc_id", "hash", "pos")]
     lengths = [base.filter("later").select("doc_id", "hash", F.lit(1).alias("run"))]
     now, n = base, 1
@@ -77,7 +79,7 @@ def marked(docs: DataFrame, least_words: int = 5, whole: bool = True) -> tuple[D
                 run = base.select("doc_id", "hash", "seq", F.sum("words").over(span.rangeBetween(0, m - 1)).alias("__words"), F.collect_set("pos").over(span.rangeBetween(0, m - 1)).alias("__lines"))
                 run = run.dropDuplicates(["doc_id", "hash", "seq"])
             rows = rows.filter("__next is not null").select("doc_id", "hash", "seq", F.col("rank").alias("__a"), F.col("__next").alias("__b"))
-            found = written(_later(rows, ["__a", "__b"], ordered=m == 2 * n).drop("__a", "__b"), "active")
+            found = write(_later(rows, ["__a", "__b"], ordered=m == 2 * n, write=write).drop("__a", "__b"), "active")
             if m <= least_words:
                 keys = [found["doc_id"].eqNullSafe(run["doc_id"]), found["hash"] == run["hash"], found["seq"] == run["seq"]]
                 hit = found.filter("later").join(run, keys).filter(F.col("__words") >= least_words)
@@ -87,7 +89,7 @@ def marked(docs: DataFrame, least_words: int = 5, whole: bool = True) -> tuple[D
         if now.isEmpty():
             break
         lengths.append(now.filter("later").select("doc_id", "hash", F.lit(n).alias("run")))
-    deleted = written(reduce(DataFrame.unionByName, gone).distinct(), "deleted")
+    deleted = write(reduce(DataFrame.unionByName, gone).distinct(), "deleted")
     longest = reduce(DataFrame.unionByName, lengths).groupBy("doc_id", "hash").agg(F.max("run").alias("longest_copy")) if whole else None
     return deleted, longest
 
@@ -99,12 +101,14 @@ def deduplicated(docs: DataFrame, least_words: int = 5, whole: bool = True) -> D
     null. Rows of equal doc_id and text are one document here: none is a copy of the other. Columns
     named n_lines, n_deleted or longest_copy (only with `whole`) are replaced.
     """
-    deleted, longest = marked(docs, least_words, whole)
+    write = Scratch()
+    deleted, longest = marked(docs, least_words, whole, write)
     by_doc = deleted.groupBy("doc_id", "hash").agg(F.collect_set("pos").alias("__gone"))
     if longest is not None:
         by_doc = by_doc.join(longest.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h"), "longest_copy"), F.expr("doc_id <=> __d and hash = __h"), "full")
         by_doc = by_doc.select(F.coalesce("doc_id", "__d").alias("doc_id"), F.coalesce("hash", "__h").alias("hash"), "__gone", "longest_copy")
     by_doc = written(by_doc.withColumnsRenamed({"doc_id": "__id", "hash": "__hash", "longest_copy": "__longest"}), "by-doc")
+    write.clear()
     out = docs.join(by_doc, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (text_key("text") == F.col("__hash")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     added = {"n_lines": F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(F.split("text", "\n"))), "n_deleted": F.coalesce(F.size("__gone"), F.lit(0))}
