@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsmith.llm import bagminhash, linedup, mixing, packing, quality
-from oddsmith.llm.common import table, text_key, written
+from oddsmith.llm.common import dropped, table, text_key, written
 from oddsmith.llm.queries import tokenizer_files
 
 
@@ -57,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        dropped(before)
     return docs
