@@ -211,4 +211,35 @@ SELECTS = {
     "last_dev_months": "SELECT ticker, date, round(ev_model, 6) AS ev_model, round(realized, 6) AS realized FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM track WHERE period = 'dev') WHERE r <= 24",
 }
 
+# One calendar, one cut and one model for each ticker; a state that a ticker has not seen takes q.
+BY_TICKER = r"""
+, t_days AS (SELECT ticker, date, row_number() OVER w - 1 AS n, min(date) OVER (PARTITION BY ticker) AS first FROM feat WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+t_fits AS (SELECT ticker, date AS refit_date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS fit_id FROM t_days WHERE n % 63 = 0 AND date >= first + 365),
+t_known AS (SELECT u.*, k.known_at FROM usable u JOIN known k USING (date)),
+t_tested AS (SELECT u.*, f.fit_id AS test_fit FROM t_known u ASOF LEFT JOIN t_fits f ON u.ticker = f.ticker AND u.date >= f.refit_date),
+t_rows AS (SELECT u.*, f.fit_id AS train_fit FROM t_tested u ASOF LEFT JOIN t_fits f ON u.ticker = f.ticker AND u.known_at <= f.refit_date),
+t_cells AS (
+  SELECT f.ticker, f.fit_id, s.state, b.bucket, b.is_up, count(a.date) AS n, coalesce(sum(a.fwd_ret), 0) AS sum_r
+  FROM t_fits f CROSS JOIN states s CROSS JOIN buckets b LEFT JOIN t_rows a ON a.ticker = f.ticker AND a.state = s.state AND a.bucket = b.bucket AND a.train_fit <= f.fit_id GROUP BY ALL),
+t_summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY ticker, fit_id, bucket) AS n_bucket, sum(n) OVER (PARTITION BY ticker, fit_id, state) AS n_state, sum(n) OVER (PARTITION BY ticker, fit_id) AS n_all,
+    sum(sum_r) OVER (PARTITION BY ticker, fit_id, bucket) AS r_bucket FROM t_cells
+  SEMI JOIN (SELECT ticker, fit_id FROM t_cells WHERE n > 0 GROUP BY 1, 2 HAVING count(DISTINCT state) >= 2) USING (ticker, fit_id)),
+t_base AS (SELECT *, n_bucket / n_all AS q, coalesce(r_bucket / nullif(n_bucket, 0), 0) AS m_bucket, n_state / 21 / (n_state / 21 + 20) AS w FROM t_summed),
+t_model AS (SELECT *, w * coalesce(n / nullif(n_state, 0), q) + (1 - w) * q AS p, w * coalesce(sum_r / nullif(n, 0), m_bucket) + (1 - w) * m_bucket AS m FROM t_base),
+t_states AS (
+  SELECT ticker, fit_id, state, sum(CASE WHEN is_up THEN p ELSE 0 END) AS p_up, sum(CASE WHEN is_up THEN q ELSE 0 END) AS p_up_base, sum(p * m) AS ev, sum(q * m_bucket) AS ev_base,
+    sum(p * p) AS p2, sum(q * q) AS q2 FROM t_model GROUP BY 1, 2, 3),
+t_losses AS (
+  SELECT a.date, a.ticker, a.test_fit AS fit_id, a.state, a.bucket, -ln(greatest(c.p, 1e-12)) AS ll_model, -ln(greatest(c.q, 1e-12)) AS ll_base, s.p2 - 2 * c.p + 1 AS brier_model, s.q2 - 2 * c.q + 1 AS brier_base,
+    s.p_up AS p_up_model, s.p_up_base, a.fwd_ret > 0 AS went_up, s.ev AS ev_model, s.ev_base, a.fwd_ret AS realized
+  FROM t_rows a JOIN t_model c ON c.ticker = a.ticker AND c.fit_id = a.test_fit AND c.state = a.state AND c.bucket = a.bucket JOIN t_states s ON s.ticker = a.ticker AND s.fit_id = a.test_fit AND s.state = a.state),
+t_upto AS (SELECT ticker, date, sum(count(*)) OVER (PARTITION BY ticker ORDER BY date) AS upto, sum(count(*)) OVER (PARTITION BY ticker) AS total FROM t_losses GROUP BY 1, 2),
+t_cut AS (SELECT ticker, min(date) AS cut FROM t_upto WHERE upto > floor(total * 0.8) GROUP BY 1)
+SELECT date, ticker, fit_id::INTEGER AS fit_id, state, bucket, round(ll_model, 6) AS ll_model, round(ll_base, 6) AS ll_base, round(brier_model, 6) AS brier_model, round(brier_base, 6) AS brier_base,
+  round(p_up_model, 6) AS p_up_model, round(p_up_base, 6) AS p_up_base, went_up, round(ev_model, 6) AS ev_model, round(ev_base, 6) AS ev_base, round(realized, 6) AS realized,
+  CASE WHEN date < cut THEN 'dev' ELSE 'holdout' END AS period FROM t_losses JOIN t_cut USING (ticker)
+"""
+SELECTS["walk_forward_by_ticker"] = BY_TICKER
+
 SQL = {name: f"{STEPS}\n{select}" for name, select in SELECTS.items()}
