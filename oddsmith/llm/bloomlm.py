@@ -2,8 +2,9 @@
 
 Training counts of words and word pairs are gathered exactly, by a shuffle of packed counts.
 A quantised count q = 1 + floor(log2 count) enters the filter as the q items (n-gram, 1) to
-(n-gram, q); a look-up probes levels until one is absent. The filter has a bounded size and is
-broadcast; where the n-grams would overfill it, the rarest are left to the lower order.
+(n-gram, q); a look-up probes levels until one is absent. The filter has ten bits an item. Up to a
+bound it is broadcast; beyond that each shard keeps its own stretch, and the distinct n-grams of a
+chunk of texts are sent to their shards and come back with their levels.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import slices, written
+from oddsmith.llm.common import dropped, slices, written
 from oddsmith.llm.textvec import mix, words
 
 END = np.uint64(0x1F83D9ABFB41BD6B)  # stands for the end of a text
 _PROBES = 4
 _FLUSH = 3_000_000  # tokens whose counts one task sums up before it sends them on
+_CHUNK = 1 << 23  # bytes of the texts whose n-grams are sent to the shards together
+_COLUMNS = ("words", "word_counts", "pairs", "pair_counts")
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,13 +55,18 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's part of the sorted `keys` begins, and the end."""
+    if shards == 1:
+        return np.array([0, len(keys)])
+    return np.searchsorted(keys >> np.uint64(64 - int(np.log2(shards))), np.arange(shards + 1, dtype=np.uint64))
+
+
 def counted(training: DataFrame, shards: int) -> DataFrame:
     """Exact counts, a row a shard: shard, words, word_counts, pairs, pair_counts (long arrays).
 
     A shard has the n-grams whose hash starts with its bits; `shards` is a power of two.
     """
-    shift = np.uint64(64 - int(np.log2(shards))) if shards > 1 else None
-    columns = ("words", "word_counts", "pairs", "pair_counts")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -69,11 +77,11 @@ def counted(training: DataFrame, shards: int) -> DataFrame:
             for some in held:
                 keys, n = np.unique(np.concatenate(some), return_counts=True)
                 some.clear()
-                cuts = np.searchsorted(keys >> shift, np.arange(shards + 1, dtype=np.uint64)) if shift else np.array([0, len(keys)])
+                cuts = _cuts(keys, shards)
                 parts.append([(keys[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
             rows = [(s, *a, *b) for s, (a, b) in enumerate(zip(*parts, strict=True)) if a[0] or b[0]]
             data = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(data[0], pa.int32()), *(pa.array(d, pa.binary()) for d in data[1:])], ["shard", *columns])
+            return pa.RecordBatch.from_arrays([pa.array(data[0], pa.int32()), *(pa.array(d, pa.binary()) for d in data[1:])], ["shard", *_COLUMNS])
 
         for batch in slices(batches, "text"):
             row, hashes = tokens(batch.column("text"))
@@ -88,7 +96,7 @@ def counted(training: DataFrame, shards: int) -> DataFrame:
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"shard": [int(group["shard"].iloc[0])]}
-        for key, n in (columns[:2], columns[2:]):
+        for key, n in (_COLUMNS[:2], _COLUMNS[2:]):
             keys, counts = _summed(np.frombuffer(b"".join(group[key]), np.uint64), np.frombuffer(b"".join(group[n]), np.uint32).astype(np.int64))
             out[key], out[n] = [keys.view(np.int64)], [counts]
         return pd.DataFrame(out)
@@ -129,7 +137,7 @@ class Filter:
 
 
 def _arrays(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
-    return [np.asarray(batch.column(c)[i].values) for c in ("words", "word_counts", "pairs", "pair_counts")]
+    return [np.asarray(batch.column(c)[i].values) for c in _COLUMNS]
 
 
 def level_sizes(counts: DataFrame) -> dict[int, dict[int, tuple[int, int]]]:
@@ -155,41 +163,43 @@ def level_sizes(counts: DataFrame) -> dict[int, dict[int, tuple[int, int]]]:
     return out
 
 
-def least_level(sizes: dict[int, tuple[int, int]], most: int, weighted: bool) -> tuple[int, int]:
-    """The least level such that the n-grams from there on fit into `most`, and how many they are."""
-    fits, q, used = 64, 64, 0
+def least_level(sizes: dict[int, tuple[int, int]], most: int) -> int:
+    """The least level such that the n-grams from there on are `most` at most."""
+    fits, used = 64, 0
     for q in sorted(sizes, reverse=True):
-        more = sizes[q][0] * (q if weighted else 1)
-        if used + more > most:
-            break
-        used, fits = used + more, q
-    else:
-        fits = 1
-    return fits, used
+        used += sizes[q][0]
+        if used > most:
+            return fits
+        fits = q
+    return 1
+
+
+def stretch(arrays: list[np.ndarray], bits: int, lead: int) -> np.ndarray:
+    """A shard's bytes of the filter of 2 ** bits bits: its words and pairs on all their levels."""
+    on = np.zeros(1 << (bits - lead), bool)
+    for keys, n in (arrays[:2], arrays[2:]):
+        if not len(keys):
+            continue
+        keys, q = keys.view(np.uint64), level(n)
+        for step in range(1, int(q.max()) + 1):
+            some = keys[q >= step]
+            for probe in range(_PROBES):
+                on[position(some, step, probe, bits, lead).astype(np.int64)] = True
+    return np.packbits(on, bitorder="little")
 
 
-def built(counts: DataFrame, bits: int, lead: int, least: tuple[int, int]) -> np.ndarray:
+def built(counts: DataFrame, bits: int, lead: int) -> np.ndarray:
     """The filter's bytes. Each shard makes its own stretch; together they are 2 ** bits bits."""
 
-    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                on = np.zeros(1 << (bits - lead), bool)
-                w, wn, p, pn = _arrays(batch, i)
-                for keys, n, low in ((w, wn, least[0]), (p, pn, least[1])):
-                    if not len(keys):
-                        continue
-                    q = level(n)
-                    keys, q = keys[q >= low].view(np.uint64), q[q >= low]
-                    for step in range(1, int(q.max(initial=0)) + 1):
-                        some = keys[q >= step]
-                        for probe in range(_PROBES):
-                            on[position(some, step, probe, bits, lead).astype(np.int64)] = True
-                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(i, 1), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], ["shard", "data"])
+                part = stretch(_arrays(batch, i), bits, lead).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(i, 1), pa.array([part], pa.binary())], ["shard", "data"])
 
     data = np.zeros(1 << (bits - 3), np.uint8)
     step = len(data) >> lead
-    for shard, part in counts.mapInArrow(stretch, "shard int, data binary").toLocalIterator():
+    for shard, part in counts.mapInArrow(stretches, "shard int, data binary").toLocalIterator():
         data[shard * step : (shard + 1) * step] = np.frombuffer(part, np.uint8)
     return data
 
@@ -199,6 +209,102 @@ def estimate(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, (3 * 2.0 ** (q - 1) - 1) / 2, 0.0)
 
 
+def modelled(row: np.ndarray, of: np.ndarray, before: np.ndarray, alone: np.ndarray, together: np.ndarray, divisor: float, strength: float) -> np.ndarray:
+    """Score of each row. `of` and `before`: each token's word and the one before it, as places in `alone`."""
+    history = alone[before]
+    single = ((alone + 1) / divisor)[of]
+    return np.bincount(row, np.log10((np.minimum(together, history) + strength * single) / (history + strength)), row[-1] + 1)
+
+
+def scored_by_shards(rows: DataFrame, counts: DataFrame, bits: int, lead: int, divisor: float, strength: float) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score and score, for a filter too large for one worker.
+
+    A chunk of texts sends its distinct words and pairs to their shards, once each. A shard makes its
+    stretch of the filter and sends back each word's exact count and level and each pair's level, in
+    the order of the hashes, so the answers of all shards side by side belong to the chunk's sorted n-grams.
+    """
+    shards = 1 << lead
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            some = pa.Table.from_batches(held).combine_chunks()
+            ends = pa.array([0, some.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(some.column(c).chunks)) for c in ("doc_id", "held_out", "text")]
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | done]), *lists], ["chunk", "doc_id", "held_out", "text"])
+
+        size = 0
+        for batch in slices(batches, "text"):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= _CHUNK:
+                yield flush()
+                held, size, done = [], 0, done + 1
+        if held:
+            yield flush()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, hashes = tokens(batch.column("text")[i].values)
+                parts = []
+                for keys in (np.unique(hashes), np.unique(pairs(row, hashes)[1])):
+                    cuts = _cuts(keys, shards)
+                    parts.append([keys[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                asked = [(s, w, p) for s, (w, p) in enumerate(zip(*parts, strict=True)) if w or p]
+                data = list(zip(*asked, strict=True))
+                chunk = pa.array([batch.column("chunk")[i].as_py()] * len(asked), pa.int64())
+                yield pa.RecordBatch.from_arrays([chunk, pa.array(data[0], pa.int32()), *(pa.array(d, pa.binary()) for d in data[1:])], ["chunk", "shard", "words", "pairs"])
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = pa.array([stretch(_arrays(batch, i), bits, lead).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("shard", "words", "word_counts")), part], ["shard", "words", "word_counts", "data"])
+
+    def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
+        known, count = (own.column(c).combine_chunks().flatten().to_numpy() if own.num_rows else np.zeros(0, np.int64) for c in ("words", "word_counts"))
+        known = known.view(np.uint64)
+        data = own.column("data")[0].as_py() if own.num_rows else bytes(1 << (bits - lead - 3))
+        bloom = Filter(np.frombuffer(data, np.uint8), bits - lead, 0)
+        out: list[list[bytes]] = [[], [], []]
+        sent = [asked.column(c).to_pylist() for c in ("words", "pairs")]
+        keys = [np.frombuffer(b"".join(x), np.uint64) for x in sent]
+        at = np.minimum(np.searchsorted(known, keys[0]), max(len(known) - 1, 0))
+        exact = np.where(known[at] == keys[0], count[at], 0) if len(known) else np.zeros(len(keys[0]), np.int64)
+        answers = [(exact, sent[0]), *((bloom.levels(k).astype(np.uint8), x) for k, x in zip(keys, sent, strict=True))]
+        for held, (values, x) in zip(out, answers, strict=True):
+            start = 0
+            for size in map(len, x):
+                held.append(values[start : start + size // 8].tobytes())
+                start += size // 8
+        return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), **{c: pa.array(v, pa.binary()) for c, v in zip(("counts", "levels", "pair_levels"), out, strict=True)}})
+
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("shard")
+        count, alone, together = (np.frombuffer(b"".join(answers.column(c).to_pylist()), kind) for c, kind in (("counts", np.int64), ("levels", np.uint8), ("pair_levels", np.uint8)))
+        ids, held_out, texts = (chunk.column(c).combine_chunks().flatten() for c in ("doc_id", "held_out", "text"))
+        row, hashes = tokens(texts)
+        kinds, of = np.unique(hashes, return_inverse=True)
+        before, pair = pairs(row, hashes)
+        which = np.unique(pair, return_inverse=True)[1]
+        model = modelled(row, of, np.searchsorted(kinds, before), estimate(alone.astype(np.int64)), estimate(together.astype(np.int64))[which], divisor, strength)
+        base = np.bincount(row, np.log10((count + 1) / divisor)[of])
+        seen = np.bincount(row, (count > 0)[of]).astype(np.int64)
+        return pa.table([ids, held_out, pa.array(np.bincount(row)), pa.array(seen), pa.array(base), pa.array(model)], names)
+
+    chunks = written(rows.mapInArrow(gather, "chunk long, doc_id array<long>, held_out array<boolean>, text array<string>"), "chunks")
+    asked = chunks.select("chunk", "text").mapInArrow(ask, "chunk long, shard int, words binary, pairs binary")
+    kept = counts.mapInArrow(stretches, "shard int, words array<long>, word_counts array<long>, data binary")
+    answers = kept.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "chunk long, shard int, counts binary, levels binary, pair_levels binary")
+    answers = written(answers, "answers")
+    dropped(counts)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
 def scored(
     docs: DataFrame,
     most_bits: int = 29,
@@ -211,8 +317,9 @@ def scored(
     Training texts are those whose crc32(doc_id as text) mod 7 is not 2 (a null id trains). The base
     score needs exact counts of words: the `most_exact` most frequent words at most are
     broadcast, the occurrences of all others meet their counts in a join, so no frequent word
-    is ever a join key. The model interpolates pair and word counts that it probes in the
-    filter (2 ** `most_bits` bits at most): P(w | h) = (c(hw) + strength P(w)) / (c(h) + strength).
+    is ever a join key. The model interpolates pair and word counts that it probes in the filter:
+    P(w | h) = (c(hw) + strength P(w)) / (c(h) + strength). A filter of more than 2 ** `most_bits`
+    bits is not broadcast but probed shard by shard (`scored_by_shards`), with the same results.
     A null or empty text is its end token alone. An empty table gives no rows.
     """
     crc = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0))
@@ -223,13 +330,16 @@ def scored(
     counts = written(counted(training.select("text"), 1 << lead), "counts")
     sizes = level_sizes(counts)
     kinds, total = (sum(x[i] for x in sizes[1].values()) for i in (0, 1))
-    room = (1 << most_bits) // 10
-    word_level, words_used = least_level(sizes[1], room, True)
-    pair_level, pairs_used = least_level(sizes[2], room - words_used, True)
-    bits = max(lead + 6, min(most_bits, int(np.ceil(np.log2(10 * max(1, words_used + pairs_used))))))
-    bloom = docs.sparkSession.sparkContext.broadcast((built(counts, bits, lead, (word_level, pair_level)), bits, lead))
-
-    exact_level, _ = least_level(sizes[1], most_exact, False)
+    divisor = float(total + kinds + 1)
+    fixed = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"]
+    items = sum(q * n for order in sizes.values() for q, (n, _) in order.items())
+    bits = int(np.ceil(np.log2(10 * max(1, items))))
+    by_shards, bits = bits > most_bits, max(lead + 6, bits)
+    if by_shards:
+        return scored_by_shards(rows, counts, bits, lead, divisor, strength).select(*fixed)
+    bloom = docs.sparkSession.sparkContext.broadcast((built(counts, bits, lead), bits, lead))
+
+    exact_level = least_level(sizes[1], most_exact)
     all_words = counts.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("word_counts").alias("c")))).toDF("word", "c")
     bound = 2 ** min(exact_level - 1, 62)
     head = all_words.filter(F.col("c") >= bound).toArrow()  # most_exact rows at most
@@ -237,7 +347,6 @@ def scored(
     order = np.argsort(keys)
     table = docs.sparkSession.sparkContext.broadcast((keys[order], known[order]))
     whole = exact_level == 1  # then a word that is not broadcast has never been seen
-    divisor = float(total + kinds + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloomed, (keys, known) = Filter(*bloom.value), table.value
@@ -260,10 +369,7 @@ def scored(
             alone = estimate(bloomed.levels(kinds))
             before, pair = pairs(row, hashes)
             head_at = np.minimum(np.searchsorted(kinds, before), len(kinds) - 1)
-            history = alone[head_at]
-            together = np.minimum(estimate(bloomed.levels(pair)), history)
-            single = ((alone + 1) / divisor)[of]
-            model = np.bincount(row, np.log10((together + strength * single) / (history + strength)), n)
+            model = modelled(row, of, head_at, alone, estimate(bloomed.levels(pair)), divisor, strength)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((part << 40) + done + np.arange(n)),
@@ -281,7 +387,6 @@ def scored(
             done += n
 
     out = rows.mapInArrow(score, "at long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word array<long>, times array<long>")
-    fixed = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"]
     if whole:
         return out.select(*fixed)
     out = written(out, "scores")

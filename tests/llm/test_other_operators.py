@@ -252,6 +252,18 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert found[1] > found[0] + 500
 
 
+def test_a_filter_beyond_the_broadcast_bound_gives_the_same_scores(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice(["The", "of\n", "É", f"r{rng.randrange(900)}"]) for _ in range(rng.randrange(0, 80)))) for i in range(150)] + [(150, None), (151, ""), (None, "the end"), (7, "the end")]
+    frame = docs(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)
+    whole, parts = (sorted(map(tuple, bloomlm.scored(frame, most_bits=b, shard_bytes=1 << 9).collect()), key=str) for b in (29, 8))
+    assert [r[:5] for r in parts] == [r[:5] for r in whole]
+    for a, b in zip(parts, whole, strict=True):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9)
+    assert bloomlm.scored(docs(spark, []), most_bits=0).count() == 0
+    assert bloomlm.scored(docs(spark, ["a b"], [next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)]), most_bits=0).first()["n_known"] == 0
+
+
 def test_filter_never_loses_an_item():
     keys = np.random.default_rng(0).integers(0, 2**63, 2000).astype(np.uint64)
     levels = np.random.default_rng(1).integers(1, 5, 2000)
