@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.llm import bagminhash, linedup, mixing, packing, quality
 from oddsmith.llm.common import dropped, table, text_key, written
-from oddsmith.llm.queries import tokenizer_files
+from oddsmith.llm.queries import tokenizer_added, tokenizer_files
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces packed into windows."""
-    return packing.packed(docs, *tokenizer_files())
+    return packing.packed(docs, *tokenizer_files(), added=tokenizer_added())
 
 
 STAGES = [

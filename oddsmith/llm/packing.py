@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,23 +30,45 @@ _CHUNK = regex.compile(r"(?<=\S) (?=\S)")
 _MEMO = 400_000  # chunks that a worker remembers, a few hundred bytes each
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a `tokenizers` file and their ids; only those that match as they stand."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if any(t[flag] for t in found for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens with matching rules of their own in {path}")
+    return {t["content"]: t["id"] for t in found}
+
+
 class ByteTokenizer:
     """Ids of a byte-level BPE as little-endian unsigned 32-bit bytes.
 
     `path` names a vocabulary of ranks (base64 token and rank a line). A single space between
     two other characters always starts a new pretoken, so text is cut there and the chunks'
-    ids are remembered; what is not remembered is encoded by the library.
+    ids are remembered; what is not remembered is encoded by the library. Before all that, text is
+    cut at the `added` tokens, the longest first, and each gets its own id.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
+        self.around = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.memo: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
+        if self.around is None:
+            return self._plain(text)
+        parts, at = [], 0
+        for found in self.around.finditer(text):
+            parts += self._plain(text[at : found.start()]), self.added[found[0]]
+            at = found.end()
+        return b"".join((*parts, self._plain(text[at:])))
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         head, *rest = _cut(text)
@@ -111,19 +135,21 @@ def packed(
     end_id: int = 0,
     open_windows: int = 64,
     merge_partitions: int = 32,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and then `end_id`; a null or empty text is `end_id` alone. Documents
     longer than `size` are cut into whole windows and a rest. Every row of `docs` is packed,
-    also those of equal or null doc_id. An empty table gives no rows.
+    also those of equal or null doc_id. Where a text holds an `added` token, that is one id; without
+    `added` its characters are encoded as any others. An empty table gives no rows.
     """
     schema = _PIECE + ", sequence_id long, offset long, part long, used long, still_open boolean"
     names = [f.strip().split()[0] for f in schema.split(",")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        tokenizer, windows = ByteTokenizer(vocabulary, pattern), Windows(size, open_windows)
+        tokenizer, windows = ByteTokenizer(vocabulary, pattern, added), Windows(size, open_windows)
         end = np.array([end_id], "<u4").tobytes()
         out: list[tuple] = []
 

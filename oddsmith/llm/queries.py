@@ -18,6 +18,13 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def tokenizer_added() -> dict[str, int]:
+    """The added tokens of the same vocabulary."""
+    import public_tokenizers
+
+    return packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op1_recurrent_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
@@ -45,7 +52,7 @@ def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), *tokenizer_files())
+    return packing.packed(table(spark, sf_dir, "documents"), *tokenizer_files(), added=tokenizer_added())
 
 
 def op8_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,23 @@ def test_packing_covers_every_id_once(spark):
     assert packing.packed(docs(spark, []), *tokenizer_files()).count() == 0
 
 
+def test_packing_queries_give_the_ids_of_the_tokenizer_as_loaded(spark, tmp_path):
+    from tokenizers import Tokenizer
+    import corpus_pipeline
+    import public_tokenizers
+    from oddsmith.llm.queries import queries
+
+    loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b \n", "<|endoftext| > <|ENDOFTEXT|>", "x  <|endoftext|>", " <|<|endoftext|>|>é", "", None]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for rows in (queries()["op7_online_packing"](spark, str(tmp_path)).collect(), dict(corpus_pipeline.STAGES)["sequence_packing"](spark, frame, str(tmp_path)).collect()):
+        found = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in rows}
+        for i, text in enumerate(texts):
+            ids = loaded.encode(text or "", add_special_tokens=False).ids + [0]
+            assert found[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 # --- media ----------------------------------------------------------------------------------
 
 
