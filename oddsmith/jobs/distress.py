@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsmith.functions.columns import clean, verdict
+from oddsmith.functions.held import hold
 from oddsmith.jobs.distress_sql import SQL
-from oddsmith.jobs.market import rounded
+from oddsmith.jobs.market import owned, rounded
 from oddsmith.operators import distress, filings, resample
 from oddsmith.sources import adapters as a
+from oddsmith.sources import readers
 
 AS_OF_YEAR = 2002
 MIN_TRAIN_YEARS = 1  # the orders cover seven years
@@ -29,13 +30,20 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feats(spark: SparkSession, d: str) -> DataFrame:
-    return distress.features(panel(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)  # read several times by each job
+    return hold(distress.features(panel(spark, d)))  # read several times by each job
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     return distress.walk_forward(feats(spark, d), min_train_years=MIN_TRAIN_YEARS)
 
 
+def both_scored(spark: SparkSession, d: str) -> DataFrame:
+    """The scored company-years with P(bad exit) of the logistic model beside that of the states."""
+    rows = feats(spark, d)
+    logit = distress.logit_scores(rows, min_train_years=MIN_TRAIN_YEARS).drop("y")
+    return distress.walk_forward(rows, min_train_years=MIN_TRAIN_YEARS).join(logit, ["cik", "year"])
+
+
 def index_lines(spark: SparkSession, d: str) -> DataFrame:
     """Fixed-width-like index lines, one per order, with all kinds of forms and some broken ciks."""
     form = F.create_map(*[F.lit(x) for x in ("1-URGENT", "10-K", "2-HIGH", "10-K405", "3-MEDIUM", "10-KSB", "4-NOT SPECIFIED", "10-K/A", "5-LOW", "8-K")])
@@ -53,13 +61,18 @@ def submissions_explode(spark: SparkSession, d: str) -> DataFrame:
     return filings.submissions(packed.select("cik", F.col("r.form").alias("form"), F.col("r.filing_date").alias("filing_date"), items.alias("items")))
 
 
-def hit_ciks(spark: SparkSession, d: str) -> DataFrame:
+def hit_years(spark: SparkSession, d: str) -> DataFrame:
+    """cik, year of the pages of hits of a text search, one page for each year and filing."""
     ciks = F.array(F.lpad(F.col("cik").cast("string"), 10, "0"), F.lit("n/a"))
     hit = F.struct(F.struct(F.array(F.struct(F.struct(ciks.alias("ciks")).alias("_source"))).alias("hits")).alias("hits"))
-    pages = a.filings(spark, d).filter("priority = '1-URGENT'").select(F.to_json(hit).alias("value"))
-    parsed = pages.select(F.from_json("value", "hits struct<hits:array<struct<_source:struct<ciks:array<string>>>>>").alias("r"))
-    each = parsed.select(F.explode("r.hits.hits").alias("h")).select(F.explode("h._source.ciks").alias("c"))
-    return each.select(F.col("c").try_cast("bigint").alias("cik")).filter("cik is not null").distinct()
+    pages = a.filings(spark, d).filter("priority = '1-URGENT'").select("year", F.to_json(hit).alias("value"))
+    parsed = pages.select("year", F.from_json("value", "hits struct<hits:array<struct<_source:struct<ciks:array<string>>>>>").alias("r"))
+    each = parsed.select("year", F.explode("r.hits.hits").alias("h")).select("year", F.explode("h._source.ciks").alias("c"))
+    return each.select(F.col("c").try_cast("bigint").alias("cik"), "year").filter("cik is not null").distinct()
+
+
+def hit_ciks(spark: SparkSession, d: str) -> DataFrame:
+    return hit_years(spark, d).select("cik").distinct()
 
 
 def ticker_map(spark: SparkSession, d: str) -> DataFrame:
@@ -69,24 +82,58 @@ def ticker_map(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("v.cik_str").alias("cik")).agg(F.max_by("v.ticker", F.col("k").cast("bigint")).alias("ticker"))
 
 
-def concept_fallback(spark: SparkSession, d: str) -> DataFrame:
+# Panel column, concept, its place in the order, and whether it is a balance at year's end.
+CONCEPTS = [
+    ("assets", "Assets", 0, True),
+    ("liabilities", "Liabilities", 0, True),
+    ("equity", "StockholdersEquity", 0, True),
+    ("cash", "Cash", 0, True),
+    ("revenue", "Revenues", 0, False),
+    ("revenue", "SalesRevenueNet", 1, False),
+    ("net_income", "NetIncomeLoss", 0, False),
+    ("ocf", "NetCashProvidedByUsedInOperatingActivities", 0, False),
+    ("current_assets", "AssetsCurrent", 0, True),
+    ("current_liabilities", "LiabilitiesCurrent", 0, True),
+]
+FIGURES = list(dict.fromkeys(c[0] for c in CONCEPTS))
+
+
+def priority(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([c[:3] for c in CONCEPTS], "column string, concept string, rank int")
+
+
+def landed_frames(spark: SparkSession, d: str) -> DataFrame:
+    """file, data: one JSON frame for each concept, fiscal year and company, as a landed file would give it.
+
+    A report filed in a year gives the figures of the year before. Some companies give no Revenues, some no Cash.
+    """
     years = a.company_years(a.filings(spark, d))
-    first = lambda c, gap: F.when(F.col("cik") % gap != 0, F.col(c))
-    wide = years.select(
-        "cik", F.col("year").alias("fy"), F.col("assets").alias("Assets"), first("revenue", 3).alias("Revenues"), (F.col("revenue") / 2).alias("SalesRevenueNet"),
-        first("cash", 5).alias("Cash"), F.col("net_income").alias("NetIncomeLoss"),
-    )
-    facts = wide.unpivot(["cik", "fy"], ["Assets", "Revenues", "SalesRevenueNet", "Cash", "NetIncomeLoss"], "concept", "val")
-    ranks = [("assets", "Assets", 0), ("revenue", "Revenues", 0), ("revenue", "SalesRevenueNet", 1), ("cash", "Cash", 0), ("net_income", "NetIncomeLoss", 0)]
-    priority = spark.createDataFrame(ranks, "column string, concept string, rank int")
-    return filings.fallback(facts, priority, ["assets", "cash", "revenue", "net_income"])
+    gap = {"Revenues": 3, "Cash": 5}
+    value = lambda column, concept: F.when(F.col("cik") % gap.get(concept, 1 << 40) != 0, F.col(column)) if concept in gap else F.col(column) / (2 if concept == "SalesRevenueNet" else 1)
+    name = lambda concept, instant: F.concat(F.lit(f"frame_{concept}_CY"), (F.col("year") - 1).cast("string"), F.lit("Q4I.json" if instant else ".json"))
+    frames = F.array(*[F.struct(name(c, i).alias("file"), F.array(F.struct(F.col("cik"), value(column, c).alias("val"))).alias("data")) for column, c, _, i in CONCEPTS])
+    return years.select(F.inline(frames))
+
+
+def concept_fallback(spark: SparkSession, d: str) -> DataFrame:
+    facts = readers.concept_values(landed_frames(spark, d))
+    return filings.fallback(facts, priority(spark), FIGURES).select("cik", "fy", "assets", "cash", "revenue", "net_income")
+
+
+def landed_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The panel end to end: index lines, concept frames, hits of a text search, a ticker map and filings."""
+    index = filings.parsed_index(index_lines(spark, d))
+    facts = readers.concept_values(landed_frames(spark, d))
+    return filings.landed_panel(index, facts, priority(spark), FIGURES, a.filings(spark, d), ticker_map(spark, d), AS_OF_YEAR, hit_years(spark, d))
 
 
 def exit_classify(spark: SparkSession, d: str) -> DataFrame:
     filed = a.filings(spark, d)
     years = a.company_years(filed)
     rows = filings.survival(years.filter("assets > 0"), years.select("cik", "year"))
-    return filings.exits(rows.filter(~F.col("files_on") & (F.col("year") + 2 < AS_OF_YEAR)).select("cik", "year", "first_date"), filed)
+    fetched = years.select((F.col("year") - 2).alias("year")).distinct()  # calendar years
+    gone = rows.filter(~F.col("files_on") & (F.col("year") + 2 < AS_OF_YEAR)).join(F.broadcast(fetched), "year", "left_semi")
+    return filings.exits(gone.select("cik", "year", "first_date"), filed)
 
 
 def cohort_exits(spark: SparkSession, d: str) -> DataFrame:
@@ -95,9 +142,10 @@ def cohort_exits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def final_scores(rows: DataFrame) -> DataFrame:
-    """Every company of the latest cohort with the fitted P(bad exit) of its state."""
+    """Every company of the latest cohort with the fitted P(outcome) and P(bad exit) of its state."""
     bad = F.sum(F.when(distress.is_bad(), F.col("p")).otherwise(0.0)).alias("p_bad")
-    fitted = distress.state_model(rows).groupBy("state").agg(bad)
+    each = [F.max(F.when(F.col("outcome") == o, F.col("p"))).alias(f"p_{o}") for o in distress.OUTCOMES]
+    fitted = distress.state_model(rows).groupBy("state").agg(bad, *each)
     newest = rows.agg(F.max("year").alias("year"))  # one row
     return rows.join(F.broadcast(newest), "year").join(F.broadcast(fitted), "state")  # one row per state
 
@@ -114,10 +162,33 @@ def ticker_distress_join(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tickers.join(best, "ticker", "left"))
 
 
+def latest_cohort_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = feats(spark, d)
+    logit = distress.final_logit(rows)[1]
+    each = [f"p_{o}" for o in distress.OUTCOMES]
+    return rounded(final_scores(rows).select("cik", "name", "year", "state", "p_bad", *each).join(logit, ["cik", "year"]))
+
+
+def both_aucs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    of = lambda kind: resample.auc(rows, f"p_bad_{kind}", "y_bad", keys).select(*keys, F.col("auc").alias(f"auc_{kind}"))
+    return of("state").join(of("logit"), keys) if keys else of("state").join(F.broadcast(of("logit")))
+
+
 def distress_by_year(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored(spark, d)
+    rows = hold(both_scored(spark, d))
     means = rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg("y_bad").alias("bad_rate"))
-    return rounded(means.join(resample.auc(rows, "p_bad_state", "y_bad", ["year"]), "year").select("year", "n", "bad_rate", F.col("auc").alias("auc_state")))
+    return rounded(means.join(both_aucs(rows, ["year"]), "year"))
+
+
+def distress_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = hold(both_scored(spark, d))
+    means = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"logloss_{k}") for c, k in (("ll_state", "state"), ("ll_base", "base"))], F.avg("y_bad").alias("bad_rate"))
+    return rounded(means.join(F.broadcast(both_aucs(rows, []))))  # one row each
+
+
+def informative_factors(spark: SparkSession, d: str) -> DataFrame:
+    kept = distress.informative(panel(spark, d))
+    return spark.createDataFrame([(f, f in kept) for f in distress.DEFAULT], "factor string, used boolean")
 
 
 def distress_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +221,7 @@ def state_table(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     flags = [f"is_{n}" for n in distress.REGISTRY]
-    return {
+    found = {
         "filing_index_parse": lambda s, d: filings.parsed_index(index_lines(s, d)),
         "cohort_first_filing": lambda s, d: filings.cohorts(filings.parsed_index(index_lines(s, d)), ["filing_date", "file"]),
         "submissions_explode": submissions_explode,
@@ -170,7 +241,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "distress_state_model": lambda s, d: rounded(distress.state_model(feats(s, d)).select("state", "outcome", "n", "w", "q", "p")),
         "distress_state_table": state_table,
         "distress_transitions": lambda s, d: rounded(distress.transitions(feats(s, d))),
-        "distress_walk_forward": lambda s, d: rounded(scored(s, d).select("cik", "year", "state", "outcome", "ll_state", "ll_base", "p_bad_state", "p_bad_base", "y_bad")),
+        "distress_walk_forward": lambda s, d: rounded(both_scored(s, d).select("cik", "year", "state", "outcome", "ll_state", "ll_base", "p_bad_state", "p_bad_base", "p_bad_logit", "y_bad")),
         "distress_by_year": distress_by_year,
         "distress_rollup": distress_rollup,
         "auc_overall": lambda s, d: rounded(resample.auc(scored(s, d), "p_bad_state", "y_bad")),
@@ -178,11 +249,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cohort_bootstrap": lambda s, d: rounded(interval(s, d)),
         "distress_verdict": lambda s, d: interval(s, d).select(verdict(F.col("lo"), F.col("hi")).alias("verdict")),
         "distress_calibration": distress_calibration,
-        "latest_cohort_scores": lambda s, d: rounded(final_scores(feats(s, d)).select("cik", "name", "year", "state", "p_bad")),
+        "latest_cohort_scores": latest_cohort_scores,
         "worst_companies": worst_companies,
         "ticker_distress_join": ticker_distress_join,
         "logit_scores": lambda s, d: rounded(distress.logit_scores(feats(s, d), min_train_years=MIN_TRAIN_YEARS).select("cik", "year", "p_bad_logit")),
+        "logit_weights": lambda s, d: rounded(distress.final_logit(feats(s, d))[0]),
+        "distress_summary": distress_summary,
+        "informative_factors": informative_factors,
+        "landed_panel": landed_panel,
     }
+    return {name: owned(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,8 +3,9 @@
 STEPS = r"""
 WITH filed AS (
   SELECT o_orderkey AS order_key, o_custkey AS cik, o_orderdate::DATE AS filing_date, extract(year FROM o_orderdate)::INTEGER AS year,
-    CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' THEN 'DEFM14A' ELSE '8-K' END AS form,
-    CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN '1.03' ELSE '8.01' END AS item,
+    CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' THEN 'DEFM14A' WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0 THEN '10-Q'
+      WHEN o_orderkey % 3 = 0 THEN '8-K/A' ELSE '8-K' END AS form,
+    CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN CASE WHEN o_orderkey % 2 = 0 THEN '1.03,9.01' WHEN o_orderkey % 7 = 0 THEN '2.01,1.03' ELSE '1.03' END ELSE '8.01,9.01' END AS item,
     o_orderstatus AS status, o_orderpriority AS priority, o_totalprice::DECIMAL(18,2) AS total FROM orders),
 cy AS (
   SELECT cik, year, min(filing_date) AS first_date, 200 * sum(total)::DOUBLE AS assets, 200 * coalesce(sum(total) FILTER (status <> 'F'), 0)::DOUBLE AS liabilities,
@@ -14,10 +15,10 @@ cy AS (
     100 * (sum(total) FILTER (status = 'P'))::DOUBLE AS current_liabilities, max((priority = '1-URGENT' AND status = 'F')::INTEGER) AS going_concern
   FROM filed GROUP BY 1, 2),
 survived AS (
-  SELECT c.*, EXISTS (SELECT 1 FROM cy d WHERE d.cik = c.cik AND d.year IN (c.year + 2, c.year + 3)) AS files_on, c.year + 2 < 2002 AS known FROM cy c WHERE assets > 0),
+  SELECT c.*, EXISTS (SELECT 1 FROM cy d WHERE d.cik = c.cik AND d.year IN (c.year + 2, c.year + 3)) AS files_on, c.year + 2 < 2002 AND c.year + 2 IN (SELECT year FROM cy) AS known FROM cy c WHERE assets > 0),
 gone AS (SELECT cik, year, first_date FROM survived WHERE NOT files_on AND known),
 exits AS (
-  SELECT g.cik, g.year, CASE WHEN coalesce(bool_or(f.item = '1.03'), false) THEN 'bankrupt' WHEN coalesce(bool_or(f.form = 'DEFM14A'), false) THEN 'acquired' ELSE 'deregistered' END AS exit
+  SELECT g.cik, g.year, CASE WHEN coalesce(bool_or(f.form LIKE '8-K%' AND f.item LIKE '%1.03%'), false) THEN 'bankrupt' WHEN coalesce(bool_or(f.form = 'DEFM14A'), false) THEN 'acquired' ELSE 'deregistered' END AS exit
   FROM gone g LEFT JOIN filed f ON f.cik = g.cik AND f.filing_date >= g.first_date GROUP BY 1, 2),
 panel AS (
   SELECT s.cik, s.year, first_date, assets, liabilities, equity, cash, revenue, net_income, ocf, current_assets, current_liabilities, going_concern,
@@ -56,7 +57,7 @@ fold_states AS (SELECT fold, state, sum(p) FILTER (is_bad) AS p_bad_state, sum(q
 scored AS (
   SELECT k.cik, k.year, k.state, k.outcome, -ln(greatest(m.p, 1e-12)) AS ll_state, -ln(greatest(m.q, 1e-12)) AS ll_base, s.p_bad_state, s.p_bad_base, m.is_bad::INTEGER AS y_bad
   FROM known k JOIN fold_model m ON m.fold = k.year AND m.state = k.state AND m.outcome = k.outcome JOIN fold_states s ON s.fold = k.year AND s.state = k.state),
-by_score AS (SELECT year, round(p_bad_state, 6) AS score, sum(y_bad) AS pos, sum(1 - y_bad) AS neg FROM scored GROUP BY 1, 2),
+by_score AS (SELECT year, p_bad_state AS score, sum(y_bad) AS pos, sum(1 - y_bad) AS neg FROM scored GROUP BY 1, 2),
 all_scores AS (SELECT score, sum(pos) AS pos, sum(neg) AS neg FROM by_score GROUP BY 1),
 won_year AS (SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY year ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS won FROM by_score),
 won_all AS (SELECT *, pos * (coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS won FROM all_scores),
@@ -77,7 +78,7 @@ SELECTS = {
     "submissions_explode": "SELECT cik, form, filing_date, CASE WHEN cik % 4 = 0 THEN '' ELSE item END AS item FROM filed",
     "hit_ciks": "SELECT DISTINCT cik FROM filed WHERE priority = '1-URGENT'",
     "ticker_map": "SELECT c_custkey AS cik, 'S' || lpad(c_custkey::VARCHAR, 5, '0') AS ticker FROM customer",
-    "concept_fallback": """SELECT cik, year AS fy, assets, CASE WHEN cik % 5 = 0 THEN NULL ELSE cash END AS cash, CASE WHEN cik % 3 = 0 THEN revenue / 2 ELSE revenue END AS revenue, net_income FROM cy""",
+    "concept_fallback": """SELECT cik, year - 1 AS fy, assets, CASE WHEN cik % 5 = 0 THEN NULL ELSE cash END AS cash, CASE WHEN cik % 3 = 0 THEN revenue / 2 ELSE revenue END AS revenue, net_income FROM cy""",
     "cohort_exits": "SELECT cik, year, files_on FROM survived",
     "exit_classify": "SELECT cik, year, exit FROM exits",
     "panel_build": "SELECT cik, year, first_date, assets, liabilities, equity, cash, revenue, net_income, ocf, current_assets, current_liabilities, going_concern, name, ticker, outcome, outcome_known FROM panel",
@@ -113,4 +114,65 @@ SELECTS = {
         SELECT f.ticker, max(f.cik) AS cik, arg_max(m.p_bad, f.cik) AS p_bad FROM feats f JOIN final m USING (state) WHERE f.year = (SELECT max(year) FROM feats) AND f.ticker <> '' GROUP BY 1) d USING (ticker)""",
 }
 
+# The logistic model: Newton's steps as a recursive table; each step solves its system by elimination.
+_COLUMNS = ("log_assets", "leverage", "cash_ratio", "roa", "ocf_assets", "current_ratio", "going_concern")
+_N = len(_COLUMNS) + 1
+_stat = lambda f: "[" + ", ".join(f"{f}(x[{k}])" for k in range(1, _N)) + "]"
+_design = "[1.0, " + ", ".join(f"greatest(-5.0, least(5.0, (x[{k}] - mu[{k}]) / sd[{k}]))" for k in range(1, _N)) + "]"
+_dot = " + ".join(f"w[{k}] * z[{k}]" for k in range(1, _N + 1))
+_row = lambda i: "[" + ", ".join([*(f"sum(p * (1 - p) * z[{i}] * z[{j}]){' + 1' if i == j > 1 else ''}" for j in range(1, _N + 1)), f"sum((p - y) * z[{i}]){f' + any_value(w[{i}])' if i > 1 else ''}"]) + "]"
+_solved = f"SELECT fold, step, any_value(w) AS w, [{', '.join(_row(i) for i in range(1, _N + 1))}] AS m FROM (SELECT n.fold, n.step, n.w, z, y, 1 / (1 + exp(-({_dot}))) AS p FROM newton n JOIN design d ON d.fold = n.fold WHERE n.step < 15) GROUP BY fold, step"
+for _k in range(1, _N + 1):
+    _solved = f"SELECT fold, step, w, list_transform(m, lambda r, i: CASE WHEN i = {_k} THEN list_transform(r, lambda v: v / r[{_k}]) ELSE list_transform(r, lambda v, j: v - r[{_k}] * m[{_k}][j] / m[{_k}][{_k}]) END) AS m FROM ({_solved})"
+LOGIT = f"""
+, inputs AS (SELECT cik, year, outcome_known, (outcome IN ('bankrupt', 'deregistered'))::DOUBLE AS y, [{', '.join(f'coalesce({c}, 0)::DOUBLE' for c in _COLUMNS)}] AS x FROM feats),
+spans AS (SELECT fold, fold - 2 AS last FROM folds UNION ALL SELECT 0, 9999),
+stats AS (SELECT fold, {_stat('avg')} AS mu, list_transform({_stat('stddev_pop')}, lambda s: s + 1e-9) AS sd FROM spans JOIN inputs ON year <= last WHERE outcome_known GROUP BY fold),
+design AS (SELECT fold, y, {_design} AS z FROM stats JOIN spans USING (fold) JOIN inputs ON year <= last WHERE outcome_known),
+newton AS (
+  SELECT fold, 0 AS step, list_transform(range({_N}), lambda i: 0.0::DOUBLE) AS w FROM stats
+  UNION ALL
+  SELECT fold, step + 1, list_transform(w, lambda v, i: v - m[i][{_N + 1}]) FROM ({_solved})),
+fitted AS (SELECT fold, w, mu, sd FROM newton JOIN stats USING (fold) WHERE step = 15),
+logit AS (SELECT cik, year, fold, 1 / (1 + exp(-({_dot}))) AS p_bad_logit FROM (
+  SELECT cik, year, fold, w, {_design} AS z FROM inputs JOIN fitted ON (fold = year AND outcome_known) OR (fold = 0 AND year = (SELECT max(year) FROM feats)))),
+both_ AS (SELECT s.*, l.p_bad_logit FROM scored s JOIN logit l ON l.fold = s.year AND l.cik = s.cik AND l.year = s.year),
+l_score AS (SELECT year, p_bad_logit AS score, sum(y_bad) AS pos, sum(1 - y_bad) AS neg FROM both_ GROUP BY 1, 2),
+l_all AS (SELECT score, sum(pos) AS pos, sum(neg) AS neg FROM l_score GROUP BY 1),
+l_won_year AS (SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY year ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS won FROM l_score),
+l_won AS (SELECT *, pos * (coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS won FROM l_all)
+"""
+_auc = "sum(won) / nullif(sum(pos) * sum(neg), 0)"
+_terms = "[" + ", ".join(f"'{c}'" for c in ("intercept", *_COLUMNS)) + "]"
+WITH_LOGIT = {
+    "logit_scores": "SELECT cik, year, round(p_bad_logit, 6) AS p_bad_logit FROM logit WHERE fold = year",
+    "logit_weights": f"SELECT unnest({_terms}) AS term, round(unnest(w), 6) AS weight FROM fitted WHERE fold = 0",
+    "distress_walk_forward": SELECTS.pop("distress_walk_forward").replace("p_bad_base, y_bad FROM scored", "p_bad_base, round(p_bad_logit, 6) AS p_bad_logit, y_bad FROM both_"),
+    "distress_by_year": f"""SELECT s.year, n, round(bad_rate, 6) AS bad_rate, round(a.auc, 6) AS auc_state, round(b.auc, 6) AS auc_logit FROM (SELECT year, count(*) AS n, avg(y_bad) AS bad_rate FROM scored GROUP BY 1) s
+        JOIN (SELECT year, {_auc} AS auc FROM won_year GROUP BY 1) a USING (year) JOIN (SELECT year, {_auc} AS auc FROM l_won_year GROUP BY 1) b USING (year)""",
+    "distress_summary": f"""SELECT count(*) AS n, round(avg(ll_state), 6) AS logloss_state, round(avg(ll_base), 6) AS logloss_base, round(avg(y_bad), 6) AS bad_rate,
+        round((SELECT {_auc} FROM won_all), 6) AS auc_state, round((SELECT {_auc} FROM l_won), 6) AS auc_logit FROM scored""",
+    "latest_cohort_scores": """SELECT f.cik, f.name, f.year, f.state, round(m.p_bad, 6) AS p_bad, round(p_filing, 6) AS p_filing, round(p_acquired, 6) AS p_acquired, round(p_bankrupt, 6) AS p_bankrupt,
+        round(p_deregistered, 6) AS p_deregistered, round(l.p_bad_logit, 6) AS p_bad_logit FROM feats f JOIN final m USING (state) JOIN (
+          SELECT state, max(p) FILTER (outcome = 'filing') AS p_filing, max(p) FILTER (outcome = 'acquired') AS p_acquired, max(p) FILTER (outcome = 'bankrupt') AS p_bankrupt,
+            max(p) FILTER (outcome = 'deregistered') AS p_deregistered FROM model GROUP BY 1) o USING (state)
+        JOIN logit l ON l.fold = 0 AND l.cik = f.cik AND l.year = f.year WHERE f.year = (SELECT max(year) FROM feats)""",
+}
+SELECTS.pop("distress_by_year"), SELECTS.pop("latest_cohort_scores")
+SELECTS["informative_factors"] = "SELECT factor, factor <> 'going_concern' OR (SELECT count(going_concern) FROM panel) > 0 AS used FROM (VALUES ('burning'), ('short_runway'), ('neg_equity'), ('going_concern')) v(factor)"
+SELECTS["landed_panel"] = """SELECT * FROM (WITH co AS (
+    SELECT cik, year, name, filing_date AS first_date FROM (SELECT *, extract(year FROM filing_date)::INTEGER AS year, row_number() OVER (PARTITION BY cik, extract(year FROM filing_date) ORDER BY filing_date, file) AS k FROM indexed) WHERE k = 1),
+  ro AS (
+    SELECT o.cik, o.year, o.name, o.first_date, assets, liabilities, equity, CASE WHEN o.cik % 5 <> 0 THEN cash END AS cash, CASE WHEN o.cik % 3 = 0 THEN revenue / 2 ELSE revenue END AS revenue, net_income, ocf,
+      current_assets, current_liabilities, EXISTS (SELECT 1 FROM co e WHERE e.cik = o.cik AND e.year IN (o.year + 2, o.year + 3)) AS files_on, o.year + 2 < 2002 AND o.year + 2 IN (SELECT year FROM co) AS known,
+      EXISTS (SELECT 1 FROM filed f WHERE f.cik = o.cik AND f.year = o.year AND f.priority = '1-URGENT')::INTEGER AS going_concern
+    FROM co o JOIN cy USING (cik, year) WHERE assets > 0),
+  ex AS (
+    SELECT g.cik, g.year, CASE WHEN coalesce(bool_or(f.form LIKE '8-K%' AND f.item LIKE '%1.03%'), false) THEN 'bankrupt' WHEN coalesce(bool_or(f.form = 'DEFM14A'), false) THEN 'acquired' ELSE 'deregistered' END AS exit
+    FROM ro g LEFT JOIN filed f ON f.cik = g.cik AND f.filing_date >= g.first_date WHERE NOT files_on AND known GROUP BY 1, 2)
+  SELECT r.cik, r.year, name, first_date, assets, liabilities, equity, cash, revenue, net_income, ocf, current_assets, current_liabilities, going_concern,
+    coalesce('S' || lpad(c.c_custkey::VARCHAR, 5, '0'), '') AS ticker, known AS outcome_known, CASE WHEN files_on OR NOT known THEN 'filing' ELSE e.exit END AS outcome
+  FROM ro r LEFT JOIN ex e USING (cik, year) LEFT JOIN customer c ON c.c_custkey = r.cik)"""
+
 SQL = {name: f"{STEPS}\n{select}" for name, select in SELECTS.items()}
+SQL |= {name: f"{STEPS.replace('WITH filed', 'WITH RECURSIVE filed', 1)}{LOGIT}{select}" for name, select in WITH_LOGIT.items()}

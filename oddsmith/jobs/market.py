@@ -4,31 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from oddsmith.config import FACTORS, Config
 from oddsmith.functions.columns import business_days_ahead, verdict
+from oddsmith.functions.held import hold, release
 from oddsmith.jobs.market_sql import SQL
 from oddsmith.operators import backtest, model, resample, universe
 from oddsmith.operators import windows as w
-from oddsmith.operators.factors import features, joined, measured
+from oddsmith.operators.factors import MEDIANS, features, joined, measured
 from oddsmith.sources import adapters as a
 from oddsmith.sources import readers
 
 CFG = Config()
+LEAST_USABLE = 100  # of a card's ticker: the given prices have about 500 rows a ticker
+OUTSIDER = "S00003"  # a ticker that is kept out of the pool
 
 
 def rounded(df: DataFrame, digits: int = 6, but: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in but else F.col(c) for c, t in df.dtypes])
 
 
+def owned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query as one job: what the job before has held is given up when it begins."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        release()
+        return query(spark, d)
+
+    return run
+
+
 def feat(spark: SparkSession, d: str, cfg: Config = CFG, reused: bool = False) -> DataFrame:
-    """`reused`: the job reads them more than once, so they are kept in memory or on disk."""
+    """`reused`: the job reads them more than once, so they are held."""
     out = features(a.prices(spark, d), a.market(spark, d), cfg)
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if reused else out
+    return hold(out) if reused else out
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +109,7 @@ def incremental_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rolling_median(spark: SparkSession, d: str) -> DataFrame:
-    rows = measured(joined(a.prices(spark, d), a.market(spark, d)), CFG)
+    rows = measured(joined(a.prices(spark, d), a.market(spark, d)), CFG, MEDIANS)
     return rounded(rows.select("ticker", "date", "vix_median", "rv_median", "volume_median"))
 
 
@@ -106,13 +118,6 @@ def history_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def bucket_dollars(spark: SparkSession, d: str) -> DataFrame:
-    last = universe.latest_rows(feat(spark, d)).select("ticker", "close")
-    cells = last.join(F.broadcast(model.bucket_table(spark, CFG)))  # eight buckets
-    price = lambda edge: F.round(F.col("close") * (1 + F.col(edge)), 2)
-    return cells.select("ticker", "bucket", price("lo").alias("lo_price"), price("hi").alias("hi_price"))
-
-
 def predict_latest(spark: SparkSession, d: str) -> DataFrame:
     rows = feat(spark, d, reused=True)
     pooled = model.moments(model.fitted(rows, CFG)).select("state", "n_rows", "p_up", "p_up_base", "ev")
@@ -142,8 +147,50 @@ def last_dev_months(spark: SparkSession, d: str) -> DataFrame:
     return rounded(track.withColumn("k", k).filter("k <= 24").select("ticker", "date", "ev_model", "realized"))
 
 
+def focal_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """The last state of the focal ticker, here the first active one because the wanted one is unknown."""
+    rows = feat(spark, d, reused=True)
+    one = universe.focal_ticker(meta(spark, d), "NONE")  # one row
+    return rounded(universe.predicted(rows.join(F.broadcast(one), "ticker"), model.fitted(rows, CFG)))
+
+
+def outside_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """A ticker outside the pool: features of its own, scored with the pooled model."""
+    own = F.col("ticker") == OUTSIDER
+    prices, market = a.prices(spark, d), a.market(spark, d)
+    pool = hold(features(prices.filter(~own), market, CFG))
+    return rounded(universe.predicted(features(prices.filter(own), market, CFG), model.fitted(pool, CFG)))
+
+
+def terminal_tickers(spark: SparkSession, d: str) -> DataFrame:
+    return universe.with_usable(feat(spark, d), LEAST_USABLE).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def ticker_cards(spark: SparkSession, d: str) -> DataFrame:
-    return universe.cards(a.prices(spark, d), feat(spark, d, reused=True), CFG)
+    """The cards' numbers; nested parts (history, transitions, states, dollars) by their sums and sizes."""
+    cards = universe.cards(a.prices(spark, d), feat(spark, d, reused=True), CFG, LEAST_USABLE)
+    numbers = ("n_rows", "independent_obs", "weight_on_state", "p_up", "p_up_base", "ev", "std")
+    flat = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("pooled", "own") for c in numbers]
+    added = lambda column, part: F.aggregate(column, F.lit(0.0), lambda s, x: s + F.coalesce(x[part].cast("double"), F.lit(0.0)))
+    return rounded(
+        cards.select(
+            "ticker", "date", "close", "state", *[F.col("flags")[f].alias(f) for f in CFG.factors], "change_1", "change_21", "change_252", "vol", "n_days", "low", "high", *flat,
+            "own_rows", "own_gain", "own_lo", "own_hi", "own_hit", "own_hit_base", "own_verdict",
+            F.element_at("history", 1)["date"].alias("history_first"), added("own_states", "p_up").alias("own_p_up_sum"), added("transitions", "n").alias("transitions_n"),
+            added(F.filter("transitions", lambda x: x["from_state"] == x["to_state"]), "p").alias("p_stay_sum"), F.round(added(F.filter("dollars", lambda x: x["bucket"] > 3), "hi_dollars"), 2).alias("dollars_up_sum"),
+        ),
+        but=("close", "low", "high"),  # short decimals
+    )
+
+
+def ticker_transitions(spark: SparkSession, d: str) -> DataFrame:
+    rows = universe.with_usable(feat(spark, d, reused=True), LEAST_USABLE)
+    return rounded(model.transitions(rows, CFG, ["ticker"]))
+
+
+def ticker_models(spark: SparkSession, d: str) -> DataFrame:
+    rows = universe.with_usable(feat(spark, d, reused=True), LEAST_USABLE)
+    return rounded(model.predictions(model.fitted(rows, CFG, ["ticker"]), ["ticker"]).drop("kelly_full", "kelly_half"))
 
 
 def walk_forward_by_ticker(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +199,7 @@ def walk_forward_by_ticker(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _factor(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: feat(spark, d).select("ticker", "date", name)
+    return lambda spark, d: features(a.prices(spark, d), a.market(spark, d), CFG, flags_of=(name,)).select("ticker", "date", name)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -186,7 +233,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fwd_return": lambda s, d: rounded(feat(s, d).select("ticker", "date", "fwd_ret")),
         "fwd_return_relative": lambda s, d: rounded(feat(s, d, Config(relative=True)).select("ticker", "date", "fwd_ret")),
         "bucket_assign": lambda s, d: model.with_bucket(feat(s, d), CFG).select("ticker", "date", "bucket"),
-        "bucket_dollars": bucket_dollars,
+        "bucket_dollars": lambda s, d: universe.bucket_dollars(feat(s, d), CFG),
         "business_day_add": lambda s, d: feat(s, d).select("date").distinct().select("date", business_days_ahead(F.col("date"), CFG.horizon).alias("known_at")),
         "cluster_factor": lambda s, d: rounded(model.cluster_factor(feat(s, d), CFG)),
         "state_bucket_counts": lambda s, d: rounded(model.counted(model.usable_rows(feat(s, d)), CFG).select("state", "bucket", "n", "sum_r", "sum_r2")),
@@ -195,7 +242,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "state_moments": lambda s, d: rounded(numbers(s, d).select("state", "ev", "std", "ev_over_std", F.round("kelly_full", 4).alias("kelly_full"), F.round("kelly_half", 4).alias("kelly_half"))),
         "state_table": lambda s, d: rounded(numbers(s, d).select("state", "n_rows", "n_eff", "p_up", "ev", "std")),
         "predict_state": lambda s, d: rounded(fitted(s, d).filter("state = 'Up/Up/LowVIX'").select("bucket", "p", "q", (F.col("p") * F.col("m")).alias("contribution"))),
+        "predict_record": lambda s, d: rounded(model.predictions(fitted(s, d)).drop("kelly_full", "kelly_half")),
         "predict_latest": predict_latest,
+        "focal_prediction": focal_prediction,
+        "outside_prediction": outside_prediction,
         "transition_matrix": lambda s, d: rounded(model.transitions(feat(s, d, reused=True), CFG)),
         "survivorship_gap": lambda s, d: rounded(universe.survivorship_gap(feat(s, d, reused=True), meta(s, d), CFG)),
         "latest_state": lambda s, d: universe.latest_rows(feat(s, d)).select("ticker", "date", "state", *CFG.factors),
@@ -221,9 +271,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "track_record_summary": lambda s, d: rounded(backtest.track_record_summary(backtest.track_record(scored(s, d), CFG))),
         "last_dev_months": last_dev_months,
         "ticker_cards": ticker_cards,
+        "ticker_models": ticker_models,
+        "ticker_transitions": ticker_transitions,
+        "terminal_tickers": terminal_tickers,
         "walk_forward_by_ticker": walk_forward_by_ticker,
     }
-    return found
+    return {name: owned(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -48,9 +48,9 @@ feat AS (
       CASE WHEN stock_momentum THEN 'Up' ELSE 'Down' END || '/' || CASE WHEN sector_momentum THEN 'Up' ELSE 'Down' END || '/' || CASE WHEN vix_regime THEN 'HighVIX' ELSE 'LowVIX' END END AS state,
     raw_ret AS fwd_ret, raw_ret - sector_ret AS rel_ret
   FROM flags),
-buckets(bucket, lo, hi, is_up) AS (
-  VALUES (0, NULL, -0.10, false), (1, -0.10, -0.05, false), (2, -0.05, -0.02, false), (3, -0.02, 0.0, false),
-         (4, 0.0, 0.02, true), (5, 0.02, 0.05, true), (6, 0.05, 0.10, true), (7, 0.10, NULL, true)),
+buckets(bucket, lo, hi, is_up, label) AS (
+  VALUES (0, NULL, -0.10::DOUBLE, false, 'below -10%'), (1, -0.10, -0.05, false, '-10% to -5%'), (2, -0.05, -0.02, false, '-5% to -2%'), (3, -0.02, 0.0, false, '-2% to +0%'),
+         (4, 0.0, 0.02, true, '+0% to +2%'), (5, 0.02, 0.05, true, '+2% to +5%'), (6, 0.05, 0.10, true, '+5% to +10%'), (7, 0.10, NULL, true, 'above +10%')),
 states AS (
   SELECT a || '/' || b || '/' || c AS state FROM (VALUES ('Up'), ('Down')) x(a), (VALUES ('Up'), ('Down')) y(b), (VALUES ('HighVIX'), ('LowVIX')) z(c)),
 bucketed AS (
@@ -152,7 +152,7 @@ SELECTS = {
     "fwd_return": "SELECT ticker, date, round(fwd_ret, 6) AS fwd_ret FROM feat",
     "fwd_return_relative": "SELECT ticker, date, round(rel_ret, 6) AS fwd_ret FROM feat",
     "bucket_assign": "SELECT ticker, date, bucket FROM bucketed",
-    "bucket_dollars": "SELECT ticker, bucket, round(close * (1 + lo), 2) AS lo_price, round(close * (1 + hi), 2) AS hi_price FROM latest, buckets",
+    "bucket_dollars": "SELECT ticker, bucket, label, round(close * lo, 2) AS lo_dollars, round(close * hi, 2) AS hi_dollars FROM latest, buckets",
     "business_day_add": "SELECT date, known_at FROM known",
     "cluster_factor": "SELECT round(cluster, 6) AS cluster, (SELECT count(*) FROM usable) AS usable_rows, round((SELECT count(*) FROM usable) / (21 * cluster), 6) AS independent FROM cluster",
     "state_bucket_counts": "SELECT state, bucket, n, round(sum_r, 6) AS sum_r, round(sum_r2, 6) AS sum_r2 FROM cells",
@@ -161,6 +161,8 @@ SELECTS = {
     "state_moments": "SELECT state, round(ev, 6) AS ev, round(sqrt(variance), 6) AS std, round(ev / sqrt(variance), 6) AS ev_over_std, round(ev / variance, 4) AS kelly_full, round(ev / variance / 2, 4) AS kelly_half FROM moments",
     "state_table": "SELECT state, n_rows, round(n_eff, 6) AS n_eff, round(p_up, 6) AS p_up, round(ev, 6) AS ev, round(sqrt(variance), 6) AS std FROM moments",
     "predict_state": "SELECT bucket, round(p, 6) AS p, round(q, 6) AS q, round(p * m, 6) AS contribution FROM model WHERE state = 'Up/Up/LowVIX'",
+    "predict_record": """SELECT state, n_rows, round(n_eff, 1) AS independent_obs, round(w, 3) AS weight_on_state, round(p_up, 6) AS p_up, round(p_up_base, 6) AS p_up_base, round(ev, 6) AS ev,
+        round(ev_base, 6) AS ev_base, round(sqrt(variance), 6) AS std, round(ev / sqrt(variance), 6) AS ev_over_std FROM moments""",
     "predict_latest": "SELECT l.ticker, l.date, l.state, m.n_rows, round(m.p_up, 6) AS p_up, round(m.p_up_base, 6) AS p_up_base, round(m.ev, 6) AS ev FROM latest l JOIN moments m USING (state)",
     "transition_matrix": """SELECT from_state, to_state, n, round(w * coalesce(n / nullif(rows, 0), share) + (1 - w) * share, 6) AS p FROM (
         SELECT *, rows / (21 * cluster) / (rows / (21 * cluster) + 20) AS w FROM (
@@ -206,16 +208,17 @@ SELECTS = {
     "block_bootstrap": "SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci",
     "verdict": f"SELECT {VERDICT} AS verdict FROM ci",
     "track_record": "SELECT ticker, date, state, round(ev_model, 6) AS ev_model, round(ev_base, 6) AS ev_base, round(realized, 6) AS realized, hit, period FROM track",
-    "track_record_summary": """SELECT ticker, count(*) AS n, count(*) FILTER (ev_model > 0) AS n_positive, round(avg(hit::INTEGER), 6) AS hit_rate, round(avg(((ev_base > 0) = (realized > 0))::INTEGER), 6) AS base_hit_rate,
+    "track_record_summary": """SELECT ticker, count(*) AS n, count(*) FILTER (ev_model > 0) AS n_positive, round(avg(hit::INTEGER), 6) AS hit_rate, round(avg(hit::INTEGER) FILTER (ev_model > 0), 6) AS hit_when_positive, round(avg(hit::INTEGER) FILTER (ev_model <= 0), 6) AS hit_when_negative,
+        round(avg(((ev_base > 0) = (realized > 0))::INTEGER), 6) AS base_hit_rate,
         round(avg((realized > 0)::INTEGER), 6) AS always_up_rate FROM track WHERE period = 'dev' GROUP BY 1""",
     "last_dev_months": "SELECT ticker, date, round(ev_model, 6) AS ev_model, round(realized, 6) AS realized FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM track WHERE period = 'dev') WHERE r <= 24",
 }
 
 # One calendar, one cut and one model for each ticker; a state that a ticker has not seen takes q.
 BY_TICKER = r"""
-, t_days AS (SELECT ticker, date, row_number() OVER w - 1 AS n, min(date) OVER (PARTITION BY ticker) AS first FROM feat WINDOW w AS (PARTITION BY ticker ORDER BY date)),
-t_fits AS (SELECT ticker, date AS refit_date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS fit_id FROM t_days WHERE n % 63 = 0 AND date >= first + 365),
-t_known AS (SELECT u.*, k.known_at FROM usable u JOIN known k USING (date)),
+, t_days AS (SELECT ticker, date, row_number() OVER w - 1 AS n, min(date) OVER (PARTITION BY ticker) AS first FROM {feat} WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+t_fits AS (SELECT ticker, date AS refit_date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS fit_id FROM t_days WHERE n % 63 = 0 AND date >= first + {days}),
+t_known AS (SELECT u.*, k.known_at FROM {usable} u JOIN known k USING (date)),
 t_tested AS (SELECT u.*, f.fit_id AS test_fit FROM t_known u ASOF LEFT JOIN t_fits f ON u.ticker = f.ticker AND u.date >= f.refit_date),
 t_rows AS (SELECT u.*, f.fit_id AS train_fit FROM t_tested u ASOF LEFT JOIN t_fits f ON u.ticker = f.ticker AND u.known_at <= f.refit_date),
 t_cells AS (
@@ -236,10 +239,83 @@ t_losses AS (
   FROM t_rows a JOIN t_model c ON c.ticker = a.ticker AND c.fit_id = a.test_fit AND c.state = a.state AND c.bucket = a.bucket JOIN t_states s ON s.ticker = a.ticker AND s.fit_id = a.test_fit AND s.state = a.state),
 t_upto AS (SELECT ticker, date, sum(count(*)) OVER (PARTITION BY ticker ORDER BY date) AS upto, sum(count(*)) OVER (PARTITION BY ticker) AS total FROM t_losses GROUP BY 1, 2),
 t_cut AS (SELECT ticker, min(date) AS cut FROM t_upto WHERE upto > floor(total * 0.8) GROUP BY 1)
+"""
+BY_TICKER_ROWS = r"""
 SELECT date, ticker, fit_id::INTEGER AS fit_id, state, bucket, round(ll_model, 6) AS ll_model, round(ll_base, 6) AS ll_base, round(brier_model, 6) AS brier_model, round(brier_base, 6) AS brier_base,
   round(p_up_model, 6) AS p_up_model, round(p_up_base, 6) AS p_up_base, went_up, round(ev_model, 6) AS ev_model, round(ev_base, 6) AS ev_base, round(realized, 6) AS realized,
   CASE WHEN date < cut THEN 'dev' ELSE 'holdout' END AS period FROM t_losses JOIN t_cut USING (ticker)
 """
-SELECTS["walk_forward_by_ticker"] = BY_TICKER
+
+# The cards' tickers, their own models, transitions and walk-forwards.
+OWN = r"""
+, own_good AS (SELECT ticker FROM feat GROUP BY 1 HAVING count(*) FILTER (state IS NOT NULL AND fwd_ret IS NOT NULL) >= 100 AND arg_max(state IS NOT NULL, date)),
+own_feat AS (SELECT * FROM feat SEMI JOIN own_good USING (ticker)),
+own_usable AS (SELECT * FROM usable SEMI JOIN own_good USING (ticker)),
+o_cells AS (
+  SELECT t.ticker, s.state, b.bucket, b.is_up, count(u.date) AS n, coalesce(sum(u.fwd_ret), 0) AS sum_r, coalesce(sum(u.fwd_ret * u.fwd_ret), 0) AS sum_r2
+  FROM own_good t CROSS JOIN states s CROSS JOIN buckets b LEFT JOIN own_usable u ON u.ticker = t.ticker AND u.state = s.state AND u.bucket = b.bucket GROUP BY ALL),
+o_summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY ticker, bucket) AS n_bucket, sum(n) OVER (PARTITION BY ticker, state) AS n_state, sum(n) OVER (PARTITION BY ticker) AS n_all,
+    sum(sum_r) OVER (PARTITION BY ticker, bucket) AS r_bucket, sum(sum_r2) OVER (PARTITION BY ticker, bucket) AS r2_bucket FROM o_cells),
+o_base AS (
+  SELECT *, n_bucket / n_all AS q, coalesce(r_bucket / nullif(n_bucket, 0), 0) AS m_bucket, coalesce(r2_bucket / nullif(n_bucket, 0), 0) AS m2_bucket, n_state / 21 AS n_eff, n_state / 21 / (n_state / 21 + 20) AS w FROM o_summed),
+o_model AS (
+  SELECT *, w * coalesce(n / nullif(n_state, 0), q) + (1 - w) * q AS p, w * coalesce(sum_r / nullif(n, 0), m_bucket) + (1 - w) * m_bucket AS m,
+    w * coalesce(sum_r2 / nullif(n, 0), m2_bucket) + (1 - w) * m2_bucket AS m2 FROM o_base),
+o_moments AS (
+  SELECT ticker, state, max(n_state)::BIGINT AS n_rows, max(n_eff) AS n_eff, max(w) AS w, sum(CASE WHEN is_up THEN p ELSE 0 END) AS p_up, sum(CASE WHEN is_up THEN q ELSE 0 END) AS p_up_base,
+    sum(p * m) AS ev, sum(q * m_bucket) AS ev_base, greatest(sum(p * m2) - sum(p * m) * sum(p * m), 1e-12) AS variance FROM o_model GROUP BY 1, 2),
+o_pairs AS (SELECT ticker, state AS f, lead(state, 21) OVER (PARTITION BY ticker ORDER BY date) AS t FROM own_usable),
+o_moves AS (
+  SELECT ticker, from_state, to_state, n, rows / 21 / (rows / 21 + 20) * coalesce(n / nullif(rows, 0), share) + (1 - rows / 21 / (rows / 21 + 20)) * share AS p FROM (
+    SELECT *, sum(n) OVER (PARTITION BY ticker, from_state) AS rows, coalesce(sum(n) OVER (PARTITION BY ticker, to_state) / nullif(sum(n) OVER (PARTITION BY ticker), 0), 0.125) AS share FROM (
+      SELECT g.ticker, a.state AS from_state, b.state AS to_state, count(p.f) AS n FROM own_good g CROSS JOIN states a CROSS JOIN states b
+      LEFT JOIN o_pairs p ON p.ticker = g.ticker AND p.f = a.state AND p.t = b.state GROUP BY 1, 2, 3)))
+"""
+CARD = r"""
+, o_scored AS (SELECT * FROM t_losses JOIN t_cut USING (ticker) WHERE date < cut),
+o_units AS (SELECT ticker, date, sum(ll_base - ll_model) AS s, count(*) AS n FROM o_scored GROUP BY 1, 2),
+o_blocks AS (
+  SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS start, sum(s) OVER w AS s, sum(n) OVER w AS n, count(*) OVER (PARTITION BY ticker) AS units
+  FROM o_units WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING)),
+o_sizes AS (SELECT DISTINCT ticker, units, units - 20 AS starts, ceil(units / 21)::BIGINT AS blocks FROM o_blocks WHERE units >= 42),
+o_picks AS (
+  SELECT ticker, d.range AS draw, ('0x' || substr(md5('0:' || d.range || ':' || j.range), 1, 12))::BIGINT % starts AS start
+  FROM o_sizes, range(2000) d, range(1000) j WHERE j.range < blocks),
+o_ci AS (SELECT ticker, quantile_cont(mean, 0.05) AS lo, quantile_cont(mean, 0.95) AS hi FROM (SELECT ticker, draw, sum(s) / sum(n) AS mean FROM o_picks JOIN o_blocks USING (ticker, start) GROUP BY 1, 2) GROUP BY 1),
+o_verdicts AS (
+  SELECT s.*, c.lo, c.hi FROM (
+    SELECT ticker, count(*) AS own_rows, avg(ll_base - ll_model) AS gain, avg(((round(p_up_model, 9) > 0.5) = went_up)::INTEGER) AS hit, avg(((round(p_up_base, 9) > 0.5) = went_up)::INTEGER) AS hit_base
+    FROM o_scored GROUP BY 1) s LEFT JOIN o_ci c USING (ticker)),
+look AS (
+  SELECT * FROM (SELECT ticker, close, close / lag(close, 1) OVER w - 1 AS c1, close / lag(close, 21) OVER w - 1 AS c21, close / lag(close, 252) OVER w - 1 AS c252,
+    row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE k = 1),
+vols AS (
+  SELECT ticker, stddev_samp(r) * sqrt(252) AS vol FROM (
+    SELECT ticker, ln(close) - ln(lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS r, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM prices) WHERE k <= 252 GROUP BY 1),
+recent AS (SELECT ticker, count(*) AS n_days, min(close) AS low, max(close) AS high, min(date) AS first FROM ranked WHERE k <= 756 GROUP BY 1)
+SELECT l.ticker, l.date, k.close, l.state, l.stock_momentum, l.sector_momentum, l.vix_regime, round(c1, 6) AS change_1, round(c21, 6) AS change_21, round(c252, 6) AS change_252, round(vol, 6) AS vol,
+  n_days, low, high,
+  m.n_rows AS pooled_n_rows, round(m.n_eff, 1) AS pooled_independent_obs, round(m.w, 3) AS pooled_weight_on_state, round(m.p_up, 6) AS pooled_p_up, round(m.p_up_base, 6) AS pooled_p_up_base, round(m.ev, 6) AS pooled_ev, round(sqrt(m.variance), 6) AS pooled_std,
+  o.n_rows AS own_n_rows, round(o.n_eff, 1) AS own_independent_obs, round(o.w, 3) AS own_weight_on_state, round(o.p_up, 6) AS own_p_up, round(o.p_up_base, 6) AS own_p_up_base, round(o.ev, 6) AS own_ev, round(sqrt(o.variance), 6) AS own_std,
+  v.own_rows, round(v.gain, 6) AS own_gain, round(v.lo, 6) AS own_lo, round(v.hi, 6) AS own_hi, round(v.hit, 6) AS own_hit, round(v.hit_base, 6) AS own_hit_base,
+  CASE WHEN v.ticker IS NOT NULL THEN CASE WHEN lo IS NULL OR hi IS NULL THEN 'too little data' WHEN lo > 0 THEN 'better than baseline' WHEN hi < 0 THEN 'worse than baseline' ELSE 'indistinguishable from baseline' END END AS own_verdict,
+  r.first AS history_first, round((SELECT sum(p_up) FROM o_moments x WHERE x.ticker = l.ticker), 6) AS own_p_up_sum, (SELECT sum(n) FROM o_moves x WHERE x.ticker = l.ticker)::DOUBLE AS transitions_n,
+  round((SELECT sum(p) FROM o_moves x WHERE x.ticker = l.ticker AND from_state = to_state), 6) AS p_stay_sum, round((SELECT sum(round(l.close * hi, 2)) FROM buckets WHERE bucket > 3), 2) AS dollars_up_sum
+FROM latest l SEMI JOIN own_good USING (ticker) JOIN moments m USING (state) JOIN o_moments o ON o.ticker = l.ticker AND o.state = l.state JOIN look k ON k.ticker = l.ticker JOIN vols ON vols.ticker = l.ticker
+JOIN recent r ON r.ticker = l.ticker LEFT JOIN o_verdicts v ON v.ticker = l.ticker
+"""
+_by_ticker = lambda feat, usable, days: BY_TICKER.format(feat=feat, usable=usable, days=days)
+_said = "round(n_eff, 1) AS independent_obs, round(w, 3) AS weight_on_state, round(p_up, 6) AS p_up, round(p_up_base, 6) AS p_up_base, round(ev, 6) AS ev, round(ev_base, 6) AS ev_base, round(sqrt(variance), 6) AS std, round(ev / sqrt(variance), 6) AS ev_over_std"
+_kelly = "round(ev / variance, 6) AS kelly_full, round(ev / variance / 2, 6) AS kelly_half"
+SELECTS["ticker_models"] = f"{OWN} SELECT ticker, state, n_rows, {_said} FROM o_moments"
+SELECTS["ticker_transitions"] = f"{OWN} SELECT ticker, from_state, to_state, n, round(p, 6) AS p FROM o_moves"
+SELECTS["terminal_tickers"] = f"{OWN} SELECT ticker, count(*) AS n_rows FROM own_feat GROUP BY 1"
+SELECTS["ticker_cards"] = f"{OWN}{_by_ticker('own_feat', 'own_usable', 1095)}{CARD}"
+SELECTS["focal_prediction"] = f"SELECT l.ticker, l.date, l.state, n_rows, {_said}, {_kelly} FROM latest l JOIN moments m USING (state) WHERE ticker = (SELECT min(ticker) FROM meta WHERE fate = 'active')"
+SELECTS["walk_forward_by_ticker"] = _by_ticker("feat", "usable", 365) + BY_TICKER_ROWS
 
 SQL = {name: f"{STEPS}\n{select}" for name, select in SELECTS.items()}
+# The pool without the outsider, and the outsider's own rows.
+_pool = STEPS.replace("usable AS (SELECT * FROM bucketed WHERE state", "usable AS (SELECT * FROM bucketed WHERE ticker <> 'S00003' AND state").replace("count(*) AS n FROM feat GROUP BY 1)", "count(*) AS n FROM feat WHERE ticker <> 'S00003' GROUP BY 1)")
+SQL["outside_prediction"] = f"{_pool}\nSELECT l.ticker, l.date, l.state, n_rows, {_said}, {_kelly} FROM latest l JOIN moments m USING (state) WHERE ticker = 'S00003'"

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from oddsmith.config import Config
 from oddsmith.functions.columns import brier, business_days_ahead, log_loss
+from oddsmith.functions.held import hold
 from oddsmith.operators import model
 
 
@@ -78,17 +78,17 @@ def scored(feat: DataFrame, cfg: Config, keys: Sequence[str] = (), every: int |
     """Every scored row with losses of model and baseline and its period (dev or holdout).
 
     The features enter several small tables (calendar, cells, cluster) and the scoring join, so
-    they are persisted here; a lost executor's part is computed again.
+    they are held here.
     """
-    feat = feat.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = attached(feat, cfg, keys, every).persist(StorageLevel.MEMORY_AND_DISK)
+    feat = hold(feat)
+    rows = hold(attached(feat, cfg, keys, every))
     cells = expanding_fits(rows, cfg, keys)
     if keys:
         fitted = model.shrunk(cells, cfg, F.lit(1.0), [*keys, "fit_id"])
     else:
         one = model.cluster_factor(feat, cfg).select("cluster")
         fitted = model.shrunk(cells.join(F.broadcast(one)), cfg, F.col("cluster"), ["fit_id"])
-    fitted = fitted.persist(StorageLevel.MEMORY_AND_DISK)  # fits x states x buckets, read three times
+    fitted = hold(fitted)  # fits x states x buckets, read three times
     tests = model.with_bucket(rows, cfg).filter("test_fit is not null").withColumnRenamed("test_fit", "fit_id")
     # Which rows get a score depends on the fits alone, so the cut needs no scores.
     cut = holdout_cut(tests.join(fitted.select(*keys, "fit_id").distinct(), [*keys, "fit_id"], "left_semi"), cfg.holdout_fraction, keys)
@@ -182,13 +182,15 @@ def track_record(rows: DataFrame, cfg: Config) -> DataFrame:
 
 
 def track_record_summary(track: DataFrame) -> DataFrame:
-    """One row per ticker over its dev rows."""
+    """One row per ticker over its dev rows; the hit rates of an empty side are null."""
     up = F.col("realized") > 0
     rate = lambda c: F.avg(c.cast("double"))
     return track.filter("period = 'dev'").groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("ev_model") > 0).alias("n_positive"),
         rate(F.col("hit")).alias("hit_rate"),
+        rate(F.when(F.col("ev_model") > 0, F.col("hit"))).alias("hit_when_positive"),
+        rate(F.when(F.col("ev_model") <= 0, F.col("hit"))).alias("hit_when_negative"),
         rate((F.col("ev_base") > 0) == up).alias("base_hit_rate"),
         rate(up).alias("always_up_rate"),
     )

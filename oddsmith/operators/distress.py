@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from oddsmith.functions.columns import label_state, log_loss
+from oddsmith.functions.held import hold
 
 # Fixed values.
 OUTCOMES = ("filing", "acquired", "bankrupt", "deregistered")
@@ -137,33 +138,42 @@ def walk_forward(feat: DataFrame, factors: Sequence[str] = DEFAULT, prior: float
 # --- Logistic regression -------------------------------------------------------------------
 
 
-def logit_scores(feat: DataFrame, min_train_years: int = 3, lag_years: int = 2, l2: float = 1.0, steps: int = 25) -> DataFrame:
-    """cik, year, p_bad_logit: penalised logistic regression by Newton's method, one model per fold.
+@dataclass(frozen=True)
+class Logit:
+    """Fitted weights: the intercept's and one for each standardised column of CONTINUOUS."""
 
-    A fold trains on the known cohorts up to `lag_years` before. Every step is one pass of all
-    folds: each partition sums its gradients and 8 x 8 Hessians with numpy, Spark adds them, and
-    the driver solves one small system per fold.
-    """
-    spark = feat.sparkSession
-    known = feat.filter("outcome_known").withColumn("y", is_bad().cast("double"))
-    years = sorted(r[0] for r in known.select("year").distinct().collect())  # calendar years
-    folds = [y for y in years if sum(t <= y - lag_years for t in years) >= min_train_years]
-    if not folds:
-        return feat.select("cik", "year", F.lit(None).cast("double").alias("p_bad_logit")).limit(0)
+    weights: np.ndarray
+    mean: np.ndarray
+    deviation: np.ndarray
+
+
+def _inputs(feat: DataFrame) -> DataFrame:
+    """cik, year, y and CONTINUOUS, with 0 for what is missing or infinite."""
     inputs = [F.coalesce(F.when(F.abs(c) == float("inf"), 0.0).otherwise(F.col(c)), F.lit(0.0)).cast("double").alias(c) for c in CONTINUOUS]
-    rows = known.select("cik", "year", "y", *inputs).cache()
-    fold_table = spark.createDataFrame([(f,) for f in folds], "fold int")
-    stats = {r["fold"]: r for r in rows.join(F.broadcast(fold_table), F.col("year") <= F.col("fold") - lag_years).groupBy("fold").agg(
-        *[f(c).alias(f"{n}_{c}") for c in CONTINUOUS for n, f in (("mu", F.avg), ("sd", F.stddev_pop))]).collect()}
-    mu = {f: np.array([stats[f][f"mu_{c}"] for c in CONTINUOUS]) for f in folds}
-    sd = {f: np.array([stats[f][f"sd_{c}"] for c in CONTINUOUS]) + 1e-9 for f in folds}
-    size = len(CONTINUOUS) + 1
+    return feat.select("cik", "year", is_bad().cast("double").alias("y"), *inputs)
+
+
+def fit_logits(known: DataFrame, folds: dict[int, int], l2: float = 1.0, steps: int = 25) -> dict[int, Logit]:
+    """Penalised logistic regression by Newton's method; fold f trains on the years up to folds[f].
+
+    Every step is one pass of all folds: each partition sums its gradients and 8 x 8 Hessians
+    with numpy, Spark adds them, and the driver solves one small system per fold.
+    """
+    spark, size = known.sparkSession, len(CONTINUOUS) + 1
+    rows = hold(_inputs(known))
+    table = F.broadcast(spark.createDataFrame(list(folds.items()), "fold int, last int"))
+    summed = rows.join(table, F.col("year") <= F.col("last")).groupBy("fold")
+    found = summed.agg(*[f(c).alias(f"{n}_{c}") for c in CONTINUOUS for n, f in (("mu", F.avg), ("sd", F.stddev_pop))]).collect()
+    stats = {r["fold"]: r for r in found}
+    last = {f: folds[f] for f in stats}  # a fold without rows has no model
+    mu = {f: np.array([stats[f][f"mu_{c}"] for c in CONTINUOUS]) for f in last}
+    sd = {f: np.array([stats[f][f"sd_{c}"] for c in CONTINUOUS]) + 1e-9 for f in last}
 
     def design(part: pd.DataFrame, fold: int) -> np.ndarray:
         z = np.clip((part[list(CONTINUOUS)].to_numpy(float) - mu[fold]) / sd[fold], -5, 5)
         return np.column_stack([np.ones(len(z)), z])
 
-    weights = {f: np.zeros(size) for f in folds}
+    weights = {f: np.zeros(size) for f in last}
     penalty = np.full(size, l2)
     penalty[0] = 0
     for _ in range(steps):
@@ -172,8 +182,8 @@ def logit_scores(feat: DataFrame, min_train_years: int = 3, lag_years: int = 2,
         def sums(parts: Iterator[pd.DataFrame], now: dict = now) -> Iterator[pd.DataFrame]:
             total: dict[int, np.ndarray] = {}
             for part in parts:
-                for f in folds:
-                    some = part[part["year"] <= f - lag_years]
+                for f, year in last.items():
+                    some = part[part["year"] <= year]
                     if len(some):
                         z = design(some, f)
                         p = 1 / (1 + np.exp(-z @ now[f]))
@@ -181,20 +191,43 @@ def logit_scores(feat: DataFrame, min_train_years: int = 3, lag_years: int = 2,
                         total[f] = total.get(f, 0) + own
             yield pd.DataFrame([(f, i, v) for f, t in total.items() for i, v in enumerate(t)], columns=["fold", "i", "v"])
 
-        found = rows.mapInPandas(sums, "fold int, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v")).collect()
-        step = {f: np.zeros(size + size * size) for f in folds}
-        for f, i, v in found:
+        step = {f: np.zeros(size + size * size) for f in last}
+        for f, i, v in rows.mapInPandas(sums, "fold int, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v")).collect():
             step[f][i] = v
         moved = 0.0
-        for f in folds:
+        for f in last:
             delta = np.linalg.solve(step[f][size:].reshape(size, size) + np.diag(penalty), step[f][:size] + penalty * weights[f])
             weights[f] = weights[f] - delta
             moved = max(moved, float(np.abs(delta).max()))
         if moved < 1e-10:
             break
+    return {f: Logit(weights[f], mu[f], sd[f]) for f in last}
 
-    table = spark.createDataFrame([(f, [float(x) for x in weights[f]], [float(x) for x in mu[f]], [float(x) for x in sd[f]]) for f in folds], "year int, w array<double>, mu array<double>, sd array<double>")
+
+def logit_probability(rows: DataFrame, models: dict[int, Logit], fold: str) -> DataFrame:
+    """`rows` (from `_inputs`, with a fold number) and p_bad_logit by the fold's model; other folds go."""
+    table = [(f, m.weights.tolist(), m.mean.tolist(), m.deviation.tolist()) for f, m in models.items()]
+    small = rows.sparkSession.createDataFrame(table, f"{fold} int, w array<double>, mu array<double>, sd array<double>")
     z = F.col("w")[0]
     for k, c in enumerate(CONTINUOUS):
         z = z + F.col("w")[k + 1] * F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col(c) - F.col("mu")[k]) / F.col("sd")[k]))
-    return rows.join(F.broadcast(table), "year").select("cik", "year", "y", (1 / (1 + F.exp(-z))).alias("p_bad_logit"))
+    return rows.join(F.broadcast(small), fold).withColumn("p_bad_logit", 1 / (1 + F.exp(-z)))  # one row per calendar year
+
+
+def logit_scores(feat: DataFrame, min_train_years: int = 3, lag_years: int = 2) -> DataFrame:
+    """cik, year, y, p_bad_logit of the known company-years; cohort Y trains on those up to Y - `lag_years`."""
+    known = feat.filter("outcome_known")
+    years = sorted(r[0] for r in known.select("year").distinct().collect())  # calendar years
+    folds = {y: y - lag_years for y in years if sum(t <= y - lag_years for t in years) >= min_train_years}
+    models = fit_logits(known, folds) if folds else {}
+    return logit_probability(_inputs(known), models, "year").select("cik", "year", "y", "p_bad_logit")
+
+
+def final_logit(feat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """term and weight of the model of all known company-years, and its cik, year, p_bad_logit for all of `feat`."""
+    known = feat.filter("outcome_known")
+    models = fit_logits(known, {0: 9999})
+    names = ["intercept", *CONTINUOUS]
+    rows = [(n, float(x)) for m in models.values() for n, x in zip(names, m.weights, strict=True)]
+    weights = feat.sparkSession.createDataFrame(rows, "term string, weight double")
+    return weights, logit_probability(_inputs(feat).withColumn("fold", F.lit(0)), models, "fold").select("cik", "year", "p_bad_logit")

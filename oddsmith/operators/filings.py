@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Forms that mark an acquisition, and the 8-K item of a bankruptcy.
+# Forms that mark an acquisition, the form and item of a bankruptcy, and the annual reports.
 ACQUIRED_FORMS = ("DEFM14A", "DEFM14C", "SC TO-T", "SC 13E3")
-BANKRUPT_ITEM = "1.03"
+BANKRUPT_FORM, BANKRUPT_ITEM = "8-K", "1.03"
 COHORT_FORMS = ("10-K ", "10-K405 ", "10-KSB ")
 
 
@@ -60,27 +60,50 @@ def survival(cohort: DataFrame, years: DataFrame) -> DataFrame:
 def exits(gone: DataFrame, filed: DataFrame) -> DataFrame:
     """cik, year, exit: how a company that files no more has left, by its filings since `first_date`.
 
-    Bankruptcy comes before acquisition, and that before deregistration, which also stands for no trace.
+    `item` is the text of a filing's items, often a list such as '1.03,9.01'. Bankruptcy comes before acquisition, and that before deregistration, which also stands for no trace.
     """
-    wanted = filed.filter((F.col("item") == BANKRUPT_ITEM) | F.col("form").isin(*ACQUIRED_FORMS)).select("cik", "filing_date", "form", "item")
+    broke = F.col("form").startswith(BANKRUPT_FORM) & F.coalesce(F.col("item").contains(BANKRUPT_ITEM), F.lit(False))
+    bought = F.col("form").isin(*ACQUIRED_FORMS)
+    wanted = filed.filter(broke | bought).select("cik", "filing_date", broke.alias("broke"), bought.alias("bought"))
     met = gone.join(wanted, "cik", "left").withColumn("on", F.col("filing_date") >= F.col("first_date"))
-    some = lambda c: F.coalesce(F.bool_or(F.col("on") & c), F.lit(False))
-    kinds = met.groupBy("cik", "year").agg(some(F.col("item") == BANKRUPT_ITEM).alias("broke"), some(F.col("form").isin(*ACQUIRED_FORMS)).alias("bought"))
+    some = lambda c: F.coalesce(F.bool_or(F.col("on") & F.col(c)), F.lit(False)).alias(c)
+    kinds = met.groupBy("cik", "year").agg(some("broke"), some("bought"))
     return kinds.select("cik", "year", F.when(F.col("broke"), "bankrupt").when(F.col("bought"), "acquired").otherwise("deregistered").alias("exit"))
 
 
-def panel(company_years: DataFrame, filed: DataFrame, names: DataFrame, as_of_year: int) -> DataFrame:
+def panel(company_years: DataFrame, filed: DataFrame, names: DataFrame, as_of_year: int, cohort: DataFrame | None = None) -> DataFrame:
     """The company-year panel: company_years with name, ticker, outcome and outcome_known.
 
-    `names` (cik, name, ticker). An outcome is known if the cohort two years later is complete; an
-    unknown one is set to filing. Rows without positive assets are left out.
+    `names` (cik, name, ticker). `cohort` (cik, year) holds all that filed, also without figures;
+    without it the company-years are taken. An outcome is known if the cohort two years later was
+    fetched and its year is over; an unknown one is set to filing. Rows without positive assets are left out.
     """
-    rows = survival(company_years.filter("assets > 0"), company_years.select("cik", "year").distinct())
-    known = F.col("year") + 2 < as_of_year
-    gone = rows.filter(~F.col("files_on") & known).select("cik", "year", "first_date")
+    cohort = (company_years if cohort is None else cohort).select("cik", "year").distinct()
+    fetched = cohort.select((F.col("year") - 2).alias("year"), F.lit(True).alias("fetched")).distinct()
+    rows = survival(company_years.filter("assets > 0"), cohort).join(F.broadcast(fetched), "year", "left")  # calendar years
+    rows = rows.withColumn("outcome_known", F.coalesce("fetched", F.lit(False)) & (F.col("year") + 2 < as_of_year)).drop("fetched")
+    gone = rows.filter(~F.col("files_on") & F.col("outcome_known")).select("cik", "year", "first_date")
     out = rows.join(exits(gone, filed), ["cik", "year"], "left").join(names, "cik", "left")
-    outcome = F.when(F.col("files_on") | ~known, "filing").otherwise(F.col("exit"))
-    return out.withColumns({"outcome": outcome, "outcome_known": known, "ticker": F.coalesce("ticker", F.lit("")), "name": F.coalesce("name", F.lit(""))}).drop("files_on", "exit")
+    outcome = F.when(F.col("files_on") | ~F.col("outcome_known"), "filing").otherwise(F.col("exit"))
+    return out.withColumns({"outcome": outcome, "ticker": F.coalesce("ticker", F.lit("")), "name": F.coalesce("name", F.lit(""))}).drop("files_on", "exit")
+
+
+def landed_panel(index: DataFrame, facts: DataFrame, priority: DataFrame, columns: list[str], filed: DataFrame, tickers: DataFrame, as_of_year: int, going: DataFrame | None = None) -> DataFrame:
+    """The panel from landed files: `parsed_index` lines, concept values, filings and a ticker map.
+
+    A report filed in a year gives the figures of the fiscal year before. `going` (cik, year) is
+    the set of companies with doubts about their future; going_concern is null if it was not fetched.
+    """
+    cohort = cohorts(index, ["filing_date", "file"])
+    wide = fallback(facts, priority, columns).withColumn("year", F.col("fy") + 1).drop("fy")
+    rows = cohort.join(wide, ["cik", "year"]).withColumnRenamed("filing_date", "first_date")
+    if going is None:
+        rows = rows.withColumn("going_concern", F.lit(None).cast("int"))
+    else:
+        marked = going.select("cik", "year").distinct().withColumn("going_concern", F.lit(1))
+        rows = rows.join(marked, ["cik", "year"], "left").withColumn("going_concern", F.coalesce("going_concern", F.lit(0)))
+    out = panel(rows.drop("name"), filed, tickers.withColumn("name", F.lit(None).cast("string")), as_of_year, cohort)
+    return out.drop("name").join(cohort.select("cik", "year", "name"), ["cik", "year"])
 
 
 def text_flag(texts: DataFrame, phrases: tuple[str, str], keys: list[str]) -> DataFrame:

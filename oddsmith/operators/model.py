@@ -20,10 +20,17 @@ def state_table(spark: SparkSession, cfg: Config) -> DataFrame:
     return spark.createDataFrame(list(enumerate(states(cfg))), "state_id int, state string")
 
 
+def bucket_label(lo: float | None, hi: float | None) -> str:
+    if lo is None or hi is None:
+        return f"below {hi:+.0%}" if lo is None else f"above {lo:+.0%}"
+    return f"{lo:+.0%} to {hi:+.0%}"
+
+
 def bucket_table(spark: SparkSession, cfg: Config) -> DataFrame:
+    """bucket, lo, hi (relative moves; null at the open ends), is_up, label."""
     bounds = [None, *cfg.edges, None]
-    rows = [(k, bounds[k], bounds[k + 1], k > 0 and bounds[k] >= 0) for k in range(len(cfg.edges) + 1)]
-    return spark.createDataFrame(rows, "bucket int, lo double, hi double, is_up boolean")
+    rows = [(k, lo, hi, k > 0 and lo >= 0, bucket_label(lo, hi)) for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+    return spark.createDataFrame(rows, "bucket int, lo double, hi double, is_up boolean, label string")
 
 
 def with_bucket(rows: DataFrame, cfg: Config) -> DataFrame:
@@ -130,19 +137,29 @@ def usable_rows(feat: DataFrame) -> DataFrame:
     return feat.filter("state is not null and fwd_ret is not null")
 
 
-def transitions(feat: DataFrame, cfg: Config) -> DataFrame:
-    """from_state, to_state, n, p: the state `horizon` usable rows later within the ticker, shrunk to the destinations' shares."""
+def predictions(fitted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """What the model says of each (keys, state): rows, independent observations, weight, p_up and the moments."""
+    columns = ("p_up", "p_up_base", "ev", "ev_base", "std", "ev_over_std", "kelly_full", "kelly_half")
+    return moments(fitted, keys).select(*keys, "state", "n_rows", F.round("n_eff", 1).alias("independent_obs"), F.round("w", 3).alias("weight_on_state"), *columns)
+
+
+def transitions(feat: DataFrame, cfg: Config, keys: Sequence[str] = ()) -> DataFrame:
+    """from_state, to_state, n, p: the state `horizon` usable rows later within the ticker, shrunk to the destinations' shares.
+
+    With keys (the ticker) there is one matrix for each of them, with cluster 1.
+    """
     rows = usable_rows(feat)
     ahead = F.lead("state", cfg.horizon).over(Window.partitionBy("ticker").orderBy("date"))
-    pairs = rows.select(F.col("state").alias("from_state"), ahead.alias("to_state")).filter("to_state is not null").groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
+    pairs = rows.select(*keys, F.col("state").alias("from_state"), ahead.alias("to_state")).filter("to_state is not null").groupBy(*keys, "from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
     names = state_table(rows.sparkSession, cfg)
     dense = names.select(F.col("state").alias("from_state")).crossJoin(names.select(F.col("state").alias("to_state")))
-    cells = dense.join(pairs, ["from_state", "to_state"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    cells = cells.join(F.broadcast(cluster_factor(feat, cfg).select("cluster")))
+    dense = rows.select(*keys).distinct().join(F.broadcast(dense)) if keys else dense
+    cells = dense.join(pairs, [*keys, "from_state", "to_state"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    cells = cells.withColumn("cluster", F.lit(1.0)) if keys else cells.join(F.broadcast(cluster_factor(feat, cfg).select("cluster")))
     size = len(states(cfg))
-    whole, origin, target = (Window.partitionBy(*c) for c in ((F.lit(0),), ("from_state",), ("to_state",)))
+    whole, origin, target = (Window.partitionBy(*(list(keys) + c or [F.lit(0)])) for c in ([], ["from_state"], ["to_state"]))
     cells = cells.withColumn("share", F.coalesce(F.try_divide(F.sum("n").over(target), F.sum("n").over(whole)), F.lit(1 / size)))
     n = F.sum("n").over(origin)
     eff = n / (cfg.horizon * F.col("cluster"))
     w = eff / (eff + cfg.prior_strength)
-    return cells.withColumn("p", w * F.coalesce(F.try_divide(F.col("n"), n), F.col("share")) + (1 - w) * F.col("share")).select("from_state", "to_state", "n", "p")
+    return cells.withColumn("p", w * F.coalesce(F.try_divide(F.col("n"), n), F.col("share")) + (1 - w) * F.col("share")).select(*keys, "from_state", "to_state", "n", "p")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from oddsmith.functions.held import hold
+
 DRAWS = 2000
+BINS = 4096  # of scores, for ranks
 
 
 def hashed_start(seed: int, draw: Column, block: Column, n: Column) -> Column:
@@ -26,7 +28,7 @@ def block_bootstrap(rows: DataFrame, value: Column, unit: str, block: int, seed:
     """
     spark = rows.sparkSession
     units = rows.groupBy(F.col(unit).alias("unit")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    units = units.persist(StorageLevel.MEMORY_AND_DISK)  # one row per calendar unit, read twice
+    units = hold(units)  # one row per calendar unit, read twice
     order = Window.partitionBy(F.lit(0)).orderBy("unit")  # one row per calendar unit
     ahead = order.rowsBetween(0, block - 1)
     blocks = units.select((F.row_number().over(order) - 1).alias("start"), F.sum("s").over(ahead).alias("s"), F.sum("n").over(ahead).alias("n"))
@@ -39,6 +41,26 @@ def block_bootstrap(rows: DataFrame, value: Column, unit: str, block: int, seed:
     return means.agg(F.percentile("mean", F.lit(0.05)).alias("lo"), F.percentile("mean", F.lit(0.95)).alias("hi"))
 
 
+def block_bootstrap_by(rows: DataFrame, value: Column, unit: str, block: int, key: str, seed: int = 0, draws: int = DRAWS) -> DataFrame:
+    """key, lo, hi: `block_bootstrap` within each key; keys with fewer than two blocks of units are left out.
+
+    A key's sums per unit (one per date) are one array, on which all its draws are made in place.
+    """
+    units = rows.groupBy(key, F.col(unit).alias("unit")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    order = Window.partitionBy(key).orderBy("unit")
+    ahead = order.rowsBetween(0, block - 1)
+    blocks = units.select(key, (F.row_number().over(order) - 1).alias("start"), F.sum("s").over(ahead).alias("s"), F.sum("n").over(ahead).alias("n"))
+    lists = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("units"), F.sort_array(F.collect_list(F.struct("start", "s", "n"))).alias("all")).filter(F.col("units") >= 2 * block)
+    last = F.ceil(F.col("units") / block) - 1
+    start = lambda d, j: hashed_start(seed, d, j, F.col("units") - block + 1).cast("int")
+    picked = lambda d: F.transform(F.sequence(F.lit(0).cast("long"), last), lambda j: F.get("all", start(d, j)))
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
+    add = lambda acc, x: F.struct((acc["s"] + x["s"]).alias("s"), (acc["n"] + x["n"]).alias("n"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.aggregate(picked(d), none, add, lambda acc: acc["s"] / acc["n"]))
+    means = lists.select(key, F.explode(each).alias("mean"))
+    return means.groupBy(key).agg(F.percentile("mean", F.lit(0.05)).alias("lo"), F.percentile("mean", F.lit(0.95)).alias("hi"))
+
+
 def calibration(rows: DataFrame, predicted: str, happened: Column, bins: int = 5) -> DataFrame:
     """bin, predicted, realized, rows over quantile bins (lo, hi]; empty bins are left out.
 
@@ -59,13 +81,16 @@ def calibration(rows: DataFrame, predicted: str, happened: Column, bins: int = 5
 def auc(rows: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rank AUC for each of the keys, ties at their middle rank; null if a class is missing.
 
-    Rows are counted per distinct score first. Scores of states have few values; continuous ones
-    are rounded to 1e-6 so that the ordered counts stay small.
+    `score` lies in [0, 1]. Rows are counted per distinct score, and these in narrow bins: whole
+    bins below a score come from a small table, so no window holds more than the scores of one bin.
     """
     part = list(keys) or [F.lit(0)]
     y = F.col(label).cast("int")
-    at = rows.groupBy(*keys, F.round(score, 6).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*part).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = at.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    at = rows.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    at = hold(at.withColumn("bin", F.floor(F.col("score") * BINS)))
+    upto = lambda *order: F.coalesce(F.sum("neg").over(Window.partitionBy(*order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = at.groupBy(*keys, "bin").agg(F.sum("neg").alias("neg")).select(*keys, "bin", upto(*part, "bin").alias("lower"))
+    below = F.col("lower") + upto(*keys, "bin", "score")
+    at = at.join(bins, [*keys, "bin"]).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     out = at.groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return out.select(*keys, "n_pos", "n_neg", F.try_divide(F.col("won"), F.col("n_pos") * F.col("n_neg")).alias("auc"))

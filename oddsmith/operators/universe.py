@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from oddsmith.config import Config
-from oddsmith.functions.columns import clean
-from oddsmith.operators import model
+from oddsmith.functions.columns import clean, verdict
+from oddsmith.functions.held import hold
+from oddsmith.operators import backtest, model, resample
 from oddsmith.operators.windows import along
 
 
@@ -91,12 +92,66 @@ def survivorship_gap(feat: DataFrame, meta: DataFrame, cfg: Config) -> DataFrame
     return out.select("cohort", "state", "n_rows", "p_up", "ev", "p_up_base", "ev_base")
 
 
-def cards(prices: DataFrame, feat: DataFrame, cfg: Config) -> DataFrame:
-    """One row per ticker: price, changes, volatility, state, history and pooled prediction."""
-    latest = latest_rows(feat.select("ticker", "date", "state", *cfg.factors)).filter("state is not null")
-    pooled = model.moments(model.fitted(feat, cfg)).select("state", "n_rows", "p_up", "ev", "std", "kelly_half")
-    out = latest.join(F.broadcast(pooled), "state")  # one row per state
-    out = out.join(lookbacks(prices).drop("date"), "ticker").join(annualised_vol(prices), "ticker").join(recent_history(prices), "ticker")
-    numbers = ("close", "change_1", "change_21", "change_252", "vol", "low", "high", "p_up", "ev", "std", "kelly_half")
+def focal_ticker(meta: DataFrame, wanted: str) -> DataFrame:
+    """One row: the wanted ticker if it is known, or else the first active one by name."""
+    named = F.max(F.when(F.col("ticker") == wanted, F.col("ticker")))
+    return meta.agg(F.coalesce(named, F.min(F.when(F.col("fate") == "active", F.col("ticker")))).alias("ticker"))
+
+
+def predicted(feat: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Each ticker's last row with what a pooled model says of its state, also of tickers outside the pool."""
+    last = latest_rows(feat.select("ticker", "date", "state"))
+    return last.join(F.broadcast(model.predictions(fitted)), "state")  # one row per state
+
+
+def with_usable(feat: DataFrame, least_usable: int = 300) -> DataFrame:
+    """Rows of the tickers with enough usable rows and a state on their last row."""
+    good = feat.groupBy("ticker").agg(F.count_if(F.col("state").isNotNull() & F.col("fwd_ret").isNotNull()).alias("n"), F.max_by("state", "date").alias("last"))
+    return feat.join(good.filter((F.col("n") >= least_usable) & F.col("last").isNotNull()), "ticker", "left_semi")
+
+
+def own_verdicts(feat: DataFrame, cfg: Config, every: int = 63) -> DataFrame:
+    """ticker, own_rows, own_gain, own_lo, own_hi, own_hit, own_hit_base, own_verdict of each ticker's own walk-forward.
+
+    All over its dev period; tickers too short for one have no row.
+    """
+    rows = backtest.scored(feat, cfg, ["ticker"], every).filter("period = 'dev'")
+    gain = F.col("ll_base") - F.col("ll_model")
+    hit = lambda p: F.avg(((F.round(p, 9) > 0.5) == F.col("went_up")).cast("double"))
+    sums = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("own_rows"), F.avg(gain).alias("own_gain"), hit("p_up_model").alias("own_hit"), hit("p_up_base").alias("own_hit_base"))
+    bounds = resample.block_bootstrap_by(rows, gain, "date", cfg.horizon, "ticker").toDF("ticker", "own_lo", "own_hi")
+    return sums.join(bounds, "ticker", "left").withColumn("own_verdict", verdict(F.col("own_lo"), F.col("own_hi")))
+
+
+def cards(prices: DataFrame, feat: DataFrame, cfg: Config, least_usable: int = 300) -> DataFrame:
+    """One row per ticker with enough usable rows and a state today.
+
+    Price, changes, volatility, state, flags and history; `pooled` and `own` predictions of the
+    state; the own model's states and transitions; dollar moves of the buckets; the verdict of the
+    ticker's own walk-forward (null if it is too short for one).
+    """
+    shown = hold(with_usable(feat, least_usable))
+    latest = latest_rows(shown.select("ticker", "date", "state", *cfg.factors))
+    numbers = ("n_rows", "independent_obs", "weight_on_state", "p_up", "p_up_base", "ev", "std", "kelly_half")
+    pooled = model.predictions(model.fitted(feat, cfg)).select("state", F.struct(*numbers).alias("pooled"))
+    own_fit = hold(model.fitted(shown, cfg, ["ticker"]))
+    own_states = model.predictions(own_fit, ["ticker"])
+    own = own_states.select("ticker", "state", F.struct(*numbers).alias("own"))
+    by_state = own_states.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("state", "n_rows", "p_up"))).alias("own_states"))
+    moves = model.transitions(shown, cfg, ["ticker"]).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("from_state", "to_state", "n", "p"))).alias("transitions"))
+    dollars = bucket_dollars(shown, cfg).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("bucket", "label", "lo_dollars", "hi_dollars"))).alias("dollars"))
+    out = latest.join(F.broadcast(pooled), "state").join(own, ["ticker", "state"])  # pooled: one row per state
+    for more in (lookbacks(prices).drop("date"), annualised_vol(prices), recent_history(prices), by_state, moves, dollars):
+        out = out.join(more, "ticker")
+    out = out.join(own_verdicts(shown, cfg), "ticker", "left")
     flags = F.create_map(*[x for f in cfg.factors for x in (F.lit(f), F.col(f))]).alias("flags")
-    return out.select("ticker", "date", "state", flags, "n_rows", "n_days", "history", *[clean(F.col(c)).alias(c) for c in numbers])
+    plain = [F.col(c) if t != "double" else clean(F.col(c)).alias(c) for c, t in out.dtypes if c not in cfg.factors]
+    return out.select(*plain, flags)
+
+
+def bucket_dollars(feat: DataFrame, cfg: Config) -> DataFrame:
+    """ticker, bucket, label, lo_dollars, hi_dollars: the buckets' bounds as moves of the last price."""
+    last = latest_rows(feat.select("ticker", "date", "close"))
+    cells = last.join(F.broadcast(model.bucket_table(feat.sparkSession, cfg)))  # eight buckets
+    move = lambda edge: F.round(F.col("close") * F.col(edge), 2)
+    return cells.select("ticker", "bucket", "label", move("lo").alias("lo_dollars"), move("hi").alias("hi_dollars"))

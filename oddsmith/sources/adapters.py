@@ -46,11 +46,15 @@ def meta(daily: DataFrame, gap_days: int = 30) -> DataFrame:
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cik, filing_date, year, form, item, money columns: one filing per order."""
+    """cik, filing_date, year, form, item, money columns: one filing per order.
+
+    Items come alone and in lists, and some filings that are no 8-K name the item of a bankruptcy.
+    """
     orders = table(spark, sf_dir, "orders")
     total = F.col("o_totalprice").cast("decimal(18,2)")
-    form = F.when(F.col("o_orderstatus") == "O", F.when(F.col("o_orderpriority") == "2-HIGH", "DEFM14A").otherwise("8-K")).otherwise("8-K")
-    item = F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"), "1.03").otherwise("8.01")
+    key, broke = F.col("o_orderkey"), (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")
+    form = F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "2-HIGH"), "DEFM14A").when(broke & (key % 5 == 0), "10-Q").when(key % 3 == 0, "8-K/A").otherwise("8-K")
+    item = F.when(broke, F.when(key % 2 == 0, "1.03,9.01").when(key % 7 == 0, "2.01,1.03").otherwise("1.03")).otherwise("8.01,9.01")
     return orders.select(
         F.col("o_orderkey").alias("order_key"),
         F.col("o_custkey").alias("cik"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 PRICE_SCHEMA = "date date, close double, volume double"
 VENDOR_SCHEMA = "date date, open double, high double, low double, close double, volume double, openint double"
+FRAME_SCHEMA = "data array<struct<cik:bigint,val:double>>"
 META_SCHEMA = "source string, built string, tickers map<string, struct<first:date,last:date,fate:string,delisted_date:date>>"
 
 
@@ -26,9 +28,9 @@ def market_series(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("date date, sector_close double, vix double, tnx double").option("header", True).csv(path)
 
 
-def universe_meta(spark: SparkSession, path: str) -> DataFrame:
-    """ticker, first, last, fate, delisted_date from the JSON map of a universe."""
-    rows = spark.read.schema(META_SCHEMA).option("multiLine", True).json(path)
+def universe_meta(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """ticker, first, last, fate, delisted_date from the JSON map of a universe; `lines`: one map a line."""
+    rows = spark.read.schema(META_SCHEMA).option("multiLine", not lines).json(path)
     return rows.select(F.explode("tickers").alias("ticker", "m")).select("ticker", "m.*").withColumn("fate", F.coalesce("fate", F.lit("unknown")))
 
 
@@ -84,7 +86,51 @@ def write_prices(rows: DataFrame, path: str) -> None:
     rows.filter("close is not null").repartition("ticker").sortWithinPartitions("ticker", "date").write.mode("overwrite").parquet(path)
 
 
+def write_meta(meta: DataFrame, path: str, source: str, built: str) -> None:
+    """One JSON map a line: source, built, and a ticker's first, last, fate (and delisted_date, if known)."""
+    known = [c for c in ("first", "last", "fate", "delisted_date") if c in meta.columns]
+    tickers = F.create_map(F.col("ticker"), F.struct(*known)).alias("tickers")
+    meta.select(F.lit(source).alias("source"), F.lit(built).alias("built"), tickers).write.mode("overwrite").json(path)
+
+
+def concept_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """concept, fy, instant, cik, val of landed files `frame_<concept>_CY<year>[Q4I].json`."""
+    rows = spark.read.schema(FRAME_SCHEMA).option("multiLine", True).json(f"{folder}/frame_*.json").select("data", F.col("_metadata.file_name").alias("file"))
+    return concept_values(rows)
+
+
+def concept_values(rows: DataFrame) -> DataFrame:
+    """concept, fy, instant, cik, val of frames (file, data); values that are null are left out."""
+    shape = r"^frame_(.+)_CY(\d{4})(Q4I)?\.json$"
+    part = lambda k: F.regexp_extract("file", shape, k)
+    out = rows.select(part(1).alias("concept"), part(2).try_cast("int").alias("fy"), (part(3) != "").alias("instant"), F.inline("data"))
+    return out.filter("concept <> '' and cik is not null and val is not null")
+
+
+def write_panel(rows: DataFrame, path: str, source: str, built: str) -> None:
+    """The panel as Parquet under `path`/panel, and one line of JSON about it under `path`/meta."""
+    rows.write.mode("overwrite").parquet(f"{path}/panel")
+    about = rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("cik").alias("companies"), F.array(F.min("year"), F.max("year")).alias("years"))
+    about.select(F.lit(source).alias("source"), F.lit(built).alias("built"), "*").write.mode("overwrite").json(f"{path}/meta")
+
+
+def panel(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/panel")
+
+
+def finite(column: Column, kind: T.DataType) -> Column:
+    """`column` with null for NaN and infinities, at any depth of structs, arrays and map values."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(column) | (F.abs(column) == float("inf")), None).otherwise(column)
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*[finite(column[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(column, lambda _, v: finite(v, kind.valueType))
+    return column
+
+
 def write_results(rows: DataFrame, path: str) -> None:
-    """JSON lines; NaN and infinities become null."""
-    plain = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
-    rows.select(*plain).write.mode("overwrite").json(path)
+    """JSON lines; NaN and infinities become null, in nested values too."""
+    rows.select(*[finite(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema]).write.mode("overwrite").json(path)

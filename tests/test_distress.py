@@ -63,6 +63,9 @@ def test_logit_equals_a_plain_fit(panel):
     mine = found[found["year"] == fold].set_index("cik")["p_bad_logit"].to_dict()
     assert mine.keys() == expected.keys() and all(abs(mine[k] - v) < 1e-8 for k, v in expected.items())
     assert resample.auc(distress.logit_scores(panel), "p_bad_logit", "y").first()["auc"] > 0.55
+    weights, scores = distress.final_logit(panel)
+    assert [r["term"] for r in weights.collect()] == ["intercept", *distress.CONTINUOUS] and scores.count() == panel.count()
+    assert distress.logit_scores(panel.filter("year < 2012")).count() == 0
 
 
 def test_ratios_of_missing_and_zero(spark):
@@ -95,10 +98,44 @@ def test_index_lines(spark):
 
 def test_exit_priority(spark):
     d = lambda y: dt.date(y, 6, 1)
-    gone = spark.createDataFrame([(i, 2010, d(2010)) for i in range(5)], "cik long, year int, first_date date")
-    filed = [(0, d(2011), "8-K", "1.03"), (0, d(2011), "DEFM14A", ""), (1, d(2011), "SC TO-T", ""), (2, d(2009), "8-K", "1.03"), (3, d(2011), "15-12B", "")]
+    gone = spark.createDataFrame([(i, 2010, d(2010)) for i in range(8)], "cik long, year int, first_date date")
+    filed = [(0, d(2011), "8-K", "1.03,9.01"), (0, d(2011), "DEFM14A", ""), (1, d(2011), "SC TO-T", None), (2, d(2009), "8-K", "1.03"), (3, d(2011), "15-12B", ""), (5, d(2011), "8-K/A", "2.01,1.03"), (6, d(2011), "10-Q", "1.03"), (7, d(2011), "8-K", None)]
     rows = filings.exits(gone, spark.createDataFrame(filed, "cik long, filing_date date, form string, item string")).collect()
-    assert {r["cik"]: r["exit"] for r in rows} == {0: "bankrupt", 1: "acquired", 2: "deregistered", 3: "deregistered", 4: "deregistered"}
+    found = {r["cik"]: r["exit"] for r in rows}
+    assert found == {0: "bankrupt", 1: "acquired", 5: "bankrupt"} | dict.fromkeys((2, 3, 4, 6, 7), "deregistered")
+
+
+def test_panel_from_landed_files(spark, tmp_path):
+    index = [(cik, f"{y}-03-01", f"f{cik}{y}") for cik, years in ((1, (2010, 2011, 2012, 2013)), (2, (2010,)), (3, (2010, 2011))) for y in years]
+    lines = spark.createDataFrame([(f"10-K  NAME {cik}  {cik}  {day}  {file}",) for cik, day, file in index], "value string")
+    for concept, kind, values in (("Assets", "Q4I", {1: 5.0, 2: 7.0, 3: None}), ("Revenues", "", {1: None, 2: 3.0}), ("SalesRevenueNet", "", {1: 2.0, 2: 9.0})):
+        for year in (2009, 2010, 2011, 2012):
+            (tmp_path / f"frame_{concept}_CY{year}{kind}.json").write_text(json.dumps({"data": [{"cik": c, "val": v} for c, v in values.items()]}, indent=1))
+    facts = readers.concept_frames(spark, str(tmp_path))
+    assert facts.filter("instant").select("concept").distinct().collect() == [("Assets",)] and facts.filter("val is null").count() == 0
+    order = spark.createDataFrame([("assets", "Assets", 0), ("revenue", "Revenues", 0), ("revenue", "SalesRevenueNet", 1)], "column string, concept string, rank int")
+    filed = spark.createDataFrame([(2, dt.date(2011, 1, 1), "8-K", "1.03,9.01")], "cik long, filing_date date, form string, item string")
+    tickers = spark.createDataFrame([(1, "ONE")], "cik long, ticker string")
+    going = spark.createDataFrame([(2, 2010), (2, 2010)], "cik long, year int")
+    rows = filings.landed_panel(filings.parsed_index(lines), facts, order, ["assets", "revenue"], filed, tickers, 2014, going)
+    found = {(r["cik"], r["year"]): (r["name"], r["ticker"], r["assets"], r["revenue"], r["going_concern"], r["outcome"], r["outcome_known"]) for r in rows.collect()}
+    one = lambda known: ("NAME 1", "ONE", 5.0, 2.0, 0, "filing", known)
+    assert found == {(1, 2010): one(True), (1, 2011): one(True), (1, 2012): one(False), (1, 2013): one(False), (2, 2010): ("NAME 2", "", 7.0, 3.0, 1, "bankrupt", True)}
+    assert filings.landed_panel(filings.parsed_index(lines), facts, order, ["assets", "revenue"], filed, tickers, 2014).first()["going_concern"] is None
+    readers.write_panel(rows, str(tmp_path / "out"), "landed", "2020-01-01")
+    assert readers.panel(spark, str(tmp_path / "out")).count() == 5
+    assert spark.read.json(str(tmp_path / "out" / "meta")).first().asDict() == {"source": "landed", "built": "2020-01-01", "rows": 5, "companies": 2, "years": [2010, 2013]}
+
+
+def test_auc_counts_ties_as_half(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(s), int(y)) for k, s, y in zip(rng.integers(0, 2, 400), rng.integers(0, 60, 400) / 59, rng.random(400) < 0.4, strict=True)] + [(2, 0.5, 1), (0, None, 1)]
+    frame = spark.createDataFrame(rows, "k int, s double, y int")
+    found = {r["k"]: r["auc"] for r in resample.auc(frame, "s", "y", ["k"]).collect()}
+    for k in (0, 1):
+        pos, neg = ([s for kk, s, y in rows if kk == k and y == v and s is not None] for v in (1, 0))
+        assert found[k] == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)))
+    assert found[2] is None
 
 
 def test_fallback_takes_the_first_known_concept(spark):
@@ -128,3 +165,11 @@ def test_files_in_and_out(spark, tmp_path):
     readers.write_results(spark.createDataFrame([(1, float("inf")), (2, 1.5)], "a int, b double"), str(tmp_path / "json"))
     found = {r["a"]: r["b"] for r in spark.read.json(str(tmp_path / "json")).collect()}
     assert found == {1: None, 2: 1.5}
+    nested = spark.createDataFrame([([float("nan"), 1.0], (2.0, [float("-inf")]), {"x": float("nan")}), (None, None, None)], "a array<double>, s struct<b:double,c:array<float>>, m map<string,double>")
+    readers.write_results(nested, str(tmp_path / "nested"))
+    text = "".join(f.read_text() for f in (tmp_path / "nested").glob("*.json"))
+    assert "NaN" not in text and "Infinity" not in text and '"s":{"b":2.0' in text
+    meta = spark.createDataFrame([("AAA", dt.date(2020, 1, 1), dt.date(2020, 1, 20), "active"), ("BBB", dt.date(2020, 1, 1), dt.date(2020, 1, 2), None)], "ticker string, first date, last date, fate string")
+    readers.write_meta(meta, str(tmp_path / "metas"), "s", "2020-02-01")
+    again = {r["ticker"]: (r["last"], r["fate"]) for r in readers.universe_meta(spark, str(tmp_path / "metas"), lines=True).collect()}
+    assert again == {"AAA": (dt.date(2020, 1, 20), "active"), "BBB": (dt.date(2020, 1, 2), "unknown")}

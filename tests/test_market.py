@@ -36,6 +36,47 @@ def test_business_days_equal_pandas(spark, n):
     assert all(pd.Timestamp(r["e"]) == pd.Timestamp(r["d"]) + pd.tseries.offsets.BDay(n) for r in rows)
 
 
+def test_bucket_labels_and_dollar_moves(spark):
+    rows = model.bucket_table(spark, Config()).orderBy("bucket").collect()
+    assert [r["label"] for r in rows] == ["below -10%", "-10% to -5%", "-5% to -2%", "-2% to +0%", "+0% to +2%", "+2% to +5%", "+5% to +10%", "above +10%"]
+    feat = spark.createDataFrame([("A", dt.date(2020, 1, 1), 50.0), ("A", dt.date(2020, 1, 2), 200.0)], "ticker string, date date, close double")
+    moves = {r["bucket"]: (r["lo_dollars"], r["hi_dollars"]) for r in universe.bucket_dollars(feat, Config()).collect()}
+    assert moves[0] == (None, -20.0) and moves[1] == (-20.0, -10.0) and moves[4] == (0.0, 4.0) and moves[7] == (20.0, None)
+
+
+def test_focal_ticker_and_terminal_rule(spark):
+    meta = spark.createDataFrame([("B", "active"), ("A", "delisted"), ("C", "active")], "ticker string, fate string")
+    assert [universe.focal_ticker(meta, t).first()[0] for t in ("A", "C", "Z")] == ["A", "C", "B"]
+    days = [dt.date(2020, 1, d) for d in range(1, 6)]
+    feat = [("A", d, "s", 0.1) for d in days] + [("B", d, "s" if d != days[-1] else None, 0.1) for d in days] + [("C", d, "s", 0.1 if d < days[2] else None) for d in days]
+    rows = universe.with_usable(spark.createDataFrame(feat, "ticker string, date date, state string, fwd_ret double"), 4)
+    assert {r["ticker"] for r in rows.select("ticker").collect()} == {"A"}
+
+
+def test_bootstrap_by_key_equals_that_of_each_key(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, i // 2, float(rng.normal(0.1))) for k, n in (("a", 120), ("b", 90), ("c", 10)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "k string, unit int, v double")
+    found = {r["k"]: (r["lo"], r["hi"]) for r in resample.block_bootstrap_by(frame, F.col("v"), "unit", 7, "k", draws=200).collect()}
+    assert set(found) == {"a", "b"}
+    for k, bounds in found.items():
+        assert bounds == pytest.approx(tuple(resample.block_bootstrap(frame.filter(F.col("k") == k), F.col("v"), "unit", 7, draws=200).first()))
+
+
+def test_a_day_with_several_market_rows_counts_once(spark, tables):
+    prices, market = tables
+    assert factors.joined(prices, market.unionByName(market)).count() == factors.joined(prices, market).count()
+
+
+def test_held_frames_are_given_up(spark):
+    from oddsmith.functions import held
+
+    frame = held.hold(spark.range(5))
+    assert frame.is_cached
+    held.release()
+    assert not frame.storageLevel.useMemory and frame.count() == 5
+
+
 def test_verdicts(spark):
     rows = spark.createDataFrame([(0.1, 0.2), (-0.2, -0.1), (-0.1, 0.1), (None, 0.1), (math.nan, 1.0)], "lo double, hi double")
     words = [r[0].split()[0] for r in rows.select(verdict(F.col("lo"), F.col("hi"))).collect()]
@@ -61,7 +102,7 @@ def tables(spark):
 
 def test_features_equal_pandas(spark, tables):
     cfg = Config()
-    got = factors.features(*tables, cfg).toPandas().sort_values(["ticker", "date"]).reset_index(drop=True)
+    got = factors.features(*tables, cfg, flags_of=tuple(factors.REGISTRY)).toPandas().sort_values(["ticker", "date"]).reset_index(drop=True)
     prices, market = (t.toPandas() for t in tables)
     for ticker, own in prices.groupby("ticker"):
         g = own.sort_values("date").merge(market, on="date", how="left").set_index("date")
