@@ -25,21 +25,27 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.norm = np.sqrt((vectors**2).sum(1))
-        self.scale = np.abs(vectors).max(1) / 127
+        most = np.abs(vectors).max(1)
+        self.scale = most / 127
         self.scale[self.scale == 0] = 1
         codes = np.rint(vectors / self.scale[:, None])
-        self.error = np.sqrt(((vectors - codes * self.scale[:, None]) ** 2).sum(1))
+        # Lengths are taken of vectors brought to size 1, so their squares can't overflow or vanish.
+        self.norm = most * np.sqrt(((vectors / most[:, None]) ** 2).sum(1))
+        self.error = most * np.sqrt(((vectors / most[:, None] - codes * (self.scale / most)[:, None]) ** 2).sum(1)) + 1e-15 * self.norm
         self.codes = codes.astype(np.int8)
 
 
 def _tile(q: Block, c: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates of all inner products and bounds of their errors."""
+    """Estimates of all inner products and bounds of their errors, in double precision.
+
+    Vectors far beyond the usual size may make them infinite or undefined; such pairs are computed again.
+    """
     kind = np.float32 if q.codes.shape[1] <= 1000 else np.float64  # float32 holds these sums exactly
-    product = q.codes.astype(kind) @ c.codes.T.astype(kind)
-    estimate = product * (q.scale[:, None] * c.scale).astype(kind)
-    bound = q.norm[:, None] * c.error + q.error[:, None] * (c.norm + c.error) + 1e-5 * q.norm[:, None] * c.norm
-    return estimate, bound.astype(kind)
+    with np.errstate(over="ignore", invalid="ignore"):
+        product = (q.codes.astype(kind) @ c.codes.T.astype(kind)).astype(np.float64)
+        estimate = product * q.scale[:, None] * c.scale
+        bound = q.norm[:, None] * c.error + q.error[:, None] * (c.norm + c.error) + 1e-5 * q.norm[:, None] * c.norm + 1e-300
+    return estimate, bound
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -65,11 +71,15 @@ class Search:
             q.__dict__ = {n: v[part] for n, v in self.q.__dict__.items()}
             estimate, bound = _tile(q, c)
             own = q.ids[:, None] == c.ids
-            low = np.where(own, -np.inf, estimate - bound)
+            unsure = ~(np.isfinite(estimate) & np.isfinite(bound))
+            with np.errstate(invalid="ignore", over="ignore"):
+                low, high = estimate - bound, estimate + bound
+            low[own | unsure] = -np.inf
+            high[unsure] = np.inf
             floor = self.least[part]
             if len(c.ids) >= self.k:
                 floor = np.maximum(floor, np.partition(low, -self.k, axis=1)[:, -self.k])
-            rows, cols = np.nonzero((estimate + bound >= floor[:, None]) & ~own)
+            rows, cols = np.nonzero((high >= floor[:, None]) & ~own)
             for at in range(0, len(rows), 1 << 18):
                 self._merge(lo, rows[at : at + (1 << 18)], cols[at : at + (1 << 18)], q, c)
 

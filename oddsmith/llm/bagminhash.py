@@ -23,7 +23,8 @@ from oddsmith.llm.components import components
 from oddsmith.llm.textvec import mix, shingles
 
 BANDS, ROWS = 24, 5  # a pair of similarity 0.8 shares no band once in 14,000
-_BLOCK = 128  # rows of a side of a tile
+_BLOCK = 1024  # texts of a side of a tile
+_TOKENS = 1 << 19  # and their tokens, about
 
 
 def _points(row: np.ndarray, seed: np.ndarray, low: np.ndarray, width: np.ndarray, weight: np.ndarray, until: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,45 +126,77 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
 
 
 def tokens(texts: DataFrame, size: int) -> DataFrame:
-    """key and tokens of `texts`: 32-bit hashes of the shingles, the n-th copy of one apart from the others."""
+    """key and tokens of `texts`: 64-bit hashes of the shingles, the n-th copy of one apart from the others."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             row, value, count = shingles(batch.column("text"), size)
             nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            marks = (mix(np.repeat(value, count) + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
-            ends = np.searchsorted(np.repeat(row, count), np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([marks[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["key", "tokens"])
+            marks = mix(np.repeat(value, count) + mix(nth.astype(np.uint64))).view(np.int64)
+            ends = np.searchsorted(np.repeat(row, count), np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(ends, pa.array(marks))], ["key", "tokens"])
 
-    return texts.select("key", "text").mapInArrow(rows, "key binary, tokens binary")
+    return texts.select("key", "text").mapInArrow(rows, "key binary, tokens array<long>")
+
+
+def met(marks: DataFrame, least: float, write: Scratch) -> DataFrame:
+    """The keys of `marks` (key, root, tokens) that may have a partner in another component, by prefix filtering.
+
+    Tokens have one order for all texts: those of a single component first, then the rest from the
+    rarest on. Two texts of n and m tokens that overlap enough share one of the first n - ceil(least n) + 1
+    and m - ceil(least m) + 1. Tokens of a single component take places there, but join nothing. A
+    passage that many unlike texts share comes last, so it keeps none of them.
+    """
+    flat = marks.select("key", F.xxhash64("root").alias("root"), F.explode("tokens").alias("token"))
+    ends = lambda rows: rows.groupBy("token").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+    known = write(ends(flat).select("token", "often"), "known")
+    places = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
+    shared = flat.select("key", "token").join(known, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("shared"))
+    sized = marks.select("key", F.xxhash64("root").alias("root"), F.size("tokens").alias("n"))
+    near = shared.join(sized, "key").withColumn("room", (places - (F.col("n") - F.size("shared"))).cast("int")).filter("room > 0")
+    near = write(near.select("key", "root", F.explode(F.transform(F.slice("shared", F.lit(1), F.col("room")), lambda s: s["token"])).alias("token")), "near")
+    return near.join(ends(near).select("token"), "token", "left_semi").select("key").distinct()
+
+
+def parities(parts: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set of tokens, 16 a token: the parity of the tokens at each place.
+
+    Two rows differ in no more bits than the sets differ in tokens.
+    """
+    weight = np.array([len(p) for p in parts])
+    bits = 1 << max(10, int(np.ceil(np.log2(16 * max(1.0, float(np.median(weight)))))))
+    place, times = np.unique(np.repeat(np.arange(len(parts)), weight) * bits + (np.concatenate(parts) & (bits - 1)), return_counts=True)
+    on = np.zeros(len(parts) * bits, bool)
+    on[place[times % 2 == 1]] = True
+    return np.packbits(on).view(np.uint64).reshape(len(parts), bits // 64)
 
 
 def _close(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of one tile that belong to different components and overlap enough, by all their tokens."""
+    """Links of one tile: pairs of different components that overlap enough by all their tokens.
+
+    Parities rule out most pairs; the others are counted exactly, unless links found so far already join them.
+    """
     n = len(rows)
-    parts = [np.frombuffer(t, np.uint32) for t in rows["tokens"]]
+    parts = [np.asarray(t, np.int64) for t in rows["tokens"]]
     weight = np.array([len(p) for p in parts])
-    of, values = np.repeat(np.arange(n), weight), np.concatenate(parts)
-    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
-    shared = times[column] > 1  # the other tokens belong to one row alone
-    of, column = of[shared], np.unique(column[shared], return_inverse=True)[1]
-    both = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    of, column = of[order], column[order]
-    for lo in range(0, int(column.max(initial=-1)) + 1, 4096):
-        a, b = np.searchsorted(column, [lo, lo + 4096])
-        held = np.zeros((n, 4096), np.float32)
-        held[of[a:b], column[a:b] - lo] = 1
-        both += held @ held.T
-    enough = both >= least * (weight[:, None] + weight - both) - 1e-3
-    root = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
-    side = rows["own"].to_numpy()
-    apart = root[:, None] != root
-    if len(set(side)) > 1:  # each block has a tile of its own for its inner pairs
-        apart &= side[:, None] != side
-    i, j = np.nonzero(np.triu(enough & apart))
-    key = rows["key"].to_numpy()
-    found = [(max(key[x], key[y]), min(key[x], key[y])) for x, y in zip(i, j, strict=True)]
+    bits = parities(parts)
+    key, side = rows["key"].to_numpy(), rows["own"].to_numpy()
+    label = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+    crossing = len(set(side)) > 1  # each block has a tile of its own for its inner pairs
+    share, found = (1 - least) / (1 + least), []
+    for i in range(n):
+        other = np.flatnonzero(label != label[i])
+        other = other[other > i]
+        if crossing:
+            other = other[side[other] != side[i]]
+        both = weight[other] + weight[i]
+        apart = np.bitwise_count(bits[other] ^ bits[i]).sum(1)
+        for j in other[(apart <= share * both + 1e-6) & (np.abs(weight[other] - weight[i]) <= share * both + 1e-6)]:
+            if label[j] != label[i]:
+                shared = len(np.intersect1d(parts[i], parts[j], assume_unique=True))
+                if shared >= least * (weight[i] + weight[j] - shared) - 1e-9:
+                    label[label == label[j]] = label[i]
+                    found.append((max(key[i], key[j]), min(key[i], key[j])))
     return pd.DataFrame(found, columns=["a", "b"])
 
 
@@ -177,9 +210,9 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     shingle. Repeated rows are copies; repeated ids with unequal texts are separate documents.
 
     Equal texts are joined first. In every bucket of a band all texts are held against one
-    leader. Buckets whose texts still belong to several components are compared
-    across components in tiles of their tokens, so a link that doesn't pass through the leader
-    is found too; no bucket is cut off, and no bucket's pairs are listed.
+    leader. Buckets that still hold several components are compared across these in tiles, so a link
+    that doesn't pass through the leader is found too. Texts whose rarest shingles rule out a partner
+    (`met`) stay out of the tiles; no bucket is cut off, and no bucket's pairs are listed.
     """
     write = Scratch()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -206,33 +239,34 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     once = pool if not _repeats(pool) else write(pool.dropDuplicates(["key"]), "texts")
     links = write(verified(stars, once, size, least), "links")
     roots = components(links)
-    # What is still apart within a bucket.
+    # Texts of buckets that still hold several components, and may have a partner in another one.
     placed = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     placed = write(placed, "placed")
+    several = lambda rows, *more: rows.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *more).filter("r0 <> r1")
+    apart = write(placed.join(several(placed).select("band"), "band").select("key", "root").distinct(), "apart")
+    marks = write(tokens(once.join(apart, "key", "left_semi"), size).join(apart, "key"), "tokens")
+    marks = write(marks.join(met(marks, least, write), "key", "left_semi"), "tokens")
+    placed = write(placed.join(marks.select("key", F.size("tokens").alias("n")), "key"), "placed")
     # Buckets of the very same texts are one. The largest component of a bucket is its core:
     # within it nothing is left to find, so tiles hold the other texts, or those and the core.
-    same = F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("same")
-    open_ = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), same, F.count(F.lit(1)).alias("n"))
-    open_ = write(open_.filter("r0 <> r1").groupBy("same", "n").agg(F.min("band").alias("band")).select("band"), "open")
-    rest = write(placed.join(open_, "band"), "rest")
-    cores = rest.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("root", "n").alias("core"), F.max("n").alias("n_core"), (F.sum("n") - F.max("n")).alias("n_rest"))
-    cores = write(cores, "cores")
-    marks = write(tokens(once.join(rest.select("key").distinct(), "key", "left_semi"), size), "tokens")
-    rest = rest.drop("n").join(cores, "band").join(marks, "key")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / _BLOCK)).cast("int")
+    same = several(placed, F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("same"), F.count(F.lit(1)).alias("texts"))
+    rest = write(placed.join(same.groupBy("same", "texts").agg(F.min("band").alias("band")).select("band"), "band"), "rest")
+    cores = rest.groupBy("band", "root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
+    cores = cores.groupBy("band").agg(F.max(F.struct("texts", "root", "n")).alias("core"), F.sum("texts").alias("texts"), F.sum("n").alias("n"))
+    blocks = lambda texts, n: F.greatest(F.lit(1), F.ceil(texts / _BLOCK), F.ceil(n / _TOKENS)).cast("int")
+    of_core, of_rest = blocks(F.col("core.texts"), F.col("core.n")), blocks(F.col("texts") - F.col("core.texts"), F.col("n") - F.col("core.n"))
+    cores = write(cores.select("band", F.col("core.root").alias("core"), of_core.alias("core_blocks"), of_rest.alias("rest_blocks")), "cores")
+    rest = rest.drop("n").join(cores, "band").join(marks.select("key", "tokens"), "key")
     in_core = F.col("root") == F.col("core")
-    own = F.pmod(F.xxhash64("key"), F.when(in_core, blocks("n_core")).otherwise(blocks("n_rest"))).cast("int")
+    own = F.pmod(F.xxhash64("key"), F.when(in_core, F.col("core_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
     # Blocks of the core have negative numbers, -1 and below.
     rest = rest.withColumn("own", F.when(in_core, -1 - own).otherwise(own))
-    others = F.sequence(F.lit(0), blocks("n_rest") - 1)
-    rest = rest.withColumn("other", F.explode(F.when(in_core, others).otherwise(F.concat(others, F.sequence(-blocks("n_core"), F.lit(-1))))))
+    others = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
+    rest = rest.withColumn("other", F.explode(F.when(in_core, others).otherwise(F.concat(others, F.sequence(-F.col("core_blocks"), F.lit(-1))))))
     tiles = rest.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "tokens")
-    crossed = tiles.groupBy("band", "i", "j").applyInPandas(lambda rows: _close(rows, least), "a binary, b binary").distinct()
-    crossed = write(crossed.join(stars, ["a", "b"], "left_anti"), "crossed")
-    if not crossed.isEmpty():
-        more = write(verified(crossed, once, size, least), "links")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    more = write(tiles.groupBy("band", "i", "j").applyInPandas(lambda rows: _close(rows, least), "a binary, b binary").distinct(), "links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     named = ids.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = write(named, "named")
     whole = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("n").alias("n_alike"))

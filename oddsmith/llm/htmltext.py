@@ -2,8 +2,9 @@
 
 A page is the sequence of its leaf blocks. Hashed vectors of the tag path and of the words go
 through a bidirectional LSTM in numpy, so each block is judged in the context of the whole
-page. The network is trained here, on a bounded sample of pages and on generated layouts, with
-labels from markup rules; it is small enough to be broadcast.
+page. The network is trained here, on generated layouts whose truth is known, then on a bounded
+sample of the pages themselves, with its own labels and with those of blocks that recur from
+page to page; it is small enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +26,7 @@ from oddsmith.llm.textvec import words
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|svg|iframe|object|textarea|title|math)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"
+    r"|<(script|style|template|iframe|textarea|title)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)"
     r"|(<?[^<]*)",
@@ -40,17 +42,18 @@ BLOCK = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-APART = frozenset("nav footer aside form button select option label fieldset legend dialog menu search input".split())
-CUES = frozenset(
+# Class, id and role words of the boxes in generated layouts, and of frames around an article.
+CUES = (
     "nav navbar navigation menu breadcrumb breadcrumbs masthead topbar banner footer sidebar aside widget ad ads advert adverts advertisement "
     "advertising adsense sponsor sponsored promo promoted promotion cookie cookies consent notice gdpr alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations more comment comments "
     "disqus respond reply replies discussion search pagination pager toolbar skip legal copyright disclaimer complementary contentinfo "
-    "form poll survey feedback tracking hidden".split()
-)
-MAIN = frozenset("article main".split())
+    "form poll survey feedback tracking hidden header"
+).split()
+FRAMES = "content article story post entry main body text page wrapper container".split()
 
-_PATH, _WORDS, _FACTS = 32, 16, 8
+_PATH, _WORDS, _FACTS = 512, 16, 5
+_NEAR = 48  # elements above a block that its path vector takes in, the nearest ones
 INPUTS = _PATH + _WORDS + _FACTS
 
 
@@ -64,42 +67,51 @@ class Blocks:
 
 
 def blocks(page: str) -> Blocks:
-    """Splits a page into leaf blocks in page order; scripts, styles and comments leave none."""
+    """Splits a page into leaf blocks in page order; scripts, styles, drawings and comments leave none."""
     out, stack, parts = Blocks(), [], []
+    inside: Counter[str] = Counter()
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
-                linked = sum(len(p) for p, inside in parts if inside)
+                linked = sum(len(p) for p, link in parts if link)
                 out.texts.append(text)
-                out.paths.append(tuple(t for _, own in stack for t in own))
+                out.paths.append(tuple(t for _, own in stack[-_NEAR:] for t in own))
                 out.links.append(linked / max(1, sum(len(p) for p, _ in parts)))
             parts.clear()
 
-    anchors = 0
+    def leave(at: int) -> None:
+        for name, _ in stack[at:]:
+            inside[name] -= 1
+        del stack[at:]
+
+    def last(name: str) -> int:
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+
     for hit in _TOKEN.finditer(page):
         _, closing, name, attributes, text = hit.groups()
         if text is not None:
-            if text:
-                parts.append((html.unescape(text), anchors > 0))
+            if text and not inside["svg"]:
+                parts.append((html.unescape(text), inside["a"] > 0))
             continue
         if name is None:
             continue
         name = name.lower()
         if name in BLOCK:
             flush()
+            if inside["svg"]:  # a drawing that was never closed ends here
+                leave(last("svg"))
         elif name == "br":
-            parts.append((" ", anchors > 0))
+            parts.append((" ", inside["a"] > 0))
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                del stack[at:]
+            if inside[name]:
+                leave(last(name))
         elif name not in VOID:
             if name in BLOCK:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p" or stack[i][0] in CLOSES.get(name, ()):
-                        del stack[i:]
+                        leave(i)
                         break
                     if stack[i][0] in BLOCK:
                         break
@@ -108,75 +120,39 @@ def blocks(page: str) -> Blocks:
                 own += [f"{kind[0].lower()}={t}" for t in re.split(r"[^a-z0-9]+", "".join(values).lower()) if t]
             if not attributes.rstrip().endswith("/") or name in BLOCK:
                 stack.append((name, own))
-        anchors = sum(n == "a" for n, _ in stack) if name == "a" or closing else anchors
+                inside[name] += 1
     flush()
     return out
 
 
-def cues(path: tuple[str, ...]) -> tuple[int, int, int]:
-    """Whether a path lies in an article, in an element apart from it, and under a cue word."""
-    inside = apart = cue = 0
-    for token in path:
-        kind, _, word = token.rpartition("=")
-        if not kind:
-            inside |= word in MAIN
-            apart |= word in APART or (word == "header" and not inside)
-        else:
-            inside |= kind == "r" and word in MAIN
-            cue |= word in CUES or (word == "header" and not inside)
-    return int(inside), int(apart), int(cue)
-
-
-def rule_labels(page: Blocks) -> np.ndarray:
-    """Labels for training: text of an article apart from its boxes, or of the page if it has none."""
-    marks = [cues(p) for p in page.paths]
-    if any(m[0] and not (m[1] or m[2]) for m in marks):
-        return np.array([m[0] and not (m[1] or m[2]) for m in marks], float)
-    return np.array([not (m[1] or m[2]) and link < 0.5 for m, link in zip(marks, page.links, strict=True)], float)
-
-
-_known: dict[tuple[str, ...], np.ndarray] = {}
-
-
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    found = _known.get(path)
-    if found is None:
-        found = np.zeros(_PATH + 3)
-        for token in path:
-            mark = zlib.crc32(token.encode())
-            found[mark % _PATH] += 1 if mark >> 16 & 1 else -1
-        found = np.clip(found, -2, 2) / 2
-        found[_PATH:] = cues(path)
-        if len(_known) > 20_000:
-            _known.clear()
-        _known[path] = found
-    return found
+    found = np.zeros(_PATH)
+    for token in path:
+        mark = zlib.crc32(token.encode())
+        found[mark % _PATH] += 1 if mark >> 16 & 1 else -1
+    return np.clip(found, -2, 2)
 
 
-def vectors(pages: list[Blocks]) -> list[np.ndarray]:
-    """A matrix (blocks by INPUTS) for each page; word vectors are made for all pages at once."""
+def rests(pages: list[Blocks]) -> list[np.ndarray]:
+    """What the network reads beside the paths: word vectors and facts of each block, page by page."""
     texts = [t for p in pages for t in p.texts]
     w = words(pa.array(texts, pa.string()), lower=True)
-    hashed = np.zeros((len(texts), _WORDS))
     sign = np.where(w.hashes >> np.uint64(32) & np.uint64(1), 1.0, -1.0)
     flat = np.bincount(w.row * _WORDS + (w.hashes % np.uint64(_WORDS)).astype(np.int64), sign, len(texts) * _WORDS)
-    hashed = flat.reshape(-1, _WORDS) / np.sqrt(np.maximum(w.per_row, 1))[:, None] / 3
-    out, at = [], 0
-    for page in pages:
-        n = len(page.texts)
-        x = np.zeros((n, INPUTS))
-        if n:
-            paths = np.stack([_path_vector(p) for p in page.paths])
-            x[:, :_PATH], x[:, _PATH : _PATH + _WORDS] = paths[:, :_PATH], hashed[at : at + n]
-            x[:, -8:-5] = paths[:, _PATH:]
-            x[:, -5] = np.minimum(np.log1p(w.per_row[at : at + n]) / 4, 2)
-            x[:, -4] = page.links
-            x[:, -3] = [t[-1] in ".!?" for t in page.texts]
-            x[:, -2] = paths[:, _PATH].max()  # the page has an article
-            x[:, -1] = 1
-        out.append(x)
-        at += n
-    return out
+    x = np.zeros((len(texts), _WORDS + _FACTS))
+    x[:, :_WORDS] = flat.reshape(-1, _WORDS) / np.sqrt(np.maximum(w.per_row, 1))[:, None] / 3
+    x[:, -5] = np.minimum(np.log1p(w.per_row) / 4, 2)
+    x[:, -4] = [v for p in pages for v in p.links]
+    x[:, -3] = [t[-1] in ".!?" for t in texts]
+    x[:, -2] = [any("0" <= c <= "9" for c in t) for t in texts]
+    x[:, -1] = 1
+    return np.split(x, np.cumsum([len(p.texts) for p in pages])[:-1]) if pages else []
+
+
+def vectors(pages: list[Blocks]) -> list[np.ndarray]:
+    """A matrix (blocks by INPUTS) for each page."""
+    paths = [np.array([_path_vector(p) for p in page.paths]).reshape(-1, _PATH) for page in pages]
+    return [np.concatenate([a, b], 1) for a, b in zip(paths, rests(pages), strict=True)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -191,21 +167,21 @@ class BiLstm:
         self.hidden = hidden
         self.w = {}
         for side in "fb":
-            self.w[f"x{side}"] = rng.normal(0, 0.3 / np.sqrt(INPUTS) * 3, (INPUTS, 4 * hidden))
+            self.w[f"x{side}"] = rng.normal(0, 0.15, (INPUTS, 4 * hidden))
             self.w[f"h{side}"] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden))
             bias = np.zeros(4 * hidden)
             bias[hidden : 2 * hidden] = 1
             self.w[f"b{side}"] = bias
         self.w["o"] = rng.normal(0, 0.3, (2 * hidden, 1))
         self.w["c"] = np.zeros(1)
+        self.known: dict[tuple[str, ...], np.ndarray] = {}  # a path's part of the gates
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, side: str) -> list[tuple]:
-        """One direction over a batch (steps, pages, inputs); masked steps carry the state on."""
+    def _run(self, gates: np.ndarray, mask: np.ndarray, side: str) -> list[tuple]:
+        """One direction over a batch (steps, pages, 4 hidden); masked steps carry the state on."""
         n = self.hidden
-        h, c = (np.zeros((x.shape[1], n)) for _ in range(2))
-        gates = x @ self.w[f"x{side}"] + self.w[f"b{side}"]
-        steps: list[tuple] = [()] * len(x)
-        for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
+        h, c = (np.zeros((gates.shape[1], n)) for _ in range(2))
+        steps: list[tuple] = [()] * len(gates)
+        for t in range(len(gates)) if side == "f" else range(len(gates) - 1, -1, -1):
             z = gates[t] + h @ self.w[f"h{side}"]
             i, f, o = (_sigmoid(z[:, k * n : (k + 1) * n]) for k in (0, 1, 2))
             g = np.tanh(z[:, 3 * n :])
@@ -218,7 +194,11 @@ class BiLstm:
         return steps
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        runs = {s: self._run(x, mask, s) for s in "fb"}
+        """One logit a step from a batch of inputs, or of `gates` (steps, pages, 8 hidden)."""
+        if x.shape[2] == INPUTS:
+            x = np.concatenate([x @ self.w[f"x{s}"] + self.w[f"b{s}"] for s in "fb"], 2)
+        n = 4 * self.hidden
+        runs = {s: self._run(x[:, :, k * n : (k + 1) * n], mask, s) for k, s in enumerate("fb")}
         both = np.concatenate([np.stack([st[7] for st in runs[s]]) for s in "fb"], 2)
         out = (both @ self.w["o"])[:, :, 0] + self.w["c"]
         return (out, runs, both) if keep else out
@@ -268,8 +248,25 @@ class BiLstm:
                     second[k] = 0.99 * second[k] + 0.01 * g * g
                     self.w[k] = self.w[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
 
-    def main_blocks(self, xs: list[np.ndarray], batch: int = 64) -> list[np.ndarray]:
+    def gates(self, pages: list[Blocks]) -> list[np.ndarray]:
+        """What each block adds to the gates of both directions. Paths recur, so their part is remembered."""
+        weights = np.concatenate([self.w["xf"], self.w["xb"]], 1)
+        bias = np.concatenate([self.w["bf"], self.w["bb"]])
+        out = []
+        for page, rest in zip(pages, rests(pages), strict=True):
+            for path in page.paths:
+                if path not in self.known:
+                    if len(self.known) > 20_000:
+                        self.known.clear()
+                    self.known[path] = _path_vector(path) @ weights[:_PATH] + bias
+            found = [self.known.get(p) for p in page.paths]
+            found = [_path_vector(p) @ weights[:_PATH] + bias if f is None else f for p, f in zip(page.paths, found, strict=True)]
+            out.append(np.array(found).reshape(-1, len(bias)) + rest @ weights[_PATH:])
+        return out
+
+    def main_blocks(self, pages: list[Blocks], batch: int = 64) -> list[np.ndarray]:
         """For each page, which blocks belong to the main text; pages of like length run together."""
+        xs = self.gates(pages)
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(xs)
         order = [i for i in np.argsort([len(x) for x in xs], kind="stable") if len(xs[i])]
         while order:
@@ -284,79 +281,149 @@ class BiLstm:
 
 def padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(x) for x in xs)
-    x, mask = np.zeros((steps, len(xs), INPUTS)), np.zeros((steps, len(xs)), bool)
+    x, mask = np.zeros((steps, len(xs), xs[0].shape[1])), np.zeros((steps, len(xs)), bool)
     for b, page in enumerate(xs):
         x[: len(page), b], mask[: len(page), b] = page, True
     return x, mask
 
 
+_TRUE = "\u2063"  # an invisible character in the main text of generated layouts
+
+
 def layouts(words_: list[str], n: int, seed: int) -> list[str]:
-    """Generated pages: an article among boxes of many kinds, some of them inside it."""
+    """Generated pages: an article among boxes of many kinds, some of them inside it; its own text holds _TRUE."""
     rng = np.random.default_rng(seed)
-    say = lambda lo, hi: " ".join(rng.choice(words_, int(rng.integers(lo, hi))))
-    para = lambda: f"<p>{say(3, 60)}.</p>"
-    link = lambda: f'<a href="/x">{say(1, 4)}</a>'
-    plain = sorted(CUES)
-    prefixes = ("", "site-", "page-", "main-", "global-", "js-", "block-")
+    plain = lambda lo, hi: " ".join(rng.choice(words_, int(rng.integers(lo, hi))))
+    pick = lambda *x: x[rng.integers(len(x))]
+    main = lambda lo, hi: _TRUE + plain(lo, hi)
+    prefixes = ("", "", "site-", "page-", "main-", "global-", "js-", "block-", "article-", "post-")
+    link = lambda text: f'<a href="/x">{text}</a>'
+
+    def name(words: list[str]) -> str:
+        word = str(rng.choice(words))
+        return str(rng.choice(prefixes)) + word if rng.random() < 0.8 else word + "-" + pick("box", "list", "wrap", "inner", "area")
+
+    def inner() -> str:
+        para = lambda: f"<p>{plain(3, 60)}{pick('.', '.', '', '!')}</p>"
+        kinds = (
+            lambda: "<ul>" + "".join(f"<li>{link(plain(1, 4))}</li>" for _ in range(rng.integers(2, 7))) + "</ul>",
+            para,
+            lambda: f"<h3>{plain(1, 5)}</h3>{para()}",
+            lambda: "".join(f"<div class='item'><b>{plain(1, 3)}</b>{para()}</div>" for _ in range(rng.integers(1, 4))),
+            lambda: plain(2, 20),
+            lambda: f"<span>{plain(2, 8)}</span> {link(plain(1, 4))}",
+            lambda: f"<p>{plain(2, 9)}</p><p>{plain(20, 90)}.</p><p>{plain(20, 60)}.</p>",
+        )
+        return pick(*kinds)()
 
     def box() -> str:
-        inner = [lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.integers(2, 7))) + "</ul>", para, lambda: f"<h3>{say(1, 5)}</h3>{para()}", lambda: say(2, 20), lambda: f"<span>{say(2, 8)}</span> {link()}"][rng.integers(5)]()
-        kind = rng.integers(4)
-        if kind == 0:
-            tag = str(rng.choice(["nav", "footer", "aside", "header", "form", "dialog", "menu", "button"]))
-            return f"<{tag}>{inner}</{tag}>"
-        name = str(rng.choice(prefixes)) + str(rng.choice(plain)) if rng.random() < 0.8 else str(rng.choice(plain)) + "-" + str(rng.choice(["box", "list", "wrap", "inner", "area"]))
-        tag = str(rng.choice(["div", "section", "ul", "aside", "p", "div"]))
-        attribute = str(rng.choice(["class", "class", "id", "role"]))
-        return f'<{tag} {attribute}="{name}">{inner}</{tag}>'
-
-    def body() -> str:
-        kinds = [para, para, para, para, lambda: f"<h2>{say(1, 8)}</h2>", lambda: "<ul>" + "".join(f"<li>{say(2, 15)}</li>" for _ in range(rng.integers(1, 5))) + "</ul>", lambda: f"<blockquote>{say(5, 30)}</blockquote>", lambda: f"<p>{say(2, 20)} {link()} {say(2, 9)}.</p>", lambda: f"<p>{say(1, 2)}.</p>", lambda: f"<p>{link()}</p>", lambda: f"<div>{para()}</div>", lambda: f"<section>{para()}{para()}</section>"]
-        return "".join(box() if rng.random() < 0.12 else kinds[rng.integers(len(kinds))]() for _ in range(rng.integers(1, 14)))
-
+        if rng.random() < 0.3:
+            tag = pick("nav", "footer", "aside", "header", "form", "dialog", "menu", "button", "fieldset")
+            attribute = f' class="{name(FRAMES)}"' if rng.random() < 0.2 else ""
+            return f"<{tag}{attribute}>{inner()}</{tag}>"
+        tag = pick("div", "section", "ul", "aside", "p", "div", "div")
+        return f'<{tag} {pick("class", "class", "id", "role")}="{name(CUES)}">{inner()}</{tag}>'
+
+    def body(depth: int = 0) -> str:
+        para = lambda: f"<p>{main(3, 60)}{pick('.', '.', '', '?')}</p>"
+        kinds = (
+            para, para, para, para, para,
+            lambda: f"<h2>{main(1, 8)}</h2>",
+            lambda: "<ul>" + "".join(f"<li>{main(2, 15)}</li>" for _ in range(rng.integers(1, 5))) + "</ul>",
+            lambda: "<ol>" + "".join(f"<li>{link(main(2, 15))}</li>" for _ in range(rng.integers(1, 4))) + "</ol>",
+            lambda: f"<blockquote>{main(5, 30)}</blockquote>",
+            lambda: f"<p>{main(2, 20)} {link(plain(1, 4))} {plain(2, 9)}.</p>",
+            lambda: f"<p><b>{main(2, 20)}<br><p>{main(2, 20)}</p>",
+            lambda: f"<p>{main(1, 2)}.</p>",
+            lambda: f"<p>{link(main(1, 6))}</p>",
+            lambda: f"<div>{para()}</div>",
+            lambda: f'<div class="{name(FRAMES)}">{para()}{para()}</div>',
+            lambda: f"<section>{para()}{para()}</section>",
+            lambda: f"<table><tr><th>{main(1, 3)}</th></tr><tr><td>{main(1, 6)}</td><td>{main(1, 6)}</td></tr></table>",
+            lambda: f"<figure><figcaption>{main(2, 9)}</figcaption></figure>",
+            lambda: f"<pre>{main(2, 9)}</pre>",
+            lambda: f"<p>{main(1, 4)} <math><mi>{plain(1, 2)}</mi></math></p>",
+            lambda: f"<noscript><p>{main(3, 9)}</p></noscript>",
+        )
+        return "".join(box() if rng.random() < 0.12 else pick(*kinds)() for _ in range(rng.integers(1, 14)))
+
+    def head() -> str:
+        kinds = (lambda: f"<header><h1>{main(2, 10)}</h1></header>", lambda: f"<h1>{main(2, 10)}</h1>", lambda: f"<h1>{main(2, 10)}</h1>", lambda: "")
+        return pick(*kinds)()
+
+    frames = (
+        ("<article>", "</article>"), ("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div role="main">', "</div>"), ("<main><article>", "</article></main>"), ("<div>", "</div>"),
+    )
     pages = []
     for _ in range(n):
-        frame = [("<article>", "</article>"), ("<main>", "</main>"), ('<div role="main">', "</div>"), ("<main><article>", "</article></main>"), ("<div>", "</div>")][rng.choice(5, p=[0.45, 0.2, 0.1, 0.15, 0.1])]
-        head = f"<header><h1>{say(2, 10)}</h1></header>" if rng.random() < 0.2 else f"<h1>{say(2, 10)}</h1>"
-        around = lambda: "".join(box() for _ in range(rng.integers(0, 4)))
-        pages.append(f"<html><body>{around()}{frame[0]}{head}{body()}{frame[1]}{around()}</body></html>")
+        opened, closed = pick(*frames)
+        if rng.random() < 0.25:  # an article by its class alone, or one that has a class too
+            opened = pick(f'<div class="{name(FRAMES)}">', f'<article class="{name(FRAMES)}">', f'<section id="{name(FRAMES)}">')
+            closed = f"</{opened[1:].split(' ')[0]}>"
+        # Names on the page's own frame say nothing about what is in it.
+        outer = f' class="{pick("has", "with", "no")}-{rng.choice(CUES)}"' if rng.random() < 0.3 else ""
+        wrap = pick(("", ""), ("", ""), ("<div>", "</div>"), (f'<div class="{name(FRAMES)}">', "</div>"), (f'<div class="{pick("has", "with")}-{rng.choice(CUES)}">', "</div>"))
+        around = lambda: "".join(box() for _ in range(rng.integers(0, 5)))
+        pages.append(f"<html><body{outer}>{around()}{wrap[0]}{opened}{head()}{body()}{closed}{wrap[1]}{around()}</body></html>")
     return pages
 
 
-def trained(pages: list[str], generated: int = 500, most_steps: int = 120) -> BiLstm:
-    """Fits the labeller on sampled pages and generated layouts; long pages by pieces."""
-    own = [b for b in map(blocks, pages) if b.texts]
+def truth(page: Blocks) -> np.ndarray:
+    """Labels of a generated page; the marks are taken out of its texts."""
+    y = np.array([_TRUE in t for t in page.texts], float)
+    page.texts[:] = [t.replace(_TRUE, "") or "-" for t in page.texts]
+    return y
+
+
+def recurring(pages: list[Blocks], least: int = 3) -> list[np.ndarray]:
+    """Which blocks of each page lie on a path most of whose texts stand on `least` pages or more."""
+    on = Counter(t for p in pages for t in set(p.texts))
+    often: dict[tuple[str, ...], list[bool]] = {}
+    for page in pages:
+        for path, text in zip(page.paths, page.texts, strict=True):
+            often.setdefault(path, []).append(on[text] >= least)
+    return [np.array([2 * sum(often[p]) > len(often[p]) for p in page.paths], bool) for page in pages]
+
+
+def trained(pages: list[str], generated: int = 600, most_steps: int = 120, epochs: int = 20) -> BiLstm:
+    """Fits the labeller on generated layouts, then on these and sampled pages; long pages by pieces.
+
+    A sampled page takes the first fit's labels, but a block that recurs on other pages is no main text.
+    """
+    own = [b for b in map(blocks, dict.fromkeys(pages)) if b.texts]
     vocabulary = sorted({w for b in own for t in b.texts for w in t.split()})[:5000] or ["text"]
-    every = own + [blocks(p) for p in layouts(vocabulary, generated, 11)]
-    xs, ys = [], []
-    for page, x in zip(every, vectors(every), strict=True):
-        y = rule_labels(page)
-        for lo in range(0, len(x), most_steps):
-            xs.append(x[lo : lo + most_steps])
-            ys.append(y[lo : lo + most_steps])
+    made = [blocks(p) for p in layouts(vocabulary, generated, 11)]
+    known = [truth(b) for b in made]
+    pieces = lambda xs: [x[lo : lo + most_steps] for x in xs for lo in range(0, len(x), most_steps)]
+    xs, ys = pieces(vectors(made)), pieces(known)
     model = BiLstm()
-    model.fit(xs, ys)
+    model.fit(xs, ys, epochs=epochs)
+    if own:
+        guessed = [np.where(again, 0.0, found.astype(float)) for found, again in zip(model.main_blocks(own), recurring(own), strict=True)]
+        model.fit(xs + pieces(vectors(own)), ys + pieces(guessed), epochs=3, rate=0.003)
+        model.known.clear()
     return model
 
 
-def main_text(pages: DataFrame, sample: int = 200) -> DataFrame:
+def main_text(pages: DataFrame, sample: int = 200, most_chars: int = 1 << 18) -> DataFrame:
     """page_id, url, text, n_chars for every row of `pages`; null or empty html gives an empty text.
 
-    The labeller is fitted on the `sample` pages of least id hash; every page is labelled. Blocks
-    are joined by newlines, in page order; white space within a block becomes one space.
+    The labeller is fitted on the `sample` pages of least id hash (then id and html), whole ones,
+    among those of at most `most_chars` characters; every page is labelled, whatever its length.
+    Blocks are joined by newlines, in page order; white space within a block becomes one space.
+    Repeated rows give repeated rows, other columns are left out, an empty table gives none.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    ids = rows.filter("html is not null").select("page_id").orderBy(F.xxhash64(F.lit(7), "page_id"), "page_id").limit(sample)
-    chosen = rows.filter("html is not null").join(F.broadcast(ids.distinct()), "page_id", "left_semi")  # `sample` ids at most
-    some = [r[0] for r in chosen.select(F.substring("html", 1, 1 << 16)).limit(2 * sample).collect()]  # for training alone
-    at = pages.sparkSession.sparkContext.broadcast(trained(sorted(some)[:sample]).w)
+    short = rows.filter(F.col("html").isNotNull() & (F.length("html") <= most_chars))
+    some = short.orderBy(F.xxhash64(F.lit(7), "page_id"), "page_id", F.md5("html")).select("html").limit(sample).collect()  # for training alone
+    at = pages.sparkSession.sparkContext.broadcast(trained([r[0] for r in some]).w)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = BiLstm()
         model.w = at.value
         for batch in slices(batches, "html", 1 << 21):
             split = [blocks(v.as_py() or "") for v in batch.column("html")]
-            texts = ["\n".join(t for t, good in zip(p.texts, keep, strict=True) if good) for p, keep in zip(split, model.main_blocks(vectors(split)), strict=False)]
+            texts = ["\n".join(t for t, good in zip(p.texts, keep, strict=True) if good) for p, keep in zip(split, model.main_blocks(split), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

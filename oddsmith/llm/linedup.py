@@ -60,6 +60,13 @@ def marked(docs: DataFrame, least_words: int, whole: bool, write: Scratch) -> tu
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("hash"), F.col("text").cast("string").alias("text"))
     lines = write(line_table(texts), "lines")
+    # A row that occurs again has its lines again: such documents, few as a rule, count once.
+    twice = lines.filter("seq = 0").groupBy("doc_id", "hash").count().filter("count > 1")
+    if not twice.isEmpty():
+        twice = write(twice.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__h")), "twice")
+        same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h"))
+        once = lines.join(twice, same, "left_semi").dropDuplicates([*_PLACE])
+        lines = write(lines.join(twice, same, "left_anti").unionByName(once), "once")
     again = write(lines.groupBy("line").count().filter("count > 1").select("line"), "again")
     # Written before it is grouped: a very frequent line's join partition can then be split.
     lines = write(lines.join(again, "line"), "repeated")
@@ -110,10 +117,13 @@ def deduplicated(docs: DataFrame, least_words: int = 5, whole: bool = True) -> D
     by_doc = written(by_doc.withColumnsRenamed({"doc_id": "__id", "hash": "__hash", "longest_copy": "__longest"}), "by-doc")
     write.clear()
     out = docs.join(by_doc, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (text_key("text") == F.col("__hash")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
+    # Lines are split once, and the places that stay come from one hashed difference.
+    split = F.array(F.struct(F.split("text", "\n").alias("x"), F.col("__gone").alias("gone")))
+    places = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s["x"]) - 1), s["gone"])
+    kept = F.transform(split, lambda s: F.array_join(F.transform(places(s), lambda i: F.get(s["x"], i)), "\n"))[0]
     added = {"n_lines": F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(F.split("text", "\n"))), "n_deleted": F.coalesce(F.size("__gone"), F.lit(0))}
     if whole:
         added["longest_copy"] = F.coalesce("__longest", F.lit(0))
-    added["text"] = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    added["text"] = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "longest_copy") or (c == "longest_copy" and not whole)]
     return out.select(*[(added["text"].alias("text") if c == "text" else docs[c]) for c in names], *[v.alias(k) for k, v in added.items() if k != "text"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import uniform
+from oddsmith.llm.common import uniform, written
 
 _SMALL = 10_000  # sources whose rates may be broadcast; beyond it the join is shuffled
 _STEP = 200.0  # largest mean that is inverted at once: a larger one is a sum of equal parts
@@ -47,6 +47,25 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     return sizes.join(F.broadcast(total)).select("source", "n_docs", F.coalesce(share, F.lit(0.0)).alias("rate"))  # one row
 
 
+def named(docs: DataFrame, key: str) -> DataFrame:
+    """`docs` with `__key`: `key` as text where it is unique, and a text of its own for each other row.
+
+    Rows of null or repeated keys, few as a rule, get a hash of all their columns; equal rows of
+    them are counted first and then numbered from 1, so no group of copies is numbered by one task.
+    """
+    plain = F.col(key).cast("string").alias("__key")
+    again = docs.groupBy(F.col(key).alias("__again")).count().filter("count > 1 or __again is null").select("__again")
+    if again.isEmpty():
+        return docs.select("*", plain)
+    again = written(again, "again")
+    same = docs[key].eqNullSafe(again["__again"])
+    equal = docs.join(again, same, "left_semi").groupBy(*docs.columns).agg(F.count(F.lit(1)).alias("__n"))
+    marks = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in docs.columns]
+    nth = equal.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
+    each = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.md5(F.concat_ws(":", *marks)), F.col("__nth").cast("string"))
+    return docs.join(again, same, "left_anti").select("*", plain).unionByName(nth.select(*docs.columns, each.alias("__key")))
+
+
 def mixed(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -57,11 +76,14 @@ def mixed(
     """Every document as often as a Poisson number says, all of them in shuffled order.
 
     The number inverts the Poisson distribution with the source's rate at a hash of the seed and
-    `key`, so it is the same in every run, and equal for rows of equal `key`; `copy` counts from 1
+    `key`, so it is the same in every run. Rows of null or repeated keys have draws of their own,
+    by all their columns and their number among equal rows. `copy` counts from 1
     and replaces a column of that name. Rows are dealt over partitions, and ordered within each,
     by another hash. An empty table stays empty.
     """
+    names = docs.columns
     by_source = rates(docs, weights, temperature)
+    docs, key = named(docs, key), "__key"
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / _STEP)).cast("int")
     by_source = by_source.select(
         F.col("source").alias("__source"), parts.alias("__parts"), _cdf(F.col("rate") / parts).alias("__cdf")
@@ -81,5 +103,5 @@ def mixed(
     )
     copies = counted.filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     ordered = copies.withColumn("__order", F.xxhash64(F.lit(seed), F.lit("order"), F.col(key), F.col("copy")))
-    columns = [*(c for c in docs.columns if c != "copy"), "copy"]
+    columns = [*(c for c in names if c != "copy"), "copy"]
     return ordered.repartition("__order").sortWithinPartitions("__order").select(*columns)

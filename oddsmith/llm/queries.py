@@ -48,7 +48,7 @@ def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linedup.deduplicated(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "text", "n_lines", "n_deleted")
+    return found.select("doc_id", "text", "n_lines", "n_deleted", "longest_copy")
 
 
 def op7_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +101,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 """
 
 # Windows of one to five lines in place of ranks: a shortest run of five words has no more lines.
+# Windows of powers of two lines give the longest copy.
 OP6_SQL = r"""
 WITH docs AS (SELECT DISTINCT doc_id, text, md5(text) AS hash FROM documents WHERE text IS NOT NULL),
 split AS (
@@ -117,14 +118,23 @@ runs AS (
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY m, md5(run), len(run) ORDER BY doc_id NULLS LAST, hash, seq) AS nth FROM runs),
 gone AS (SELECT DISTINCT doc_id, hash, unnest(poss) AS pos FROM placed WHERE nth > 1),
-lists AS (SELECT doc_id, hash, list(pos) AS gone FROM gone GROUP BY doc_id, hash)
+lists AS (SELECT doc_id, hash, list(pos) AS gone FROM gone GROUP BY doc_id, hash),
+powers AS (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS m),
+copies AS (
+  SELECT m, a.doc_id, a.hash, a.seq, md5(string_agg(md5(b.line), ',' ORDER BY b.seq)) AS run
+  FROM powers, lines a JOIN lines b ON b.doc_id IS NOT DISTINCT FROM a.doc_id AND b.hash = a.hash AND b.seq >= a.seq AND b.seq < a.seq + m
+  GROUP BY m, a.doc_id, a.hash, a.seq HAVING count(*) = m),
+longest AS (
+  SELECT doc_id, hash, max(m) AS run FROM (
+    SELECT *, row_number() OVER (PARTITION BY m, run ORDER BY doc_id NULLS LAST, hash, seq) AS nth FROM copies) WHERE nth > 1 GROUP BY 1, 2)
 SELECT d.doc_id,
   CASE WHEN g.gone IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(
     list_zip(string_split(d.text, chr(10)), range(0, len(string_split(d.text, chr(10))))),
     lambda p: NOT list_contains(g.gone, p[2])), lambda p: p[1]), chr(10)) END AS text,
   (CASE WHEN d.text IS NULL OR d.text = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END)::INTEGER AS n_lines,
-  coalesce(len(g.gone), 0)::INTEGER AS n_deleted
+  coalesce(len(g.gone), 0)::INTEGER AS n_deleted, coalesce(l.run, 0)::INTEGER AS longest_copy
 FROM documents d LEFT JOIN lists g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND md5(d.text) = g.hash
+LEFT JOIN longest l ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND md5(d.text) = l.hash
 """
 
 # The Poisson distribution is inverted by adding up its terms until they pass the hash.
@@ -135,10 +145,13 @@ rates AS (
 cdf AS (
   SELECT source, list_transform(range(0, 80), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1))))) AS c
   FROM rates),
+named AS (
+  SELECT *, CASE WHEN doc_id IS NOT NULL AND count(*) OVER (PARTITION BY doc_id) = 1 THEN doc_id::VARCHAR ELSE coalesce(doc_id::VARCHAR, 'null') || ':' ||
+    md5(concat_ws(':', coalesce('=' || doc_id, '-'), coalesce('=' || text, '-'), coalesce('=' || lang, '-'), coalesce('=' || source, '-'), coalesce('=' || n_chars, '-'))) || ':' ||
+    row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) END AS key FROM documents),
 counted AS (
-  SELECT d.*, len(list_filter(c.c, lambda x: x <
-    (('0x' || substr(md5('17:count:0:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5) / 281474976710656.0)) AS times
-  FROM documents d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source)
+  SELECT d.*, len(list_filter(c.c, lambda x: x < (('0x' || substr(md5('17:count:0:' || key), 1, 12))::BIGINT + 0.5) / 281474976710656.0)) AS times
+  FROM named d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, times + 1))::INTEGER AS copy FROM counted WHERE times > 0
 """
 
