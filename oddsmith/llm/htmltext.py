@@ -115,9 +115,9 @@ def blocks(page: str) -> Blocks:
                         break
                     if stack[i][0] in BLOCK:
                         break
-            own = [name]
+            own, outer = [name], "page " if name in ("html", "body") else ""
             for kind, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
-                own += [f"{kind[0].lower()}={t}" for t in re.split(r"[^a-z0-9]+", "".join(values).lower()) if t]
+                own += [f"{outer}{kind[0].lower()}={t}" for t in re.split(r"[^a-z0-9]+", "".join(values).lower()) if t]
             if not attributes.rstrip().endswith("/") or name in BLOCK:
                 stack.append((name, own))
                 inside[name] += 1
@@ -140,7 +140,7 @@ def rests(pages: list[Blocks]) -> list[np.ndarray]:
     sign = np.where(w.hashes >> np.uint64(32) & np.uint64(1), 1.0, -1.0)
     flat = np.bincount(w.row * _WORDS + (w.hashes % np.uint64(_WORDS)).astype(np.int64), sign, len(texts) * _WORDS)
     x = np.zeros((len(texts), _WORDS + _FACTS))
-    x[:, :_WORDS] = flat.reshape(-1, _WORDS) / np.sqrt(np.maximum(w.per_row, 1))[:, None] / 3
+    x[:, :_WORDS] = flat.reshape(-1, _WORDS) / np.maximum(w.per_row, 1)[:, None]
     x[:, -5] = np.minimum(np.log1p(w.per_row) / 4, 2)
     x[:, -4] = [v for p in pages for v in p.links]
     x[:, -3] = [t[-1] in ".!?" for t in texts]
@@ -176,20 +176,19 @@ class BiLstm:
         self.w["c"] = np.zeros(1)
         self.known: dict[tuple[str, ...], np.ndarray] = {}  # a path's part of the gates
 
-    def _run(self, gates: np.ndarray, mask: np.ndarray, side: str) -> list[tuple]:
-        """One direction over a batch (steps, pages, 4 hidden); masked steps carry the state on."""
+    def _run(self, gates: np.ndarray, mask: np.ndarray) -> list[tuple]:
+        """Both directions side by side over (steps, 2, pages, 4 hidden); masked steps carry the state on."""
         n = self.hidden
-        h, c = (np.zeros((gates.shape[1], n)) for _ in range(2))
-        steps: list[tuple] = [()] * len(gates)
-        for t in range(len(gates)) if side == "f" else range(len(gates) - 1, -1, -1):
-            z = gates[t] + h @ self.w[f"h{side}"]
-            i, f, o = (_sigmoid(z[:, k * n : (k + 1) * n]) for k in (0, 1, 2))
-            g = np.tanh(z[:, 3 * n :])
-            m = mask[t][:, None]
-            c1 = np.where(m, f * c + i * g, c)
+        h, c = (np.zeros((2, gates.shape[2], n)) for _ in range(2))
+        inner = np.stack([self.w["hf"], self.w["hb"]])
+        steps: list[tuple] = []
+        for z, m in zip(gates, mask[..., None], strict=True):
+            z = z + h @ inner
+            ifo, g = _sigmoid(z[..., : 3 * n]), np.tanh(z[..., 3 * n :])
+            c1 = np.where(m, ifo[..., n : 2 * n] * c + ifo[..., :n] * g, c)
             th = np.tanh(c1)
-            h1 = np.where(m, o * th, h)
-            steps[t] = (h, c, i, f, o, g, th, h1)
+            h1 = np.where(m, ifo[..., 2 * n :] * th, h)
+            steps.append((h, c, ifo, g, th, h1))
             h, c = h1, c1
         return steps
 
@@ -198,34 +197,40 @@ class BiLstm:
         if x.shape[2] == INPUTS:
             x = np.concatenate([x @ self.w[f"x{s}"] + self.w[f"b{s}"] for s in "fb"], 2)
         n = 4 * self.hidden
-        runs = {s: self._run(x[:, :, k * n : (k + 1) * n], mask, s) for k, s in enumerate("fb")}
-        both = np.concatenate([np.stack([st[7] for st in runs[s]]) for s in "fb"], 2)
+        # The second direction reads the steps from the last to the first.
+        steps = self._run(np.stack([x[:, :, :n], x[::-1, :, n:]], 1), np.stack([mask, mask[::-1]], 1))
+        found = np.stack([s[-1] for s in steps])
+        both = np.concatenate([found[:, 0], found[::-1, 1]], 2)
         out = (both @ self.w["o"])[:, :, 0] + self.w["c"]
-        return (out, runs, both) if keep else out
+        return (out, steps, both) if keep else out
 
     def _gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         n = self.hidden
-        out, runs, both = self.logits(x, mask, keep=True)
+        out, steps, both = self.logits(x, mask, keep=True)
         d = (_sigmoid(out) - y) * mask / mask.sum()
         g = {"o": np.einsum("tbh,tb->h", both, d)[:, None], "c": d.sum(keepdims=True).ravel()}
         back = d[:, :, None] * self.w["o"][:, 0]
+        back = np.stack([back[:, :, :n], back[::-1, :, n:]], 1)
+        masks = np.stack([mask, mask[::-1]], 1)[..., None]
+        inner = np.stack([self.w["hf"].T, self.w["hb"].T])
+        dh_next, dc_next = (np.zeros(back.shape[1:]) for _ in range(2))
+        dz = np.zeros((*back.shape[:3], 4 * n))
+        for t in range(len(x) - 1, -1, -1):
+            _, c, ifo, gg, th, _ = steps[t]
+            i, f, o = ifo[..., :n], ifo[..., n : 2 * n], ifo[..., 2 * n :]
+            dh = back[t] + dh_next
+            dc = dh * o * (1 - th**2) + dc_next
+            dz[t, ..., : 3 * n] = np.concatenate([dc * gg, dc * c, dh * th], -1) * ifo * (1 - ifo)
+            dz[t, ..., 3 * n :] = dc * i * (1 - gg**2)
+            dz[t] *= masks[t]
+            dh_next = np.where(masks[t], dz[t] @ inner, dh)
+            dc_next = np.where(masks[t], dc * f, dc_next)
+        before = np.stack([s[0] for s in steps])
         for k, side in enumerate("fb"):
-            dh_next, dc_next = np.zeros((x.shape[1], n)), np.zeros((x.shape[1], n))
-            dz = np.zeros((*x.shape[:2], 4 * n))
-            before = np.zeros((*x.shape[:2], n))
-            for t in range(len(x) - 1, -1, -1) if side == "f" else range(len(x)):
-                h, c, i, f, o, gg, th, _ = runs[side][t]
-                m = mask[t][:, None]
-                dh = back[t][:, k * n : (k + 1) * n] + dh_next
-                dc = np.where(m, dh * o * (1 - th**2), 0) + dc_next
-                parts = (dc * gg * i * (1 - i), dc * c * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - gg**2))
-                dz[t] = np.where(m, np.concatenate(parts, 1), 0)
-                before[t] = h
-                dh_next = np.where(m, dz[t] @ self.w[f"h{side}"].T, dh)
-                dc_next = np.where(m, dc * f, dc)
-            g[f"x{side}"] = np.einsum("tbi,tbj->ij", x, dz, optimize=True)
-            g[f"h{side}"] = np.einsum("tbi,tbj->ij", before, dz, optimize=True)
-            g[f"b{side}"] = dz.sum((0, 1))
+            mine = dz[:, k].reshape(-1, 4 * n)
+            g[f"x{side}"] = (x if side == "f" else x[::-1]).reshape(-1, INPUTS).T @ mine
+            g[f"h{side}"] = before[:, k].reshape(-1, n).T @ mine
+            g[f"b{side}"] = mine.sum(0)
         return g
 
     def fit(self, xs: list[np.ndarray], ys: list[np.ndarray], epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 3) -> None:
@@ -234,7 +239,9 @@ class BiLstm:
         step, total = 0, epochs * -(-len(xs) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(xs))
-            for lo in range(0, len(xs), batch):
+            # Pages of like length share a batch, so little of it is padding.
+            order = order[np.argsort([len(xs[i]) for i in order], kind="stable")]
+            for lo in rng.permutation(np.arange(0, len(xs), batch)):
                 some = order[lo : lo + batch]
                 x, mask = padded([xs[i] for i in some])
                 y = np.zeros(mask.shape)
@@ -292,19 +299,21 @@ _TRUE = "\u2063"  # an invisible character in the main text of generated layouts
 
 def layouts(words_: list[str], n: int, seed: int) -> list[str]:
     """Generated pages: an article among boxes of many kinds, some of them inside it; its own text holds _TRUE."""
-    rng = np.random.default_rng(seed)
+    rng, words_ = np.random.default_rng(seed), np.array(words_)
     plain = lambda lo, hi: " ".join(rng.choice(words_, int(rng.integers(lo, hi))))
     pick = lambda *x: x[rng.integers(len(x))]
     main = lambda lo, hi: _TRUE + plain(lo, hi)
+    scale = lambda lo, hi: int(np.exp(rng.uniform(np.log(lo), np.log(hi))))
+    long = lambda mark: mark + " ".join(rng.choice(words_, scale(1, 600)))
     prefixes = ("", "", "site-", "page-", "main-", "global-", "js-", "block-", "article-", "post-")
     link = lambda text: f'<a href="/x">{text}</a>'
 
     def name(words: list[str]) -> str:
         word = str(rng.choice(words))
-        return str(rng.choice(prefixes)) + word if rng.random() < 0.8 else word + "-" + pick("box", "list", "wrap", "inner", "area")
+        return str(rng.choice(prefixes)) + word if rng.random() < 0.8 else word + "-" + pick("box", "list", "wrap", "inner", "area", "posts", "items")
 
     def inner() -> str:
-        para = lambda: f"<p>{plain(3, 60)}{pick('.', '.', '', '!')}</p>"
+        para = lambda: f"<p>{long('')}{pick('.', '.', '', '!')}</p>"
         kinds = (
             lambda: "<ul>" + "".join(f"<li>{link(plain(1, 4))}</li>" for _ in range(rng.integers(2, 7))) + "</ul>",
             para,
@@ -321,11 +330,11 @@ def layouts(words_: list[str], n: int, seed: int) -> list[str]:
             tag = pick("nav", "footer", "aside", "header", "form", "dialog", "menu", "button", "fieldset")
             attribute = f' class="{name(FRAMES)}"' if rng.random() < 0.2 else ""
             return f"<{tag}{attribute}>{inner()}</{tag}>"
-        tag = pick("div", "section", "ul", "aside", "p", "div", "div")
+        tag = pick("div", "section", "ul", "aside", "div", "div")
         return f'<{tag} {pick("class", "class", "id", "role")}="{name(CUES)}">{inner()}</{tag}>'
 
     def body(depth: int = 0) -> str:
-        para = lambda: f"<p>{main(3, 60)}{pick('.', '.', '', '?')}</p>"
+        para = lambda: f"<p>{long(_TRUE)}{pick('.', '.', '', '?')}</p>"
         kinds = (
             para, para, para, para, para,
             lambda: f"<h2>{main(1, 8)}</h2>",
@@ -333,7 +342,7 @@ def layouts(words_: list[str], n: int, seed: int) -> list[str]:
             lambda: "<ol>" + "".join(f"<li>{link(main(2, 15))}</li>" for _ in range(rng.integers(1, 4))) + "</ol>",
             lambda: f"<blockquote>{main(5, 30)}</blockquote>",
             lambda: f"<p>{main(2, 20)} {link(plain(1, 4))} {plain(2, 9)}.</p>",
-            lambda: f"<p><b>{main(2, 20)}<br><p>{main(2, 20)}</p>",
+            lambda: f"<p><b>{main(2, 20)}<br><p>{long(_TRUE)}</p>",
             lambda: f"<p>{main(1, 2)}.</p>",
             lambda: f"<p>{link(main(1, 6))}</p>",
             lambda: f"<div>{para()}</div>",
@@ -345,7 +354,7 @@ def layouts(words_: list[str], n: int, seed: int) -> list[str]:
             lambda: f"<p>{main(1, 4)} <math><mi>{plain(1, 2)}</mi></math></p>",
             lambda: f"<noscript><p>{main(3, 9)}</p></noscript>",
         )
-        return "".join(box() if rng.random() < 0.12 else pick(*kinds)() for _ in range(rng.integers(1, 14)))
+        return "".join(box() if rng.random() < 0.12 else pick(*kinds)() for _ in range(scale(1, 40)))
 
     def head() -> str:
         kinds = (lambda: f"<header><h1>{main(2, 10)}</h1></header>", lambda: f"<h1>{main(2, 10)}</h1>", lambda: f"<h1>{main(2, 10)}</h1>", lambda: "")
@@ -358,7 +367,7 @@ def layouts(words_: list[str], n: int, seed: int) -> list[str]:
     for _ in range(n):
         opened, closed = pick(*frames)
         if rng.random() < 0.25:  # an article by its class alone, or one that has a class too
-            opened = pick(f'<div class="{name(FRAMES)}">', f'<article class="{name(FRAMES)}">', f'<section id="{name(FRAMES)}">')
+            opened = pick(f'<div class="{name(FRAMES)}">', f'<article class="{name(FRAMES)}">', f'<section id="{name(FRAMES)}">', f'<article class="{rng.choice(CUES)}-{pick("open", "on", "enabled")}">')
             closed = f"</{opened[1:].split(' ')[0]}>"
         # Names on the page's own frame say nothing about what is in it.
         outer = f' class="{pick("has", "with", "no")}-{rng.choice(CUES)}"' if rng.random() < 0.3 else ""
@@ -385,7 +394,7 @@ def recurring(pages: list[Blocks], least: int = 3) -> list[np.ndarray]:
     return [np.array([2 * sum(often[p]) > len(often[p]) for p in page.paths], bool) for page in pages]
 
 
-def trained(pages: list[str], generated: int = 600, most_steps: int = 120, epochs: int = 20) -> BiLstm:
+def trained(pages: list[str], generated: int = 1500, most_steps: int = 120, epochs: int = 12) -> BiLstm:
     """Fits the labeller on generated layouts, then on these and sampled pages; long pages by pieces.
 
     A sampled page takes the first fit's labels, but a block that recurs on other pages is no main text.
