@@ -1,9 +1,9 @@
 """Quality by importance resampling.
 
-Two generative models over hashed n-grams, one of the documents labelled good and one of all
-documents, give every document a log importance weight. The n-grams are those of one to three
-bytes and the pairs of neighbouring words, hashed to whether the second repeats the first. Gumbel noise makes the k largest
-noisy weights a sample without replacement in proportion to the weights.
+Generative models over hashed n-grams, of the documents labelled good and of all documents, give
+every document a log importance weight. The n-grams are words, pairs of words and the one to three
+bytes that words are made of; one more model asks whether a word repeats the one before it. Gumbel
+noise makes the k largest noisy weights a sample without replacement in proportion to the weights.
 """
 
 from __future__ import annotations
@@ -15,30 +15,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import slices, text_key, uniform, written
+from oddsmith.llm.common import dropped, slices, text_key, uniform, written
 from oddsmith.llm.textvec import mix, raw, words
 
-ORDERS = (1, 2, 3)  # lengths of the n-grams, in bytes
-MODELS = len(ORDERS) + 1  # and that of word pairs
-BUCKETS = 1 << 14  # of each order
+BYTES = (1, 2, 3)  # lengths of the n-grams of bytes
+MODELS = len(BYTES) + 3  # and words, pairs of words, repeats
+BUCKETS = 1 << 14  # of each model
 _PRIOR = 1e-3  # share of all documents' distribution in the target model
 _RADIX = 16  # bits that one pass of the selection settles
+_STEP = 1 << 20  # bytes whose n-grams are held at once
 
 
 def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each model, row and bucket of every n-gram that lies within one row."""
+    """Row and bucket of every n-gram that lies within one row, model by model and piece by piece."""
     data, offsets = raw(texts)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    value = np.zeros(len(data), np.uint64)
-    for k in range(max(ORDERS)):
-        value = value[: len(data) - k] * np.uint64(256) + data[k:] if len(data) > k else value[:0]
-        if k + 1 in ORDERS:
-            inside = row[: len(value)] == row[k : k + len(value)]
-            bucket = (mix(value[inside] + np.uint64(k + 1 << 32)) % np.uint64(BUCKETS)).astype(np.int64)
-            yield row[: len(value)][inside], bucket + ORDERS.index(k + 1) * BUCKETS
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    for lo in range(0, len(data), _STEP):
+        piece, of = data[lo : lo + _STEP + max(BYTES) - 1], row[lo : lo + _STEP + max(BYTES) - 1]
+        value = np.zeros(len(piece), np.uint64)
+        for k in range(max(BYTES)):
+            if len(piece) <= k:
+                break
+            value = value[: len(piece) - k] * np.uint64(256) + piece[k:]
+            if k + 1 in BYTES:
+                inside = (of[: len(value)] == of[k : k + len(value)])[:_STEP]
+                bucket = (mix(value[:_STEP][inside] + np.uint64(k + 1 << 32)) % np.uint64(BUCKETS)).astype(np.int64)
+                yield of[: len(inside)][inside], bucket + BYTES.index(k + 1) * BUCKETS
     w = words(texts)
-    pair = w.row[1:] == w.row[:-1]
-    yield w.row[1:][pair], (w.hashes[1:] == w.hashes[:-1])[pair] + len(ORDERS) * BUCKETS
+    for lo in range(0, len(w.hashes), _STEP):
+        hashes, of = w.hashes[max(lo - 1, 0) : lo + _STEP], w.row[max(lo - 1, 0) : lo + _STEP]
+        new = slice(1 if lo else 0, None)
+        yield of[new], (hashes[new] % np.uint64(BUCKETS)).astype(np.int64) + len(BYTES) * BUCKETS
+        pair = of[1:] == of[:-1]
+        both = mix(mix(hashes[:-1]) * np.uint64(3) + hashes[1:])[pair]
+        yield of[1:][pair], (both % np.uint64(BUCKETS)).astype(np.int64) + (len(BYTES) + 1) * BUCKETS
+        yield of[1:][pair], (hashes[1:] == hashes[:-1])[pair] + (len(BYTES) + 2) * BUCKETS
 
 
 def model(docs: DataFrame, good: DataFrame) -> np.ndarray:
@@ -67,7 +78,10 @@ def model(docs: DataFrame, good: DataFrame) -> np.ndarray:
         return np.zeros(counts.shape[1])
     split = counts.reshape(2, MODELS, BUCKETS)
     every = split[0] / np.maximum(split[0].sum(1, keepdims=True), 1)
-    target = split[1] / np.maximum(split[1].sum(1, keepdims=True), 1)
+    # One pseudo-count for each bucket in use, dealt as all documents are: what a small sample of
+    # good documents lacks by chance weighs little.
+    pseudo = (split[0] > 0).sum(1, keepdims=True)
+    target = (split[1] + pseudo * every) / np.maximum(split[1].sum(1, keepdims=True) + pseudo, 1)
     target = (1 - _PRIOR) * target + _PRIOR * every  # so one n-gram weighs log(_PRIOR) at least
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.nan_to_num(np.log(target) - np.log(every), nan=0.0, posinf=0.0, neginf=0.0).ravel()
@@ -104,7 +118,8 @@ def weighed(docs: DataFrame, weights: np.ndarray, seed: int) -> DataFrame:
                 ["doc_id", "key", "n_bytes", "log_weight", "noisy", "bits"],
             )
 
-    rows = docs.select("doc_id", F.col("text").cast("string"), uniform(F.lit(seed), F.lit("gumbel"), F.col("doc_id")).alias("u"), text_key("text").alias("key"))
+    rows = docs.select("doc_id", F.col("text").cast("string"), text_key("text").alias("key"))
+    rows = rows.select("doc_id", "text", "key", uniform(F.lit(seed), F.lit("gumbel"), F.col("doc_id"), F.hex("key")).alias("u"))
     return rows.mapInArrow(score, "doc_id long, key binary, n_bytes long, log_weight double, noisy double, bits long")
 
 
@@ -143,15 +158,18 @@ def resampled(docs: DataFrame, labels: DataFrame, seed: int = 29, most_labels: i
     hash of their id), the other one on all documents. k, the size of the sample, is the number
     of documents whose weight exceeds the cut that parts good and bad labelled documents; the k
     largest noisy weights are kept, all that tie with the k-th included. Null and empty texts are
-    never kept. Without good and bad labels all other documents are kept.
+    never kept. Without good and bad labels all other documents are kept. Equal rows, null ids
+    too, share their noise and go the same way; a label stands for all rows of its id, and of
+    several labels the worst counts. Other columns are left out; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = written(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most_labels), "labels")
     weights = model(docs, known.filter("quality = 1"))
     scored = written(weighed(docs, weights, seed), "weights")
-    pairs = scored.join(F.broadcast(known), "doc_id").filter("log_weight is not null").select("log_weight", "quality").limit(4 * most_labels).collect()
-    least = cut([tuple(r) for r in pairs])
+    pairs = scored.join(F.broadcast(known), "doc_id").filter("log_weight is not null").groupBy("doc_id", "quality").agg(F.min("log_weight"))
+    least = cut([(w, q) for _, q, w in pairs.collect()])  # one row a label, `most_labels` at most
+    dropped(known)
     k = scored.filter(F.col("log_weight") >= F.lit(least)).count()
     if not k:
         return scored.select("doc_id", "key", "n_bytes", "log_weight", "noisy", F.lit(False).alias("kept"))
