@@ -7,7 +7,9 @@ offset 0 gives the true type, which corrects the declared one; objects further i
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,6 +23,7 @@ from oddsmith.llm.common import slices
 
 UNIT = 192  # bytes of a payload's row: 64 pixels of 3 samples
 UNKNOWN = "application/octet-stream"
+_PIECE = 1 << 20  # bytes that are inflated at a time
 
 # The formats' own magic bytes.
 MAGIC = {
@@ -37,19 +40,54 @@ MAGIC = {
 STORED = ("audio/wav", "image/bmp", "image/png")
 
 
-def _wav(b: bytes, at: int) -> int | None:
+class Walk:
+    """Places that one validator has passed on its way; where an earlier one of its format failed, it fails too."""
+
+    def __init__(self, dead: set[int]):
+        self.dead, self.passed = dead, []
+
+    def new(self, at: int) -> bool:
+        self.passed.append(at)
+        return at not in self.dead
+
+    def failed(self) -> None:
+        self.dead.update(self.passed)
+
+
+class Value:
+    """One value under inspection: end marks are searched once, and no format walks the same way to failure twice."""
+
+    def __init__(self, data: bytes):
+        self.data, self.marks, self.dead = data, {}, {}
+
+    def next(self, mark: bytes, at: int) -> int | None:
+        """The first place of `mark` at or behind `at`."""
+        if mark not in self.marks:
+            self.marks[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        places = self.marks[mark]
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else None
+
+    def walk(self, kind: str) -> Walk:
+        return Walk(self.dead.setdefault(kind, set()))
+
+
+def _wav(v: Value, at: int) -> int | None:
+    b = v.data
     if len(b) < at + 44 or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-    pos, seen = at + 12, set()
-    while end <= len(b) and pos + 8 <= end:
+    # A walk to another end passes the same places in vain only if it ends at the same one.
+    pos, seen, walk = at + 12, set(), v.walk(f"wav {end}")
+    while end <= len(b) and pos + 8 <= end and walk.new(pos):
         seen.add(b[pos : pos + 4])
         size = struct.unpack_from("<I", b, pos + 4)[0]
         pos += 8 + size + size % 2
-    return end - at if pos in (end, end + 1) and {b"fmt ", b"data"} <= seen else None
+    return end - at if pos in (end, end + 1) and {b"fmt ", b"data"} <= seen else (walk.failed() if pos not in (end, end + 1) else None)
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(v: Value, at: int) -> int | None:
+    b = v.data
     if len(b) < at + 54:
         return None
     size, zero, start, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -58,25 +96,26 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if zero == 0 and header in (40, 108, 124) and planes == 1 and width > 0 and fits else None
 
 
-def _png(b: bytes, at: int) -> int | None:
-    pos = at + 8
-    while pos + 12 <= len(b):
+def _png(v: Value, at: int) -> int | None:
+    b, pos, walk = v.data, at + 8, v.walk("png")
+    while pos + 12 <= len(b) and walk.new(pos):
         size = struct.unpack_from(">I", b, pos)[0]
         end = pos + 12 + size
         if end > len(b) or zlib.crc32(b[pos + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
-            return None
+            break
         if b[pos + 4 : pos + 8] == b"IEND":
             return end - at
         pos = end
-    return None
+    return walk.failed()
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(v: Value, at: int) -> int | None:
+    b, walk = v.data, v.walk("gif")
     if len(b) < at + 14:
         return None
     flags = b[at + 10]
     pos = at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0)
-    while pos < len(b):
+    while pos < len(b) and walk.new(pos):
         if b[pos] == 0x3B:
             return pos + 1 - at
         if b[pos] == 0x21:
@@ -84,46 +123,56 @@ def _gif(b: bytes, at: int) -> int | None:
         elif b[pos] == 0x2C and pos + 10 < len(b):
             pos += 11 + (3 << (b[pos + 9] & 7) + 1 if b[pos + 9] & 128 else 0)
         else:
-            return None
+            break
         while pos < len(b) and b[pos]:
             pos += 1 + b[pos]
         pos += 1
-    return None
+    return walk.failed()
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    pos = at + 2
-    while pos + 4 <= len(b) and b[pos] == 0xFF:
+def _jpeg(v: Value, at: int) -> int | None:
+    b, pos, walk = v.data, at + 2, v.walk("jpeg")
+    while pos + 4 <= len(b) and b[pos] == 0xFF and walk.new(pos):
         kind, size = b[pos + 1], struct.unpack_from(">H", b, pos + 2)[0]
         if size < 2 or not 0xC0 <= kind <= 0xFE:
-            return None
+            break
         pos += 2 + size
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", pos)
-            return end + 2 - at if end >= 0 else None
-    return None
+            end = v.next(b"\xff\xd9", pos)
+            return end + 2 - at if end is not None else walk.failed()
+    return walk.failed()
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+def _pdf(v: Value, at: int) -> int | None:
+    end, mark = v.next(b"%%EOF", at), v.next(b"startxref", at)
+    return end + 5 - at if end is not None and mark is not None and mark < end else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
+def _zip(v: Value, at: int) -> int | None:
+    b, end = v.data, v.next(b"PK\x05\x06", at)
+    if end is None or end + 22 > len(b):
         return None
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
     return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
-    inflate = zlib.decompressobj(31)
+def _gzip(v: Value, at: int) -> int | None:
+    """Inflates in pieces, so no more than _PIECE bytes of the contents are held."""
+    b = v.data
+    if len(b) < at + 18 or b[at + 3] & 0xE0:
+        return None
+    inflate, pos, rest = zlib.decompressobj(31), at, b""
     try:
-        inflate.decompress(b[at:])
+        while not inflate.eof:
+            if not rest:
+                if pos >= len(b):
+                    return None
+                rest, pos = b[pos : pos + _PIECE], pos + _PIECE
+            inflate.decompress(rest, _PIECE)
+            rest = inflate.unconsumed_tail
     except zlib.error:
         return None
-    return len(b) - at - len(inflate.unused_data) if inflate.eof else None
+    return min(pos, len(b)) - len(inflate.unused_data) - at
 
 
 VALIDATE = {
@@ -145,12 +194,12 @@ def objects(content: bytes, magics: ahocorasick.Automaton) -> list[tuple[str, in
 
     Carved objects do not overlap one another; the object at offset 0 may hold them.
     """
-    found, free = [], 0
+    found, free, value = [], 0, Value(content)
     hits = sorted((end + 1 - size, kind) for end, (size, kind) in magics.iter(content.decode("latin-1")))
     for at, kind in hits:
         if at and at < free:
             continue
-        if length := VALIDATE[kind](content, at):
+        if length := VALIDATE[kind](value, at):
             found.append((kind, at, length))
             free = at + length if at else 0
     return found
@@ -219,7 +268,8 @@ def stored(docs: DataFrame) -> DataFrame:
 
     The text (null: empty) as UTF-8, then spaces up to a positive multiple of 192 bytes, as
     WAV, BMP or PNG samples. Format and declared type follow from the text's CRC, so equal
-    texts have equal values; two of three declared types are wrong.
+    texts have equal values; two of three declared types are wrong. Repeated rows and rows of
+    null id stay as they are; other columns are left out; an empty table gives no rows.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +292,10 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Reads the stored bytes back by their sniffed type and digests them, one row per value."""
+    """Reads the stored bytes back by their sniffed type and digests them, one row per value of `stored`.
+
+    An empty table gives no rows; columns beside those of `stored` and `sniffed` are left out.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 1 << 22):
