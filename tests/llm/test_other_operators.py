@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -236,10 +237,31 @@ def test_sniffing_corrects_and_carves(spark):
         content, declared, true, carved = cases[r["doc_id"]]
         assert (r["true_type"], r["corrected"], [c["type"] for c in r["carved"]]) == (true, true != declared, carved)
         for c in r["carved"]:
-            assert media.VALIDATE[c["type"]](content, c["offset"]) == c["length"]
+            assert media.VALIDATE[c["type"]](media.Value(content), c["offset"]) == c["length"]
     assert media.sniffed(frame.limit(0)).count() == 0
 
 
+def test_hostile_values_take_linear_time():
+    magics = media.automaton()
+    parts = (b"%PDF-", b"PK\x03\x04", b"\xff\xd8\xff\xe0\x00\x06", b"RIFF\x00\x00\x10\x00WAVEfmt \x00\x00\x00\x00", b"GIF89a" + bytes(4) + b"\x00\x00\x00\x21\xff\x00", b"\x1f\x8b\x08\x00", b"BM")
+    begun = time.process_time()
+    for part in parts:
+        assert media.objects(part * (400_000 // len(part)), magics) == []
+    assert time.process_time() - begun < 20
+    bomb = zlib.compressobj(9, wbits=31)
+    data = b"".join([bomb.compress(bytes(1 << 20)) for _ in range(64)]) + bomb.flush()
+    assert media.objects(b"x" + data + b"tail", magics) == [("application/gzip", 1, len(data))]
+    assert media.objects(data[:-1], magics) == []
+
+
+def test_media_nulls_repeats_and_empty_table(spark):
+    rows = [(None, "a", 1), (3, "a", 2), (3, "a", 2), (4, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, media int")
+    found = media.features(media.sniffed(media.stored(frame))).collect()
+    assert len(found) == 4 and len({r["media_sha256"] for r in found}) == 2
+    assert media.features(media.sniffed(media.stored(frame.limit(0)))).count() == 0
+
+
 # --- mixing ---------------------------------------------------------------------------------
 
 

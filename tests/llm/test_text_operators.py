@@ -212,6 +212,78 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.resampled(docs(spark, []), none).count() == 0
 
 
+def brute_weights(texts, good):
+    """log P(n-gram | good) - log P(n-gram | any), summed over each text, by dictionaries over the n-grams' buckets."""
+    marked = lambda v: int(textvec.mix(np.array([v], np.uint64))[0]) % quality.BUCKETS
+    known = {}
+
+    def word(w):
+        if w not in known:
+            known[w] = textvec.words(pa.array([w])).hashes[0]
+        return known[w]
+
+    def items(text):
+        data, found = text.encode(), []
+        for k in quality.BYTES:
+            found += [(k, marked(int.from_bytes(data[i : i + k], "big") + (k << 32))) for i in range(len(data) - k + 1)]
+        split = re.findall(r"[^\x20\x09-\x0D]+", text)
+        found += [("word", int(word(w)) % quality.BUCKETS) for w in split]
+        for a, b in itertools.pairwise(split):
+            with np.errstate(over="ignore"):
+                both = textvec.mix(textvec.mix(np.array([word(a)], np.uint64)) * np.uint64(3) + word(b))[0]
+            found += [("pair", int(both) % quality.BUCKETS), ("again", a == b)]
+        return found
+
+    each = [items(t or "") for t in texts]
+    every, target = (defaultdict(Counter) for _ in range(2))
+    for i, found in enumerate(each):
+        for model, bucket in found:
+            every[model][bucket] += 1
+            target[model][bucket] += i in good
+    size = lambda c: max(1, sum(c.values()))
+    smooth = lambda m, b, n: (target[m][b] + len(every[m]) * n / size(every[m])) / (sum(target[m].values()) + len(every[m]))
+    share = {m: {b: (n / size(every[m]), smooth(m, b, n)) for b, n in c.items()} for m, c in every.items()}
+    weight = {m: {b: np.log((1 - quality._PRIOR) * g + quality._PRIOR * p) - np.log(p) for b, (p, g) in c.items()} for m, c in share.items()}
+    return [sum(weight[m][b] for m, b in found) / quality.MODELS for found in each]
+
+
+def test_weights_cut_and_sample_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "_STEP", 50)
+    rng = random.Random(13)
+    words = [f"{a}{b}" for a in ("an", "re", "ti") for b in ("x", "qu", "on", "é")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 25))) for _ in range(40)] + ["ZZ ZZ ZZ !! " * k for k in range(1, 15)] + ["", None, texts_long := "an re " * 300, texts_long]
+    labels = [(i, 1) for i in range(0, 40, 3)] + [(i, 0) for i in range(41, 54, 3)]
+    found = {r["doc_id"]: r for r in quality.resampled(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    expected = brute_weights(texts, {i for i, q in labels if q})
+    noisy = {}
+    for i, text in enumerate(texts):
+        if not text:
+            assert found[i]["log_weight"] is None and not found[i]["kept"]
+            continue
+        assert found[i]["log_weight"] == pytest.approx(expected[i], rel=1e-9, abs=1e-9)
+        key = hashlib.md5(text.encode()).hexdigest().upper()
+        u = (int(hashlib.md5(f"29:gumbel:{i}:{key}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+        noisy[i] = expected[i] - np.log(-np.log(u))
+    places = sorted(set(found[i]["log_weight"] for i, _ in labels))
+    places = [places[0] - 1, *((a + b) / 2 for a, b in itertools.pairwise(places)), places[-1] + 1]
+    right = lambda c: np.mean([found[i]["log_weight"] >= c for i, q in labels if q]) + np.mean([found[i]["log_weight"] < c for i, q in labels if not q])
+    best = max(places, key=right)
+    k = sum(found[i]["log_weight"] >= best for i in noisy)
+    assert {i for i in noisy if found[i]["kept"]} == set(sorted(noisy, key=noisy.get, reverse=True)[:k])
+
+
+def test_quality_repeats_null_ids_and_extra_columns(spark):
+    rows = [(1, "an re", "a"), (1, "an re", "b"), (None, "ti mo ka", "c"), (None, "ti mo ka", "d"), (1, "other text", "e"), (2, "junk", "f")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    labels = spark.createDataFrame([(1, 1, "z"), (2, 0, "z"), (1, 1, "z")], "doc_id long, quality int, text string")
+    found = quality.resampled(frame, labels).collect()
+    assert len(found) == 6
+    by_row = defaultdict(set)
+    for r in found:
+        by_row[r["doc_id"], bytes(r["key"])].add((r["log_weight"], r["noisy"], r["kept"]))
+    assert all(len(v) == 1 for v in by_row.values())
+
+
 @pytest.mark.parametrize("k", [1, 5, 77, 200])
 def test_kth_largest_is_exact(spark, k):
     rng = random.Random(k)
@@ -262,6 +334,55 @@ def test_labelled_spans_and_digest(spark):
     assert pii.labelled(docs(spark, [])).count() == 0
 
 
+def test_candidates_take_linear_time_and_keep_apart():
+    text = "a@b.cd (212) 555-0100 " * 20_000
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base)
+    assert len(base) == len(found) == 20_000
+    taken = sorted([(s, e) for s, _, e in base] + [(s, e) for s, _, e, _ in found])
+    assert all(a[1] <= b[0] for a, b in itertools.pairwise(taken))
+
+
+PLANTED = {
+    "phone": ["Tel: ({0}) 555-01{1}", "Telefon: ({0}) 555-01{1}", "téléphone : ({0}) 555-01{1}", "móvil: ({0}) 555-01{1}"],
+    "id": ["ssn: {0}-45-67{1}", "Ausweis: {0}-45-67{1}", "passeport : {0}-45-67{1}", "pasaporte: {0}-45-67{1}"],
+    "secret": ["api_key = k{0}Qw8ErT1yUi0oPaS{1}", "Kennwort: x{0}Qw8ErT1yUi0oPaS{1}", "mot de passe : v{0}Qw8ErT1yUi0oPaS{1}", "clave: z{0}Qw8ErT1yUi0oPaS{1}"],
+}
+
+
+def test_recall_of_added_spans_by_kind(spark):
+    """Planted in four languages among plain words and numbers: at least 0.9 of each kind, nothing else."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice(["an", "er", "ti", "mo", "sch", "que"]) for _ in range(rng.randrange(1, 5)))
+    plain = lambda: " ".join(word() + rng.choice(["", "", "", f" {rng.randrange(1, 100_000)}"]) for _ in range(30))
+    texts, truth = [], []
+    for kind, forms in PLANTED.items():
+        for i in range(40):
+            texts.append(f"{plain()} {forms[i % 4].format(rng.randrange(201, 660), rng.randrange(10, 99))} {plain()}")
+            truth.append(kind)
+    texts += [plain() for _ in range(60)] + ["call +1 (212) 555-7713 now"] * 20
+    rows = sorted(pii.labelled(docs(spark, texts)).collect(), key=lambda r: r["doc_id"])
+    for kind in PLANTED:
+        caught = [f"{kind}:" in r["spans"] for r, k in zip(rows, truth, strict=False) if k == kind]
+        assert sum(caught) >= 0.9 * len(caught), kind
+    assert all(r["n_spans"] == 0 for r in rows[120:180])
+    assert all(r["n_spans"] == r["n_phone"] == 1 for r in rows[180:])
+
+
+def test_a_lone_vote_counts_as_the_data_say():
+    shape, kind = 1 | 8, pii.KINDS.index("phone")
+    bare = pii.accepted(pii.trained([(kind, shape, 200, True), (kind, shape, 20, False), (kind, 8, 200, False)]))  # cues never occur
+    cued = pii.accepted(pii.trained([(kind, 7 | 8, 200, True), (kind, 7 | 8, 200, False), (kind, 8, 200, False)]))  # they always do
+    assert bare[kind, shape] and not bare[kind, 8]
+    assert cued[kind, 7 | 8] and not cued[kind, shape]
+
+
+def test_labelled_repeats_and_extra_columns(spark):
+    frame = spark.createDataFrame([(1, "mail a@b.cd", "x", 1)] * 2 + [(None, "a@b.cd " * 3, None, None)], "doc_id long, text string, spans string, bits int")
+    found = pii.labelled(frame).collect()
+    assert sorted((r["doc_id"] or 0, r["n_email"], r["n_spans"]) for r in found) == [(0, 3, 3), (1, 1, 1), (1, 1, 1)]
+
+
 def test_reliabilities_find_the_bad_labeller():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
