@@ -311,6 +311,7 @@ def scored(
     most_exact: int = 1 << 21,
     strength: float = 100.0,
     shard_bytes: int = 1 << 21,
+    item_bits: int = 10,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
@@ -320,7 +321,8 @@ def scored(
     is ever a join key. The model interpolates pair and word counts that it probes in the filter:
     P(w | h) = (c(hw) + strength P(w)) / (c(h) + strength). A filter of more than 2 ** `most_bits`
     bits is not broadcast but probed shard by shard (`scored_by_shards`), with the same results.
-    A null or empty text is its end token alone. An empty table gives no rows.
+    A null or empty text is its end token alone. Repeated rows count, and are scored, each; other
+    columns are left out. An empty table gives no rows.
     """
     crc = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (crc % 7 == 2).alias("held_out"))
@@ -333,7 +335,7 @@ def scored(
     divisor = float(total + kinds + 1)
     fixed = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"]
     items = sum(q * n for order in sizes.values() for q, (n, _) in order.items())
-    bits = int(np.ceil(np.log2(10 * max(1, items))))
+    bits = int(np.ceil(np.log2(item_bits * max(1, items))))
     by_shards, bits = bits > most_bits, max(lead + 6, bits)
     if by_shards:
         return scored_by_shards(rows, counts, bits, lead, divisor, strength).select(*fixed)
