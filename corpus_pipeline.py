@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before has kept, and is
 written as Parquet in the shared folder, so a lost executor never sends a stage back to the start.
+
+In every stage but the last, other columns of `docs` stay as they are. Null and empty texts are
+rejected by the quality filter; where they come to the later stages nevertheless, line dedup leaves
+them, near dedup takes them for copies of one another, and packing gives them an end token alone.
+Equal rows go the same way in the first two stages; near dedup keeps one of them. Rows of one
+doc_id with unequal texts are documents of their own. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -50,7 +56,7 @@ STAGES = [
     ("sequence_packing", sequence_packing),
 ]
 
-# Trained weights, signatures and token ids have no SQL form; the tests hold each stage against brute force.
+# Trained weights, signatures and token ids have no SQL form; a test holds run() against plain loops over all stages.
 ORACLE_SQL = None
 
 

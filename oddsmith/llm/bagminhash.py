@@ -206,7 +206,8 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     Rows are alike if a chain of links joins them; a link is an equal text or a multiset
     similarity of at least `least`. class_id is the least doc_id of the class (null if all are
     null), n_alike its number of rows, `key` a hash of the row's text, `root` the class's least key. Null counts as empty text,
-    and all empty texts are copies of one another. A text of fewer than `size` words is one
+    and all empty texts are copies of one another; one of white space alone is alike to equal ones
+    only. A text of fewer than `size` words is one
     shingle. Repeated rows are copies; repeated ids with unequal texts are separate documents.
 
     Equal texts are joined first. In every bucket of a band all texts are held against one

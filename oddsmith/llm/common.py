@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where it is unset (local runs and tests) a temporary folder is taken and set.
+    Only where it is unset and Spark runs in this process alone (as in tests) a temporary folder is
+    taken; on a cluster that folder would not be shared, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("spark.oddsmith.local.dir", None)
         if not path:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             path = tempfile.mkdtemp(prefix="spark-shared-")
             spark.conf.set("spark.oddsmith.local.dir", path)
     return path.rstrip("/")
