@@ -423,8 +423,12 @@ def main_text(pages: DataFrame, sample: int = 200, most_chars: int = 1 << 18) ->
     Repeated rows give repeated rows, other columns are left out, an empty table gives none.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    short = rows.filter(F.col("html").isNotNull() & (F.length("html") <= most_chars))
-    some = short.orderBy(F.xxhash64(F.lit(7), "page_id"), "page_id", F.md5("html")).select("html").limit(sample).collect()  # for training alone
+    # For training alone. Keys are chosen first, so no page but the sample's goes to the driver.
+    short = rows.filter(F.col("html").isNotNull() & (F.length("html") <= most_chars)).withColumn("mark", F.md5("html"))
+    chosen = short.select("page_id", "mark").orderBy(F.xxhash64(F.lit(7), "page_id"), "page_id", "mark").limit(sample)
+    chosen = chosen.select(F.col("page_id").alias("id"), F.col("mark").alias("own")).distinct()
+    of = short["page_id"].eqNullSafe(chosen["id"]) & (short["mark"] == chosen["own"])
+    some = short.join(F.broadcast(chosen), of, "left_semi").dropDuplicates(["page_id", "mark"]).orderBy("page_id", "mark").select("html").collect()
     at = pages.sparkSession.sparkContext.broadcast(trained([r[0] for r in some]).w)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
