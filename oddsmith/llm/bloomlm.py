@@ -1,8 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts of words and word pairs are gathered exactly, by a shuffle of packed counts.
+Texts are hashed once, into chunks of numbered tokens. Training counts of words and word pairs are
+gathered exactly, by a shuffle of packed counts.
 A quantised count q = 1 + floor(log2 count) enters the filter as the q items (n-gram, 1) to
-(n-gram, q); a look-up probes levels until one is absent. The filter has ten bits an item. Up to a
+(n-gram, q); a look-up probes levels until one is absent. The filter has ten bits an item or more. Up to a
 bound it is broadcast; beyond that each shard keeps its own stretch, and the distinct n-grams of a
 chunk of texts are sent to their shards and come back with their levels.
 """
@@ -12,18 +13,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import dropped, slices, written
+from oddsmith.llm.common import slices, written
 from oddsmith.llm.textvec import mix, words
 
 END = np.uint64(0x1F83D9ABFB41BD6B)  # stands for the end of a text
 _PROBES = 4
-_FLUSH = 3_000_000  # tokens whose counts one task sums up before it sends them on
 _CHUNK = 1 << 23  # bytes of the texts whose n-grams are sent to the shards together
 _COLUMNS = ("words", "word_counts", "pairs", "pair_counts")
 
@@ -62,47 +62,116 @@ def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(keys >> np.uint64(64 - int(np.log2(shards))), np.arange(shards + 1, dtype=np.uint64))
 
 
-def counted(training: DataFrame, shards: int) -> DataFrame:
-    """Exact counts, a row a shard: shard, words, word_counts, pairs, pair_counts (long arrays).
+def planes(values: np.ndarray) -> bytes:
+    """32-bit numbers with all their lowest bytes first, then the next ones: small numbers compress well."""
+    return np.asarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    A shard has the n-grams whose hash starts with its bits; `shards` is a power of two.
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def encoded(rows: DataFrame) -> DataFrame:
+    """Texts in chunks of about `_CHUNK` bytes (a longer text is a chunk), each token as a number.
+
+    chunk, bytes and trained (bytes and tokens of its training texts), doc_id, held_out and n_tokens
+    (arrays, a value a text), kinds (hashes of the chunk's distinct tokens, frequent ones first) and
+    `of` (places in kinds, as `planes`). A fifth of the texts' size, and they are hashed once.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
-        size = 0
+        part, done = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
-            parts = []
-            for some in held:
-                keys, n = np.unique(np.concatenate(some), return_counts=True)
-                some.clear()
-                cuts = _cuts(keys, shards)
-                parts.append([(keys[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            rows = [(s, *a, *b) for s, (a, b) in enumerate(zip(*parts, strict=True)) if a[0] or b[0]]
-            data = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(data[0], pa.int32()), *(pa.array(d, pa.binary()) for d in data[1:])], ["shard", *_COLUMNS])
+            ids, held_out, text = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "held_out", "text"))
+            row, hashes = tokens(text)
+            kinds, of, n = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(kinds), np.uint32)
+            rank[order] = np.arange(len(kinds))
+            per_row, train = np.bincount(row), ~held_out.to_numpy(zero_copy_only=False)
+            size = pc.binary_length(text).to_numpy(zero_copy_only=False)
+            ends = pa.array([0, len(ids)], pa.int32())
+            columns = [
+                pa.array([part << 32 | done]),
+                pa.array([int(size[train].sum())]),
+                pa.array([int(per_row[train].sum())]),
+                *(pa.ListArray.from_arrays(ends, x) for x in (ids, held_out, pa.array(per_row, pa.int64()))),
+                pa.array([kinds[order].tobytes()], pa.binary()),
+                pa.array([planes(rank[of])], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "bytes", "trained", "doc_id", "held_out", "n_tokens", "kinds", "of"])
 
+        size = 0
         for batch in slices(batches, "text"):
-            row, hashes = tokens(batch.column("text"))
-            held[0].append(hashes)
-            held[1].append(pairs(row, hashes)[1])
-            size += len(hashes)
-            if size >= _FLUSH:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= _CHUNK:
                 yield flush()
-                size = 0
-        if size:
+                held, size, done = [], 0, done + 1
+        if held:
             yield flush()
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"shard": [int(group["shard"].iloc[0])]}
-        for key, n in (_COLUMNS[:2], _COLUMNS[2:]):
-            keys, counts = _summed(np.frombuffer(b"".join(group[key]), np.uint64), np.frombuffer(b"".join(group[n]), np.uint32).astype(np.int64))
-            out[key], out[n] = [keys.view(np.int64)], [counts]
-        return pd.DataFrame(out)
+    return rows.mapInArrow(gather, "chunk long, bytes long, trained long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, kinds binary, of binary")
+
 
-    packed = training.mapInArrow(gather, "shard int, words binary, word_counts binary, pairs binary, pair_counts binary")
-    return packed.groupBy("shard").applyInPandas(add, "shard int, words array<long>, word_counts array<long>, pairs array<long>, pair_counts array<long>")
+def decoded(chunks: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of chunk `i`: its distinct hashes in order, each token's place among them and each token's row."""
+    kinds, of = np.frombuffer(chunks.column("kinds")[i].as_py(), np.uint64), from_planes(chunks.column("of")[i].as_py())
+    order = np.argsort(kinds)
+    place = np.empty(len(kinds), np.int64)
+    place[order] = np.arange(len(kinds))
+    per_row = np.asarray(chunks.column("n_tokens")[i].values)
+    return kinds[order], place[of], np.repeat(np.arange(len(per_row)), per_row)
+
+
+def asked(chunks: DataFrame, shards: int) -> DataFrame:
+    """The distinct words and pairs of each chunk with their counts in its training texts, a row a shard.
+
+    A shard has the n-grams whose hash starts with its bits; `shards` is a power of two. An n-gram of
+    held-out texts alone has the count 0. Counts are `planes`.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kinds, of, row = decoded(batch, i)
+                train = ~batch.column("held_out")[i].values.to_numpy(zero_copy_only=False)[row]
+                both, pair = np.unique(pairs(row, kinds[of])[1], return_inverse=True)
+                parts = []
+                for keys, at in ((kinds, of), (both, pair)):
+                    n = np.bincount(at[train], minlength=len(keys))
+                    cuts = _cuts(keys, shards)
+                    parts.append([(keys[a:b].tobytes(), planes(n[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                some = [(s, *a, *b) for s, (a, b) in enumerate(zip(*parts, strict=True)) if a[0] or b[0]]
+                data = list(zip(*some, strict=True))
+                chunk = pa.array([batch.column("chunk")[i].as_py()] * len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([chunk, pa.array(data[0], pa.int32()), *(pa.array(d, pa.binary()) for d in data[1:])], ["chunk", "shard", *_COLUMNS])
+
+    some = chunks.select("chunk", "held_out", "n_tokens", "kinds", "of")
+    return some.mapInArrow(ask, "chunk long, shard int, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
+def _added(sent: pa.Table) -> list[np.ndarray]:
+    """A shard's words, word counts, pairs and pair counts over all chunks, without what never trained."""
+    out = []
+    for key, n in (_COLUMNS[:2], _COLUMNS[2:]):
+        keys = np.frombuffer(b"".join(sent.column(key).to_pylist()), np.uint64)
+        counts = np.concatenate([from_planes(x) for x in sent.column(n).to_pylist()]).astype(np.int64)
+        keys, counts = _summed(keys, counts)
+        out += [keys[counts > 0], counts[counts > 0]]
+    return out
+
+
+def counted(sent: DataFrame) -> DataFrame:
+    """Exact counts from `asked`, a row a shard: shard, words, word_counts, pairs, pair_counts (long arrays)."""
+
+    def add(sent: pa.Table) -> pa.Table:
+        arrays = [pa.array([x.view(np.int64)], pa.list_(pa.int64())) for x in _added(sent)]
+        return pa.table([sent.column("shard").slice(0, 1), *arrays], ["shard", *_COLUMNS])
+
+    return sent.drop("chunk").groupBy("shard").applyInArrow(add, "shard int, words array<long>, word_counts array<long>, pairs array<long>, pair_counts array<long>")
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -216,92 +285,54 @@ def modelled(row: np.ndarray, of: np.ndarray, before: np.ndarray, alone: np.ndar
     return np.bincount(row, np.log10((np.minimum(together, history) + strength * single) / (history + strength)), row[-1] + 1)
 
 
-def scored_by_shards(rows: DataFrame, counts: DataFrame, bits: int, lead: int, divisor: float, strength: float) -> DataFrame:
+def scored_by_shards(chunks: DataFrame, sent: DataFrame, tokens_trained: int, bits: int, lead: int, strength: float) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score and score, for a filter too large for one worker.
 
-    A chunk of texts sends its distinct words and pairs to their shards, once each. A shard makes its
-    stretch of the filter and sends back each word's exact count and level and each pair's level, in
-    the order of the hashes, so the answers of all shards side by side belong to the chunk's sorted n-grams.
+    What a chunk asks holds its own counts, so one shuffle serves both: a shard adds the counts up,
+    makes its stretch of the filter and sends back each word's exact count and level and each pair's
+    level, in the order of the hashes; the answers of all shards side by side belong to the chunk's
+    sorted n-grams.
     """
-    shards = 1 << lead
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            some = pa.Table.from_batches(held).combine_chunks()
-            ends = pa.array([0, some.num_rows], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(some.column(c).chunks)) for c in ("doc_id", "held_out", "text")]
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | done]), *lists], ["chunk", "doc_id", "held_out", "text"])
-
-        size = 0
-        for batch in slices(batches, "text"):
-            held.append(batch)
-            size += batch.nbytes
-            if size >= _CHUNK:
-                yield flush()
-                held, size, done = [], 0, done + 1
-        if held:
-            yield flush()
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row, hashes = tokens(batch.column("text")[i].values)
-                parts = []
-                for keys in (np.unique(hashes), np.unique(pairs(row, hashes)[1])):
-                    cuts = _cuts(keys, shards)
-                    parts.append([keys[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-                asked = [(s, w, p) for s, (w, p) in enumerate(zip(*parts, strict=True)) if w or p]
-                data = list(zip(*asked, strict=True))
-                chunk = pa.array([batch.column("chunk")[i].as_py()] * len(asked), pa.int64())
-                yield pa.RecordBatch.from_arrays([chunk, pa.array(data[0], pa.int32()), *(pa.array(d, pa.binary()) for d in data[1:])], ["chunk", "shard", "words", "pairs"])
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part = pa.array([stretch(_arrays(batch, i), bits, lead).tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("shard", "words", "word_counts")), part], ["shard", "words", "word_counts", "data"])
-
-    def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
-        known, count = (own.column(c).combine_chunks().flatten().to_numpy() if own.num_rows else np.zeros(0, np.int64) for c in ("words", "word_counts"))
-        known = known.view(np.uint64)
-        data = own.column("data")[0].as_py() if own.num_rows else bytes(1 << (bits - lead - 3))
-        bloom = Filter(np.frombuffer(data, np.uint8), bits - lead, 0)
-        out: list[list[bytes]] = [[], [], []]
-        sent = [asked.column(c).to_pylist() for c in ("words", "pairs")]
-        keys = [np.frombuffer(b"".join(x), np.uint64) for x in sent]
-        at = np.minimum(np.searchsorted(known, keys[0]), max(len(known) - 1, 0))
-        exact = np.where(known[at] == keys[0], count[at], 0) if len(known) else np.zeros(len(keys[0]), np.int64)
-        answers = [(exact, sent[0]), *((bloom.levels(k).astype(np.uint8), x) for k, x in zip(keys, sent, strict=True))]
-        for held, (values, x) in zip(out, answers, strict=True):
+    def answer(sent: pa.Table) -> pa.Table:
+        arrays = _added(sent)
+        bloom = Filter(stretch(arrays, bits, lead), bits - lead, 0)
+        out: dict[str, list[bytes]] = {"counts": [], "levels": [], "pair_levels": []}
+        for key, level_name in (("words", "levels"), ("pairs", "pair_levels")):
+            parts = sent.column(key).to_pylist()
+            kinds, of = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_inverse=True)
+            answers = {level_name: bloom.levels(kinds).astype(np.uint8)[of]}
+            if key == "words":
+                exact = np.zeros(len(kinds), np.int64)
+                exact[np.searchsorted(kinds, arrays[0])] = arrays[1]
+                answers["counts"] = exact[of]
             start = 0
-            for size in map(len, x):
-                held.append(values[start : start + size // 8].tobytes())
-                start += size // 8
-        return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), **{c: pa.array(v, pa.binary()) for c, v in zip(("counts", "levels", "pair_levels"), out, strict=True)}})
+            for n in (len(x) // 8 for x in parts):
+                for name, values in answers.items():
+                    out[name].append(values[start : start + n].tobytes())
+                start += n
+        kinds_here = np.zeros(sent.num_rows, np.int64)
+        kinds_here[:1] = len(arrays[0])
+        return pa.table({"chunk": sent.column("chunk"), "shard": sent.column("shard"), "kinds_here": pa.array(kinds_here), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+
+    answers = sent.groupBy("shard").applyInArrow(answer, "chunk long, shard int, kinds_here long, counts binary, levels binary, pair_levels binary")
+    answers = written(answers, "answers")
+    divisor = float(tokens_trained + (answers.agg(F.sum("kinds_here")).first()[0] or 0) + 1)
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("shard")
         count, alone, together = (np.frombuffer(b"".join(answers.column(c).to_pylist()), kind) for c, kind in (("counts", np.int64), ("levels", np.uint8), ("pair_levels", np.uint8)))
-        ids, held_out, texts = (chunk.column(c).combine_chunks().flatten() for c in ("doc_id", "held_out", "text"))
-        row, hashes = tokens(texts)
-        kinds, of = np.unique(hashes, return_inverse=True)
-        before, pair = pairs(row, hashes)
+        kinds, of, row = decoded(chunk, 0)
+        before, pair = pairs(row, kinds[of])
         which = np.unique(pair, return_inverse=True)[1]
         model = modelled(row, of, np.searchsorted(kinds, before), estimate(alone.astype(np.int64)), estimate(together.astype(np.int64))[which], divisor, strength)
         base = np.bincount(row, np.log10((count + 1) / divisor)[of])
         seen = np.bincount(row, (count > 0)[of]).astype(np.int64)
-        return pa.table([ids, held_out, pa.array(np.bincount(row)), pa.array(seen), pa.array(base), pa.array(model)], names)
+        ids, held_out, n_tokens = (chunk.column(c).combine_chunks().flatten() for c in names[:3])
+        return pa.table([ids, held_out, n_tokens, pa.array(seen), pa.array(base), pa.array(model)], names)
 
-    chunks = written(rows.mapInArrow(gather, "chunk long, doc_id array<long>, held_out array<boolean>, text array<string>"), "chunks")
-    asked = chunks.select("chunk", "text").mapInArrow(ask, "chunk long, shard int, words binary, pairs binary")
-    kept = counts.mapInArrow(stretches, "shard int, words array<long>, word_counts array<long>, data binary")
-    answers = kept.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "chunk long, shard int, counts binary, levels binary, pair_levels binary")
-    answers = written(answers, "answers")
-    dropped(counts)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    answers = answers.drop("kinds_here")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -326,19 +357,19 @@ def scored(
     """
     crc = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (crc % 7 == 2).alias("held_out"))
-    training = rows.filter("not held_out")
-    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = written(encoded(rows), "chunks")
+    size, total = (x or 0 for x in chunks.agg(F.sum("bytes"), F.sum("trained")).first())
     lead = max(4, min(20, int(np.ceil(np.log2(max(1, size / shard_bytes))))))
-    counts = written(counted(training.select("text"), 1 << lead), "counts")
-    sizes = level_sizes(counts)
-    kinds, total = (sum(x[i] for x in sizes[1].values()) for i in (0, 1))
-    divisor = float(total + kinds + 1)
+    sent = asked(chunks, 1 << lead)
     fixed = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"]
-    items = sum(q * n for order in sizes.values() for q, (n, _) in order.items())
-    bits = int(np.ceil(np.log2(item_bits * max(1, items))))
+    # An n-gram seen c times has 1 + floor(log2 c) <= c items: words and pairs have two a token at most.
+    bits = int(np.ceil(np.log2(item_bits * max(1, 2 * total))))
     by_shards, bits = bits > most_bits, max(lead + 6, bits)
     if by_shards:
-        return scored_by_shards(rows, counts, bits, lead, divisor, strength).select(*fixed)
+        return scored_by_shards(chunks, sent, total, bits, lead, strength).select(*fixed)
+    counts = written(counted(sent), "counts")
+    sizes = level_sizes(counts)
+    divisor = float(total + sum(n for n, _ in sizes[1].values()) + 1)
     bloom = docs.sparkSession.sparkContext.broadcast((built(counts, bits, lead), bits, lead))
 
     exact_level = least_level(sizes[1], most_exact)
@@ -353,42 +384,42 @@ def scored(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloomed, (keys, known) = Filter(*bloom.value), table.value
         part, done = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text"):
-            n = batch.num_rows
-            row, hashes = tokens(batch.column("text"))
-            kinds, of = np.unique(hashes, return_inverse=True)
-            at = np.minimum(np.searchsorted(keys, kinds), max(len(keys) - 1, 0))
-            count = np.where(keys[at] == kinds, known[at], 0) if len(keys) else np.zeros(len(kinds), np.int64)
-            sure = (count > 0) | whole
-            base = np.bincount(row, np.where(sure, np.log10((count + 1) / divisor), 0.0)[of], n)
-            seen = np.bincount(row, (count > 0)[of], n).astype(np.int64)
-            # The other words go to the join, each once a row.
-            rare = ~sure[of]
-            both = np.stack([row[rare], of[rare]])
-            both, times = np.unique(both, axis=1, return_counts=True) if both.size else (both, np.zeros(0, np.int64))
-            ends = np.searchsorted(both[0], np.arange(n + 1)).astype(np.int32)
-
-            alone = estimate(bloomed.levels(kinds))
-            before, pair = pairs(row, hashes)
-            head_at = np.minimum(np.searchsorted(kinds, before), len(kinds) - 1)
-            model = modelled(row, of, head_at, alone, estimate(bloomed.levels(pair)), divisor, strength)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((part << 40) + done + np.arange(n)),
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(np.bincount(row, minlength=n)),
-                    pa.array(seen),
-                    pa.array(base),
-                    pa.array(model),
-                    pa.ListArray.from_arrays(ends, pa.array(kinds[both[1]].view(np.int64))),
-                    pa.ListArray.from_arrays(ends, pa.array(times)),
-                ],
-                ["at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"],
-            )
-            done += n
-
-    out = rows.mapInArrow(score, "at long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word array<long>, times array<long>")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kinds, of, row = decoded(batch, i)
+                n = len(batch.column("doc_id")[i].values)
+                at = np.minimum(np.searchsorted(keys, kinds), max(len(keys) - 1, 0))
+                count = np.where(keys[at] == kinds, known[at], 0) if len(keys) else np.zeros(len(kinds), np.int64)
+                sure = (count > 0) | whole
+                base = np.bincount(row, np.where(sure, np.log10((count + 1) / divisor), 0.0)[of], n)
+                seen = np.bincount(row, (count > 0)[of], n).astype(np.int64)
+                # The other words go to the join, each once a row.
+                rare = ~sure[of]
+                both = np.stack([row[rare], of[rare]])
+                both, times = np.unique(both, axis=1, return_counts=True) if both.size else (both, np.zeros(0, np.int64))
+                ends = np.searchsorted(both[0], np.arange(n + 1)).astype(np.int32)
+
+                alone = estimate(bloomed.levels(kinds))
+                before, pair = pairs(row, kinds[of])
+                head_at = np.minimum(np.searchsorted(kinds, before), len(kinds) - 1)
+                model = modelled(row, of, head_at, alone, estimate(bloomed.levels(pair)), divisor, strength)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((part << 40) + done + np.arange(n)),
+                        batch.column("doc_id")[i].values,
+                        batch.column("held_out")[i].values,
+                        pa.array(np.bincount(row, minlength=n)),
+                        pa.array(seen),
+                        pa.array(base),
+                        pa.array(model),
+                        pa.ListArray.from_arrays(ends, pa.array(kinds[both[1]].view(np.int64))),
+                        pa.ListArray.from_arrays(ends, pa.array(times)),
+                    ],
+                    ["at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"],
+                )
+                done += n
+
+    out = chunks.drop("bytes", "trained").mapInArrow(score, "at long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word array<long>, times array<long>")
     if whole:
         return out.select(*fixed)
     out = written(out, "scores")
