@@ -81,21 +81,20 @@ def encoded(rows: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []  # without texts, tokens a row, hashes
 
         def flush() -> pa.RecordBatch:
-            ids, held_out, text = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "held_out", "text"))
-            row, hashes = tokens(text)
+            ids, held_out, size = (pa.concat_arrays([b.column(c) for b, _, _ in held]) for c in ("doc_id", "held_out", "size"))
+            per_row, hashes = (np.concatenate([h[i] for h in held]) for i in (1, 2))
             kinds, of, n = np.unique(hashes, return_inverse=True, return_counts=True)
             order = np.argsort(-n, kind="stable")
             rank = np.empty(len(kinds), np.uint32)
             rank[order] = np.arange(len(kinds))
-            per_row, train = np.bincount(row), ~held_out.to_numpy(zero_copy_only=False)
-            size = pc.binary_length(text).to_numpy(zero_copy_only=False)
+            train = ~held_out.to_numpy(zero_copy_only=False)
             ends = pa.array([0, len(ids)], pa.int32())
             columns = [
                 pa.array([part << 32 | done]),
-                pa.array([int(size[train].sum())]),
+                pa.array([int(size.to_numpy()[train].sum())]),
                 pa.array([int(per_row[train].sum())]),
                 *(pa.ListArray.from_arrays(ends, x) for x in (ids, held_out, pa.array(per_row, pa.int64()))),
                 pa.array([kinds[order].tobytes()], pa.binary()),
@@ -105,8 +104,11 @@ def encoded(rows: DataFrame) -> DataFrame:
 
         size = 0
         for batch in slices(batches, "text"):
-            held.append(batch)
-            size += batch.nbytes
+            row, hashes = tokens(batch.column("text"))
+            length = pc.binary_length(batch.column("text")).cast(pa.int64())
+            part_of = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), length], ["doc_id", "held_out", "size"])
+            held.append((part_of, np.bincount(row), hashes))
+            size += pc.sum(length).as_py() + 16 * len(length)
             if size >= _CHUNK:
                 yield flush()
                 held, size, done = [], 0, done + 1

@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,3 +378,26 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert 0 < counts[1] < counts[0] and counts[2] == counts[1] and 0 < counts[3] <= counts[2]
     pieces = corpus_pipeline.STAGES[-1][1](spark, frame, sf)
     assert pieces.agg(F.countDistinct("doc_id")).first()[0] == frame.select("doc_id").distinct().count()
+
+
+def test_chunks_hold_every_token_of_every_text(spark):
+    texts = ["", "a B a\tc", "é x " * 500, "b", "", "c a"]
+    rows = docs(spark, texts, [*range(5), None]).selectExpr("cast(doc_id as long) doc_id", "text", "doc_id = 3 as held_out").na.fill(False).repartition(3)
+    chunks = bloomlm.encoded(rows).toArrow()
+    assert chunks.num_rows > 1
+    found = {}
+    for i in range(chunks.num_rows):
+        kinds, of, row = bloomlm.decoded(chunks, i)
+        assert (np.diff(kinds.astype(object)) > 0).all()
+        for j, key in enumerate(chunks.column("doc_id")[i].as_py()):
+            found[key] = kinds[of[row == j]].tolist()
+    for key, text in zip([*range(5), None], texts, strict=True):
+        assert found[key] == bloomlm.tokens(pa.array([text]))[1].tolist()
+    n = {key: len(x) for key, x in found.items()}
+    assert sum(chunks.column("trained").to_pylist()) == sum(n.values()) - n[3]
+
+
+def test_planes_are_exact():
+    values = np.array([0, 1, 255, 256, 2**32 - 1])
+    assert bloomlm.from_planes(bloomlm.planes(values)).tolist() == values.tolist()
+    assert not len(bloomlm.from_planes(bloomlm.planes(values[:0])))
