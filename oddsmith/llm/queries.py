@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import ann, bagminhash, bloomlm, htmltext, linedup, media, mixing, packing, pii, quality
+from oddsmith.llm import ann, bagminhash, bloomlm, htmltext, linedup, media, mixing, packing, periodic, pii, quality, sharding, vectorcode
 from oddsmith.llm.common import table
 
 
@@ -67,6 +68,60 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloomlm.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of equal numbers of rows; only sizes and hashes of the texts are moved."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("text")
+    )
+    found = sharding.sharded(docs, 40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vectorcode.fitted(vectors)
+    coded = vectorcode.encoded(vectors, books, keep=("vec_id", "label"))
+    digest = hashlib.sha256(",".join(map(str, books.numbers() if books else ())).encode()).hexdigest()
+    rows = coded.select(F.col("vec_id").cast("long"), F.lower(F.hex("code")).alias("code"), "error", "label")
+    rows = vectorcode.with_group_sum(rows, "label", "error", "label_error")
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32(doc_id) ends with digit 0, the words from some place on repeat a block.
+
+    With h the checksum, g = floor(h / 10) and n words, the block starts at word g % n and has
+    1 + floor((n - start) / (3 + g % 8)) words. A null doc_id has the checksum of the empty text
+    and so repeats a block as well.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size("words")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = n - F.col("a")
+    turns = F.ceil(rest / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), turns)), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return rows.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_lpf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of the words of `planted_runs`, and the text without the repetitions."""
+    found = periodic.repeats(planted_runs(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    # Exponents are compared as fractions; the first of equals is the one that starts first.
+    better = lambda best, x: best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"])
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, lambda best, x: F.when(better(best, x), x).otherwise(best))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_recurrent_labeller,
@@ -79,6 +134,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_signature_sniffing,
         op9_poisson_mixing,
         op10_bloom_lm,
+        op11_feistel_shards,
+        op12_product_codes,
+        op13_lpf_runs,
     )
     return {f.__name__: f for f in found}
 
@@ -156,5 +214,72 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(1, times + 1))::INTEGER
 """
 
 
+# crc32 byte by byte from a table made by its rule; the permutation round by round, again where it leaves the row numbers.
+def op11_sql(shards: int = 40, seed: int = 0) -> str:
+    low = "4294967295"
+    steps, left, right = [], "l", "r"
+    for k in range(sharding.ROUNDS):
+        key = ((seed + k + 1) * sharding.STEP) & 0xFFFFFFFF
+        source, bits = (right, "a") if k % 2 == 0 else (left, "b")
+        steps.append(f"(({source}::HUGEINT * {sharding.FIRST} + {key}) & {low})::BIGINT AS x{k}")
+        steps.append(f"(xor(x{k}, x{k} >> 15)::HUGEINT * {sharding.SECOND} & {low})::BIGINT AS y{k}")
+        steps.append(f"xor(y{k}, y{k} >> 13) & ((1::BIGINT << {bits}) - 1) AS f{k}")
+        if k % 2 == 0:
+            steps.append(f"xor({left}, f{k}) AS l{k}")
+            left = f"l{k}"
+        else:
+            steps.append(f"xor({right}, f{k}) AS r{k}")
+            right = f"r{k}"
+    once = f"SELECT number, n, a, b, ({left} << b) + {right} AS p FROM (SELECT *, p >> b AS l, p & ((1::BIGINT << b) - 1) AS r, {', '.join(steps)} FROM %s)"
+    return f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(0, 256), lambda c: list_reduce(list_concat([c], range(0, 8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS t),
+hexed AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+keyed AS (
+  SELECT doc_id, md5(md5(text)) AS tie, length(h) // 2 + 16 AS size,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT)),
+      lambda v, x: xor(v >> 8, t[(xor(v, x) & 255) + 1])), 4294967295) AS text_crc32 FROM hexed, crc_table),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, tie, size, text_crc32) - 1 AS number, count(*) OVER () AS n FROM keyed),
+bits AS (
+  SELECT number, n, b // 2 AS a, b - b // 2 AS b, number AS p FROM (SELECT *, greatest(2, CASE WHEN n <= 1 THEN 0 ELSE length(ltrim(bin(n - 1), '0')) END)::BIGINT AS b FROM numbered)),
+walk AS (
+  {once % "bits"}
+  UNION ALL
+  {once % "(SELECT * FROM walk WHERE p >= n)"})
+SELECT k.doc_id, k.size, k.text_crc32, 'rows' AS law, (w.p % {shards})::INTEGER AS shard, w.p // {shards} AS slot, NULL::INTEGER AS grown_shard
+FROM walk w JOIN numbered k ON w.number = k.number WHERE w.p < w.n
+"""
+
+
+# Rounds of assignment and floored means, all in whole numbers.
+def op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    text = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+cut AS MATERIALIZED (SELECT id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, (SELECT unnest(range(0, {parts})) AS p)),
+first AS (SELECT id, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept QUALIFY e < {entries}),
+book0 AS MATERIALIZED (SELECT p, e, x AS c FROM cut JOIN first USING (id))"""
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    for k in range(rounds + 1):
+        text += f""",
+near{k} AS MATERIALIZED (
+  SELECT id, p, min(struct_pack(d := {far}, e := e)) AS m FROM cut JOIN book{k} USING (p) GROUP BY id, p)"""
+        if k < rounds:
+            text += f""",
+sums{k} AS (
+  SELECT p, e, i, sum(y) AS s, count(*) AS n FROM (
+    SELECT p, m.e AS e, unnest(range(0, len(x))) AS i, unnest(x) AS y FROM near{k} JOIN cut USING (id, p)) GROUP BY p, e, i),
+means{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS c FROM sums{k} GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN means{k} m USING (p, e))"""
+    return text + f""",
+coded AS (SELECT id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM near{rounds} GROUP BY id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_block_join": OP2_SQL, "op6_line_runs": OP6_SQL, "op9_poisson_mixing": OP9_SQL}
+    return {"op2_block_join": OP2_SQL, "op6_line_runs": OP6_SQL, "op9_poisson_mixing": OP9_SQL, "op11_feistel_shards": op11_sql(), "op12_product_codes": op12_sql()}
