@@ -244,9 +244,11 @@ def repeats(docs: DataFrame, text: str = "text", keep: Iterable[str] | None = No
     worked on whole, in one task; about a hundred bytes of memory go with each word of the
     longest one. Repeated rows are rows of their own; an empty table stays empty.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("runs", "collapsed")]
-    fields = [*(docs.schema[c] for c in kept), T.StructField("runs", RUNS), T.StructField("collapsed", T.StringType())]
-    spark_columns = [F.col(f"`{c}`") for c in kept]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("runs", "collapsed")]
+    kept = [f"c{i}" for i in range(len(names))]  # plain names inside, whatever the columns are called
+    fields = [T.StructField(k, docs.schema[c].dataType) for k, c in zip(kept, names, strict=True)]
+    schema = T.StructType([*fields, T.StructField("runs", RUNS), T.StructField("collapsed", T.StringType())])
+    columns = [F.col(f"`{c}`").alias(k) for k, c in zip(kept, names, strict=True)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", 1 << 21):
@@ -265,4 +267,4 @@ def repeats(docs: DataFrame, text: str = "text", keep: Iterable[str] | None = No
             runs = pa.ListArray.from_arrays(pa.array(at), listed.take(pa.array(order)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), runs, joined], [*kept, "runs", "collapsed"])
 
-    return docs.select(*spark_columns, F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(rows, T.StructType(fields))
+    return docs.select(*columns, F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(rows, schema).toDF(*names, "runs", "collapsed")

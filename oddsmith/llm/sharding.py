@@ -108,7 +108,7 @@ def sharded(docs: DataFrame, shards: int, seed: int = 0, key: str = "doc_id", te
     """`docs` with shard (int), slot (long) and row_number (long), which replace columns of those names.
 
     Shards differ by one row at most, slots have no gaps from 0. Rows are numbered by `key` (nulls
-    first), then by a hash of `text` (null as the empty text), then by a hash of all other columns
+    first), then by a hash of `text` (null behind the empty text), then by a hash of all other columns
     but maps, so the result depends on the rows and the seed alone, not on how the table is laid
     out or read. Rows equal in all that may change places with one another. An empty table stays empty.
     """
@@ -116,7 +116,7 @@ def sharded(docs: DataFrame, shards: int, seed: int = 0, key: str = "doc_id", te
         raise ValueError("at least one shard is needed")
     kept = [c for c in docs.columns if c not in ("shard", "slot", "row_number")]
     others = [F.col(f"`{c}`") for c in kept if c not in (key, text) and not isinstance(docs.schema[c].dataType, T.MapType)]
-    order = [F.col(f"`{key}`"), *([text_key(f"`{text}`")] if text in kept else []), *([F.xxhash64(*others)] if others else [])]
+    order = [F.col(f"`{key}`"), *([text_key(f"`{text}`"), F.isnull(f"`{text}`")] if text in kept else []), *([F.xxhash64(*others)] if others else [])]
     rows, n = numbered(docs.select(*[F.col(f"`{c}`") for c in kept]), order)
 
     def places(numbers: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -199,11 +199,13 @@ def encoded(vectors: DataFrame, books: Codebooks | None, column: str = "embeddin
     `error` is the squared distance to the entries in scaled integers, null where it is no long.
     `keep` names the columns that stay (default: all).
     """
-    kept = [c for c in (vectors.columns if keep is None else keep) if c not in ("code", "error")]
-    fields = [*(vectors.schema[c] for c in kept), T.StructField("code", T.BinaryType()), T.StructField("error", T.LongType())]
-    schema = T.StructType(fields)
+    names = [c for c in (vectors.columns if keep is None else keep) if c not in ("code", "error")]
+    kept = [f"c{i}" for i in range(len(names))]  # plain names inside, whatever the columns are called
+    fields = [T.StructField(k, vectors.schema[c].dataType) for k, c in zip(kept, names, strict=True)]
+    schema = T.StructType([*fields, T.StructField("code", T.BinaryType()), T.StructField("error", T.LongType())])
     if books is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return vectors.sparkSession.createDataFrame([], schema).toDF(*names, "code", "error")
+    columns = [F.col(f"`{c}`").alias(k) for k, c in zip(kept, names, strict=True)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         assign = _Assigner(books)
@@ -213,9 +215,9 @@ def encoded(vectors: DataFrame, books: Codebooks | None, column: str = "embeddin
                 out = batch.select(kept).take(pa.array(number[some]))
                 code = [c.tobytes() for c in codes.astype(np.uint8)]
                 errors = [e if e <= _LONG else None for e in errors]
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(code, pa.binary()), pa.array(errors, pa.int64())], schema.names)
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(code, pa.binary()), pa.array(errors, pa.int64())], [*kept, "code", "error"])
 
-    return vectors.select(*[F.col(f"`{c}`") for c in kept], _narrow(vectors, column).alias("__vector")).mapInArrow(rows, schema)
+    return vectors.select(*columns, _narrow(vectors, column).alias("__vector")).mapInArrow(rows, schema).toDF(*names, "code", "error")
 
 
 def decoded(code: Column, books: Codebooks) -> Column:
