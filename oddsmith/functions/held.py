@@ -1,22 +1,34 @@
-"""Frames that a job reads more than once: kept on the executors until the next job begins."""
+"""What a job keeps until the next one begins: frames that it reads twice, tables that its result reads."""
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_held: dict[tuple[str, int], list[Callable[[], object]]] = {}
+
 
-_held: list[DataFrame] = []
+def _job(spark: SparkSession) -> tuple[str, int]:
+    """A session's jobs in other threads are jobs of their own."""
+    return spark._jsparkSession.sessionUUID(), threading.get_ident()
 
 
 def hold(df: DataFrame) -> DataFrame:
     """Persists `df` in memory or on disk; a lost executor's part is computed again."""
-    _held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-    return df
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    at_release(df.sparkSession, kept.unpersist)
+    return kept
+
+
+def at_release(spark: SparkSession, action: Callable[[], object]) -> None:
+    """Runs `action` when the session's next job in this thread begins."""
+    _held.setdefault(_job(spark), []).append(action)
 
 
-def release() -> None:
-    """Gives up all frames that are held. A result that still reads one computes it anew."""
-    while _held:
-        df = _held.pop()
-        if df.sparkSession.sparkContext._jsc is not None:  # not yet stopped
-            df.unpersist()
+def release(spark: SparkSession) -> None:
+    """Gives up what this thread's last job of the session has held. A result that still reads a frame computes it anew."""
+    for action in reversed(_held.pop(_job(spark), [])):
+        action()

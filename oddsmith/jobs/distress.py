@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from oddsmith.functions.columns import clean, verdict
-from oddsmith.functions.held import hold
+from oddsmith.functions.held import at_release, hold
+from oddsmith.functions.shared import delete, shared_folder
 from oddsmith.jobs.distress_sql import SQL
 from oddsmith.jobs.market import owned, rounded
 from oddsmith.operators import distress, filings, resample
 from oddsmith.sources import adapters as a
-from oddsmith.sources import readers
+from oddsmith.sources import landed
 
 AS_OF_YEAR = 2002
 MIN_TRAIN_YEARS = 1  # the orders cover seven years
@@ -51,7 +53,8 @@ def index_lines(spark: SparkSession, d: str) -> DataFrame:
     shown = F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("x"), cik)).otherwise(cik)
     file = F.concat(F.lit("edgar/data/"), cik, F.lit("/"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.lit(".txt"))
     name = F.concat(F.lit("HOLDINGS "), cik, F.lit(" INC"))
-    return a.table(spark, d, "orders").select(F.concat_ws("  ", form[F.col("o_orderpriority")], name, shown, F.date_format("o_orderdate", "yyyy-MM-dd"), file).alias("value"))
+    orders = a.table(spark, d, "orders")
+    return orders.select(F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").cast("date").alias("date"), F.concat_ws("  ", form[F.col("o_orderpriority")], name, shown, F.date_format("o_orderdate", "yyyy-MM-dd"), file).alias("value"))
 
 
 def submissions_explode(spark: SparkSession, d: str) -> DataFrame:
@@ -61,14 +64,48 @@ def submissions_explode(spark: SparkSession, d: str) -> DataFrame:
     return filings.submissions(packed.select("cik", F.col("r.form").alias("form"), F.col("r.filing_date").alias("filing_date"), items.alias("items")))
 
 
+def put(rows: DataFrame, name: str) -> str:
+    """A new shared folder with the text column `value` of `rows`, in a folder for each `file`, until the next job begins."""
+    path = shared_folder(rows.sparkSession, name)
+    (rows.write.partitionBy("file") if "file" in rows.columns else rows.write).text(path)
+    at_release(rows.sparkSession, lambda: delete(rows.sparkSession, path))
+    return path
+
+
+def submission_files(spark: SparkSession, d: str) -> DataFrame:
+    """Nested submissions, a document a line; those of every 97th company are cut off, every 4th has no items."""
+    packed = a.filings(spark, d).groupBy("cik").agg(F.collect_list(F.struct("form", F.col("filing_date").cast("string").alias("filingDate"), "item")).alias("r"))
+    items = F.when(F.col("cik") % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("r.item"))
+    recent = F.struct(F.col("r.form").alias("form"), F.col("r.filingDate").alias("filingDate"), items.alias("items"))
+    whole = F.to_json(F.struct(F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik"), F.struct(recent.alias("recent")).alias("filings")))
+    value = F.when(F.col("cik") % 97 == 0, F.substring(whole, 1, 40)).otherwise(whole)
+    return landed.landed(spark, put(packed.select(value.alias("value")), "submissions"), landed.SUBMISSION, lines=True)
+
+
+def landed_submissions(spark: SparkSession, d: str) -> DataFrame:
+    return landed.submission_rows(submission_files(spark, d))
+
+
+def landed_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents can't be read, and how they begin."""
+    return landed.rejected(submission_files(spark, d)).groupBy(F.substring("raw", 1, 7).alias("head")).agg(F.count(F.lit(1)).alias("n"))
+
+
+PAGE = 100  # hits of a page
+
+
 def hit_years(spark: SparkSession, d: str) -> DataFrame:
-    """cik, year of the pages of hits of a text search, one page for each year and filing."""
-    ciks = F.array(F.lpad(F.col("cik").cast("string"), 10, "0"), F.lit("n/a"))
-    hit = F.struct(F.struct(F.array(F.struct(F.struct(ciks.alias("ciks")).alias("_source"))).alias("hits")).alias("hits"))
-    pages = a.filings(spark, d).filter("priority = '1-URGENT'").select("year", F.to_json(hit).alias("value"))
-    parsed = pages.select("year", F.from_json("value", "hits struct<hits:array<struct<_source:struct<ciks:array<string>>>>>").alias("r"))
-    each = parsed.select("year", F.explode("r.hits.hits").alias("h")).select("year", F.explode("h._source.ciks").alias("c"))
-    return each.select(F.col("c").try_cast("bigint").alias("cik"), "year").filter("cik is not null").distinct()
+    """cik, year of a text search's pages of `PAGE` hits; a page that no search reaches names unknown companies."""
+    found = a.filings(spark, d).filter("priority = '1-URGENT'")
+    start = F.floor((F.row_number().over(Window.partitionBy("year").orderBy("order_key")) - 1) / PAGE) * PAGE
+    hit = F.struct(F.struct(F.array(F.lpad(F.col("cik").cast("string"), 10, "0"), F.lit("n/a")).alias("ciks")).alias("_source"))
+    pages = found.select("year", start.alias("start"), "order_key", hit.alias("h")).groupBy("year", "start").agg(F.transform(F.sort_array(F.collect_list(F.struct("order_key", "h"))), lambda x: x["h"]).alias("hits"))
+    stray = F.struct(F.struct(F.array(F.lit("999999999")).alias("ciks")).alias("_source"))
+    more = found.select("year").distinct().select("year", F.lit(9_900).cast("bigint").alias("start"), F.array(stray).alias("hits"))
+    page = pages.select("year", "start", "hits").unionByName(more).filter(F.col("start") < landed.MOST_HITS)
+    name = F.concat(F.lit("fts_gc_"), F.col("year").cast("string"), F.lit("_"), F.col("start").cast("string"), F.lit(".json"))
+    files = page.select(name.alias("file"), F.to_json(F.struct(F.struct("hits").alias("hits"))).alias("value"))
+    return landed.hit_years(landed.landed(spark, put(files, "hits"), landed.HITS))
 
 
 def hit_ciks(spark: SparkSession, d: str) -> DataFrame:
@@ -76,10 +113,9 @@ def hit_ciks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ticker_map(spark: SparkSession, d: str) -> DataFrame:
-    """cik and ticker out of a JSON object of numbered entries; the last entry of a cik wins."""
-    lines = names(spark, d).select(F.to_json(F.create_map(F.col("cik").cast("string"), F.struct(F.col("cik").alias("cik_str"), "ticker"))).alias("value"))
-    rows = lines.select(F.explode(F.from_json("value", "map<string,struct<cik_str:bigint,ticker:string>>")).alias("k", "v"))
-    return rows.groupBy(F.col("v.cik_str").alias("cik")).agg(F.max_by("v.ticker", F.col("k").cast("bigint")).alias("ticker"))
+    """cik and ticker out of landed objects of numbered entries."""
+    part = names(spark, d).groupBy((F.col("cik") % 50).alias("g")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("cik").cast("string"), F.struct(F.col("cik").alias("cik_str"), "ticker")))).alias("m"))
+    return landed.ticker_map(landed.landed(spark, put(part.select(F.to_json("m").alias("value")), "tickers"), landed.TICKERS, lines=True))
 
 
 # Panel column, concept, its place in the order, and whether it is a balance at year's end.
@@ -103,7 +139,7 @@ def priority(spark: SparkSession) -> DataFrame:
 
 
 def landed_frames(spark: SparkSession, d: str) -> DataFrame:
-    """file, data: one JSON frame for each concept, fiscal year and company, as a landed file would give it.
+    """concept, fy, instant, cik, val of JSON frames, a file for each concept and fiscal year.
 
     A report filed in a year gives the figures of the year before. Some companies give no Revenues, some no Cash.
     """
@@ -111,20 +147,32 @@ def landed_frames(spark: SparkSession, d: str) -> DataFrame:
     gap = {"Revenues": 3, "Cash": 5}
     value = lambda column, concept: F.when(F.col("cik") % gap.get(concept, 1 << 40) != 0, F.col(column)) if concept in gap else F.col(column) / (2 if concept == "SalesRevenueNet" else 1)
     name = lambda concept, instant: F.concat(F.lit(f"frame_{concept}_CY"), (F.col("year") - 1).cast("string"), F.lit("Q4I.json" if instant else ".json"))
-    frames = F.array(*[F.struct(name(c, i).alias("file"), F.array(F.struct(F.col("cik"), value(column, c).alias("val"))).alias("data")) for column, c, _, i in CONCEPTS])
-    return years.select(F.inline(frames))
+    each = years.select(F.inline(F.array(*[F.struct(name(c, i).alias("file"), F.struct(F.col("cik"), value(column, c).alias("val")).alias("fact")) for column, c, _, i in CONCEPTS])))
+    frames = each.groupBy("file").agg(F.collect_list("fact").alias("data")).select("file", F.to_json(F.struct("data")).alias("value"))
+    return landed.concept_values(landed.landed(spark, put(frames, "frames"), landed.FRAME))
 
 
 def concept_fallback(spark: SparkSession, d: str) -> DataFrame:
-    facts = readers.concept_values(landed_frames(spark, d))
-    return filings.fallback(facts, priority(spark), FIGURES).select("cik", "fy", "assets", "cash", "revenue", "net_income")
+    return filings.fallback(landed_frames(spark, d), priority(spark), FIGURES).select("cik", "fy", "assets", "cash", "revenue", "net_income")
+
+
+def index_files(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered index lines of landed files, a folder for each year and quarter, in order of the orders' keys."""
+    lines = index_lines(spark, d).withColumns({"year": F.year("date"), "quarter": F.quarter("date")})
+    dealt = lines.repartition("year", "quarter").sortWithinPartitions("year", "quarter", "order_key")
+    path = shared_folder(spark, "index")
+    dealt.select("value", "year", "quarter").write.partitionBy("year", "quarter").text(path)
+    at_release(spark, lambda: delete(spark, path))
+    return landed.numbered_lines(spark, path, r"/year=(\d{4})/quarter=([1-4])/[^/]*$")
+
+
+def numbered_index(spark: SparkSession, d: str) -> DataFrame:
+    return filings.parsed_index(index_files(spark, d), keep=("year", "quarter", "line_no"))
 
 
 def landed_panel(spark: SparkSession, d: str) -> DataFrame:
-    """The panel end to end: index lines, concept frames, hits of a text search, a ticker map and filings."""
-    index = filings.parsed_index(index_lines(spark, d))
-    facts = readers.concept_values(landed_frames(spark, d))
-    return filings.landed_panel(index, facts, priority(spark), FIGURES, a.filings(spark, d), ticker_map(spark, d), AS_OF_YEAR, hit_years(spark, d))
+    """The panel end to end, from landed files: index lines, concept frames, hits of a text search, a ticker map; and filings."""
+    return filings.landed_panel(numbered_index(spark, d), landed_frames(spark, d), priority(spark), FIGURES, a.filings(spark, d), ticker_map(spark, d), AS_OF_YEAR, hit_years(spark, d), ["quarter", "line_no"])
 
 
 def exit_classify(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +272,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "filing_index_parse": lambda s, d: filings.parsed_index(index_lines(s, d)),
         "cohort_first_filing": lambda s, d: filings.cohorts(filings.parsed_index(index_lines(s, d)), ["filing_date", "file"]),
+        "index_line_numbers": numbered_index,
+        "index_order_cohorts": lambda s, d: filings.cohorts(numbered_index(s, d), ["quarter", "line_no"]),
         "submissions_explode": submissions_explode,
+        "landed_submissions": landed_submissions,
+        "landed_rejects": landed_rejects,
         "hit_ciks": hit_ciks,
         "ticker_map": ticker_map,
         "concept_fallback": concept_fallback,

@@ -75,6 +75,13 @@ indexed AS (
 SELECTS = {
     "filing_index_parse": "SELECT form, name, cik, filing_date, file FROM indexed",
     "cohort_first_filing": "SELECT cik, year, name, filing_date FROM (SELECT *, extract(year FROM filing_date)::INTEGER AS year, row_number() OVER (PARTITION BY cik, extract(year FROM filing_date) ORDER BY filing_date, file) AS k FROM indexed) WHERE k = 1",
+    "index_line_numbers": """SELECT form, name, cik, filing_date, file, extract(year FROM filing_date)::INTEGER AS year, extract(quarter FROM filing_date)::INTEGER AS quarter, line_no FROM indexed
+        JOIN (SELECT lpad(o_orderkey::VARCHAR, 12, '0') || '.txt' AS last, row_number() OVER (PARTITION BY extract(year FROM o_orderdate::DATE), extract(quarter FROM o_orderdate::DATE) ORDER BY o_orderkey) AS line_no FROM orders)
+        ON last = split_part(file, '/', 4)""",
+    "index_order_cohorts": """SELECT cik, year, name, filing_date FROM (SELECT *, extract(year FROM filing_date)::INTEGER AS year,
+        row_number() OVER (PARTITION BY cik, extract(year FROM filing_date) ORDER BY extract(quarter FROM filing_date), file) AS k FROM indexed) WHERE k = 1""",
+    "landed_submissions": "SELECT cik, form, filing_date, CASE WHEN cik % 4 = 0 THEN '' ELSE item END AS item FROM filed WHERE cik % 97 <> 0",
+    "landed_rejects": """SELECT '{"cik":' AS head, count(DISTINCT cik) AS n FROM filed WHERE cik % 97 = 0 HAVING count(*) > 0""",
     "submissions_explode": "SELECT cik, form, filing_date, CASE WHEN cik % 4 = 0 THEN '' ELSE item END AS item FROM filed",
     "hit_ciks": "SELECT DISTINCT cik FROM filed WHERE priority = '1-URGENT'",
     "ticker_map": "SELECT c_custkey AS cik, 'S' || lpad(c_custkey::VARCHAR, 5, '0') AS ticker FROM customer",
@@ -161,7 +168,7 @@ WITH_LOGIT = {
 SELECTS.pop("distress_by_year"), SELECTS.pop("latest_cohort_scores")
 SELECTS["informative_factors"] = "SELECT factor, factor <> 'going_concern' OR (SELECT count(going_concern) FROM panel) > 0 AS used FROM (VALUES ('burning'), ('short_runway'), ('neg_equity'), ('going_concern')) v(factor)"
 SELECTS["landed_panel"] = """SELECT * FROM (WITH co AS (
-    SELECT cik, year, name, filing_date AS first_date FROM (SELECT *, extract(year FROM filing_date)::INTEGER AS year, row_number() OVER (PARTITION BY cik, extract(year FROM filing_date) ORDER BY filing_date, file) AS k FROM indexed) WHERE k = 1),
+    SELECT cik, year, name, filing_date AS first_date FROM (SELECT *, extract(year FROM filing_date)::INTEGER AS year, row_number() OVER (PARTITION BY cik, extract(year FROM filing_date) ORDER BY extract(quarter FROM filing_date), file) AS k FROM indexed) WHERE k = 1),
   ro AS (
     SELECT o.cik, o.year, o.name, o.first_date, assets, liabilities, equity, CASE WHEN o.cik % 5 <> 0 THEN cash END AS cash, CASE WHEN o.cik % 3 = 0 THEN revenue / 2 ELSE revenue END AS revenue, net_income, ocf,
       current_assets, current_liabilities, EXISTS (SELECT 1 FROM co e WHERE e.cik = o.cik AND e.year IN (o.year + 2, o.year + 3)) AS files_on, o.year + 2 < 2002 AND o.year + 2 IN (SELECT year FROM co) AS known,

@@ -10,13 +10,14 @@ from pyspark.sql.window import Window
 
 from oddsmith.config import FACTORS, Config
 from oddsmith.functions.columns import business_days_ahead, verdict
-from oddsmith.functions.held import hold, release
+from oddsmith.functions.held import at_release, hold, release
+from oddsmith.functions.shared import delete, shared_folder
 from oddsmith.jobs.market_sql import SQL
-from oddsmith.operators import backtest, model, resample, universe
+from oddsmith.operators import backtest, model, resample, slices, sparse, universe
 from oddsmith.operators import windows as w
 from oddsmith.operators.factors import MEDIANS, features, joined, measured
 from oddsmith.sources import adapters as a
-from oddsmith.sources import readers
+from oddsmith.sources import payloads, readers, store
 
 CFG = Config()
 LEAST_USABLE = 100  # of a card's ticker: the given prices have about 500 rows a ticker
@@ -31,7 +32,7 @@ def owned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     """The query as one job: what the job before has held is given up when it begins."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        release()
+        release(spark)
         return query(spark, d)
 
     return run
@@ -198,6 +199,70 @@ def walk_forward_by_ticker(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.scored(feat(spark, d, cfg), cfg, ["ticker"], every=63))
 
 
+def sparse_fit_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The change points of all tickers' own fits, over all buckets."""
+    cfg = Config(min_train_years=1)
+    rows = hold(backtest.attached(feat(spark, d, cfg, reused=True), cfg, ["ticker"], 63))
+    found = sparse.change_points(rows, cfg, ["ticker"])
+    added = lambda part: sum([F.col(f"{part}{k}") for k in range(1, len(cfg.edges) + 1)], F.col(f"{part}0"))
+    return rounded(found.select("ticker", "fit_id", "state", added("n").alias("n"), added("r").alias("sum_r")))
+
+
+def new_store(spark: SparkSession, d: str) -> store.PriceStore:
+    """A store of its own for one job, filled twice: the tickers that ended first, then a feed of all, whose stored tickers are skipped."""
+    path = shared_folder(spark, "prices")
+    out = store.PriceStore(spark, "prices_" + path[-32:], path, buckets=8)
+    at_release(spark, out.drop)
+    rows = a.prices(spark, d)
+    out.ingest(rows.join(meta(spark, d).filter("fate = 'delisted'"), "ticker", "left_semi"))
+    return out
+
+
+def price_store(spark: SparkSession, d: str) -> DataFrame:
+    """What the store holds after a second ingest whose closes differ by 1,000: old tickers keep their own."""
+    kept = new_store(spark, d)
+    kept.ingest(a.prices(spark, d).withColumn("close", F.col("close") + 1000))
+    kept.compact()
+    return rounded(kept.tickers().join(kept.prices().groupBy("ticker").agg(F.sum(F.floor(F.col("close") * 1000)).alias("total")), "ticker"))
+
+
+def store_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of a store's prices: no exchange by ticker."""
+    kept = new_store(spark, d)
+    kept.ingest(a.prices(spark, d))
+    return rounded(features(kept.prices(), a.market(spark, d), CFG).select("ticker", "date", "state", "fwd_ret"))
+
+
+def features_in_slices(spark: SparkSession, d: str) -> DataFrame:
+    rows = slices.features(a.prices(spark, d), a.market(spark, d), CFG, size=300, days=200)
+    return rounded(rows.select("ticker", "date", "state", "fwd_ret"))
+
+
+def stored_history(spark: SparkSession, d: str) -> DataFrame:
+    """Histories of a payload that was written twice: first without a third of the tickers' closes, which the second writing replaces."""
+    path = shared_folder(spark, "payloads")
+    at_release(spark, lambda: delete(spark, path))
+    rows = hold(universe.recent(a.prices(spark, d)))
+    third = F.crc32(F.col("ticker").cast("binary")) % 3 == 0
+    payloads.replace(rows.withColumn("history", F.when(~third, F.col("history"))), path)
+    payloads.replace(rows, path)
+    return payloads.stored(spark, path, rows.schema).select("ticker", F.inline("history"))
+
+
+def card_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The distributions of the cards, pooled and own, a row a bucket."""
+    rows = feat(spark, d, reused=True)
+    cards = universe.card_models(rows, universe.with_usable(rows, LEAST_USABLE), CFG)[0]
+    each = lambda side: F.transform(F.arrays_zip(f"{side}.probs", f"{side}.baseline", f"{side}.bucket_mean"), lambda x, k: F.struct(F.lit(side).alias("side"), k.alias("bucket"), x["probs"].alias("p"), x["baseline"].alias("q"), x["bucket_mean"].alias("mean")))
+    return rounded(cards.select("ticker", F.inline(F.concat(each("pooled"), each("own")))))
+
+
+def baseline_moments(spark: SparkSession, d: str) -> DataFrame:
+    rows = universe.with_usable(feat(spark, d, reused=True), LEAST_USABLE)
+    found = model.predictions(model.fitted(rows, CFG, ["ticker"]), ["ticker"], whole=True).filter("state = 'Up/Up/HighVIX'")
+    return rounded(found.select("ticker", "ev_base", "std_base", "ev_over_std_base"))
+
+
 def _factor(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: features(a.prices(spark, d), a.market(spark, d), CFG, flags_of=(name,)).select("ticker", "date", name)
 
@@ -270,6 +335,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "track_record": lambda s, d: rounded(backtest.track_record(scored(s, d), CFG)),
         "track_record_summary": lambda s, d: rounded(backtest.track_record_summary(backtest.track_record(scored(s, d), CFG))),
         "last_dev_months": last_dev_months,
+        "price_store": price_store,
+        "store_features": store_features,
+        "features_in_slices": features_in_slices,
+        "sparse_fit_cells": sparse_fit_cells,
+        "stored_history": stored_history,
+        "card_buckets": card_buckets,
+        "baseline_moments": baseline_moments,
         "ticker_cards": ticker_cards,
         "ticker_models": ticker_models,
         "ticker_transitions": ticker_transitions,

@@ -170,7 +170,7 @@ SELECTS = {
             SELECT a.state AS from_state, b.state AS to_state, count(p.f) AS n FROM states a CROSS JOIN states b
             LEFT JOIN (SELECT state AS f, lead(state, 21) OVER (PARTITION BY ticker ORDER BY date) AS t FROM usable) p ON p.f = a.state AND p.t = b.state GROUP BY 1, 2)), cluster)""",
     "survivorship_gap": """SELECT * FROM (WITH both_ AS (SELECT 'all' AS cohort, u.* FROM feat u UNION ALL SELECT 'survivors', u.* FROM feat u SEMI JOIN (SELECT ticker FROM meta WHERE fate = 'active') USING (ticker)),
-        cl AS (SELECT cohort, greatest(1.0, avg(n)) AS cluster FROM (SELECT cohort, date, count(*) AS n FROM both_ GROUP BY 1, 2) GROUP BY 1),
+        cl AS (SELECT DISTINCT cohort, cluster FROM both_, cluster),
         us AS (SELECT b.*, CASE WHEN fwd_ret < -0.10 THEN 0 WHEN fwd_ret < -0.05 THEN 1 WHEN fwd_ret < -0.02 THEN 2 WHEN fwd_ret < 0 THEN 3 WHEN fwd_ret < 0.02 THEN 4 WHEN fwd_ret < 0.05 THEN 5 WHEN fwd_ret < 0.10 THEN 6 ELSE 7 END AS bucket FROM both_ b WHERE state IS NOT NULL AND fwd_ret IS NOT NULL),
         ce AS (SELECT c.cohort, c.cluster, s.state, b.bucket, b.is_up, count(u.ticker) AS n, coalesce(sum(u.fwd_ret), 0) AS sum_r FROM cl c CROSS JOIN states s CROSS JOIN buckets b LEFT JOIN us u ON u.cohort = c.cohort AND u.state = s.state AND u.bucket = b.bucket GROUP BY ALL),
         su AS (SELECT *, sum(n) OVER (PARTITION BY cohort, bucket) AS nb, sum(n) OVER (PARTITION BY cohort, state) AS ns, sum(n) OVER (PARTITION BY cohort) AS na, sum(sum_r) OVER (PARTITION BY cohort, bucket) AS rb FROM ce),
@@ -185,6 +185,11 @@ SELECTS = {
     "annualised_vol": """SELECT ticker, round(stddev_samp(r) * sqrt(252), 6) AS vol FROM (
         SELECT ticker, ln(close) - ln(lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS r, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM prices) WHERE k <= 252 GROUP BY 1""",
     "recent_history": "SELECT ticker, count(*) AS n_days, min(close) AS low, max(close) AS high, min(date) AS first, max(date) AS last FROM ranked WHERE k <= 756 GROUP BY 1",
+    "stored_history": "SELECT ticker, date, close FROM ranked WHERE k <= 756",
+    "price_store": """SELECT p.ticker, count(*) AS n_rows, min(date) AS first, max(date) AS last, sum(floor(CASE WHEN fate = 'delisted' THEN close ELSE close + 1000 END * 1000))::BIGINT AS total
+        FROM (SELECT ticker, date, close FROM prices) p JOIN meta m USING (ticker) GROUP BY 1""",
+    "store_features": "SELECT ticker, date, state, round(fwd_ret, 6) AS fwd_ret FROM feat",
+    "features_in_slices": "SELECT ticker, date, state, round(fwd_ret, 6) AS fwd_ret FROM feat",
     "ticker_search": "SELECT s_suppkey, s_name FROM supplier WHERE lower(s_name) LIKE '%' || lower('R#00000000') || '%'",
     "refit_calendar": "SELECT fit_id::INTEGER AS fit_id, refit_date FROM fits",
     "asof_fit": "SELECT date, test_fit::INTEGER AS test_fit FROM dated",
@@ -299,7 +304,7 @@ SELECT l.ticker, l.date, k.close, l.state, l.stock_momentum, l.sector_momentum,
   m.n_rows AS pooled_n_rows, round(m.n_eff, 1) AS pooled_independent_obs, round(m.w, 3) AS pooled_weight_on_state, round(m.p_up, 6) AS pooled_p_up, round(m.p_up_base, 6) AS pooled_p_up_base, round(m.ev, 6) AS pooled_ev, round(sqrt(m.variance), 6) AS pooled_std,
   o.n_rows AS own_n_rows, round(o.n_eff, 1) AS own_independent_obs, round(o.w, 3) AS own_weight_on_state, round(o.p_up, 6) AS own_p_up, round(o.p_up_base, 6) AS own_p_up_base, round(o.ev, 6) AS own_ev, round(sqrt(o.variance), 6) AS own_std,
   v.own_rows, round(v.gain, 6) AS own_gain, round(v.lo, 6) AS own_lo, round(v.hi, 6) AS own_hi, round(v.hit, 6) AS own_hit, round(v.hit_base, 6) AS own_hit_base,
-  CASE WHEN v.ticker IS NOT NULL THEN CASE WHEN lo IS NULL OR hi IS NULL THEN 'too little data' WHEN lo > 0 THEN 'better than baseline' WHEN hi < 0 THEN 'worse than baseline' ELSE 'indistinguishable from baseline' END END AS own_verdict,
+  CASE WHEN v.ticker IS NOT NULL THEN CASE WHEN lo IS NULL OR hi IS NULL THEN 'too little data' WHEN lo > 0 THEN 'better than baseline' WHEN hi < 0 THEN 'worse than baseline' ELSE 'indistinguishable from baseline' END ELSE 'too little history for a walk-forward of its own' END AS own_verdict,
   r.first AS history_first, round((SELECT sum(p_up) FROM o_moments x WHERE x.ticker = l.ticker), 6) AS own_p_up_sum, (SELECT sum(n) FROM o_moves x WHERE x.ticker = l.ticker)::DOUBLE AS transitions_n,
   round((SELECT sum(p) FROM o_moves x WHERE x.ticker = l.ticker AND from_state = to_state), 6) AS p_stay_sum, round((SELECT sum(round(l.close * hi, 2)) FROM buckets WHERE bucket > 3), 2) AS dollars_up_sum
 FROM latest l SEMI JOIN own_good USING (ticker) JOIN moments m USING (state) JOIN o_moments o ON o.ticker = l.ticker AND o.state = l.state JOIN look k ON k.ticker = l.ticker JOIN vols ON vols.ticker = l.ticker
@@ -309,10 +314,16 @@ _by_ticker = lambda feat, usable, days: BY_TICKER.format(feat=feat, usable=usabl
 _said = "round(n_eff, 1) AS independent_obs, round(w, 3) AS weight_on_state, round(p_up, 6) AS p_up, round(p_up_base, 6) AS p_up_base, round(ev, 6) AS ev, round(ev_base, 6) AS ev_base, round(sqrt(variance), 6) AS std, round(ev / sqrt(variance), 6) AS ev_over_std"
 _kelly = "round(ev / variance, 6) AS kelly_full, round(ev / variance / 2, 6) AS kelly_half"
 SELECTS["ticker_models"] = f"{OWN} SELECT ticker, state, n_rows, {_said} FROM o_moments"
+SELECTS["card_buckets"] = f"""{OWN} SELECT l.ticker, 'pooled' AS side, m.bucket, round(m.p, 6) AS p, round(m.q, 6) AS q, round(m.m, 6) AS mean FROM latest l SEMI JOIN own_good USING (ticker) JOIN model m USING (state)
+    UNION ALL SELECT l.ticker, 'own', m.bucket, round(m.p, 6), round(m.q, 6), round(m.m, 6) FROM latest l JOIN o_model m ON m.ticker = l.ticker AND m.state = l.state"""
+_base = "sum(q * m_bucket) AS ev, greatest(sum(q * m2_bucket) - sum(q * m_bucket) * sum(q * m_bucket), 1e-12) AS variance"
+SELECTS["baseline_moments"] = f"{OWN} SELECT ticker, round(ev, 6) AS ev_base, round(sqrt(variance), 6) AS std_base, round(ev / sqrt(variance), 6) AS ev_over_std_base FROM (SELECT ticker, {_base} FROM o_base WHERE state = 'Up/Up/HighVIX' GROUP BY 1)"
 SELECTS["ticker_transitions"] = f"{OWN} SELECT ticker, from_state, to_state, n, round(p, 6) AS p FROM o_moves"
 SELECTS["terminal_tickers"] = f"{OWN} SELECT ticker, count(*) AS n_rows FROM own_feat GROUP BY 1"
 SELECTS["ticker_cards"] = f"{OWN}{_by_ticker('own_feat', 'own_usable', 1095)}{CARD}"
 SELECTS["focal_prediction"] = f"SELECT l.ticker, l.date, l.state, n_rows, {_said}, {_kelly} FROM latest l JOIN moments m USING (state) WHERE ticker = (SELECT min(ticker) FROM meta WHERE fate = 'active')"
+SELECTS["sparse_fit_cells"] = _by_ticker("feat", "usable", 365) + """SELECT ticker, train_fit::INTEGER AS fit_id, state, sum(count(*)) OVER w AS n, round(sum(sum(fwd_ret)) OVER w, 6) AS sum_r
+    FROM t_rows WHERE train_fit IS NOT NULL GROUP BY ticker, train_fit, state WINDOW w AS (PARTITION BY ticker, state ORDER BY train_fit)"""
 SELECTS["walk_forward_by_ticker"] = _by_ticker("feat", "usable", 365) + BY_TICKER_ROWS
 
 SQL = {name: f"{STEPS}\n{select}" for name, select in SELECTS.items()}

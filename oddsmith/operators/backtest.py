@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from oddsmith.config import Config
 from oddsmith.functions.columns import brier, business_days_ahead, log_loss
 from oddsmith.functions.held import hold
-from oddsmith.operators import model
+from oddsmith.operators import model, sparse
 
 
 def refit_calendar(feat: DataFrame, cfg: Config, keys: Sequence[str] = (), every: int | None = None) -> DataFrame:
@@ -54,23 +54,17 @@ def attached(feat: DataFrame, cfg: Config, keys: Sequence[str] = (), every: int
     return rows.join(fits if keys else F.broadcast(fits), [*keys, "date"])
 
 
-def expanding_fits(rows: DataFrame, cfg: Config, keys: Sequence[str] = ()) -> DataFrame:
+def expanding_fits(rows: DataFrame, cfg: Config) -> DataFrame:
     """Cumulative cells of every fit from `attached` rows; fits that have seen fewer than two states are left out."""
-    spark = rows.sparkSession
-    found = model.deltas(rows.filter("train_fit is not null"), cfg, [*keys, "train_fit"])
-    ids = rows.select(*keys, F.col("test_fit").alias("fit_id")).unionByName(rows.select(*keys, F.col("train_fit").alias("fit_id"))).filter("fit_id is not null").distinct()
-    grid = F.broadcast(model.grid(spark, cfg).select("state_id", "state", "bucket", "is_up"))
-    if keys:  # only the states that a key has seen: the rest has p = q
-        seen = found.select(*keys, "state").distinct()
-        dense = ids.join(seen, list(keys)).join(grid, "state")
-    else:
-        dense = ids.join(grid)
-    cells = dense.join(found.withColumnRenamed("train_fit", "fit_id"), [*keys, "fit_id", "state", "bucket"], "left")
-    upto = Window.partitionBy(*keys, "state", "bucket").orderBy("fit_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = model.deltas(rows.filter("train_fit is not null"), cfg, ["train_fit"])
+    ids = rows.select(F.col("test_fit").alias("fit_id")).unionByName(rows.select(F.col("train_fit").alias("fit_id"))).filter("fit_id is not null").distinct()
+    dense = ids.join(F.broadcast(model.grid(rows.sparkSession, cfg).select("state_id", "state", "bucket", "is_up")))
+    cells = dense.join(found.withColumnRenamed("train_fit", "fit_id"), ["fit_id", "state", "bucket"], "left")
+    upto = Window.partitionBy("state", "bucket").orderBy("fit_id").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumns({c: F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in ("n", "sum_r", "sum_r2")})
-    by_state = Window.partitionBy(*keys, "fit_id", "state")
+    by_state = Window.partitionBy("fit_id", "state")
     cells = cells.withColumn("__seen", (F.sum("n").over(by_state) > 0).cast("int") / F.count(F.lit(1)).over(by_state))
-    cells = cells.withColumn("n_seen", F.round(F.sum("__seen").over(Window.partitionBy(*keys, "fit_id"))).cast("int"))
+    cells = cells.withColumn("n_seen", F.round(F.sum("__seen").over(Window.partitionBy("fit_id"))).cast("int"))
     return cells.filter("n_seen >= 2").drop("__seen")
 
 
@@ -82,36 +76,19 @@ def scored(feat: DataFrame, cfg: Config, keys: Sequence[str] = (), every: int |
     """
     feat = hold(feat)
     rows = hold(attached(feat, cfg, keys, every))
-    cells = expanding_fits(rows, cfg, keys)
     if keys:
-        fitted = model.shrunk(cells, cfg, F.lit(1.0), [*keys, "fit_id"])
-    else:
-        one = model.cluster_factor(feat, cfg).select("cluster")
-        fitted = model.shrunk(cells.join(F.broadcast(one)), cfg, F.col("cluster"), ["fit_id"])
+        return sparse.with_period(_losses(sparse.scored(rows, cfg, keys)), cfg.holdout_fraction, keys)
+    cells = expanding_fits(rows, cfg)
+    one = model.cluster_factor(feat, cfg).select("cluster")
+    fitted = model.shrunk(cells.join(F.broadcast(one)), cfg, F.col("cluster"), ["fit_id"])
     fitted = hold(fitted)  # fits x states x buckets, read three times
     tests = model.with_bucket(rows, cfg).filter("test_fit is not null").withColumnRenamed("test_fit", "fit_id")
     # Which rows get a score depends on the fits alone, so the cut needs no scores.
-    cut = holdout_cut(tests.join(fitted.select(*keys, "fit_id").distinct(), [*keys, "fit_id"], "left_semi"), cfg.holdout_fraction, keys)
-    if keys:
-        return _with_period(_scored_by_key(tests, fitted, keys), cut, keys)
+    cut = holdout_cut(tests.join(fitted.select("fit_id").distinct(), "fit_id", "left_semi"), cfg.holdout_fraction)
     per_cell = fitted.select("fit_id", "state", "bucket", "p", "q")
     per_state = model.moments(fitted, ["fit_id"]).select("fit_id", "state", "p_up", "p_up_base", "ev", "ev_base", "p2", "q2")
     out = tests.join(F.broadcast(per_cell), ["fit_id", "state", "bucket"]).join(F.broadcast(per_state), ["fit_id", "state"])  # fits x states x buckets
-    return _with_period(_losses(out), cut, keys)
-
-
-def _scored_by_key(tests: DataFrame, fitted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Scores where the grid holds only the states a key has seen; others take the baseline."""
-    at = [*keys, "fit_id"]
-    own = fitted.select(*at, "state", "bucket", "p")
-    states = model.moments(fitted, at).select(*at, "state", "p_up", "ev", "p2")
-    one_state = fitted.withColumn("__k", F.row_number().over(Window.partitionBy(*at, "bucket").orderBy("state"))).filter("__k = 1")
-    up = F.sum(F.when(F.col("is_up"), F.col("q")).otherwise(0.0))
-    base = one_state.groupBy(*at).agg(up.alias("p_up_base"), F.sum(F.col("q") * F.col("m_bucket")).alias("ev_base"), F.sum(F.col("q") * F.col("q")).alias("q2"))
-    out = tests.join(base, at).join(one_state.select(*at, "bucket", "q"), [*at, "bucket"])
-    out = out.join(own, [*at, "state", "bucket"], "left").join(states, [*at, "state"], "left")
-    fallback = {"p": "q", "p_up": "p_up_base", "ev": "ev_base", "p2": "q2"}
-    return _losses(out.withColumns({c: F.coalesce(c, b) for c, b in fallback.items()}))
+    return _with_period(_losses(out), cut)
 
 
 def _losses(rows: DataFrame) -> DataFrame:
@@ -134,21 +111,19 @@ def _losses(rows: DataFrame) -> DataFrame:
     )
 
 
-def holdout_cut(rows: DataFrame, fraction: float, keys: Sequence[str] = ()) -> DataFrame:
-    """cut (a date for each of the keys): all rows from it on are the holdout.
+def holdout_cut(rows: DataFrame, fraction: float) -> DataFrame:
+    """cut, a date: all rows from it on are the holdout.
 
     It is the date of the row at position floor(n (1 - fraction)) in date order, found from counts per date.
     """
-    part = list(keys) or [F.lit(0)]
-    days = rows.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("n"))
-    days = days.withColumns({"upto": F.sum("n").over(Window.partitionBy(*part).orderBy("date")), "total": F.sum("n").over(Window.partitionBy(*part))})
-    at = F.floor(F.col("total") * (1 - fraction))
-    days = days.filter(F.col("upto") > at)
-    return days.groupBy(*keys).agg(F.min("date").alias("cut")) if keys else days.agg(F.min("date").alias("cut"))
+    days = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(F.lit(0))  # one row per calendar day
+    days = days.withColumns({"upto": F.sum("n").over(whole.orderBy("date")), "total": F.sum("n").over(whole)})
+    return days.filter(F.col("upto") > F.floor(F.col("total") * (1 - fraction))).agg(F.min("date").alias("cut"))
 
 
-def _with_period(rows: DataFrame, cut: DataFrame, keys: Sequence[str]) -> DataFrame:
-    rows = rows.join(cut, list(keys)) if keys else rows.join(F.broadcast(cut))
+def _with_period(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    rows = rows.join(F.broadcast(cut))
     return rows.withColumn("period", F.when(F.col("date") < F.col("cut"), "dev").otherwise("holdout")).drop("cut")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -153,14 +153,39 @@ def _inputs(feat: DataFrame) -> DataFrame:
     return feat.select("cik", "year", is_bad().cast("double").alias("y"), *inputs)
 
 
+def design_blocks(known: DataFrame, most: int = 65_536) -> DataFrame:
+    """year, x, y: the rows of `known` as blocks of at most `most` rows of one year each, float64 in row order."""
+    names = list(CONTINUOUS)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+
+        def block(year: int) -> pa.RecordBatch:
+            whole = np.concatenate(held.pop(year))
+            return pa.RecordBatch.from_arrays([pa.array([year], pa.int32()), pa.array([whole[:, 1:].tobytes()]), pa.array([whole[:, 0].tobytes()])], ["year", "x", "y"])
+
+        for batch in batches:
+            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", *names)], 1)
+            years = batch.column("year").to_numpy(zero_copy_only=False)
+            for year in np.unique(years).tolist():
+                held.setdefault(year, []).append(table[years == year])
+                if sum(map(len, held[year])) >= most:
+                    yield block(year)
+        for year in list(held):
+            yield block(year)
+
+    return _inputs(known).select(F.col("year").cast("int"), "y", *names).mapInArrow(blocks, "year int, x binary, y binary")
+
+
 def fit_logits(known: DataFrame, folds: dict[int, int], l2: float = 1.0, steps: int = 25) -> dict[int, Logit]:
     """Penalised logistic regression by Newton's method; fold f trains on the years up to folds[f].
 
-    Every step is one pass of all folds: each partition sums its gradients and 8 x 8 Hessians
-    with numpy, Spark adds them, and the driver solves one small system per fold.
+    The rows become numeric blocks once. Every step is one pass over the blocks for all folds that
+    have not settled: tasks add up gradients and 8 x 8 Hessians, a tree adds the tasks' sums, and the
+    driver solves one small system per fold.
     """
     spark, size = known.sparkSession, len(CONTINUOUS) + 1
-    rows = hold(_inputs(known))
+    rows = _inputs(known)
     table = F.broadcast(spark.createDataFrame(list(folds.items()), "fold int, last int"))
     summed = rows.join(table, F.col("year") <= F.col("last")).groupBy("fold")
     found = summed.agg(*[f(c).alias(f"{n}_{c}") for c in CONTINUOUS for n, f in (("mu", F.avg), ("sd", F.stddev_pop))]).collect()
@@ -168,38 +193,33 @@ def fit_logits(known: DataFrame, folds: dict[int, int], l2: float = 1.0, steps:
     last = {f: folds[f] for f in stats}  # a fold without rows has no model
     mu = {f: np.array([stats[f][f"mu_{c}"] for c in CONTINUOUS]) for f in last}
     sd = {f: np.array([stats[f][f"sd_{c}"] for c in CONTINUOUS]) + 1e-9 for f in last}
-
-    def design(part: pd.DataFrame, fold: int) -> np.ndarray:
-        z = np.clip((part[list(CONTINUOUS)].to_numpy(float) - mu[fold]) / sd[fold], -5, 5)
-        return np.column_stack([np.ones(len(z)), z])
-
+    blocks = hold(design_blocks(known)).rdd
     weights = {f: np.zeros(size) for f in last}
     penalty = np.full(size, l2)
     penalty[0] = 0
-    for _ in range(steps):
-        now = dict(weights)
+    open_ = set(last)
+    for _ in range(steps if last else 0):
+        now = {f: weights[f] for f in open_}
 
-        def sums(parts: Iterator[pd.DataFrame], now: dict = now) -> Iterator[pd.DataFrame]:
+        def sums(parts: Iterator, now: dict = now) -> Iterator[dict[int, np.ndarray]]:
             total: dict[int, np.ndarray] = {}
             for part in parts:
-                for f, year in last.items():
-                    some = part[part["year"] <= year]
-                    if len(some):
-                        z = design(some, f)
-                        p = 1 / (1 + np.exp(-z @ now[f]))
-                        own = np.concatenate([z.T @ (p - some["y"].to_numpy()), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
-                        total[f] = total.get(f, 0) + own
-            yield pd.DataFrame([(f, i, v) for f, t in total.items() for i, v in enumerate(t)], columns=["fold", "i", "v"])
-
-        step = {f: np.zeros(size + size * size) for f in last}
-        for f, i, v in rows.mapInPandas(sums, "fold int, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v")).collect():
-            step[f][i] = v
-        moved = 0.0
-        for f in last:
+                y = np.frombuffer(part["y"])
+                x = np.frombuffer(part["x"]).reshape(len(y), -1)
+                for f, w in now.items():
+                    if part["year"] <= last[f]:
+                        z = np.column_stack([np.ones(len(y)), np.clip((x - mu[f]) / sd[f], -5, 5)])
+                        p = 1 / (1 + np.exp(-z @ w))
+                        total[f] = total.get(f, 0) + np.concatenate([z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+            yield total
+
+        step = blocks.mapPartitions(sums).treeReduce(lambda a, b: {f: a.get(f, 0) + b.get(f, 0) for f in a.keys() | b.keys()})
+        for f in list(open_):
             delta = np.linalg.solve(step[f][size:].reshape(size, size) + np.diag(penalty), step[f][:size] + penalty * weights[f])
             weights[f] = weights[f] - delta
-            moved = max(moved, float(np.abs(delta).max()))
-        if moved < 1e-10:
+            if float(np.abs(delta).max()) < 1e-10:
+                open_.discard(f)
+        if not open_:
             break
     return {f: Logit(weights[f], mu[f], sd[f]) for f in last}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ BANKRUPT_FORM, BANKRUPT_ITEM = "8-K", "1.03"
 COHORT_FORMS = ("10-K ", "10-K405 ", "10-KSB ")
 
 
-def parsed_index(lines: DataFrame, column: str = "value") -> DataFrame:
-    """form, name, cik, filing_date, file of the index lines of annual reports.
+def parsed_index(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """form, name, cik, filing_date, file of the index lines of annual reports, and the columns `keep` of `lines`.
 
     Fields are read from the right: file, date, cik; what is left of them is the name. Lines whose
     cik is no number are dropped.
@@ -23,15 +25,19 @@ def parsed_index(lines: DataFrame, column: str = "value") -> DataFrame:
         wanted = wanted | F.col(column).startswith(form)
     part = lambda k: F.regexp_extract(column, shape, k)
     out = lines.filter(wanted).select(
-        part(1).alias("form"), part(2).alias("name"), part(3).try_cast("long").alias("cik"), part(4).try_cast("date").alias("filing_date"), part(5).alias("file")
+        part(1).alias("form"), part(2).alias("name"), part(3).try_cast("long").alias("cik"), part(4).try_cast("date").alias("filing_date"), part(5).alias("file"), *keep
     )
     return out.filter("cik is not null")
 
 
 def cohorts(index: DataFrame, order: list[str]) -> DataFrame:
-    """cik, year, name, filing_date: the first annual report of a company and year in index order."""
+    """cik, year, name, filing_date: the first annual report of a company and year in index order.
+
+    The year is the index's own, if it has one (`landed.numbered_lines`), or else that of the filing date.
+    """
     first = F.min_by(F.struct("name", "filing_date"), F.struct(*order)).alias("f")
-    return index.groupBy("cik", F.year("filing_date").alias("year")).agg(first).select("cik", "year", "f.name", "f.filing_date")
+    year = F.col("year") if "year" in index.columns else F.year("filing_date")
+    return index.groupBy("cik", year.alias("year")).agg(first).select("cik", "year", "f.name", "f.filing_date")
 
 
 def submissions(filed: DataFrame) -> DataFrame:
@@ -88,13 +94,14 @@ def panel(company_years: DataFrame, filed: DataFrame, names: DataFrame, as_of_ye
     return out.withColumns({"outcome": outcome, "ticker": F.coalesce("ticker", F.lit("")), "name": F.coalesce("name", F.lit(""))}).drop("files_on", "exit")
 
 
-def landed_panel(index: DataFrame, facts: DataFrame, priority: DataFrame, columns: list[str], filed: DataFrame, tickers: DataFrame, as_of_year: int, going: DataFrame | None = None) -> DataFrame:
+def landed_panel(index: DataFrame, facts: DataFrame, priority: DataFrame, columns: list[str], filed: DataFrame, tickers: DataFrame, as_of_year: int, going: DataFrame | None = None, order: Sequence[str] = ("filing_date", "file")) -> DataFrame:
     """The panel from landed files: `parsed_index` lines, concept values, filings and a ticker map.
 
+    `order` are the index's columns that say which of a company's reports of a year comes first.
     A report filed in a year gives the figures of the fiscal year before. `going` (cik, year) is
     the set of companies with doubts about their future; going_concern is null if it was not fetched.
     """
-    cohort = cohorts(index, ["filing_date", "file"])
+    cohort = cohorts(index, list(order))
     wide = fallback(facts, priority, columns).withColumn("year", F.col("fy") + 1).drop("fy")
     rows = cohort.join(wide, ["cik", "year"]).withColumnRenamed("filing_date", "first_date")
     if going is None:

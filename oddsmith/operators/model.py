@@ -96,8 +96,11 @@ def shrunk(cells: DataFrame, cfg: Config, cluster: Column, keys: Sequence[str] =
     )
 
 
-def moments(model: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per (keys, state): p_up, ev, std, Kelly figures, and the same of the baseline."""
+def moments(model: DataFrame, keys: Sequence[str] = (), arrays: bool = False) -> DataFrame:
+    """One row per (keys, state): p_up, ev, std, Kelly figures, and the same of the baseline.
+
+    `arrays` adds the distributions by bucket: probs, baseline, bucket_mean.
+    """
     up = lambda c: F.sum(F.when(F.col("is_up"), F.col(c)).otherwise(0.0))
     out = model.groupBy(*keys, "state_id", "state").agg(
         F.max("n_state").alias("n_rows"),
@@ -110,10 +113,17 @@ def moments(model: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.sum(F.col("q") * F.col("m_bucket")).alias("ev_base"),
         F.sum(F.col("p") * F.col("p")).alias("p2"),
         F.sum(F.col("q") * F.col("q")).alias("q2"),
+        F.sum(F.col("q") * F.col("m2_bucket")).alias("__m2_base"),
+        *([F.sort_array(F.collect_list(F.struct("bucket", "p", "q", "m"))).alias("__cells")] if arrays else []),
     )
-    variance = F.greatest(F.col("__m2") - F.col("ev") * F.col("ev"), F.lit(1e-12))
-    out = out.withColumn("std", F.sqrt(variance)).withColumn("kelly_full", F.col("ev") / variance)
-    return out.withColumns({"ev_over_std": F.col("ev") / F.col("std"), "kelly_half": F.col("kelly_full") / 2}).drop("__m2")
+    if arrays:
+        cells = F.col("__cells")
+        out = out.withColumns({"probs": cells["p"], "baseline": cells["q"], "bucket_mean": cells["m"]}).drop("__cells")
+    for ev, second, end in (("ev", "__m2", ""), ("ev_base", "__m2_base", "_base")):
+        variance = F.greatest(F.col(second) - F.col(ev) * F.col(ev), F.lit(1e-12))
+        out = out.withColumns({f"std{end}": F.sqrt(variance), f"kelly_full{end}": F.col(ev) / variance})
+        out = out.withColumns({f"ev_over_std{end}": F.col(ev) / F.col(f"std{end}"), f"kelly_half{end}": F.col(f"kelly_full{end}") / 2})
+    return out.drop("__m2", "__m2_base")
 
 
 def cluster_factor(feat: DataFrame, cfg: Config) -> DataFrame:
@@ -137,10 +147,15 @@ def usable_rows(feat: DataFrame) -> DataFrame:
     return feat.filter("state is not null and fwd_ret is not null")
 
 
-def predictions(fitted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """What the model says of each (keys, state): rows, independent observations, weight, p_up and the moments."""
-    columns = ("p_up", "p_up_base", "ev", "ev_base", "std", "ev_over_std", "kelly_full", "kelly_half")
-    return moments(fitted, keys).select(*keys, "state", "n_rows", F.round("n_eff", 1).alias("independent_obs"), F.round("w", 3).alias("weight_on_state"), *columns)
+def predictions(fitted: DataFrame, keys: Sequence[str] = (), whole: bool = False) -> DataFrame:
+    """What the model says of each (keys, state): rows, independent observations, weight, p_up and the moments.
+
+    `whole` adds the moments of the baseline and the distributions by bucket.
+    """
+    columns = ["p_up", "p_up_base", "ev", "ev_base", "std", "ev_over_std", "kelly_full", "kelly_half"]
+    if whole:
+        columns += ["std_base", "ev_over_std_base", "kelly_full_base", "kelly_half_base", "probs", "baseline", "bucket_mean"]
+    return moments(fitted, keys, whole).select(*keys, "state", "n_rows", F.round("n_eff", 1).alias("independent_obs"), F.round("w", 3).alias("weight_on_state"), *columns)
 
 
 def transitions(feat: DataFrame, cfg: Config, keys: Sequence[str] = ()) -> DataFrame:

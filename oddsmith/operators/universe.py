@@ -10,7 +10,7 @@ from oddsmith.config import Config
 from oddsmith.functions.columns import clean, verdict
 from oddsmith.functions.held import hold
 from oddsmith.operators import backtest, model, resample
-from oddsmith.operators.windows import along
+from oddsmith.operators.windows import along, newest
 
 
 def with_history(prices: DataFrame, least_rows: int) -> DataFrame:
@@ -49,44 +49,57 @@ def latest_rows(feat: DataFrame) -> DataFrame:
     return feat.groupBy("ticker").agg(last).select("last.*")
 
 
-def lookbacks(prices: DataFrame, spans: tuple[int, ...] = (1, 21, 252)) -> DataFrame:
+SPANS = (1, 21, 252)
+TOO_SHORT = "too little history for a walk-forward of its own"
+
+
+def recent(prices: DataFrame, history: int = 756, vol: int = 252, spans: tuple[int, ...] = SPANS) -> DataFrame:
+    """One row per ticker from its newest rows alone: what `lookbacks`, `annualised_vol` and `recent_history` give.
+
+    All of it comes out of one exchange of at most as many rows a ticker and task as the longest of these needs.
+    """
+    rows = newest(prices.select("ticker", "date", "close"), max(history, vol + 1, *(n + 1 for n in spans)))
+    rows = rows.withColumn("r", F.ln("close") - F.ln(F.lead("close", 1).over(Window.partitionBy("ticker").orderBy(F.desc("date")))))
+    at = lambda n: F.max(F.when(F.col("nth") == n + 1, F.col("close")))
+    held = lambda c: F.when(F.col("nth") <= history, c)
+    return rows.groupBy("ticker").agg(
+        F.max("date").alias("date"),
+        at(0).alias("close"),
+        *[(F.try_divide(at(0), at(n)) - 1).alias(f"change_{n}") for n in spans],
+        (F.stddev_samp(F.when(F.col("nth") <= vol, F.col("r"))) * F.sqrt(F.lit(252.0))).alias("vol"),
+        F.count(held(F.lit(1))).alias("n_days"),
+        F.min(held(F.col("close"))).alias("low"),
+        F.max(held(F.col("close"))).alias("high"),
+        F.sort_array(F.collect_list(held(F.struct("date", "close")))).alias("history"),
+    )
+
+
+def lookbacks(prices: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
     """ticker, date, close and the change over each span of rows at the ticker's last row; null if too short."""
-    changes = {f"change_{n}": F.try_divide(F.col("close"), F.lag("close", n).over(along())) - 1 for n in spans}
-    return latest_rows(prices.select("ticker", "date", "close").withColumns(changes))
+    return recent(prices, 1, 1, spans).select("ticker", "date", "close", *[f"change_{n}" for n in spans])
 
 
 def annualised_vol(prices: DataFrame, n: int = 252) -> DataFrame:
     """ticker, vol: deviation of the last n log returns (or of fewer), per year."""
-    rows = prices.withColumn("r", F.ln("close") - F.ln(F.lag("close", 1).over(along())))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).filter(F.col("k") <= n)
-    return rows.groupBy("ticker").agg((F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("vol"))
+    return recent(prices, 1, n, (1,)).select("ticker", "vol")
 
 
 def recent_history(prices: DataFrame, n: int = 756) -> DataFrame:
     """ticker, n_days, low, high, history: the last n (date, close), oldest first."""
-    k = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
-    rows = prices.withColumn("k", k).filter(F.col("k") <= n)
-    return rows.groupBy("ticker").agg(
-        F.count(F.lit(1)).alias("n_days"),
-        F.min("close").alias("low"),
-        F.max("close").alias("high"),
-        F.sort_array(F.collect_list(F.struct("date", "close"))).alias("history"),
-    )
+    return recent(prices, n, 1, (1,)).select("ticker", "n_days", "low", "high", "history")
 
 
 def survivorship_gap(feat: DataFrame, meta: DataFrame, cfg: Config) -> DataFrame:
     """cohort (all, survivors) and state: rows, p_up, ev. Survivors need more than 10 horizons of rows.
 
-    Each cohort has its own cluster factor. `meta` has one row per ticker.
+    Both cohorts are fitted with the cluster factor of the whole pool. `meta` has one row per ticker.
     """
     alive = meta.filter("fate = 'active'").select("ticker", F.lit(True).alias("active"))
     marked = feat.join(alive, "ticker", "left")
     both = marked.withColumn("cohort", F.explode(F.when(F.col("active"), F.array(F.lit("all"), F.lit("survivors"))).otherwise(F.array(F.lit("all")))))
-    per_day = both.groupBy("cohort", "date").agg(F.count(F.lit(1)).alias("n"))
-    cluster = per_day.groupBy("cohort").agg((F.lit(1.0) if cfg.relative else F.greatest(F.lit(1.0), F.avg("n"))).alias("cluster"))
-    cells = model.counted(model.usable_rows(both), cfg, ["cohort"]).join(F.broadcast(cluster), "cohort")  # two rows
-    fitted = model.shrunk(cells, cfg, F.col("cluster"), ["cohort"])
-    out = model.moments(fitted, ["cohort"])
+    cluster = model.cluster_factor(feat, cfg).select("cluster")  # one row
+    cells = model.counted(model.usable_rows(both), cfg, ["cohort"]).join(F.broadcast(cluster))
+    out = model.moments(model.shrunk(cells, cfg, F.col("cluster"), ["cohort"]), ["cohort"])
     total = F.sum("n_rows").over(Window.partitionBy("cohort"))
     out = out.withColumn("total", total).filter((F.col("cohort") == "all") | (F.col("total") > 10 * cfg.horizon))
     return out.select("cohort", "state", "n_rows", "p_up", "ev", "p_up_base", "ev_base")
@@ -123,27 +136,36 @@ def own_verdicts(feat: DataFrame, cfg: Config, every: int = 63) -> DataFrame:
     return sums.join(bounds, "ticker", "left").withColumn("own_verdict", verdict(F.col("own_lo"), F.col("own_hi")))
 
 
+def card_models(feat: DataFrame, shown: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """What the pool and its own model say of each shown ticker's last state, and the own model's states.
+
+    The first has ticker, date, state, the factors, `pooled` and `own`; the second ticker and `own_states`.
+    """
+    latest = latest_rows(shown.select("ticker", "date", "state", *cfg.factors))
+    pooled = model.predictions(model.fitted(feat, cfg), whole=True)
+    numbers = [c for c in pooled.columns if c != "state"]
+    pooled = pooled.select("state", F.struct(*numbers).alias("pooled"))
+    own_states = hold(model.predictions(model.fitted(shown, cfg, ["ticker"]), ["ticker"], whole=True))
+    own = own_states.select("ticker", "state", F.struct(*numbers).alias("own"))
+    by_state = own_states.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("state", "n_rows", "p_up"))).alias("own_states"))
+    return latest.join(F.broadcast(pooled), "state").join(own, ["ticker", "state"]), by_state  # pooled: one row per state
+
+
 def cards(prices: DataFrame, feat: DataFrame, cfg: Config, least_usable: int = 300) -> DataFrame:
     """One row per ticker with enough usable rows and a state today.
 
     Price, changes, volatility, state, flags and history; `pooled` and `own` predictions of the
-    state; the own model's states and transitions; dollar moves of the buckets; the verdict of the
-    ticker's own walk-forward (null if it is too short for one).
+    state with their distributions by bucket and the baseline's; the own model's states and
+    transitions; dollar moves of the buckets; the verdict of the ticker's own walk-forward, or
+    `TOO_SHORT`.
     """
     shown = hold(with_usable(feat, least_usable))
-    latest = latest_rows(shown.select("ticker", "date", "state", *cfg.factors))
-    numbers = ("n_rows", "independent_obs", "weight_on_state", "p_up", "p_up_base", "ev", "std", "kelly_half")
-    pooled = model.predictions(model.fitted(feat, cfg)).select("state", F.struct(*numbers).alias("pooled"))
-    own_fit = hold(model.fitted(shown, cfg, ["ticker"]))
-    own_states = model.predictions(own_fit, ["ticker"])
-    own = own_states.select("ticker", "state", F.struct(*numbers).alias("own"))
-    by_state = own_states.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("state", "n_rows", "p_up"))).alias("own_states"))
+    out, by_state = card_models(feat, shown, cfg)
     moves = model.transitions(shown, cfg, ["ticker"]).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("from_state", "to_state", "n", "p"))).alias("transitions"))
     dollars = bucket_dollars(shown, cfg).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("bucket", "label", "lo_dollars", "hi_dollars"))).alias("dollars"))
-    out = latest.join(F.broadcast(pooled), "state").join(own, ["ticker", "state"])  # pooled: one row per state
-    for more in (lookbacks(prices).drop("date"), annualised_vol(prices), recent_history(prices), by_state, moves, dollars):
+    for more in (recent(prices).drop("date"), by_state, moves, dollars):
         out = out.join(more, "ticker")
-    out = out.join(own_verdicts(shown, cfg), "ticker", "left")
+    out = out.join(own_verdicts(shown, cfg), "ticker", "left").withColumn("own_verdict", F.coalesce("own_verdict", F.lit(TOO_SHORT)))
     flags = F.create_map(*[x for f in cfg.factors for x in (F.lit(f), F.col(f))]).alias("flags")
     plain = [F.col(c) if t != "double" else clean(F.col(c)).alias(c) for c, t in out.dtypes if c not in cfg.factors]
     return out.select(*plain, flags)

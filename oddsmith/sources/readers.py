@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 
 PRICE_SCHEMA = "date date, close double, volume double"
 VENDOR_SCHEMA = "date date, open double, high double, low double, close double, volume double, openint double"
-FRAME_SCHEMA = "data array<struct<cik:bigint,val:double>>"
 META_SCHEMA = "source string, built string, tickers map<string, struct<first:date,last:date,fate:string,delisted_date:date>>"
 
 
@@ -93,20 +92,6 @@ def write_meta(meta: DataFrame, path: str, source: str, built: str) -> None:
     meta.select(F.lit(source).alias("source"), F.lit(built).alias("built"), tickers).write.mode("overwrite").json(path)
 
 
-def concept_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """concept, fy, instant, cik, val of landed files `frame_<concept>_CY<year>[Q4I].json`."""
-    rows = spark.read.schema(FRAME_SCHEMA).option("multiLine", True).json(f"{folder}/frame_*.json").select("data", F.col("_metadata.file_name").alias("file"))
-    return concept_values(rows)
-
-
-def concept_values(rows: DataFrame) -> DataFrame:
-    """concept, fy, instant, cik, val of frames (file, data); values that are null are left out."""
-    shape = r"^frame_(.+)_CY(\d{4})(Q4I)?\.json$"
-    part = lambda k: F.regexp_extract("file", shape, k)
-    out = rows.select(part(1).alias("concept"), part(2).try_cast("int").alias("fy"), (part(3) != "").alias("instant"), F.inline("data"))
-    return out.filter("concept <> '' and cik is not null and val is not null")
-
-
 def write_panel(rows: DataFrame, path: str, source: str, built: str) -> None:
     """The panel as Parquet under `path`/panel, and one line of JSON about it under `path`/meta."""
     rows.write.mode("overwrite").parquet(f"{path}/panel")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddsmith.operators import distress, filings, resample
-from oddsmith.sources import readers
+from oddsmith.sources import landed, readers
 
 PANEL = (
     "cik long, year int, assets double, liabilities double, equity double, cash double, revenue double, net_income double, ocf double, current_assets double, "
@@ -111,7 +111,7 @@ def test_panel_from_landed_files(spark, tmp_path):
     for concept, kind, values in (("Assets", "Q4I", {1: 5.0, 2: 7.0, 3: None}), ("Revenues", "", {1: None, 2: 3.0}), ("SalesRevenueNet", "", {1: 2.0, 2: 9.0})):
         for year in (2009, 2010, 2011, 2012):
             (tmp_path / f"frame_{concept}_CY{year}{kind}.json").write_text(json.dumps({"data": [{"cik": c, "val": v} for c, v in values.items()]}, indent=1))
-    facts = readers.concept_frames(spark, str(tmp_path))
+    facts = landed.concept_values(landed.landed(spark, str(tmp_path), landed.FRAME))
     assert facts.filter("instant").select("concept").distinct().collect() == [("Assets",)] and facts.filter("val is null").count() == 0
     order = spark.createDataFrame([("assets", "Assets", 0), ("revenue", "Revenues", 0), ("revenue", "SalesRevenueNet", 1)], "column string, concept string, rank int")
     filed = spark.createDataFrame([(2, dt.date(2011, 1, 1), "8-K", "1.03,9.01")], "cik long, filing_date date, form string, item string")

@@ -73,7 +73,7 @@ def test_held_frames_are_given_up(spark):
 
     frame = held.hold(spark.range(5))
     assert frame.is_cached
-    held.release()
+    held.release(spark)
     assert not frame.storageLevel.useMemory and frame.count() == 5
 
 
