@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,12 @@ def verdict(lo: Column, hi: Column) -> Column:
     """What a confidence interval of the gain says."""
     missing = lo.isNull() | hi.isNull() | F.isnan(lo) | F.isnan(hi)
     return F.when(missing, "too little data").when(lo > 0, "better than baseline").when(hi < 0, "worse than baseline").otherwise("indistinguishable from baseline")
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as constants of the plan: one task, no Python worker, where it is used."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    fields = spark.createDataFrame([], schema).schema
+    each = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields, strict=True)]) for row in rows]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*each)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from oddsmith.functions.columns import clean, verdict
+from oddsmith.functions.columns import clean, literal_table, verdict
 from oddsmith.functions.held import at_release, hold
 from oddsmith.functions.shared import delete, shared_folder
 from oddsmith.jobs.distress_sql import SQL
@@ -135,7 +135,7 @@ FIGURES = list(dict.fromkeys(c[0] for c in CONCEPTS))
 
 
 def priority(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([c[:3] for c in CONCEPTS], "column string, concept string, rank int")
+    return literal_table(spark, [c[:3] for c in CONCEPTS], "column string, concept string, rank int")
 
 
 def landed_frames(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +236,7 @@ def distress_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def informative_factors(spark: SparkSession, d: str) -> DataFrame:
     kept = distress.informative(panel(spark, d))
-    return spark.createDataFrame([(f, f in kept) for f in distress.DEFAULT], "factor string, used boolean")
+    return literal_table(spark, [(f, f in kept) for f in distress.DEFAULT], "factor string, used boolean")
 
 
 def distress_rollup(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from oddsmith.functions.columns import label_state, log_loss
+from oddsmith.functions.columns import label_state, literal_table, log_loss
 from oddsmith.functions.held import hold
 
 # Fixed values.
@@ -84,7 +84,7 @@ def informative(panel: DataFrame, factors: Sequence[str] = DEFAULT) -> list[str]
 
 def _grid(spark: SparkSession, factors: Sequence[str]) -> DataFrame:
     rows = [(s, o) for s in states(factors) for o in OUTCOMES]
-    return spark.createDataFrame(rows, "state string, outcome string")
+    return literal_table(spark, rows, "state string, outcome string")
 
 
 def _shrink(cells: DataFrame, prior: float, keys: Sequence[str]) -> DataFrame:
@@ -108,7 +108,7 @@ def transitions(feat: DataFrame, factors: Sequence[str] = DEFAULT) -> DataFrame:
     pairs = feat.join(later, ["cik", "year"], "left").select(F.col("state").alias("from_state"), F.coalesce("next_state", gone).alias("to_state"))
     found = pairs.filter("to_state is not null").groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
     names = states(factors)
-    dense = feat.sparkSession.createDataFrame([(a, b) for a in names for b in [*names, EXITED]], "from_state string, to_state string")
+    dense = literal_table(feat.sparkSession, [(a, b) for a in names for b in [*names, EXITED]], "from_state string, to_state string")
     cells = F.broadcast(dense).join(found, ["from_state", "to_state"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return cells.withColumn("p", F.coalesce(F.try_divide("n", F.sum("n").over(Window.partitionBy("from_state"))), F.lit(0.0)))
 
@@ -186,7 +186,7 @@ def fit_logits(known: DataFrame, folds: dict[int, int], l2: float = 1.0, steps:
     """
     spark, size = known.sparkSession, len(CONTINUOUS) + 1
     rows = _inputs(known)
-    table = F.broadcast(spark.createDataFrame(list(folds.items()), "fold int, last int"))
+    table = F.broadcast(literal_table(spark, list(folds.items()), "fold int, last int"))
     summed = rows.join(table, F.col("year") <= F.col("last")).groupBy("fold")
     found = summed.agg(*[f(c).alias(f"{n}_{c}") for c in CONTINUOUS for n, f in (("mu", F.avg), ("sd", F.stddev_pop))]).collect()
     stats = {r["fold"]: r for r in found}
@@ -227,7 +227,7 @@ def fit_logits(known: DataFrame, folds: dict[int, int], l2: float = 1.0, steps:
 def logit_probability(rows: DataFrame, models: dict[int, Logit], fold: str) -> DataFrame:
     """`rows` (from `_inputs`, with a fold number) and p_bad_logit by the fold's model; other folds go."""
     table = [(f, m.weights.tolist(), m.mean.tolist(), m.deviation.tolist()) for f, m in models.items()]
-    small = rows.sparkSession.createDataFrame(table, f"{fold} int, w array<double>, mu array<double>, sd array<double>")
+    small = literal_table(rows.sparkSession, table, f"{fold} int, w array<double>, mu array<double>, sd array<double>")
     z = F.col("w")[0]
     for k, c in enumerate(CONTINUOUS):
         z = z + F.col("w")[k + 1] * F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col(c) - F.col("mu")[k]) / F.col("sd")[k]))
@@ -249,5 +249,5 @@ def final_logit(feat: DataFrame) -> tuple[DataFrame, DataFrame]:
     models = fit_logits(known, {0: 9999})
     names = ["intercept", *CONTINUOUS]
     rows = [(n, float(x)) for m in models.values() for n, x in zip(names, m.weights, strict=True)]
-    weights = feat.sparkSession.createDataFrame(rows, "term string, weight double")
+    weights = literal_table(feat.sparkSession, rows, "term string, weight double")
     return weights, logit_probability(_inputs(feat).withColumn("fold", F.lit(0)), models, "fold").select("cik", "year", "p_bad_logit")

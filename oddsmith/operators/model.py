@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from oddsmith.config import Config
-from oddsmith.functions.columns import bucket
+from oddsmith.functions.columns import bucket, literal_table
 from oddsmith.operators.factors import states
 
 
 def state_table(spark: SparkSession, cfg: Config) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(states(cfg))), "state_id int, state string")
+    return literal_table(spark, list(enumerate(states(cfg))), "state_id int, state string")
 
 
 def bucket_label(lo: float | None, hi: float | None) -> str:
@@ -30,7 +30,7 @@ def bucket_table(spark: SparkSession, cfg: Config) -> DataFrame:
     """bucket, lo, hi (relative moves; null at the open ends), is_up, label."""
     bounds = [None, *cfg.edges, None]
     rows = [(k, lo, hi, k > 0 and lo >= 0, bucket_label(lo, hi)) for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-    return spark.createDataFrame(rows, "bucket int, lo double, hi double, is_up boolean, label string")
+    return literal_table(spark, rows, "bucket int, lo double, hi double, is_up boolean, label string")
 
 
 def with_bucket(rows: DataFrame, cfg: Config) -> DataFrame:
