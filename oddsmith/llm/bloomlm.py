@@ -3,9 +3,11 @@
 Texts are hashed once, into chunks of numbered tokens. Training counts of words and word pairs are
 gathered exactly, by a shuffle of packed counts.
 A quantised count q = 1 + floor(log2 count) enters the filter as the q items (n-gram, 1) to
-(n-gram, q); a look-up probes levels until one is absent. The filter has ten bits an item or more. Up to a
-bound it is broadcast; beyond that each shard keeps its own stretch, and the distinct n-grams of a
-chunk of texts are sent to their shards and come back with their levels.
+(n-gram, q); a look-up probes levels until one is absent. The filter lies in stretches, one for each
+shard of the hash space, with ten bits for each item that the shard really has. Up to a small bound
+all stretches are broadcast; a filter that grows with the corpus beyond it stays where its counts
+are, and the distinct n-grams of a chunk of texts are sent to their shards and come back with
+their levels.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ _COLUMNS = ("words", "word_counts", "pairs", "pair_counts")
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of every token: the words, ASCII letters in lower case, then one end a row."""
-    w = words(texts, lower=True)
+    w = words(texts, lower=True, exact=True)
     n = len(w.per_row)
     ends = np.cumsum(w.per_row + 1) - 1
     hashes = np.empty(len(w.hashes) + n, np.uint64)
@@ -180,25 +182,30 @@ def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(counts)).astype(np.int64)
 
 
-def position(keys: np.ndarray, q: np.ndarray | int, probe: int, bits: int, lead: int) -> np.ndarray:
-    """Bit of the item (key, q) for one hash function, in the stretch that the key's `lead` bits name."""
+def position(keys: np.ndarray, q: np.ndarray | int, probe: int, size: np.ndarray | int) -> np.ndarray:
+    """Bit of the item (key, q) for one hash function, in a stretch of `size` bits (below 2 ** 32)."""
     salt = np.asarray(q, np.uint64) * np.uint64(_PROBES) + np.uint64(probe)
-    return mix(keys ^ mix(np.atleast_1d(salt + np.uint64(1)))) >> np.uint64(64 - (bits - lead))
+    high = mix(keys ^ mix(np.atleast_1d(salt + np.uint64(1)))) >> np.uint64(32)
+    return (high * np.asarray(size, np.uint64)) >> np.uint64(32)
 
 
 class Filter:
-    """Read side: an n-gram's quantised count is the number of levels present one after another."""
+    """Read side: an n-gram's quantised count is the number of levels present one after another.
 
-    def __init__(self, data: np.ndarray, bits: int, lead: int):
-        self.data, self.bits, self.lead = data, bits, lead
+    `ends` are the stretches' last bytes + 1 in `data`, one for each value of the keys' first `lead` bits.
+    """
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, lead: int):
+        self.data, self.lead = data, lead
+        self.size = 8 * np.diff(ends, prepend=0).astype(np.uint64)
+        self.base = 8 * np.append(0, ends[:-1]).astype(np.uint64)
 
     def levels(self, keys: np.ndarray, most: int = 48) -> np.ndarray:
         found, at = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        shard = (keys >> np.uint64(64 - self.lead)).astype(np.int64) if self.lead else np.zeros(len(keys), np.int64)
         for q in range(1, most + 1):
             for probe in range(_PROBES):
-                place = position(keys[at], q, probe, self.bits, self.lead)
-                if self.lead:
-                    place |= keys[at] >> np.uint64(64 - self.lead) << np.uint64(self.bits - self.lead)
+                place = self.base[shard[at]] + position(keys[at], q, probe, self.size[shard[at]])
                 byte = self.data[(place >> np.uint64(3)).astype(np.int64)]
                 at = at[(byte >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
                 if not len(at):
@@ -245,34 +252,32 @@ def least_level(sizes: dict[int, tuple[int, int]], most: int) -> int:
     return 1
 
 
-def stretch(arrays: list[np.ndarray], bits: int, lead: int) -> np.ndarray:
-    """A shard's bytes of the filter of 2 ** bits bits: its words and pairs on all their levels."""
-    on = np.zeros(1 << (bits - lead), bool)
-    for keys, n in (arrays[:2], arrays[2:]):
-        if not len(keys):
-            continue
-        keys, q = keys.view(np.uint64), level(n)
+def stretch(arrays: list[np.ndarray], item_bits: int) -> np.ndarray:
+    """A shard's part of the filter, as bytes: its words and pairs on all their levels, `item_bits` bits an item."""
+    both = [(keys.view(np.uint64), level(n)) for keys, n in (arrays[:2], arrays[2:]) if len(keys)]
+    items = sum(int(q.sum()) for _, q in both)
+    on = np.zeros(max(64, -(-items * item_bits // 8) * 8), bool)
+    for keys, q in both:
         for step in range(1, int(q.max()) + 1):
             some = keys[q >= step]
             for probe in range(_PROBES):
-                on[position(some, step, probe, bits, lead).astype(np.int64)] = True
+                on[position(some, step, probe, len(on)).astype(np.int64)] = True
     return np.packbits(on, bitorder="little")
 
 
-def built(counts: DataFrame, bits: int, lead: int) -> np.ndarray:
-    """The filter's bytes. Each shard makes its own stretch; together they are 2 ** bits bits."""
+def built(counts: DataFrame, lead: int, item_bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The arguments of `Filter` over all shards; each makes its own stretch."""
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part = stretch(_arrays(batch, i), bits, lead).tobytes()
+                part = stretch(_arrays(batch, i), item_bits).tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("shard").slice(i, 1), pa.array([part], pa.binary())], ["shard", "data"])
 
-    data = np.zeros(1 << (bits - 3), np.uint8)
-    step = len(data) >> lead
-    for shard, part in counts.mapInArrow(stretches, "shard int, data binary").toLocalIterator():
-        data[shard * step : (shard + 1) * step] = np.frombuffer(part, np.uint8)
-    return data
+    none = np.zeros(8, np.uint8).tobytes()
+    found = dict(map(tuple, counts.mapInArrow(stretches, "shard int, data binary").toLocalIterator()))  # below the bound of a broadcast
+    parts = [found.get(shard, none) for shard in range(1 << lead)]
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), lead
 
 
 def estimate(q: np.ndarray) -> np.ndarray:
@@ -287,7 +292,7 @@ def modelled(row: np.ndarray, of: np.ndarray, before: np.ndarray, alone: np.ndar
     return np.bincount(row, np.log10((np.minimum(together, history) + strength * single) / (history + strength)), row[-1] + 1)
 
 
-def scored_by_shards(chunks: DataFrame, sent: DataFrame, tokens_trained: int, bits: int, lead: int, strength: float) -> DataFrame:
+def scored_by_shards(chunks: DataFrame, sent: DataFrame, tokens_trained: int, item_bits: int, strength: float) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score and score, for a filter too large for one worker.
 
     What a chunk asks holds its own counts, so one shuffle serves both: a shard adds the counts up,
@@ -298,7 +303,8 @@ def scored_by_shards(chunks: DataFrame, sent: DataFrame, tokens_trained: int, bi
 
     def answer(sent: pa.Table) -> pa.Table:
         arrays = _added(sent)
-        bloom = Filter(stretch(arrays, bits, lead), bits - lead, 0)
+        part = stretch(arrays, item_bits)
+        bloom = Filter(part, np.array([len(part)]), 0)
         out: dict[str, list[bytes]] = {"counts": [], "levels": [], "pair_levels": []}
         for key, level_name in (("words", "levels"), ("pairs", "pair_levels")):
             parts = sent.column(key).to_pylist()
@@ -340,7 +346,7 @@ def scored_by_shards(chunks: DataFrame, sent: DataFrame, tokens_trained: int, bi
 
 def scored(
     docs: DataFrame,
-    most_bits: int = 29,
+    most_bits: int = 24,
     most_exact: int = 1 << 21,
     strength: float = 100.0,
     shard_bytes: int = 1 << 21,
@@ -352,8 +358,9 @@ def scored(
     score needs exact counts of words: the `most_exact` most frequent words at most are
     broadcast, the occurrences of all others meet their counts in a join, so no frequent word
     is ever a join key. The model interpolates pair and word counts that it probes in the filter:
-    P(w | h) = (c(hw) + strength P(w)) / (c(h) + strength). A filter of more than 2 ** `most_bits`
-    bits is not broadcast but probed shard by shard (`scored_by_shards`), with the same results.
+    P(w | h) = (c(hw) + strength P(w)) / (c(h) + strength). A filter that may have more than
+    2 ** `most_bits` bits is not broadcast but probed shard by shard (`scored_by_shards`), with the
+    same results: it has `item_bits` bits for each item, so it grows with the corpus.
     A null or empty text is its end token alone. Repeated rows count, and are scored, each; other
     columns are left out. An empty table gives no rows.
     """
@@ -365,14 +372,12 @@ def scored(
     sent = asked(chunks, 1 << lead)
     fixed = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"]
     # An n-gram seen c times has 1 + floor(log2 c) <= c items: words and pairs have two a token at most.
-    bits = int(np.ceil(np.log2(item_bits * max(1, 2 * total))))
-    by_shards, bits = bits > most_bits, max(lead + 6, bits)
-    if by_shards:
-        return scored_by_shards(chunks, sent, total, bits, lead, strength).select(*fixed)
+    if item_bits * 2 * total > 1 << most_bits:
+        return scored_by_shards(chunks, sent, total, item_bits, strength).select(*fixed)
     counts = written(counted(sent), "counts")
     sizes = level_sizes(counts)
     divisor = float(total + sum(n for n, _ in sizes[1].values()) + 1)
-    bloom = docs.sparkSession.sparkContext.broadcast((built(counts, bits, lead), bits, lead))
+    bloom = docs.sparkSession.sparkContext.broadcast(built(counts, lead, item_bits))
 
     exact_level = least_level(sizes[1], most_exact)
     all_words = counts.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("word_counts").alias("c")))).toDF("word", "c")

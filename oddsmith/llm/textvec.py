@@ -15,6 +15,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = 1 << 20
+_PLACES = 64  # of a word's first bytes, whose marks come from a table
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -28,7 +29,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _tables or len(_tables["up"]) < n:
+    if "up" not in _tables or len(_tables["up"]) < n:
         size = max(n, _STEP + 4096)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
@@ -60,10 +61,39 @@ class Words:
     per_row: np.ndarray  # words of each row
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
+def _byte_marks(position: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix(mix(position.astype(np.uint64) * _BASE) + byte.astype(np.uint64) + np.uint64(1))
+
+
+def _identities(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit number a word: a mixed sum of marks, each a mixed function of a byte and its place.
+
+    Unlike a polynomial's, such sums have no structure that words of repeated parts could meet.
+    """
+    if "marks" not in _tables:
+        _tables["marks"] = _byte_marks(np.repeat(np.arange(_PLACES), 256), np.tile(np.arange(256), _PLACES))
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + _STEP, "right")))
+        length = ends[at:stop] - starts[at:stop]
+        first = np.cumsum(length) - length
+        place = np.arange(int(length.sum())) - np.repeat(first, length)
+        byte = text[place + np.repeat(starts[at:stop], length)]
+        marks = _tables["marks"][np.minimum(place, _PLACES - 1) * 256 + byte]
+        far = np.flatnonzero(place >= _PLACES)
+        marks[far] = _byte_marks(place[far], byte[far])
+        out[at:stop] = mix(np.add.reduceat(marks, first) ^ length.astype(np.uint64))
+        at = stop
+    return out
+
+
+def words(texts: pa.Array, lower: bool = False, exact: bool = False) -> Words:
     """Words are runs of bytes other than space and \\t..\\r; a word never crosses a row's end.
 
-    The hash depends on the word's bytes alone (`lower`: with A-Z as a-z).
+    The hash depends on the word's bytes alone (`lower`: with A-Z as a-z). By default it is a
+    polynomial, quick, but with known pairs of words that meet (long ones of two letters in a
+    doubling pattern); `exact` takes a hash without such pairs, for counts that must be right.
     """
     data, offsets = raw(texts)
     n = len(data)
@@ -80,6 +110,10 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     last[edge - 1] = ~space[edge - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     text = _LOWER[data] if lower else data
+    row = np.searchsorted(offsets, starts, "right") - 1
+    per_row = np.bincount(row, minlength=len(offsets) - 1)
+    if exact:
+        return Words(_identities(text, starts, ends), row, starts, ends, data, per_row)
     hashes = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):  # pieces of about _STEP bytes that end with a word
@@ -91,8 +125,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
         hashes[at:stop] = np.add.reduceat(value, bounds)[::2] * down[starts[at:stop] - lo]
         at = stop
     hashes = mix(hashes ^ (ends - starts).astype(np.uint64))
-    row = np.searchsorted(offsets, starts, "right") - 1
-    return Words(hashes, row, starts, ends, data, np.bincount(row, minlength=len(offsets) - 1))
+    return Words(hashes, row, starts, ends, data, per_row)
 
 
 def shingles(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

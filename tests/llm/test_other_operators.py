@@ -345,17 +345,31 @@ def test_a_filter_beyond_the_broadcast_bound_gives_the_same_scores(spark):
     assert bloomlm.scored(docs(spark, ["a b"], [next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)]), most_bits=0).first()["n_known"] == 0
 
 
-def test_filter_never_loses_an_item():
-    keys = np.random.default_rng(0).integers(0, 2**63, 2000).astype(np.uint64)
-    levels = np.random.default_rng(1).integers(1, 5, 2000)
-    bits, lead = 16, 4
-    on = np.zeros(1 << bits, bool)
-    for q in range(1, 5):
-        some = keys[levels >= q]
-        for probe in range(bloomlm._PROBES):
-            on[(bloomlm.position(some, q, probe, bits, lead) | some >> np.uint64(64 - lead) << np.uint64(bits - lead)).astype(np.int64)] = True
-    found = bloomlm.Filter(np.packbits(on, bitorder="little"), bits, lead).levels(keys)
-    assert (found >= levels).all() and (found == levels).mean() > 0.8
+def test_filter_holds_levels_in_stretches_of_their_own_size():
+    rng = np.random.default_rng(4)
+    keys = np.sort(rng.integers(0, 2**64, 4000, dtype=np.uint64))
+    counts = np.where(rng.random(4000) < 0.7, 1, rng.integers(2, 5000, 4000))
+    cuts = bloomlm._cuts(keys, 4)
+    parts = [bloomlm.stretch([keys[a:b], counts[a:b], keys[:0], counts[:0]], 10) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    items = int(bloomlm.level(counts).sum())
+    assert abs(8 * sum(map(len, parts)) - 10 * items) < 4 * 64  # ten bits an item, no power of two
+    found = bloomlm.Filter(np.concatenate(parts), np.cumsum([len(p) for p in parts]), 2).levels(keys)
+    assert (found >= bloomlm.level(counts)).all() and (found == bloomlm.level(counts)).mean() > 0.97
+    other = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    assert (bloomlm.Filter(np.concatenate(parts), np.cumsum([len(p) for p in parts]), 2).levels(other) > 0).mean() < 0.03
+    alone = bloomlm.Filter(parts[1], np.array([len(parts[1])]), 0)
+    assert (alone.levels(keys[cuts[1] : cuts[2]]) == found[cuts[1] : cuts[2]]).all()
+
+
+def test_words_of_doubling_patterns_stay_apart(spark):
+    words = ["a"]
+    while len(words[-1]) < 4096:
+        words.append(words[-1] + words[-1].translate(str.maketrans("ab", "ba")))
+    words = [w for one in words[10:] for w in (one, one.translate(str.maketrans("ab", "ba")))]
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    test = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2)
+    found = {r["doc_id"]: r["n_known"] for r in bloomlm.scored(docs(spark, [words[0], words[2], words[4], " ".join(words)], [*train[:3], test])).collect()}
+    assert len(set(words)) == 6 and found[test] == 4  # three words and the end
 
 
 def test_language_model_of_an_empty_table(spark):
