@@ -15,16 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from oddsmith.llm.common import written
+
 _QUERIES, _CANDIDATES = 1024, 2048  # rows of a tile
 
 
 class Block:
     """Vectors with their int8 form: v = scale * code + rest, |rest| in the 2-norm is `error`."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, twins: np.ndarray, vectors: np.ndarray):
+        self.ids, self.twins, self.vectors = ids, twins, vectors  # a row is known by its id and its twin number
         most = np.abs(vectors).max(1)
         self.scale = most / 127
         self.scale[self.scale == 0] = 1
@@ -70,7 +73,7 @@ class Search:
             q = object.__new__(Block)
             q.__dict__ = {n: v[part] for n, v in self.q.__dict__.items()}
             estimate, bound = _tile(q, c)
-            own = q.ids[:, None] == c.ids
+            own = (q.ids[:, None] == c.ids) & (q.twins[:, None] == c.twins)
             unsure = ~(np.isfinite(estimate) & np.isfinite(bound))
             with np.errstate(invalid="ignore", over="ignore"):
                 low, high = estimate - bound, estimate + bound
@@ -99,11 +102,9 @@ class Search:
                 self.least[lo + r] = self.heaps[lo + r][0][0]
 
     def found(self) -> pa.RecordBatch:
-        rows = [(int(q), -i, s) for q, heap in zip(self.q.ids, self.heaps, strict=True) for s, i in heap]
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"]
-        )
+        rows = [(int(q), int(t), -i, s) for q, t, heap in zip(self.q.ids, self.q.twins, self.heaps, strict=True) for s, i in heap]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.float64())], ["query_id", "twin", "vec_id", "score"])
 
 
 def _usable(vector: Column) -> Column:
@@ -111,6 +112,21 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & good & F.exists(vector, lambda x: x != 0)
 
 
+def _with_twins(rows: DataFrame) -> DataFrame:
+    """`rows` (id, v, is_query) with `twin`: 0 where the id occurs once, a number of its own for each row of a repeated id.
+
+    Equal rows are counted and numbered; other rows of one id differ by a hash of their vectors.
+    """
+    again = rows.groupBy("id").count().filter("count > 1").select("id")
+    if again.isEmpty():
+        return rows.withColumn("twin", F.lit(0).cast("long"))
+    again = written(again, "again")
+    equal = rows.join(again, "id", "left_semi").groupBy("id", "v", "is_query").agg(F.count(F.lit(1)).alias("n"))
+    each = equal.select("id", "v", "is_query", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    twins = each.select("id", "v", "is_query", F.xxhash64("v", "is_query", "nth").alias("twin"))
+    return rows.join(again, "id", "left_anti").withColumn("twin", F.lit(0).cast("long")).unionByName(twins)
+
+
 def nearest(
     vectors: DataFrame,
     queries: Column,
@@ -126,26 +142,30 @@ def nearest(
     Columns: query_id, rank (from 1), vec_id, score; ties go to the smaller id. A query with
     fewer candidates gets all of them. Vectors that are null, zero or hold null or non-finite
     components, and rows without an id, take no part; vectors of unequal length are not compared.
-    Repeated rows count each. An empty table gives no rows.
+    Repeated rows count each: every query row of an id has an answer of its own, in which other rows
+    of that id may stand, equal ones too. An empty table gives no rows.
 
     Cells: a block of queries times a part of the candidates. A cell's queries are held
     in memory (`query_block` vectors), its candidates stream by.
     """
+    kind = vectors.schema[vector_column].dataType
+    small = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)  # sent as they are, half the bytes
     rows = vectors.select(
         F.col(id_column).cast("long").alias("id"),
-        F.col(vector_column).cast("array<double>").alias("v"),
+        F.col(vector_column).cast(f"array<{'float' if small else 'double'}>").alias("v"),
         F.coalesce(queries, F.lit(False)).alias("is_query"),
     ).filter(F.col("id").isNotNull() & _usable(F.col("v")))
+    rows = _with_twins(rows)
     sizes = rows.agg(F.count_if("is_query"), F.count(F.lit(1))).first()
     blocks, splits = max(1, -(-sizes[0] // query_block)), max(least_splits, -(-sizes[1] // candidate_block))
     salted = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n))
     cell = lambda block, split: F.struct(F.size("v").alias("width"), block.alias("block"), split.alias("split"))
     asked = rows.filter("is_query").withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    asked = asked.select(cell(salted(1, blocks), F.col("split").cast("long")).alias("cell"), F.lit(0).alias("side"), "id", "v")
+    asked = asked.select(cell(salted(1, blocks), F.col("split").cast("long")).alias("cell"), F.lit(0).alias("side"), "id", "twin", "v")
     offered = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    offered = offered.select(cell(F.col("block").cast("long"), salted(2, splits)).alias("cell"), F.lit(1).alias("side"), "id", "v")
+    offered = offered.select(cell(F.col("block").cast("long"), salted(2, splits)).alias("cell"), F.lit(1).alias("side"), "id", "twin", "v")
     dealt = asked.unionByName(offered).repartition(blocks * splits, "cell").sortWithinPartitions("cell", "side")
-    dealt = dealt.select(F.concat_ws("/", "cell.width", "cell.block", "cell.split").alias("cell"), "side", "id", "v")
+    dealt = dealt.select(F.concat_ws("/", "cell.width", "cell.block", "cell.split").alias("cell"), "side", "id", "twin", "v")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, asked, at = None, [], None
@@ -160,18 +180,19 @@ def nearest(
                         yield at.found()
                     cell, asked, at = cells[lo], [], None
                 part = batch.slice(lo, hi - lo)
-                ids = part.column("id").to_numpy()
+                ids, twins = part.column("id").to_numpy(), part.column("twin").to_numpy()
                 values = part.column("v").flatten().to_numpy().reshape(hi - lo, -1)
                 if sides[lo] == 0:
-                    asked.append((ids, values))
+                    asked.append((ids, twins, values.astype(np.float64)))
                     continue
                 if at is None and asked:
                     at = Search(Block(*(np.concatenate(x) for x in zip(*asked, strict=True))), k)
                 for i in range(0, hi - lo, _CANDIDATES) if at else ():
-                    at.add(Block(ids[i : i + _CANDIDATES], values[i : i + _CANDIDATES]))
+                    some = slice(i, i + _CANDIDATES)
+                    at.add(Block(ids[some], twins[some], values[some].astype(np.float64)))
         if at:
             yield at.found()
 
-    best = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = dealt.mapInArrow(search, "query_id long, twin long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -34,7 +34,7 @@ def exact(vectors, k):
         if q % 20 == 0:
             scores = []
             for m, (i, y) in enumerate(vectors):
-                if i != q and n != m:
+                if n != m:
                     total = 0.0
                     for a, b in zip(x, y, strict=True):
                         total += a * b
