@@ -9,6 +9,7 @@ page to page; it is small enough to be broadcast.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -53,37 +54,49 @@ CUES = (
 FRAMES = "content article story post entry main body text page wrapper container".split()
 
 _PATH, _WORDS, _FACTS = 512, 16, 5
-_NEAR = 48  # elements above a block that its path vector takes in, the nearest ones
+_STEPS = 1024  # blocks of a page whose gates are held at once when it is labelled
 INPUTS = _PATH + _WORDS + _FACTS
 
 
 @dataclass
 class Blocks:
-    """The leaf blocks of one page: their texts, paths and the share of text inside links."""
+    """The leaf blocks of one page: their texts, paths and the share of text inside links.
+
+    A path is a digest of all elements above a block and of their names; `vectors` has the hashed
+    vector of each path, its numbers that are not 0 (place and value, as bytes).
+    """
 
     texts: list[str] = field(default_factory=list)
-    paths: list[tuple[str, ...]] = field(default_factory=list)
+    paths: list[bytes] = field(default_factory=list)
     links: list[float] = field(default_factory=list)
+    vectors: dict[bytes, bytes] = field(default_factory=dict)
 
 
 def blocks(page: str) -> Blocks:
     """Splits a page into leaf blocks in page order; scripts, styles, drawings and comments leave none."""
+    # An element on the stack: its name, its marks, and the digest of the path down to it.
     out, stack, parts = Blocks(), [], []
     inside: Counter[str] = Counter()
+    total = np.zeros(_PATH, np.int64)  # the signed sum over all elements on the stack
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
                 linked = sum(len(p) for p, link in parts if link)
+                path = stack[-1][2] if stack else b""
                 out.texts.append(text)
-                out.paths.append(tuple(t for _, own in stack[-_NEAR:] for t in own))
+                out.paths.append(path)
                 out.links.append(linked / max(1, sum(len(p) for p, _ in parts)))
+                if path not in out.vectors:
+                    out.vectors[path] = _packed(total)
             parts.clear()
 
     def leave(at: int) -> None:
-        for name, _ in stack[at:]:
+        for name, marks, _ in stack[at:]:
             inside[name] -= 1
+            for place, sign in marks:
+                total[place] -= sign
         del stack[at:]
 
     def last(name: str) -> int:
@@ -119,18 +132,32 @@ def blocks(page: str) -> Blocks:
             for kind, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
                 own += [f"{outer}{kind[0].lower()}={t}" for t in re.split(r"[^a-z0-9]+", "".join(values).lower()) if t]
             if not attributes.rstrip().endswith("/") or name in BLOCK:
-                stack.append((name, own))
+                marks = [_mark(token) for token in own]
+                for place, sign in marks:
+                    total[place] += sign
+                above = stack[-1][2] if stack else b""
+                stack.append((name, marks, hashlib.blake2b(above + " ".join(own).encode("utf-8", "surrogatepass"), digest_size=16).digest()))
                 inside[name] += 1
     flush()
     return out
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+def _mark(token: str) -> tuple[int, int]:
+    """Place and sign of a token in path vectors."""
+    mark = zlib.crc32(token.encode())
+    return mark % _PATH, 1 if mark >> 16 & 1 else -1
+
+
+def _packed(total: np.ndarray) -> bytes:
+    at = np.flatnonzero(total)
+    return at.astype("<i2").tobytes() + np.clip(total[at], -2, 2).astype("<i2").tobytes()
+
+
+def _path_vector(packed: bytes) -> np.ndarray:
     found = np.zeros(_PATH)
-    for token in path:
-        mark = zlib.crc32(token.encode())
-        found[mark % _PATH] += 1 if mark >> 16 & 1 else -1
-    return np.clip(found, -2, 2)
+    at, value = np.frombuffer(packed, "<i2").reshape(2, -1)
+    found[at] = value
+    return found
 
 
 def rests(pages: list[Blocks]) -> list[np.ndarray]:
@@ -151,7 +178,7 @@ def rests(pages: list[Blocks]) -> list[np.ndarray]:
 
 def vectors(pages: list[Blocks]) -> list[np.ndarray]:
     """A matrix (blocks by INPUTS) for each page."""
-    paths = [np.array([_path_vector(p) for p in page.paths]).reshape(-1, _PATH) for page in pages]
+    paths = [np.array([_path_vector(page.vectors[p]) for p in page.paths]).reshape(-1, _PATH) for page in pages]
     return [np.concatenate([a, b], 1) for a, b in zip(paths, rests(pages), strict=True)]
 
 
@@ -174,7 +201,7 @@ class BiLstm:
             self.w[f"b{side}"] = bias
         self.w["o"] = rng.normal(0, 0.3, (2 * hidden, 1))
         self.w["c"] = np.zeros(1)
-        self.known: dict[tuple[str, ...], np.ndarray] = {}  # a path's part of the gates
+        self.known: dict[bytes, np.ndarray] = {}  # a path's part of the gates
 
     def _run(self, gates: np.ndarray, mask: np.ndarray) -> list[tuple]:
         """Both directions side by side over (steps, 2, pages, 4 hidden); masked steps carry the state on."""
@@ -193,9 +220,8 @@ class BiLstm:
         return steps
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """One logit a step from a batch of inputs, or of `gates` (steps, pages, 8 hidden)."""
-        if x.shape[2] == INPUTS:
-            x = np.concatenate([x @ self.w[f"x{s}"] + self.w[f"b{s}"] for s in "fb"], 2)
+        """One logit a step from a batch of inputs (steps, pages, INPUTS)."""
+        x = np.concatenate([x @ self.w[f"x{s}"] + self.w[f"b{s}"] for s in "fb"], 2)
         n = 4 * self.hidden
         # The second direction reads the steps from the last to the first.
         steps = self._run(np.stack([x[:, :, :n], x[::-1, :, n:]], 1), np.stack([mask, mask[::-1]], 1))
@@ -255,39 +281,59 @@ class BiLstm:
                     second[k] = 0.99 * second[k] + 0.01 * g * g
                     self.w[k] = self.w[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
 
-    def gates(self, pages: list[Blocks]) -> list[np.ndarray]:
-        """What each block adds to the gates of both directions. Paths recur, so their part is remembered."""
-        weights = np.concatenate([self.w["xf"], self.w["xb"]], 1)
-        bias = np.concatenate([self.w["bf"], self.w["bb"]])
-        out = []
-        for page, rest in zip(pages, rests(pages), strict=True):
-            for path in page.paths:
-                if path not in self.known:
-                    if len(self.known) > 20_000:
-                        self.known.clear()
-                    self.known[path] = _path_vector(path) @ weights[:_PATH] + bias
-            found = [self.known.get(p) for p in page.paths]
-            found = [_path_vector(p) @ weights[:_PATH] + bias if f is None else f for p, f in zip(page.paths, found, strict=True)]
-            out.append(np.array(found).reshape(-1, len(bias)) + rest @ weights[_PATH:])
+    def gates(self, page: Blocks, rest: np.ndarray, lo: int, hi: int, side: str) -> np.ndarray:
+        """What blocks lo to hi add to the gates of one direction. Paths recur, so their part of both is remembered."""
+        n = 4 * self.hidden
+        at = slice(0, n) if side == "f" else slice(n, 2 * n)
+        found = np.empty((hi - lo, n))
+        for k, path in enumerate(page.paths[lo:hi]):
+            part = self.known.get(path)
+            if part is None:
+                if len(self.known) > 20_000:
+                    self.known.clear()
+                vector = _path_vector(page.vectors[path])
+                part = self.known[path] = np.concatenate([vector @ self.w[f"x{s}"][:_PATH] + self.w[f"b{s}"] for s in "fb"])
+            found[k] = part[at]
+        return found + rest[lo:hi] @ self.w[f"x{side}"][_PATH:]
+
+    def _swept(self, pages: list[Blocks], rests_: list[np.ndarray], side: str) -> np.ndarray:
+        """One direction over a batch: each step's part of the output's sum, (steps, pages); gates are made piece by piece."""
+        n, steps = self.hidden, max(len(p.texts) for p in pages)
+        h, c = np.zeros((len(pages), n)), np.zeros((len(pages), n))
+        weight = self.w["o"][:n, 0] if side == "f" else self.w["o"][n:, 0]
+        out = np.zeros((steps, len(pages)))
+        pieces = [(lo, min(lo + _STEPS, steps)) for lo in range(0, steps, _STEPS)]
+        for lo, hi in pieces if side == "f" else reversed(pieces):
+            parts = [self.gates(p, r, lo, min(hi, len(p.texts)), side) if len(p.texts) > lo else np.zeros((0, 4 * n)) for p, r in zip(pages, rests_, strict=True)]
+            z, mask = padded(parts, hi - lo)
+            for t in range(hi - lo) if side == "f" else range(hi - lo - 1, -1, -1):
+                now, m = z[t] + h @ self.w[f"h{side}"], mask[t][:, None]
+                ifo, g = _sigmoid(now[:, : 3 * n]), np.tanh(now[:, 3 * n :])
+                c = np.where(m, ifo[:, n : 2 * n] * c + ifo[:, :n] * g, c)
+                h = np.where(m, ifo[:, 2 * n :] * np.tanh(c), h)
+                out[lo + t] = h @ weight
         return out
 
     def main_blocks(self, pages: list[Blocks], batch: int = 64) -> list[np.ndarray]:
-        """For each page, which blocks belong to the main text; pages of like length run together."""
-        xs = self.gates(pages)
-        out: list[np.ndarray] = [np.zeros(0, bool)] * len(xs)
-        order = [i for i in np.argsort([len(x) for x in xs], kind="stable") if len(xs[i])]
+        """For each page, which blocks belong to the main text; pages of like length run together.
+
+        Beside the pages themselves, memory holds two numbers a block and the gates of `_STEPS` blocks a page.
+        """
+        out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
+        order = [i for i in np.argsort([len(p.texts) for p in pages], kind="stable") if pages[i].texts]
         while order:
-            most = len(xs[order[-1]])
+            most = len(pages[order[-1]].texts)
             some = [order.pop() for _ in range(min(len(order), max(1, min(batch, 200_000 // most))))]
-            x, mask = padded([xs[i] for i in some])
-            logits = self.logits(x, mask)
+            mine = [pages[i] for i in some]
+            facts = rests(mine)
+            logits = self._swept(mine, facts, "f") + self._swept(mine, facts, "b") + self.w["c"]
             for b, i in enumerate(some):
-                out[i] = logits[: len(xs[i]), b] > 0
+                out[i] = logits[: len(pages[i].texts), b] > 0
         return out
 
 
-def padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    steps = max(len(x) for x in xs)
+def padded(xs: list[np.ndarray], steps: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    steps = steps or max(len(x) for x in xs)
     x, mask = np.zeros((steps, len(xs), xs[0].shape[1])), np.zeros((steps, len(xs)), bool)
     for b, page in enumerate(xs):
         x[: len(page), b], mask[: len(page), b] = page, True
@@ -325,6 +371,13 @@ def layouts(words_: list[str], n: int, seed: int) -> list[str]:
         )
         return pick(*kinds)()
 
+    def bare() -> str:
+        """A box whose name, if it has one, says nothing: some letters and a digit. Readers' comments often stand in such."""
+        attribute = "" if rng.random() < 0.4 else f' {pick("class", "id")}="{"".join(rng.choice(list("bcdfgkmpqrtvxz"), int(rng.integers(1, 6))))}{pick("", "1", "7", "-x")}"'
+        reply = lambda: f"<{inside}><b>{plain(1, 3)}</b> <span>{plain(1, 4)}</span><p>{long('')}{pick('.', '!', '', '?')}</p></{inside}>"
+        tag, inside = pick("div", "section", "div"), pick("div", "li", "section")
+        return f"<{tag}{attribute}>" + (inner() if rng.random() < 0.5 else f"<h3>{plain(1, 4)}</h3>" + "".join(reply() for _ in range(rng.integers(1, 6)))) + f"</{tag}>"
+
     def box() -> str:
         if rng.random() < 0.3:
             tag = pick("nav", "footer", "aside", "header", "form", "dialog", "menu", "button", "fieldset")
@@ -372,7 +425,9 @@ def layouts(words_: list[str], n: int, seed: int) -> list[str]:
         # Names on the page's own frame say nothing about what is in it.
         outer = f' class="{pick("has", "with", "no")}-{rng.choice(CUES)}"' if rng.random() < 0.3 else ""
         wrap = pick(("", ""), ("", ""), ("<div>", "</div>"), (f'<div class="{name(FRAMES)}">', "</div>"), (f'<div class="{pick("has", "with")}-{rng.choice(CUES)}">', "</div>"))
-        around = lambda: "".join(box() for _ in range(rng.integers(0, 5)))
+        # Only beside an article that its tag or role sets apart a box without a telling name can be told from it.
+        bare_share = 0.3 if opened.startswith(("<article", "<main", '<div role="main"')) else 0.0
+        around = lambda: "".join(bare() if rng.random() < bare_share else box() for _ in range(rng.integers(0, 5)))
         pages.append(f"<html><body{outer}>{around()}{wrap[0]}{opened}{head()}{body()}{closed}{wrap[1]}{around()}</body></html>")
     return pages
 
@@ -387,7 +442,7 @@ def truth(page: Blocks) -> np.ndarray:
 def recurring(pages: list[Blocks], least: int = 3) -> list[np.ndarray]:
     """Which blocks of each page lie on a path most of whose texts stand on `least` pages or more."""
     on = Counter(t for p in pages for t in set(p.texts))
-    often: dict[tuple[str, ...], list[bool]] = {}
+    often: dict[bytes, list[bool]] = {}
     for page in pages:
         for path, text in zip(page.paths, page.texts, strict=True):
             often.setdefault(path, []).append(on[text] >= least)

@@ -97,8 +97,39 @@ def test_blocks_of_odd_markup():
     assert htmltext.blocks('<p>Hello <svg class="i"/>there.</p><p>World <math/> again.</p>').texts == ["Hello there.", "World again."]
     assert htmltext.blocks("<p>a<svg><text>no</text></svg>b <noscript>c</noscript> <object>d</object></p><svg><p>e").texts == ["ab c d", "e"]
     assert htmltext.blocks("<p>x &lt;b&gt; &#233;&nbsp; y<!-- no --></p><script>no</script><style>no").texts == ["x <b> é y"]
+    assert htmltext.blocks("bare text").texts == ["bare text"] and htmltext.vectors([htmltext.blocks("bare text")])[0].shape == (1, htmltext.INPUTS)
     deep = htmltext.blocks("<div>x" * 8000)
-    assert len(deep.texts) == 8000 and max(map(len, deep.paths)) <= 48
+    assert len(deep.texts) == 8000 and len(set(deep.paths)) == 8000
+
+
+def test_no_ancestor_is_lost_in_deep_pages(labeller):
+    article = "<article><h1>A title of some words</h1><p>The long text of this article stands here, and it goes on for a while.</p></article>"
+    for kind in ("<aside class='sidebar related'>", "<div class='comments'>", "<nav>"):
+        close = f"</{kind[1:].split(' ')[0].strip('>')}>"
+        found = set()
+        for depth in (0, 1, 3, 46, 47, 50, 120, 200):
+            page = htmltext.blocks(f"<body>{article}{kind}{'<div>' * depth}<p>teaser one about a thing</p><p>teaser two</p>{'</div>' * depth}{close}</body>")
+            found.add(tuple(labeller.main_blocks([page])[0].tolist()))
+        assert found == {(True, True, False, False)}, (kind, found)
+
+
+def test_comments_below_an_article_need_no_telling_name(labeller):
+    article = "<article><h1>A title of some words</h1><p>The long text of this article stands here, and it goes on for a while.</p><p>A second paragraph follows the first one and ends it.</p></article>"
+    for name in ("replies", "user-notes", "feedback-thread", "ugc", "c7", "x1", "zz-top"):
+        replies = "".join(f"<div><b>reader {i}</b><p>I liked this text very much, thank you for it.</p></div>" for i in range(3))
+        page = htmltext.blocks(f"<body><header><a href='/'>Home</a></header>{article}<section class='{name}'><h3>What readers say</h3>{replies}</section></body>")
+        keep = labeller.main_blocks([page])[0]
+        assert [t for t, k in zip(page.texts, keep, strict=True) if k] == page.texts[1:4], name
+
+
+def test_a_long_page_is_labelled_in_pieces(labeller, monkeypatch):
+    page = htmltext.blocks("<body><article>" + "<p>some words of the text stand here.</p><aside class='ad'><p>buy</p></aside>" * 900 + "</article></body>")
+    short = htmltext.blocks("<body><article><p>some words of the text stand here.</p></article></body>")
+    one = [x.tolist() for x in labeller.main_blocks([page, short])]
+    monkeypatch.setattr(htmltext, "_STEPS", 7)
+    assert [x.tolist() for x in labeller.main_blocks([page, short])] == one and len(one[0]) == 1800
+    x, mask = htmltext.padded(htmltext.vectors([page]))
+    assert ((labeller.logits(x, mask)[:, 0] > 0) == np.array(one[0])).all()
 
 
 def test_lstm_gradients():
@@ -148,6 +179,29 @@ def test_nearest_is_exact_with_ties_nulls_and_a_hot_vector(spark):
     assert set(found) == {i for i in good if i % 20 == 0}
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_of_repeated_ids(spark, kind, tmp_path):
+    rng = np.random.default_rng(15)
+    rows = [(int(i), rng.integers(-4, 5, 6).astype(float).tolist()) for i in rng.integers(0, 25, 150)]
+    rows += [rows[0], rows[0], (20, rows[1][1]), (20, rows[1][1]), (20, [1.0] * 6), (40, [2.0] * 6)]
+    rows = [r for r in rows if any(r[1])]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], f"vec_id long, embedding array<{kind}>, label int")
+    frame.repartition(4).write.parquet(str(tmp_path / "embeddings.parquet"))
+    known = collections.Counter()
+    for n, (q, x) in enumerate(rows):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for m, (i, y) in enumerate(rows) if m != n)[:20]
+            known.update((q, rank + 1, i, -s) for rank, (s, i) in enumerate(best))
+    from oddsmith.llm import queries
+
+    assert collections.Counter(map(tuple, queries.op2_block_join(spark, str(tmp_path)).collect())) == known
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert collections.Counter(con.sql(queries.OP2_SQL).fetchall()) == known
+
+
 def test_nearest_few_and_none(spark):
     few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 1, 1.0)]
