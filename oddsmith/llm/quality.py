@@ -22,6 +22,7 @@ BYTES = (1, 2, 3)  # lengths of the n-grams of bytes
 MODELS = len(BYTES) + 3  # and words, pairs of words, repeats
 BUCKETS = 1 << 14  # of each model
 _PRIOR = 1e-3  # share of all documents' distribution in the target model
+TEMPERATURE = 4.0  # sharpness of the sample: log weights are divided by it before the noise of about 1 comes on
 _RADIX = 16  # bits that one pass of the selection settles
 _STEP = 1 << 20  # bytes whose n-grams are held at once
 
@@ -87,7 +88,12 @@ def model(docs: DataFrame, good: DataFrame) -> np.ndarray:
         return np.nan_to_num(np.log(target) - np.log(every), nan=0.0, posinf=0.0, neginf=0.0).ravel()
 
 
-def weighed(docs: DataFrame, weights: np.ndarray, seed: int) -> DataFrame:
+def noisy_weights(log_weight: np.ndarray, uniforms: np.ndarray, temperature: float) -> np.ndarray:
+    """Log weights with Gumbel noise: the k largest are a sample of k without replacement, by weight ** (1 / temperature)."""
+    return log_weight / temperature - np.log(-np.log(uniforms))
+
+
+def weighed(docs: DataFrame, weights: np.ndarray, seed: int, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, key (hash of the text), n_bytes, log_weight (mean over models of the sum over n-grams) and the noisy weight.
 
     `bits` orders as `noisy` does, as a signed 64-bit number. A null or empty text has the
@@ -102,7 +108,7 @@ def weighed(docs: DataFrame, weights: np.ndarray, seed: int) -> DataFrame:
                 total += np.bincount(row, at.value[bucket], batch.num_rows)
             size = np.diff(raw(batch.column("text"))[1])
             total /= MODELS
-            noisy = total - np.log(-np.log(batch.column("u").to_numpy()))
+            noisy = noisy_weights(total, batch.column("u").to_numpy(), temperature)
             bits = noisy.view(np.int64)
             bits = np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
             none = size == 0
@@ -151,14 +157,16 @@ def cut(pairs: list[tuple[float, int]]) -> float:
     return float(places[int(right.argmax())])
 
 
-def resampled(docs: DataFrame, labels: DataFrame, seed: int = 29, most_labels: int = 20_000) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, seed: int = 29, most_labels: int = 20_000, temperature: float = TEMPERATURE, share: float | None = None) -> DataFrame:
     """doc_id, key, n_bytes, log_weight, noisy, kept for every row of `docs`; key is a hash of the text.
 
     The target model is fitted on at most `most_labels` labelled documents (those with the least
-    hash of their id), the other one on all documents. k, the size of the sample, is the number
-    of documents whose weight exceeds the cut that parts good and bad labelled documents; the k
-    largest noisy weights are kept, all that tie with the k-th included. Null and empty texts are
-    never kept. Without good and bad labels all other documents are kept. Equal rows, null ids
+    hash of their id), the other one on all documents. k, the size of the sample, is `share` of the
+    documents that have a text, or, without it, the number of those whose weight exceeds the cut that
+    parts good and bad labelled documents. The sample is drawn without replacement, by the weights to
+    the power 1 / `temperature`: the k largest noisy weights are kept, all that tie with the k-th
+    included, so documents near the cut are kept by chance, the others almost surely. Null and empty
+    texts are never kept. Without good and bad labels all other documents are kept. Equal rows, null ids
     too, share their noise and go the same way; a label stands for all rows of its id, and of
     several labels the worst counts. Other columns are left out; an empty table gives no rows.
     """
@@ -166,11 +174,17 @@ def resampled(docs: DataFrame, labels: DataFrame, seed: int = 29, most_labels: i
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = written(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most_labels), "labels")
     weights = model(docs, known.filter("quality = 1"))
-    scored = written(weighed(docs, weights, seed), "weights")
+    scored = written(weighed(docs, weights, seed, temperature), "weights")
+    if share is not None:
+        dropped(known)
+        return _sampled(scored, round(share * scored.filter("log_weight is not null").count()))
     pairs = scored.join(F.broadcast(known), "doc_id").filter("log_weight is not null").groupBy("doc_id", "quality").agg(F.min("log_weight"))
     least = cut([(w, q) for _, q, w in pairs.collect()])  # one row a label, `most_labels` at most
     dropped(known)
-    k = scored.filter(F.col("log_weight") >= F.lit(least)).count()
+    return _sampled(scored, scored.filter(F.col("log_weight") >= F.lit(least)).count())
+
+
+def _sampled(scored: DataFrame, k: int) -> DataFrame:
     if not k:
         return scored.select("doc_id", "key", "n_bytes", "log_weight", "noisy", F.lit(False).alias("kept"))
     bound = kth_largest(scored, k)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from test_text_operators import brute_classes, brute_lines, brute_weights
 
 import corpus_pipeline
-from oddsmith.llm import ann, bagminhash, bloomlm, linedup, mixing, packing
+from oddsmith.llm import ann, bagminhash, bloomlm, linedup, mixing, packing, quality
 from oddsmith.llm.queries import tokenizer_files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -255,7 +255,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for i, t, _ in rows:
         if t:
             u = (int(hashlib.md5(f"29:gumbel:{i}:{hashlib.md5(t.encode()).hexdigest().upper()}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
-            noisy[i] = weight[i] - math.log(-math.log(u))
+            noisy[i] = weight[i] / quality.TEMPERATURE - math.log(-math.log(u))
     kept = set(sorted(noisy, key=noisy.get, reverse=True)[: sum(weight[i] >= cut for i in noisy)])
     rows = [r for r in rows if r[0] in kept]
     assert 60 < len(rows) < len(texts) - 20
@@ -283,3 +283,20 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             if copies:
                 expected[i, start, len(piece), zlib.crc32(piece.tobytes()), len(encoded)] += copies
     assert found == expected
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["__key", "__u", "__n", "__order", "__source", "__parts", "__cdf", "__id", "__hash", "__gone", "a.b", "c1", "copy", "n_lines"]
+    texts = ["one two three four five six\nseven eight nine ten eleven", "one two three four five six\nother words of a line here", "x y", None, "x y"]
+    rows = [(i, t, "s", *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = {i: {n: f"{n}{i}" for n in names} for i in range(len(texts))}
+    lines = linedup.deduplicated(frame).collect()
+    assert {r["doc_id"]: {n: r[n] for n in names if n != "n_lines"} for r in lines} == {i: {n: v for n, v in k.items() if n != "n_lines"} for i, k in kept.items()}
+    assert {r["doc_id"]: r["n_deleted"] for r in lines} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
+    assert linedup.deduplicated(frame, whole=False).columns == [*(c for c in frame.columns if c != "n_lines"), "n_lines", "n_deleted"]
+    one = {r["doc_id"]: {n: r[n] for n in names} for r in bagminhash.one_of_each(frame).collect()}
+    assert one == {i: kept[i] for i in (0, 1, 2, 3)}
+    mixed = mixing.mixed(frame, {"s": 1.0})
+    assert mixed.columns == [*(c for c in frame.columns if c != "copy"), "copy"]
+    assert all({n: r[n] for n in names if n != "copy"} == {n: v for n, v in kept[r["doc_id"]].items() if n != "copy"} for r in mixed.collect())

@@ -263,7 +263,7 @@ def test_weights_cut_and_sample_equal_brute_force(spark, monkeypatch):
         assert found[i]["log_weight"] == pytest.approx(expected[i], rel=1e-9, abs=1e-9)
         key = hashlib.md5(text.encode()).hexdigest().upper()
         u = (int(hashlib.md5(f"29:gumbel:{i}:{key}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
-        noisy[i] = expected[i] - np.log(-np.log(u))
+        noisy[i] = expected[i] / quality.TEMPERATURE - np.log(-np.log(u))
     places = sorted(set(found[i]["log_weight"] for i, _ in labels))
     places = [places[0] - 1, *((a + b) / 2 for a, b in itertools.pairwise(places)), places[-1] + 1]
     right = lambda c: np.mean([found[i]["log_weight"] >= c for i, q in labels if q]) + np.mean([found[i]["log_weight"] < c for i, q in labels if not q])
@@ -272,6 +272,35 @@ def test_weights_cut_and_sample_equal_brute_force(spark, monkeypatch):
     assert {i for i in noisy if found[i]["kept"]} == set(sorted(noisy, key=noisy.get, reverse=True)[:k])
 
 
+def test_inclusion_follows_the_weights_over_seeds():
+    rng = np.random.default_rng(0)
+    weight, k, turns = np.array([0.0, 1.0, 2.0, 6.0, -3.0, 0.0]), 2, 40_000
+    for temperature in (1.0, 3.0):
+        noisy = quality.noisy_weights(np.tile(weight, turns), rng.random(turns * 6), temperature).reshape(turns, 6)
+        found = np.bincount(np.argsort(-noisy, 1)[:, :k].ravel(), minlength=6) / turns
+        p = np.exp(weight / temperature)
+        first = p / p.sum()
+        known = first + sum(first[j] * np.where(np.arange(6) == j, 0, p / (p.sum() - p[j])) for j in range(6))  # drawn first or second
+        assert np.abs(found - known).max() < 0.01
+
+
+def test_a_share_is_sampled_by_weight(spark):
+    texts = ["an re on", "ti mo ka", "ZZ QQ !!"]
+    frame = docs(spark, [texts[i % 3] for i in range(1500)] + [None, ""])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, quality int")
+    rows = quality.resampled(frame, labels, share=0.4, temperature=2.0).collect()
+    kept = [sum(r["kept"] for r in rows if r["doc_id"] % 3 == g and r["doc_id"] < 1500) for g in range(3)]
+    assert sum(kept) == 600 and not any(r["kept"] for r in rows if r["doc_id"] >= 1500)
+    weight = np.exp(np.array([next(r["log_weight"] for r in rows if r["doc_id"] == g) for g in range(3)]) / 2)
+    low, high = 0.0, 1e9
+    for _ in range(200):  # inclusion is 1 - exp(-rate weight); the rate follows from the size of the sample
+        rate = (low + high) / 2
+        low, high = (rate, high) if 500 * (1 - np.exp(-rate * weight)).sum() < 600 else (low, rate)
+    assert np.abs(np.array(kept) - 500 * (1 - np.exp(-rate * weight))).max() < 45 and kept[0] > max(kept[1:])
+    assert {r["doc_id"] for r in quality.resampled(frame, labels, share=0.4, temperature=2.0).filter("kept").collect()} == {r["doc_id"] for r in rows if r["kept"]}
+    assert {r["doc_id"] for r in quality.resampled(frame, labels, share=0.4, temperature=2.0, seed=30).filter("kept").collect()} != {r["doc_id"] for r in rows if r["kept"]}
+
+
 def test_quality_repeats_null_ids_and_extra_columns(spark):
     rows = [(1, "an re", "a"), (1, "an re", "b"), (None, "ti mo ka", "c"), (None, "ti mo ka", "d"), (1, "other text", "e"), (2, "junk", "f")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, kept string")
