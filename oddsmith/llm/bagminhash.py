@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import Scratch, dropped, slices, text_key, written
+from oddsmith.llm.common import Scratch, dropped, plainly, slices, text_key, written
 from oddsmith.llm.components import components
 from oddsmith.llm.textvec import mix, shingles
 
@@ -277,7 +277,8 @@ def classes(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
-    """The row of the least doc_id (then text hash; null ids last) of every class, once."""
+    """The row of the least doc_id (then text hash; null ids last) of every class, once. Any other columns may be there."""
+    docs, names = plainly(docs, ("doc_id", "text"))
     found = written(classes(docs, least, size).select("doc_id", "key", "root"), "alike")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("mark"))).alias("first")
     kept = written(found.groupBy("root").agg(first).select("first.id", "first.mark"), "kept")
@@ -288,7 +289,7 @@ def one_of_each(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame
         twice = written(twice.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")), "twice")
         same = out["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (out["__key"] == F.col("__k"))
         out = out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__key"]))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*names)
 
 
 def _repeats(pool: DataFrame) -> bool:

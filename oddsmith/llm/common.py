@@ -84,6 +84,15 @@ def text_key(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
+def plainly(docs: DataFrame, known: Iterable[str], but: Iterable[str] = ()) -> tuple[DataFrame, list[str]]:
+    """`docs` without the columns `but`, all others than `known` under names of no meaning; and their own names.
+
+    What an operator calls its own columns can't meet those of a table then; `toDF` gives the names back.
+    """
+    known, names = set(known), [c for c in docs.columns if c not in set(but)]
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in known else f"c{i}") for i, c in enumerate(names)]), names
+
+
 def uniform(*keys: Column) -> Column:
     """A number in (0, 1) from the first 12 hexadecimal digits of an MD5 over `keys` joined by ':'.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from oddsmith.llm.common import Scratch, text_key, written
+from oddsmith.llm.common import Scratch, plainly, text_key, written
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _PLACE = ("doc_id", "hash", "seq")
@@ -106,8 +106,14 @@ def deduplicated(docs: DataFrame, least_words: int = 5, whole: bool = True) -> D
 
     Lines end at \\n; blank lines stay. A text that loses all its lines becomes empty; null stays
     null. Rows of equal doc_id and text are one document here: none is a copy of the other. Columns
-    named n_lines, n_deleted or longest_copy (only with `whole`) are replaced.
+    named n_lines, n_deleted or longest_copy (only with `whole`) are replaced; any others may be there.
     """
+    added = ["n_lines", "n_deleted", *(["longest_copy"] if whole else [])]
+    docs, names = plainly(docs, ("doc_id", "text"), added)
+    return _deduplicated(docs, least_words, whole).toDF(*names, *added)
+
+
+def _deduplicated(docs: DataFrame, least_words: int, whole: bool) -> DataFrame:
     write = Scratch()
     deleted, longest = marked(docs, least_words, whole, write)
     by_doc = deleted.groupBy("doc_id", "hash").agg(F.collect_set("pos").alias("__gone"))
@@ -125,5 +131,4 @@ def deduplicated(docs: DataFrame, least_words: int = 5, whole: bool = True) -> D
     if whole:
         added["longest_copy"] = F.coalesce("__longest", F.lit(0))
     added["text"] = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "longest_copy") or (c == "longest_copy" and not whole)]
-    return out.select(*[(added["text"].alias("text") if c == "text" else docs[c]) for c in names], *[v.alias(k) for k, v in added.items() if k != "text"])
+    return out.select(*[(added["text"].alias("text") if c == "text" else docs[c]) for c in docs.columns], *[v.alias(k) for k, v in added.items() if k != "text"])

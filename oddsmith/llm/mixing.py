@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import uniform, written
+from oddsmith.llm.common import plainly, uniform, written
 
 _SMALL = 10_000  # sources whose rates may be broadcast; beyond it the join is shuffled
 _STEP = 200.0  # largest mean that is inverted at once: a larger one is a sum of equal parts
@@ -79,10 +79,11 @@ def mixed(
     `key`, so it is the same in every run. Rows of null or repeated keys have draws of their own,
     by all their columns and their number among equal rows. `copy` counts from 1
     and replaces a column of that name. Rows are dealt over partitions, and ordered within each,
-    by another hash. An empty table stays empty.
+    by another hash. An empty table stays empty; any other columns may be there.
     """
-    names = docs.columns
+    docs, names = plainly(docs, ("source", key), ("copy",))
     by_source = rates(docs, weights, temperature)
+    columns = docs.columns
     docs, key = named(docs, key), "__key"
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / _STEP)).cast("int")
     by_source = by_source.select(
@@ -103,5 +104,4 @@ def mixed(
     )
     copies = counted.filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     ordered = copies.withColumn("__order", F.xxhash64(F.lit(seed), F.lit("order"), F.col(key), F.col("copy")))
-    columns = [*(c for c in names if c != "copy"), "copy"]
-    return ordered.repartition("__order").sortWithinPartitions("__order").select(*columns)
+    return ordered.repartition("__order").sortWithinPartitions("__order").select(*columns, "copy").toDF(*names, "copy")
