@@ -1,14 +1,12 @@
-"""What a job keeps until the next one begins: frames that it reads twice, tables that its result reads."""
+"""Frames that a job reads more than once: kept on the executors until the next job begins."""
 
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_held: dict[tuple[str, int], list[Callable[[], object]]] = {}
+_held: dict[tuple[str, int], list[DataFrame]] = {}
 
 
 def _job(spark: SparkSession) -> tuple[str, int]:
@@ -19,16 +17,11 @@ def _job(spark: SparkSession) -> tuple[str, int]:
 def hold(df: DataFrame) -> DataFrame:
     """Persists `df` in memory or on disk; a lost executor's part is computed again."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    at_release(df.sparkSession, kept.unpersist)
+    _held.setdefault(_job(df.sparkSession), []).append(kept)
     return kept
 
 
-def at_release(spark: SparkSession, action: Callable[[], object]) -> None:
-    """Runs `action` when the session's next job in this thread begins."""
-    _held.setdefault(_job(spark), []).append(action)
-
-
 def release(spark: SparkSession) -> None:
     """Gives up what this thread's last job of the session has held. A result that still reads a frame computes it anew."""
-    for action in reversed(_held.pop(_job(spark), [])):
-        action()
+    for df in _held.pop(_job(spark), []):
+        df.unpersist()

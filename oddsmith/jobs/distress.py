@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from oddsmith.functions.columns import clean, literal_table, verdict
-from oddsmith.functions.held import at_release, hold
-from oddsmith.functions.shared import delete, shared_folder
+from oddsmith.functions.held import hold
+from oddsmith.functions.shared import shared_folder
 from oddsmith.jobs.distress_sql import SQL
 from oddsmith.jobs.market import owned, rounded
 from oddsmith.operators import distress, filings, resample
@@ -65,10 +65,9 @@ def submissions_explode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def put(rows: DataFrame, name: str) -> str:
-    """A new shared folder with the text column `value` of `rows`, in a folder for each `file`, until the next job begins."""
+    """A new shared folder with the text column `value` of `rows`, in a folder for each `file`."""
     path = shared_folder(rows.sparkSession, name)
     (rows.write.partitionBy("file") if "file" in rows.columns else rows.write).text(path)
-    at_release(rows.sparkSession, lambda: delete(rows.sparkSession, path))
     return path
 
 
@@ -162,7 +161,6 @@ def index_files(spark: SparkSession, d: str) -> DataFrame:
     dealt = lines.repartition("year", "quarter").sortWithinPartitions("year", "quarter", "order_key")
     path = shared_folder(spark, "index")
     dealt.select("value", "year", "quarter").write.partitionBy("year", "quarter").text(path)
-    at_release(spark, lambda: delete(spark, path))
     return landed.numbered_lines(spark, path, r"/year=(\d{4})/quarter=([1-4])/[^/]*$")
 
 

@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from oddsmith.config import FACTORS, Config
 from oddsmith.functions.columns import business_days_ahead, verdict
-from oddsmith.functions.held import at_release, hold, release
-from oddsmith.functions.shared import delete, shared_folder
+from oddsmith.functions.held import hold, release
+from oddsmith.functions.shared import on_clear, shared_folder
 from oddsmith.jobs.market_sql import SQL
 from oddsmith.operators import backtest, model, resample, slices, sparse, universe
 from oddsmith.operators import windows as w
@@ -212,7 +212,7 @@ def new_store(spark: SparkSession, d: str) -> store.PriceStore:
     """A store of its own for one job, filled twice: the tickers that ended first, then a feed of all, whose stored tickers are skipped."""
     path = shared_folder(spark, "prices")
     out = store.PriceStore(spark, "prices_" + path[-32:], path, buckets=8)
-    at_release(spark, out.drop)
+    on_clear(spark, out.drop)
     rows = a.prices(spark, d)
     out.ingest(rows.join(meta(spark, d).filter("fate = 'delisted'"), "ticker", "left_semi"))
     return out
@@ -241,7 +241,6 @@ def features_in_slices(spark: SparkSession, d: str) -> DataFrame:
 def stored_history(spark: SparkSession, d: str) -> DataFrame:
     """Histories of a payload that was written twice: first without a third of the tickers' closes, which the second writing replaces."""
     path = shared_folder(spark, "payloads")
-    at_release(spark, lambda: delete(spark, path))
     rows = hold(universe.recent(a.prices(spark, d)))
     third = F.crc32(F.col("ticker").cast("binary")) % 3 == 0
     payloads.replace(rows.withColumn("history", F.when(~third, F.col("history"))), path)

@@ -232,6 +232,19 @@ def test_only_changed_payloads_are_replaced(spark, tmp_path):
     assert [f for f in before if after[f] != before[f]] == ["ticker=B B%2Fx"]
 
 
+def test_what_jobs_leave_can_be_cleared(spark):
+    from oddsmith.functions.shared import clear
+
+    other = spark.newSession()
+    path, own = shared_folder(other, "left"), shared_folder(spark, "own")
+    for p in (path, own):
+        spark.range(3).write.parquet(p)
+    clear(other)
+    assert spark.read.parquet(own).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_release_keeps_to_its_session(spark):
     other = spark.newSession()
     mine, theirs = held.hold(spark.range(3)), held.hold(other.range(4))
