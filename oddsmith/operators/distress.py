@@ -22,6 +22,8 @@ CONTINUOUS = ("log_assets", "leverage", "cash_ratio", "roa", "ocf_assets", "curr
 DEFAULT = ("burning", "short_runway", "neg_equity", "going_concern")
 EXITED = "exited"
 
+_TASK_ROWS = 200_000  # company-years that one task of a Newton step takes at least
+
 
 def is_bad(outcome: str = "outcome") -> Column:
     return F.col(outcome).isin(*BAD)
@@ -188,12 +190,14 @@ def fit_logits(known: DataFrame, folds: dict[int, int], l2: float = 1.0, steps:
     rows = _inputs(known)
     table = F.broadcast(literal_table(spark, list(folds.items()), "fold int, last int"))
     summed = rows.join(table, F.col("year") <= F.col("last")).groupBy("fold")
-    found = summed.agg(*[f(c).alias(f"{n}_{c}") for c in CONTINUOUS for n, f in (("mu", F.avg), ("sd", F.stddev_pop))]).collect()
+    found = summed.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in CONTINUOUS for n, f in (("mu", F.avg), ("sd", F.stddev_pop))]).collect()
     stats = {r["fold"]: r for r in found}
     last = {f: folds[f] for f in stats}  # a fold without rows has no model
     mu = {f: np.array([stats[f][f"mu_{c}"] for c in CONTINUOUS]) for f in last}
     sd = {f: np.array([stats[f][f"sd_{c}"] for c in CONTINUOUS]) + 1e-9 for f in last}
-    blocks = hold(design_blocks(known)).rdd
+    blocks = design_blocks(known)
+    parts = -(-max((r["n"] for r in found), default=1) // _TASK_ROWS)  # a step is short: few rows need few tasks
+    blocks = hold(blocks.coalesce(parts) if parts < blocks.rdd.getNumPartitions() else blocks).rdd
     weights = {f: np.zeros(size) for f in last}
     penalty = np.full(size, l2)
     penalty[0] = 0
