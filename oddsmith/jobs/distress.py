@@ -91,29 +91,36 @@ def landed_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 
 PAGE = 100  # hits of a page
+SEARCH = 9_800  # hits of a search at most, so that it shows all of them and never asks for the page from 9,900 on
 
 
 def hit_years(spark: SparkSession, d: str) -> DataFrame:
-    """cik, year of a text search's pages of `PAGE` hits; a page that no search reaches names unknown companies."""
+    """cik, year of text searches' pages of `PAGE` hits, a page a line; a page that no search reaches names unknown companies.
+
+    A search covers a day's filings, or a stretch of them if the day has more than `SEARCH`.
+    """
     found = a.filings(spark, d).filter("priority = '1-URGENT'")
-    start = F.floor((F.row_number().over(Window.partitionBy("year").orderBy("order_key")) - 1) / PAGE) * PAGE
+    nth = F.row_number().over(Window.partitionBy("filing_date").orderBy("order_key")) - 1
     hit = F.struct(F.struct(F.array(F.lpad(F.col("cik").cast("string"), 10, "0"), F.lit("n/a")).alias("ciks")).alias("_source"))
-    pages = found.select("year", start.alias("start"), "order_key", hit.alias("h")).groupBy("year", "start").agg(F.transform(F.sort_array(F.collect_list(F.struct("order_key", "h"))), lambda x: x["h"]).alias("hits"))
+    found = found.select("filing_date", F.floor(nth / SEARCH).alias("stretch"), (F.floor(nth % SEARCH / PAGE) * PAGE).alias("start"), "order_key", hit.alias("h"))
+    pages = found.groupBy("filing_date", "stretch", "start").agg(F.transform(F.sort_array(F.collect_list(F.struct("order_key", "h"))), lambda x: x["h"]).alias("hits"))
     stray = F.struct(F.struct(F.array(F.lit("999999999")).alias("ciks")).alias("_source"))
-    more = found.select("year").distinct().select("year", F.lit(9_900).cast("bigint").alias("start"), F.array(stray).alias("hits"))
-    page = pages.select("year", "start", "hits").unionByName(more).filter(F.col("start") < landed.MOST_HITS)
-    name = F.concat(F.lit("fts_gc_"), F.col("year").cast("string"), F.lit("_"), F.col("start").cast("string"), F.lit(".json"))
-    files = page.select(name.alias("file"), F.to_json(F.struct(F.struct("hits").alias("hits"))).alias("value"))
-    return landed.hit_years(landed.landed(spark, put(files, "hits"), landed.HITS))
+    more = found.select("filing_date", "stretch").distinct().select("filing_date", "stretch", F.lit(9_900).cast("bigint").alias("start"), F.array(stray).alias("hits"))
+    name = F.format_string("fts_gc_%s-%d_%d.json", F.date_format("filing_date", "yyyy_MMdd"), "stretch", "start")
+    lines = pages.unionByName(more).select(F.to_json(F.struct(name.alias("page"), F.struct("hits").alias("hits"))).alias("value"))
+    return landed.hit_years(landed.landed(spark, put(lines, "hits"), landed.HITS, lines=True))
 
 
 def hit_ciks(spark: SparkSession, d: str) -> DataFrame:
     return hit_years(spark, d).select("cik").distinct()
 
 
+COMPANIES = 1_000  # of a landed document at most, however many there are
+
+
 def ticker_map(spark: SparkSession, d: str) -> DataFrame:
-    """cik and ticker out of landed objects of numbered entries."""
-    part = names(spark, d).groupBy((F.col("cik") % 50).alias("g")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("cik").cast("string"), F.struct(F.col("cik").alias("cik_str"), "ticker")))).alias("m"))
+    """cik and ticker out of landed objects of numbered entries, an object a line."""
+    part = names(spark, d).groupBy(F.floor(F.col("cik") / COMPANIES).alias("g")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("cik").cast("string"), F.struct(F.col("cik").alias("cik_str"), "ticker")))).alias("m"))
     return landed.ticker_map(landed.landed(spark, put(part.select(F.to_json("m").alias("value")), "tickers"), landed.TICKERS, lines=True))
 
 
@@ -138,17 +145,17 @@ def priority(spark: SparkSession) -> DataFrame:
 
 
 def landed_frames(spark: SparkSession, d: str) -> DataFrame:
-    """concept, fy, instant, cik, val of JSON frames, a file for each concept and fiscal year.
+    """concept, fy, instant, cik, val of JSON frames, a document a line for each concept, fiscal year and `COMPANIES` companies.
 
     A report filed in a year gives the figures of the year before. Some companies give no Revenues, some no Cash.
     """
     years = a.company_years(a.filings(spark, d))
     gap = {"Revenues": 3, "Cash": 5}
     value = lambda column, concept: F.when(F.col("cik") % gap.get(concept, 1 << 40) != 0, F.col(column)) if concept in gap else F.col(column) / (2 if concept == "SalesRevenueNet" else 1)
-    name = lambda concept, instant: F.concat(F.lit(f"frame_{concept}_CY"), (F.col("year") - 1).cast("string"), F.lit("Q4I.json" if instant else ".json"))
-    each = years.select(F.inline(F.array(*[F.struct(name(c, i).alias("file"), F.struct(F.col("cik"), value(column, c).alias("val")).alias("fact")) for column, c, _, i in CONCEPTS])))
-    frames = each.groupBy("file").agg(F.collect_list("fact").alias("data")).select("file", F.to_json(F.struct("data")).alias("value"))
-    return landed.concept_values(landed.landed(spark, put(frames, "frames"), landed.FRAME))
+    period = lambda instant: F.concat(F.lit("CY"), (F.col("year") - 1).cast("string"), F.lit("Q4I" if instant else ""))
+    each = years.select(F.inline(F.array(*[F.struct(F.lit(c).alias("tag"), period(i).alias("ccp"), F.struct(F.col("cik"), value(column, c).alias("val")).alias("fact")) for column, c, _, i in CONCEPTS])))
+    frames = each.groupBy("tag", "ccp", F.floor(F.col("fact.cik") / COMPANIES).alias("g")).agg(F.collect_list("fact").alias("data")).select(F.to_json(F.struct("tag", "ccp", "data")).alias("value"))
+    return landed.concept_values(landed.landed(spark, put(frames, "frames"), landed.FRAME, lines=True))
 
 
 def concept_fallback(spark: SparkSession, d: str) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql.window import Window
 
 INDEX_FILE = r"form_(\d{4})_Q([1-4])\.idx$"  # year and quarter
 FRAME_FILE = r"frame_([^/]+)_CY(\d{4})(Q4I)?\.json"
-HITS_FILE = r"fts_gc_(\d{4})_(\d+)\.json"  # year and number of the first hit
+HITS_FILE = r"fts_gc_(\d{4})(?:_([^/_]+))?_(\d+)\.json"  # year, part of the year (if its search was split) and number of the first hit
 SUBMISSION_FILE = r"sub_(\d+)\.json"
 
-FRAME = "data array<struct<cik:bigint,val:double>>"
+FRAME = "tag string, ccp string, data array<struct<cik:bigint,val:double>>"
 SUBMISSION = "cik string, filings struct<recent:struct<form:array<string>,filingDate:array<string>,items:array<string>>>"
-HITS = "hits struct<hits:array<struct<_source:struct<ciks:array<string>>>>>"
+HITS = "page string, hits struct<hits:array<struct<_source:struct<ciks:array<string>>>>>"
 TICKERS = "map<string,struct<cik_str:bigint,ticker:string>>"
 
 MOST_SPLITS = 500_000  # input splits whose sizes may be broadcast, a hundred bytes each
@@ -75,13 +75,19 @@ def write_rejects(rows: DataFrame, path: str, kind: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
 
 
-def _named(shape: str, group: int) -> Column:
-    return F.regexp_extract("file", shape, group)
+def _named(shape: str, group: int, name: Column | str = "file") -> Column:
+    return F.regexp_extract(name, shape, group)
 
 
 def concept_values(rows: DataFrame) -> DataFrame:
-    """concept, fy, instant, cik, val of frames; the file's name gives the concept and the period. Null values are left out."""
-    out = accepted(rows).select(_named(FRAME_FILE, 1).alias("concept"), _named(FRAME_FILE, 2).try_cast("int").alias("fy"), (_named(FRAME_FILE, 3) != "").alias("instant"), F.inline("data.data"))
+    """concept, fy, instant, cik, val of frames. Null values are left out.
+
+    A document's own tag and period (`ccp`) give the concept and the year, or else the file's name. A frame may come
+    in several documents, so that none of them grows with the number of companies.
+    """
+    name = F.coalesce(F.concat(F.lit("frame_"), "data.tag", F.lit("_"), "data.ccp", F.lit(".json")), "file")
+    part = lambda k: _named(FRAME_FILE, k, name)
+    out = accepted(rows).select(part(1).alias("concept"), part(2).try_cast("int").alias("fy"), (part(3) != "").alias("instant"), F.inline("data.data"))
     return out.filter("concept <> '' and cik is not null and val is not null")
 
 
@@ -104,15 +110,17 @@ def submission_rows(rows: DataFrame) -> DataFrame:
 
 
 def hit_years(rows: DataFrame) -> DataFrame:
-    """cik, year, each once, of the pages of a text search; what is no number is left out.
+    """cik, year, each once, of the pages of text searches; what is no number is left out.
 
-    A year's pages are taken in order as a search would ask for them: the next page begins where the
-    hits so far end, and an empty or unreadable page ends the search, as does `MOST_HITS`.
+    A search covers a year or a part of it, as the page's own name (`page`) or its file's says. Its pages are taken in
+    order as it would ask for them: the next page begins where the hits so far end, and an empty or unreadable page
+    ends the search, as does `MOST_HITS`. So a year with more hits needs searches of its parts.
     """
     hits = F.coalesce(F.col("data.hits.hits"), F.array().cast("array<struct<_source:struct<ciks:array<string>>>>"))
-    pages = rows.select(_named(HITS_FILE, 1).try_cast("int").alias("year"), _named(HITS_FILE, 2).try_cast("long").alias("start"), hits.alias("hits"))
+    part = lambda k: _named(HITS_FILE, k, F.coalesce("data.page", "file"))
+    pages = rows.select(part(1).try_cast("int").alias("year"), part(2).alias("part"), part(3).try_cast("long").alias("start"), hits.alias("hits"))
     pages = pages.filter("year is not null and start is not null").withColumn("n", F.size("hits"))
-    order = Window.partitionBy("year").orderBy("start")  # a year has at most MOST_HITS pages that count
+    order = Window.partitionBy("year", "part").orderBy("start")  # a search has at most MOST_HITS pages that count
     expected = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pages = pages.filter(F.col("start") < MOST_HITS).withColumn("fits", F.col("start") == expected)
     reached = F.min(F.col("fits")).over(order.rowsBetween(Window.unboundedPreceding, 0))

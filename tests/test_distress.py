@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oddsmith.jobs import distress as distress_jobs
 from oddsmith.operators import distress, filings, resample
 from oddsmith.sources import landed, readers
 
@@ -173,3 +174,17 @@ def test_files_in_and_out(spark, tmp_path):
     readers.write_meta(meta, str(tmp_path / "metas"), "s", "2020-02-01")
     again = {r["ticker"]: (r["last"], r["fate"]) for r in readers.universe_meta(spark, str(tmp_path / "metas"), lines=True).collect()}
     assert again == {"AAA": (dt.date(2020, 1, 20), "active"), "BBB": (dt.date(2020, 1, 2), "unknown")}
+
+
+def _orders(spark, path, rows):
+    """orders.parquet of o_orderkey and o_orderdate in `rows`, all urgent and each of a customer of its own."""
+    made = rows.select("o_orderkey", F.col("o_orderkey").alias("o_custkey"), F.lit("F").alias("o_orderstatus"), F.lit(100.0).alias("o_totalprice"), "o_orderdate", F.lit("1-URGENT").alias("o_orderpriority"))
+    made.write.parquet(f"{path}/orders.parquet")
+
+
+def test_years_and_days_of_more_hits_than_a_search_shows(spark, tmp_path):
+    day = F.when(F.col("id") < 10_500, F.lit(0)).otherwise((F.col("id") % 30).cast("int"))
+    _orders(spark, tmp_path, spark.range(12_000).select(F.col("id").alias("o_orderkey"), F.date_add(F.lit("1995-03-01"), day).cast("timestamp").alias("o_orderdate")))
+    found = distress_jobs.hit_ciks(spark, str(tmp_path))
+    assert found.count() == 12_000
+    assert found.agg(F.min("cik"), F.max("cik")).first() == (0, 11_999)
