@@ -50,11 +50,12 @@ def submissions(filed: DataFrame) -> DataFrame:
 def fallback(facts: DataFrame, priority: DataFrame, columns: list[str]) -> DataFrame:
     """One row per (cik, fy): each panel column takes the first concept in order that has a value.
 
-    `priority` (column, concept, rank) is the fixed list of concepts, a few rows a column.
+    `priority` (column, concept, rank) is the fixed list of concepts, a few rows a column. A company-year is one
+    group of fixed size, whatever the number of its facts, and columns that nobody reads are not carried.
     """
     found = facts.filter("val is not null").join(F.broadcast(priority), "concept")
-    best = found.groupBy("cik", "fy", "column").agg(F.min_by("val", "rank").alias("val"))
-    return best.groupBy("cik", "fy").pivot("column", columns).agg(F.first("val"))
+    of = lambda c, x: F.when(F.col("column") == c, F.col(x))
+    return found.groupBy("cik", "fy").agg(*[F.min_by(of(c, "val"), of(c, "rank")).alias(c) for c in columns])
 
 
 def survival(cohort: DataFrame, years: DataFrame) -> DataFrame:

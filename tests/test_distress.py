@@ -188,3 +188,10 @@ def test_years_and_days_of_more_hits_than_a_search_shows(spark, tmp_path):
     found = distress_jobs.hit_ciks(spark, str(tmp_path))
     assert found.count() == 12_000
     assert found.agg(F.min("cik"), F.max("cik")).first() == (0, 11_999)
+
+
+def test_a_panel_marks_every_hit_of_a_year(spark, tmp_path):
+    _orders(spark, tmp_path, spark.range(10_500).select(F.col("id").alias("o_orderkey"), F.date_add(F.lit("1995-03-01"), (F.col("id") % 30).cast("int")).cast("timestamp").alias("o_orderdate")))
+    spark.range(10_500).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = distress_jobs.landed_panel(spark, str(tmp_path)).groupBy("going_concern").count().collect()
+    assert [tuple(r) for r in rows] == [(1, 10_500 - len(range(0, 10_500, 11)))]  # a broken cik in every 11th line
