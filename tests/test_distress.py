@@ -195,3 +195,28 @@ def test_a_panel_marks_every_hit_of_a_year(spark, tmp_path):
     spark.range(10_500).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
     rows = distress_jobs.landed_panel(spark, str(tmp_path)).groupBy("going_concern").count().collect()
     assert [tuple(r) for r in rows] == [(1, 10_500 - len(range(0, 10_500, 11)))]  # a broken cik in every 11th line
+
+
+def test_landed_documents_stay_small(spark, tmp_path, monkeypatch):
+    _orders(spark, tmp_path, spark.range(5_000).select(F.col("id").alias("o_orderkey"), F.lit("1995-03-01").cast("timestamp").alias("o_orderdate")))
+    spark.range(5_000).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
+    longest, put = [], distress_jobs.put
+
+    def measured(rows, name):
+        longest.append(rows.agg(F.max(F.length("value"))).first()[0])
+        return put(rows, name)
+
+    monkeypatch.setattr(distress_jobs, "put", measured)
+    facts = distress_jobs.landed_frames(spark, str(tmp_path))
+    assert facts.filter("concept = 'Assets' and fy = 1994 and instant").select("cik").distinct().count() == 5_000
+    assert facts.filter("not instant").select("concept").distinct().count() == 4
+    assert distress_jobs.ticker_map(spark, str(tmp_path)).count() == 5_000
+    assert max(longest) < 100_000  # a thousand companies each
+
+
+def test_concepts_of_a_year_are_one_group(spark):
+    facts = spark.createDataFrame([(1, 2010, "B", 2.0), (1, 2010, "A", None), (1, 2011, "A", 1.0), (1, 2011, "B", 2.0), (2, 2010, "C", 3.0)], "cik long, fy int, concept string, val double")
+    order = spark.createDataFrame([("x", "A", 0), ("x", "B", 1), ("y", "C", 0)], "column string, concept string, rank int")
+    out = filings.fallback(facts, order, ["x", "y"])
+    assert sorted(map(tuple, out.collect())) == [(1, 2010, 2.0, None), (1, 2011, 1.0, None), (2, 2010, None, 3.0)]
+    assert out.select("cik", "x")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
