@@ -12,6 +12,7 @@ from oddsmith.config import Config
 from oddsmith.functions.columns import bucket, business_days_ahead, verdict
 from oddsmith.operators import backtest, factors, model, resample, universe
 from oddsmith.operators import windows as w
+from oddsmith.sources import adapters
 
 CFG = Config(factors=("vix_regime",), min_train_years=1)
 
@@ -247,3 +248,26 @@ def test_index_counts_the_living_or_all(spark):
     alive = [round(r["ret"], 6) for r in universe.equal_weight_index(prices.replace(110.0, 121.0)).orderBy("date").collect()]
     assert alive == [round((0.21 - 0.1) / 2, 6), 0.0]
     assert universe.equal_weight_index(prices, pad_dead=True).count() == 2
+
+
+def test_fits_along_keys_are_those_of_the_calendar(spark):
+    """Odd dates, weekends, repeated days and keys of different lengths; no join is needed."""
+    rng = np.random.default_rng(5)
+    rows = [(f"T{t}", (dt.date(2015, 1, 1) + dt.timedelta(days=int(x))), "s", 0.01) for t, n in enumerate((5, 300, 900)) for x in np.sort(rng.integers(0, 1500, n))]
+    feat = spark.createDataFrame(rows, "ticker string, date date, state string, fwd_ret double")
+    cfg = Config(min_train_years=1)
+    out = backtest.attached(feat, cfg, ["ticker"], 63)
+    joined = feat.join(backtest.dated_fits(feat, cfg, ["ticker"], 63), ["ticker", "date"])
+    columns = ["ticker", "date", "test_fit", "train_fit"]
+    assert out.select(columns).exceptAll(joined.select(columns)).count() == joined.select(columns).exceptAll(out.select(columns)).count() == 0
+    assert out.filter("test_fit > 0 and train_fit is not null").count() > 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_models_per_key_are_worked_out_once_a_state_and_fit(spark):
+    feat = spark.range(4000).selectExpr("concat('T', id % 2) ticker", "date_add(date '2015-01-01', cast(id div 2 as int)) date", "concat('s', hash(id) % 2) state", "sin(id) / 10 fwd_ret")
+    out = backtest.scored(feat, Config(min_train_years=1), ["ticker"], 63)
+    assert out.count() > 2000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "test#" not in plan  # the tested rows are no part of the looked-up line
