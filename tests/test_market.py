@@ -271,3 +271,13 @@ def test_models_per_key_are_worked_out_once_a_state_and_fit(spark):
     assert out.count() > 2000
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "test#" not in plan  # the tested rows are no part of the looked-up line
+
+
+def test_draws_of_keys_equal_the_draws_of_each_alone(spark):
+    rows = spark.range(300).selectExpr("if(id < 100, 'a', if(id < 290, 'b', 'c')) k", "date_add(date '2020-01-01', cast(id as int)) date", "cos(id) v")
+    found = {r["k"]: (r["lo"], r["hi"]) for r in resample.block_bootstrap_by(rows, F.col("v"), "date", 7, "k", draws=200).collect()}
+    assert set(found) == {"a", "b"}
+    for k in "ab":
+        assert found[k] == pytest.approx(tuple(resample.block_bootstrap(rows.filter(F.col("k") == k), F.col("v"), "date", 7, draws=200).first()), abs=1e-12)
+    plan = resample.block_bootstrap_by(rows, F.col("v"), "date", 7, "k", draws=200)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan  # no row a draw
