@@ -281,3 +281,18 @@ def test_draws_of_keys_equal_the_draws_of_each_alone(spark):
         assert found[k] == pytest.approx(tuple(resample.block_bootstrap(rows.filter(F.col("k") == k), F.col("v"), "date", 7, draws=200).first()), abs=1e-12)
     plan = resample.block_bootstrap_by(rows, F.col("v"), "date", 7, "k", draws=200)._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan  # no row a draw
+
+
+def test_lines_are_dealt_by_ticker_once(spark, tmp_path):
+    lines = "id % 3 l_suppkey, cast(date_add(date '1995-01-01', cast(id div 6 as int)) as timestamp) l_shipdate, 0.05 l_discount, 0.02 l_tax, 100.25 + id l_extendedprice, 1.0 l_quantity"
+    spark.sql(f"SELECT {lines} FROM range(600)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = adapters.prices(spark, str(tmp_path)).withColumn("r", w.log_return())
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert rows.count() == 300
+
+
+def test_hundredths_are_those_of_the_decimal(spark):
+    odd = [0.01, 1.005, 2.675, -1.005, 1e9 + 0.01, 123456789012.34, None, 0.1 + 0.2, 99999.995, -0.01]
+    rows = spark.createDataFrame([(v,) for v in odd], "v double")
+    out = rows.select(adapters._cents("v", "decimal(18,2)").alias("a"), (F.col("v").cast("decimal(18,2)") * 100).cast("long").alias("b")).collect()
+    assert [r["a"] for r in out] == [r["b"] for r in out]
