@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from oddsmith.config import Config
 from oddsmith.functions import held
 from oddsmith.functions.shared import shared_folder
+from oddsmith.jobs import market
 from oddsmith.operators import backtest, factors, slices, sparse, universe
 from oddsmith.operators import windows as w
 from oddsmith.sources import landed, payloads, store
@@ -232,6 +233,36 @@ def test_only_changed_payloads_are_replaced(spark, tmp_path):
     assert [f for f in before if after[f] != before[f]] == ["ticker=B B%2Fx"]
 
 
+def test_payloads_of_many_keys_share_folders(spark, tmp_path):
+    schema = "ticker string, price double, history array<struct<date:date,close:double>>"
+    row = lambda t, p: (t, p, [(dt.date(2020, 1, 1), p), (dt.date(2020, 1, 2), None)])
+    path, names = str(tmp_path / "cards"), [f'T"{k}/x' for k in range(400)]
+    first = spark.createDataFrame([*(row(t, float(k)) for k, t in enumerate(names)), row(None, 0.5), row("", math.inf)], schema)
+    payloads.replace(first, path, groups=8)
+    files = lambda: {p.parent.name: p.name for p in (tmp_path / "cards").glob("*/*.txt")}
+    before = files()
+    assert len(before) == len(list((tmp_path / "cards").glob("*/*.txt"))) == 8
+    payloads.replace(first.filter("ticker is null or ticker < 'T\"2'"), path, groups=8)  # the same values
+    assert files() == before
+    payloads.replace(spark.createDataFrame([row(names[7], 7.0), row(names[8], -8.0)], schema), path, groups=8)
+    found = payloads.stored(spark, path, first.schema)
+    got = {r["ticker"]: (r["price"], r["history"]) for r in found.collect()}
+    want = {t: (float(k) if k != 8 else -8.0, [(dt.date(2020, 1, 1), float(k) if k != 8 else -8.0), (dt.date(2020, 1, 2), None)]) for k, t in enumerate(names)}
+    want |= {None: (0.5, [(dt.date(2020, 1, 1), 0.5), (dt.date(2020, 1, 2), None)]), "": (None, [(dt.date(2020, 1, 1), None), (dt.date(2020, 1, 2), None)])}
+    assert found.columns == first.columns and found.count() == 402 and got == want
+    assert len([f for f in before if files()[f] != before[f]]) == 1
+    for other in (4, None):
+        with pytest.raises(ValueError, match="other folders"):
+            payloads.replace(first, path, groups=other)
+
+
+def test_histories_need_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(market, "shared_folder", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(market, "FOLDER", 30)
+    assert market.stored_history(spark, "/root/testdata/sf0.01").count() == 50_410
+    assert len(list((tmp_path / "payloads").glob("*=*"))) == 4  # for 100 tickers
+
+
 def test_what_jobs_leave_can_be_cleared(spark):
     from oddsmith.functions.shared import clear
 
