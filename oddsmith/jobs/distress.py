@@ -28,22 +28,25 @@ def names(spark: SparkSession, d: str) -> DataFrame:
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     filed = a.filings(spark, d)
-    return filings.panel(a.company_years(filed), filed, names(spark, d), AS_OF_YEAR)
+    return filings.panel(a.company_years(filed), filed, names(spark, d), AS_OF_YEAR, years=filed.select("year"))
 
 
-def feats(spark: SparkSession, d: str) -> DataFrame:
-    return hold(distress.features(panel(spark, d)))  # read several times by each job
+SCORED_FROM = ("cik", "year", "state", "outcome", "outcome_known")
+
+
+def feats(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return hold(distress.features(panel(spark, d)).select(*columns or "*"))  # read several times by each job
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return distress.walk_forward(feats(spark, d), min_train_years=MIN_TRAIN_YEARS)
+    return distress.walk_forward(feats(spark, d, *SCORED_FROM), min_train_years=MIN_TRAIN_YEARS)
 
 
 def both_scored(spark: SparkSession, d: str) -> DataFrame:
-    """The scored company-years with P(bad exit) of the logistic model beside that of the states."""
-    rows = feats(spark, d)
-    logit = distress.logit_scores(rows, min_train_years=MIN_TRAIN_YEARS).drop("y")
-    return distress.walk_forward(rows, min_train_years=MIN_TRAIN_YEARS).join(logit, ["cik", "year"])
+    """The scored company-years with P(bad exit) of the logistic model beside that of the states, without an exchange."""
+    rows = feats(spark, d, *SCORED_FROM, *distress.CONTINUOUS)
+    models = distress.yearly_logits(rows, min_train_years=MIN_TRAIN_YEARS)
+    return distress.logit_probability(distress.walk_forward(rows, min_train_years=MIN_TRAIN_YEARS), models, "year")
 
 
 def index_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -228,13 +231,13 @@ def both_aucs(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def distress_by_year(spark: SparkSession, d: str) -> DataFrame:
-    rows = hold(both_scored(spark, d))
+    rows = hold(both_scored(spark, d).select("year", "y_bad", "p_bad_state", "p_bad_logit"))
     means = rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg("y_bad").alias("bad_rate"))
     return rounded(means.join(both_aucs(rows, ["year"]), "year"))
 
 
 def distress_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = hold(both_scored(spark, d))
+    rows = hold(both_scored(spark, d).select("ll_state", "ll_base", "y_bad", "p_bad_state", "p_bad_logit"))
     means = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"logloss_{k}") for c, k in (("ll_state", "state"), ("ll_base", "base"))], F.avg("y_bad").alias("bad_rate"))
     return rounded(means.join(F.broadcast(both_aucs(rows, []))))  # one row each
 

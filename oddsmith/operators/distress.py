@@ -149,10 +149,14 @@ class Logit:
     deviation: np.ndarray
 
 
+def _input(c: str) -> Column:
+    """The column with 0 for what is missing or infinite."""
+    return F.coalesce(F.when(F.abs(c) == float("inf"), 0.0).otherwise(F.col(c)), F.lit(0.0)).cast("double")
+
+
 def _inputs(feat: DataFrame) -> DataFrame:
     """cik, year, y and CONTINUOUS, with 0 for what is missing or infinite."""
-    inputs = [F.coalesce(F.when(F.abs(c) == float("inf"), 0.0).otherwise(F.col(c)), F.lit(0.0)).cast("double").alias(c) for c in CONTINUOUS]
-    return feat.select("cik", "year", is_bad().cast("double").alias("y"), *inputs)
+    return feat.select("cik", "year", is_bad().cast("double").alias("y"), *[_input(c).alias(c) for c in CONTINUOUS])
 
 
 def design_blocks(known: DataFrame, most: int = 65_536) -> DataFrame:
@@ -229,22 +233,27 @@ def fit_logits(known: DataFrame, folds: dict[int, int], l2: float = 1.0, steps:
 
 
 def logit_probability(rows: DataFrame, models: dict[int, Logit], fold: str) -> DataFrame:
-    """`rows` (from `_inputs`, with a fold number) and p_bad_logit by the fold's model; other folds go."""
+    """`rows` (with CONTINUOUS and a fold number) and p_bad_logit by the fold's model; other folds go."""
     table = [(f, m.weights.tolist(), m.mean.tolist(), m.deviation.tolist()) for f, m in models.items()]
     small = literal_table(rows.sparkSession, table, f"{fold} int, w array<double>, mu array<double>, sd array<double>")
     z = F.col("w")[0]
     for k, c in enumerate(CONTINUOUS):
-        z = z + F.col("w")[k + 1] * F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col(c) - F.col("mu")[k]) / F.col("sd")[k]))
-    return rows.join(F.broadcast(small), fold).withColumn("p_bad_logit", 1 / (1 + F.exp(-z)))  # one row per calendar year
+        z = z + F.col("w")[k + 1] * F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (_input(c) - F.col("mu")[k]) / F.col("sd")[k]))
+    return rows.join(F.broadcast(small), fold).withColumn("p_bad_logit", 1 / (1 + F.exp(-z))).drop("w", "mu", "sd")  # one row per calendar year
 
 
-def logit_scores(feat: DataFrame, min_train_years: int = 3, lag_years: int = 2) -> DataFrame:
-    """cik, year, y, p_bad_logit of the known company-years; cohort Y trains on those up to Y - `lag_years`."""
+def yearly_logits(feat: DataFrame, min_train_years: int = 3, lag_years: int = 2) -> dict[int, Logit]:
+    """The models of the cohorts; cohort Y trains on the known company-years up to Y - `lag_years`."""
     known = feat.filter("outcome_known")
     years = sorted(r[0] for r in known.select("year").distinct().collect())  # calendar years
     folds = {y: y - lag_years for y in years if sum(t <= y - lag_years for t in years) >= min_train_years}
-    models = fit_logits(known, folds) if folds else {}
-    return logit_probability(_inputs(known), models, "year").select("cik", "year", "y", "p_bad_logit")
+    return fit_logits(known, folds) if folds else {}
+
+
+def logit_scores(feat: DataFrame, min_train_years: int = 3, lag_years: int = 2) -> DataFrame:
+    """cik, year, y, p_bad_logit of the known company-years by their cohort's model."""
+    models = yearly_logits(feat, min_train_years, lag_years)
+    return logit_probability(_inputs(feat.filter("outcome_known")), models, "year").select("cik", "year", "y", "p_bad_logit")
 
 
 def final_logit(feat: DataFrame) -> tuple[DataFrame, DataFrame]:

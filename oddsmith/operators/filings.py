@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Forms that mark an acquisition, the form and item of a bankruptcy, and the annual reports.
 ACQUIRED_FORMS = ("DEFM14A", "DEFM14C", "SC TO-T", "SC 13E3")
@@ -64,35 +65,53 @@ def survival(cohort: DataFrame, years: DataFrame) -> DataFrame:
     return cohort.join(later.withColumn("files_on", F.lit(True)), ["cik", "year"], "left").withColumn("files_on", F.coalesce("files_on", F.lit(False)))
 
 
-def exits(gone: DataFrame, filed: DataFrame) -> DataFrame:
-    """cik, year, exit: how a company that files no more has left, by its filings since `first_date`.
+def last_signs(filed: DataFrame) -> DataFrame:
+    """cik, broke, bought: the last filing of a company that tells of a bankruptcy, and of an acquisition.
 
-    `item` is the text of a filing's items, often a list such as '1.03,9.01'. Bankruptcy comes before acquisition, and that before deregistration, which also stands for no trace.
+    `item` is the text of a filing's items, often a list such as '1.03,9.01'.
     """
     broke = F.col("form").startswith(BANKRUPT_FORM) & F.coalesce(F.col("item").contains(BANKRUPT_ITEM), F.lit(False))
     bought = F.col("form").isin(*ACQUIRED_FORMS)
-    wanted = filed.filter(broke | bought).select("cik", "filing_date", broke.alias("broke"), bought.alias("bought"))
-    met = gone.join(wanted, "cik", "left").withColumn("on", F.col("filing_date") >= F.col("first_date"))
-    some = lambda c: F.coalesce(F.bool_or(F.col("on") & F.col(c)), F.lit(False)).alias(c)
-    kinds = met.groupBy("cik", "year").agg(some("broke"), some("bought"))
-    return kinds.select("cik", "year", F.when(F.col("broke"), "bankrupt").when(F.col("bought"), "acquired").otherwise("deregistered").alias("exit"))
+    last = lambda sign: F.max(F.when(sign, F.col("filing_date")))
+    return filed.filter(broke | bought).groupBy("cik").agg(last(broke).alias("broke"), last(bought).alias("bought"))
+
+
+def _exit() -> Column:
+    """How a company has left, by its `last_signs` since `first_date`.
+
+    Bankruptcy comes before acquisition, and that before deregistration, which also stands for no trace.
+    """
+    since = lambda c: F.coalesce(F.col(c) >= F.col("first_date"), F.lit(False))
+    return F.when(since("broke"), "bankrupt").when(since("bought"), "acquired").otherwise("deregistered")
 
 
-def panel(company_years: DataFrame, filed: DataFrame, names: DataFrame, as_of_year: int, cohort: DataFrame | None = None) -> DataFrame:
+def exits(gone: DataFrame, filed: DataFrame) -> DataFrame:
+    """cik, year, exit: how a company that files no more has left; `gone` has one row for each cik and year."""
+    return gone.join(last_signs(filed), "cik", "left").select("cik", "year", _exit().alias("exit"))
+
+
+def panel(company_years: DataFrame, filed: DataFrame, names: DataFrame, as_of_year: int, cohort: DataFrame | None = None, years: DataFrame | None = None) -> DataFrame:
     """The company-year panel: company_years with name, ticker, outcome and outcome_known.
 
     `names` (cik, name, ticker). `cohort` (cik, year) holds all that filed, also without figures;
     without it the company-years are taken. An outcome is known if the cohort two years later was
     fetched and its year is over; an unknown one is set to filing. Rows without positive assets are left out.
+    `years` are the cohort's calendar years, where they are cheaper to have than from the cohort itself.
+
+    Without a cohort, all is worked out along a company's years and joined by cik alone: company-years that come dealt by
+    cik are not moved again.
     """
-    cohort = (company_years if cohort is None else cohort).select("cik", "year").distinct()
-    fetched = cohort.select((F.col("year") - 2).alias("year"), F.lit(True).alias("fetched")).distinct()
-    rows = survival(company_years.filter("assets > 0"), cohort).join(F.broadcast(fetched), "year", "left")  # calendar years
+    fetched = next(x for x in (years, cohort, company_years) if x is not None).select((F.col("year") - 2).alias("year"), F.lit(True).alias("fetched")).distinct()
+    if cohort is None:
+        ahead = F.count(F.lit(1)).over(Window.partitionBy("cik").orderBy("year").rangeBetween(2, 3))
+        rows = company_years.withColumn("files_on", (ahead > 0) & F.expr("cik is not null and year is not null")).filter("assets > 0")
+    else:
+        rows = survival(company_years.filter("assets > 0"), cohort.select("cik", "year").distinct())
+    rows = rows.join(F.broadcast(fetched), "year", "left")  # calendar years
     rows = rows.withColumn("outcome_known", F.coalesce("fetched", F.lit(False)) & (F.col("year") + 2 < as_of_year)).drop("fetched")
-    gone = rows.filter(~F.col("files_on") & F.col("outcome_known")).select("cik", "year", "first_date")
-    out = rows.join(exits(gone, filed), ["cik", "year"], "left").join(names, "cik", "left")
-    outcome = F.when(F.col("files_on") | ~F.col("outcome_known"), "filing").otherwise(F.col("exit"))
-    return out.withColumns({"outcome": outcome, "ticker": F.coalesce("ticker", F.lit("")), "name": F.coalesce("name", F.lit(""))}).drop("files_on", "exit")
+    out = rows.join(last_signs(filed), "cik", "left").join(names, "cik", "left")
+    outcome = F.when(F.col("files_on") | ~F.col("outcome_known"), "filing").when(F.col("cik").isNotNull(), _exit())
+    return out.withColumns({"outcome": outcome, "ticker": F.coalesce("ticker", F.lit("")), "name": F.coalesce("name", F.lit(""))}).drop("files_on", "broke", "bought")
 
 
 def landed_panel(index: DataFrame, facts: DataFrame, priority: DataFrame, columns: list[str], filed: DataFrame, tickers: DataFrame, as_of_year: int, going: DataFrame | None = None, order: Sequence[str] = ("filing_date", "file")) -> DataFrame:
@@ -127,8 +146,6 @@ def panel_meta(rows: DataFrame) -> DataFrame:
 
 def pulled_back(rows: DataFrame) -> DataFrame:
     """Adds `label`: an exit in the very next year replaces this year's outcome `filing`."""
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("cik").orderBy("year")
     nxt, same = F.lead("outcome").over(order), F.lead("year").over(order) == F.col("year") + 1
     exit_ = nxt.isin("bankrupt", "deregistered", "acquired")

@@ -2,11 +2,13 @@
 
 import datetime as dt
 import json
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oddsmith.functions import held
 from oddsmith.jobs import distress as distress_jobs
 from oddsmith.operators import distress, filings, resample
 from oddsmith.sources import landed, readers
@@ -91,6 +93,38 @@ def test_transitions_and_exits(spark):
     assert out == {(state, state): 1, (state, distress.EXITED): 1}
 
 
+def test_panel_along_company_years(spark):
+    day = lambda y, m=6: dt.date(y, m, 1)
+    keys = [(1, 1994), (1, 1997), (2, 1994), (3, 1994), (4, 1994), (4, 1995), (5, 1994), (5, 1996), (6, 1994), (6, 1996), (None, 1994), (None, 1996)]
+    years = spark.createDataFrame([(c, y, day(y), 0.0 if (c, y) in ((5, 1994), (6, 1996)) else 1.0) for c, y in keys], "cik long, year int, first_date date, assets double")
+    filed = [(2, day(1994), "8-K", "1.03"), (2, day(1995), "DEFM14A", ""), (3, day(1994, 5), "8-K", "1.03"), (3, day(1995), "SC TO-T", None), (None, day(1995), "8-K", "1.03"), (4, None, "8-K", "1.03")]
+    filed = spark.createDataFrame(filed, "cik long, filing_date date, form string, item string")
+    names = spark.createDataFrame([(1, "ONE", "T1")], "cik long, name string, ticker string")
+    for cohort in (None, years):
+        rows = filings.panel(years, filed, names, 2002, cohort).collect()
+        assert {(r["cik"], r["year"]): (r["outcome"], r["outcome_known"]) for r in rows} == {
+            (1, 1994): ("filing", True), (1, 1997): ("filing", False), (2, 1994): ("bankrupt", True), (3, 1994): ("acquired", True), (4, 1994): ("deregistered", True), (4, 1995): ("deregistered", True),
+            (5, 1996): ("filing", False), (6, 1994): ("filing", True), (None, 1994): (None, True), (None, 1996): ("filing", False),
+        }
+        assert len(rows) == 10 and {(r["name"], r["ticker"]) for r in rows if r["cik"] == 1} == {("ONE", "T1")}
+
+
+def test_scored_company_years_are_dealt_by_company_once(spark):
+    held.release(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        panel = distress_jobs.panel(spark, "/root/testdata/sf0.001")
+        rows = distress_jobs.both_scored(spark, "/root/testdata/sf0.001")
+        for frame in (panel, rows):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"hashpartitioning\(cik#\d+L?, year#", plan)
+        assert panel._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 2  # signs and names
+        assert rows.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        held.release(spark)
+
+
 def test_index_lines(spark):
     lines = ["10-K        EXAMPLE HOLDINGS INC          1234567     2015-03-02  edgar/data/1.txt", "10-K/A  X  1  2015-01-01  f", "10-K405 A B 7 2015-01-02 f", "10-K  BAD  12x 2015-01-01 f", "8-K Y 3 2015-01-01 f", "10-KSB Z 9 2014-05-05 f  "]
     rows = filings.parsed_index(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
